@@ -35,7 +35,7 @@ from loomspan.llm.common import materialize, scratch_path, slices, stream
 #: Bytes of payload after which a shard ends at the next new key.
 SHARD_BYTES = 64 << 20
 #: Pieces whose ids one worker keeps at a time.
-CACHE = 400_000
+CACHE = 800_000
 #: Bits a key at each level, and levels before the rest is stored as it is.
 GAMMA, LEVELS = 2.0, 24
 
@@ -175,7 +175,14 @@ class Shard:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each piece that is not kept."""
+    """The tokenizers library, asked once for each piece that is not kept.
+
+    Pieces go to the library many at a time, parted by a character that the vocabulary merges with nothing. That
+    holds for pieces that start with a space and do not end with white space; the others go one by one. A full
+    stop or comma after a letter is a token of its own, so such a piece is its word and that token.
+    """
+
+    PART = "\0"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -183,30 +190,53 @@ class LibraryEncoder:
 
         self.own = Tokenizer.from_file(path)
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
-        self.width = 2 if self.own.get_vocab_size() <= 1 << 16 else 4
+        self.kind = "<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = int(self.kind[-1])
         self.kept: dict[str, bytes] = {}
+        part = self.own.encode(self.PART, add_special_tokens=False)
+        letter = part.tokens[0] if len(part.ids) == 1 else ""
+        self.part_id = part.ids[0] if letter and not any(letter in t and t != letter for t in self.own.get_vocab()) else None
+
+    def _ask(self, pieces: list[str]) -> None:
+        found = self.own.encode_batch_fast(pieces, add_special_tokens=False)
+        for piece, e in zip(pieces, found, strict=True):
+            self.kept[piece] = np.array(e.ids, self.kind).tobytes()
+
+    def _ask_joined(self, pieces: list[str]) -> None:
+        groups = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
+        for group in groups:
+            ids = np.array(self.own.encode(self.PART.join(group), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(ids == self.part_id)
+            raw, w = ids.tobytes(), self.width
+            starts = [0, *(w * (ends + 1)).tolist()]
+            stops = [*(w * ends).tolist(), len(raw)]
+            for piece, i, j in zip(group, starts, stops, strict=True):
+                self.kept[piece] = raw[i:j]
 
     def __call__(self, texts: list[str | None], end: int | None) -> Iterator[bytes]:
         """Payload of each text, with the end id."""
         if len(self.kept) > CACHE:
             self.kept.clear()
-        kind = f"<u{self.width}"
-        tail = b"" if end is None else np.array([end], kind).tobytes()
+        kept = self.kept
+        tail = b"" if end is None else np.array([end], self.kind).tobytes()
         split = [split_pieces(t or "", self.special) for t in texts]
-        new = list(set().union(*split).difference(self.kept))
-        for begin in range(0, len(new), 4096):
-            part = new[begin : begin + 4096]
-            found = [e.ids for e in self.own.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.array([i for x in found for i in x], kind).tobytes()
-            at = 0
-            for piece, x in zip(part, found, strict=True):
-                self.kept[piece] = flat[at : (at := at + self.width * len(x))]
-        get = self.kept.__getitem__
+        new = set().union(*split).difference(kept)
+        stopped = [p for p in new if len(p) > 2 and p[-1] in ".," and p[-2].isalpha()]
+        asked = (new.difference(stopped) | {p[:-1] for p in stopped} | {".", ","}).difference(kept)
+        if self.part_id is None:
+            self._ask(list(asked))
+        else:
+            joined = [p for p in asked if p[0] == " " and not p[-1].isspace()]
+            self._ask(list(asked.difference(joined)))
+            self._ask_joined(joined)
+        for p in stopped:
+            kept[p] = kept[p[:-1]] + kept[p[-1]]
+        get = kept.__getitem__
         for pieces in split:
             yield b"".join(map(get, pieces)) + tail
-        for p in new:
+        for p in asked | new:
             if len(p) > 256:
-                del self.kept[p]
+                del kept[p]
 
 
 @lru_cache(maxsize=2)
@@ -263,5 +293,6 @@ def read(manifest: DataFrame, key_type: str = "long", key: str = "doc_id", batch
                         "file": [file] * len(keys),
                     }
 
-    spread = manifest.select("file", "start").repartition(F.col("file"))
+    files = manifest.select("file", "start")
+    spread = files.repartition(max(1, files.count()), "file")
     return stream(spread, f"{key} {key_type}, start long, n_tokens long, ids_crc32 long, file string", rows)
