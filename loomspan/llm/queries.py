@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, idstore, media, simhash
+from loomspan.llm import bpe, decontaminate, html_text, idstore, media, simhash
 from loomspan.llm.common import table
 
 #: Name of the vocabulary file and the end id of binary output.
@@ -22,6 +22,14 @@ def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read(manifest, docs.schema["doc_id"].dataType.simpleString()).drop("file")
 
 
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": bpe_codec, "op8_simhash": near_duplicates, "op9_media": media_features, "op10_token_store": token_store}
+QUERIES = {"op2_bpe": bpe_codec, "op4_html": page_text, "op7_decontaminate": contamination, "op8_simhash": near_duplicates, "op9_media": media_features, "op10_token_store": token_store}
 ORACLES: dict[str, str] = {}
