@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -191,7 +192,16 @@ def merge_words(words: list[bytes], v: Vocabulary) -> list[bytes]:
     return out
 
 
-_TIGHT = regex.compile(r"\s | \s|^ | $")
+#: White space besides space and newline.
+_RARE = re.compile(r"[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_TIGHT = regex.compile(r"\s | \s")
+
+
+def _spaces_alone(text: str) -> bool:
+    """Whether each space stands between two characters that are no white space."""
+    if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not (_RARE.search(text) and _TIGHT.search(text))
 
 
 def split_pieces(text: str, special: Iterable[str]) -> list[str]:
@@ -203,7 +213,7 @@ def split_pieces(text: str, special: Iterable[str]) -> list[str]:
     """
     if not text:
         return []
-    if any(s in text for s in special) or "\0" in text or _TIGHT.search(text):
+    if any(s in text for s in special) or "\0" in text or not _spaces_alone(text):
         return [text]
     return text.replace(" ", "\0 ").split("\0")
 

@@ -35,7 +35,7 @@ from loomspan.llm.common import materialize, scratch_path, slices, stream
 #: Bytes of payload after which a shard ends at the next new key.
 SHARD_BYTES = 64 << 20
 #: Pieces whose ids one worker keeps at a time.
-CACHE = 800_000
+CACHE = 1_200_000
 #: Bits a key at each level, and levels before the rest is stored as it is.
 GAMMA, LEVELS = 2.0, 24
 
@@ -205,7 +205,7 @@ class LibraryEncoder:
     def _ask_joined(self, pieces: list[str]) -> None:
         groups = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
         for group in groups:
-            ids = np.array(self.own.encode(self.PART.join(group), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.own.encode_batch_fast([self.PART.join(group)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(ids == self.part_id)
             raw, w = ids.tobytes(), self.width
             starts = [0, *(w * (ends + 1)).tolist()]
