@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, decontaminate, html_text, idstore, media, simhash
+from loomspan.llm import bpe, decontaminate, html_text, idstore, media, simhash, substrings
 from loomspan.llm.common import table
 
 #: Name of the vocabulary file and the end id of binary output.
@@ -26,6 +26,10 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,5 +42,5 @@ def media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": bpe_codec, "op4_html": page_text, "op7_decontaminate": contamination, "op8_simhash": near_duplicates, "op9_media": media_features, "op10_token_store": token_store}
+QUERIES = {"op2_bpe": bpe_codec, "op4_html": page_text, "op5_substrings": repeated_passages, "op7_decontaminate": contamination, "op8_simhash": near_duplicates, "op9_media": media_features, "op10_token_store": token_store}
 ORACLES: dict[str, str] = {}
