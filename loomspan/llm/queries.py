@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, decontaminate, html_text, idstore, media, ppm, simhash, substrings
+from loomspan.llm import bpe, decontaminate, html_text, idstore, media, ppm, simhash, substrings, toxicity
 from loomspan.llm.common import table
 
 #: Name of the vocabulary file and the end id of binary output.
@@ -22,6 +22,10 @@ def token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read(manifest, docs.schema["doc_id"].dataType.simpleString()).drop("file")
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"), ppm.is_held_out())
 
@@ -46,5 +50,5 @@ def media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": bpe_codec, "op3_ppm": language_scores, "op4_html": page_text, "op5_substrings": repeated_passages, "op7_decontaminate": contamination, "op8_simhash": near_duplicates, "op9_media": media_features, "op10_token_store": token_store}
+QUERIES = {"op1_toxicity": toxicity_scores, "op2_bpe": bpe_codec, "op3_ppm": language_scores, "op4_html": page_text, "op5_substrings": repeated_passages, "op7_decontaminate": contamination, "op8_simhash": near_duplicates, "op9_media": media_features, "op10_token_store": token_store}
 ORACLES: dict[str, str] = {}
