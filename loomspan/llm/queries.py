@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import bpe, decontaminate, html_text, idstore, media, ppm, simhash, substrings, toxicity
+from loomspan.llm import bpe, decontaminate, html_text, idstore, media, ppm, quality, simhash, substrings, toxicity
 from loomspan.llm.common import table
 
 #: Name of the vocabulary file and the end id of binary output.
@@ -38,6 +38,10 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +54,5 @@ def media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": toxicity_scores, "op2_bpe": bpe_codec, "op3_ppm": language_scores, "op4_html": page_text, "op5_substrings": repeated_passages, "op7_decontaminate": contamination, "op8_simhash": near_duplicates, "op9_media": media_features, "op10_token_store": token_store}
+QUERIES = {"op1_toxicity": toxicity_scores, "op2_bpe": bpe_codec, "op3_ppm": language_scores, "op4_html": page_text, "op5_substrings": repeated_passages, "op6_quality": quality_scores, "op7_decontaminate": contamination, "op8_simhash": near_duplicates, "op9_media": media_features, "op10_token_store": token_store}
 ORACLES: dict[str, str] = {}
