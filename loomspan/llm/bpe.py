@@ -299,18 +299,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return stream(df, schema, rows)
 
 
-def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256, from a round trip in one pass."""
-    schema = StructType([df.schema[key], *StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
+def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256, from a round trip in one pass.
+
+    ``with_ids`` adds the ids themselves, as ARRAY<INT>.
+    """
+    more = [StructField("ids", ArrayType(IntegerType()))] if with_ids else []
+    schema = StructType([df.schema[key], *more, *StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         own = codec(path)
         names = [str(i) for i in range(own.v.size)]
         for batch in batches:
             for part in slices(batch, text):
-                found = [x.tolist() for x in own.encode_batch(part[text])]
+                arrays = own.encode_batch(part[text])
+                found = [x.tolist() for x in arrays]
                 yield {
                     key: part[key],
+                    "ids": [x.astype(np.int32) for x in arrays] if with_ids else None,
                     "n_tokens": [len(x) for x in found],
                     "ids_sha256": [hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest() for x in found],
                     "decoded_sha256": [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in found],

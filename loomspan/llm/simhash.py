@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -66,15 +66,20 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fp (the fingerprint as a signed 64-bit number)."""
+    """key, mark (hash of the text) and fp (the fingerprint as a signed 64-bit number)."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             for part in slices(batch, text):
                 found = np.array([fingerprint(shingle_hashes(t)) for t in part[text]], np.uint64)
-                yield {key: part[key], "fp": found.view(np.int64)}
+                yield {key: part[key], "mark": part["mark"], "fp": found.view(np.int64)}
 
-    return stream(df.select(key, text), StructType([df.schema[key], StructField("fp", LongType())]), rows)
+    kind = StructType([df.schema[key], StructField("mark", LongType()), StructField("fp", LongType())])
+    return stream(df.select(key, text, _mark(text).alias("mark")), kind, rows)
+
+
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 class Block:
@@ -236,13 +241,31 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     return roots.select(F.col("a").alias("node"), "root")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fingerprint (16 hex digits), component_id: the smallest key reachable over links, itself included."""
+def grouped(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, mark (hash of the text), fp, root (the smallest fingerprint of the component), component_id."""
     fps = materialize(fingerprints(df, key, text), "fingerprints")
     firsts = materialize(fps.groupBy("fp").agg(F.min(key).alias("first")), "firsts")
     comp = materialize(components(link_table(firsts.select("fp"))), "components")
     rooted = firsts.join(comp, firsts.fp == comp.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(rooted.join(ids, "root").select("fp", "component_id"), "named")
+    named = materialize(rooted.join(ids, "root").select("fp", "root", "component_id"), "named")
     forget(firsts, comp)
-    return fps.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(named, "fp")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, fingerprint (16 hex digits), component_id: the smallest key reachable over links, itself included."""
+    return grouped(df, key, text).select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: of each component the one with the smallest key (null last), once."""
+    found = grouped(df, key, text)
+    best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("__key"), F.col("mark").alias("__mark"))).alias("best")
+    kept = materialize(found.groupBy("root").agg(best).select("best.__key", "best.__mark"), "kept")
+    named = df.withColumn("__text_mark", _mark(text))
+    on = named[key].eqNullSafe(kept["__key"]) & (named["__text_mark"] == kept["__mark"])
+    out = named.join(kept, on, "left_semi")
+    if not found.groupBy(key, "mark").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([key, "__text_mark"])
+    return out.drop("__text_mark")
