@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomspan.llm.common import slices, stream
+from loomspan.llm.common import forget, materialize, slices, stream
 from loomspan.llm.labelled import SAMPLE, is_held_out, sample
 
 THRESHOLD = 0.7
@@ -42,6 +42,8 @@ IDENTITY = (
 )
 #: Hash range of features, features kept, pairs of swapped sentences, and weight of the two penalties.
 RANGE, FEATURES, PAIRS, RIDGE, SWAP = 1 << 22, 8192, 20_000, 3e-5, 1.0
+#: Swapped sentences of one row.
+PAIRS_A_ROW = 20
 #: Deviations beyond which a feature is more than chance, and rows it must be in: three, or one in this many.
 DEVIATION, ROWS = 4.5, 2000
 
@@ -77,7 +79,7 @@ class Classifier:
     def logit(self, text: str | None) -> float:
         words = set(_WORD.findall((text or "").lower()))
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         for w in words.difference(known):
             known[w] = self._of(w)
@@ -88,68 +90,91 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], swap: float = SWAP, steps: int = 600) -> Classifier:
-    """A classifier from the features of each row, its label, and the features of sentences before and after a swap."""
-    n1, n = int(labels.sum()), len(labels)
-    if not n1 or n1 == n:
-        share = n1 / n if n else 0.0
-        return Classifier({}, float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    where, flat = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
-    every = np.bincount(flat, minlength=RANGE)
-    ones = np.bincount(flat[labels[where] == 1], minlength=RANGE)
+def choose(ids: np.ndarray, every: np.ndarray, ones: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """Features that differ between the classes beyond chance, FEATURES at most; ``every``, ``ones``: rows with each."""
     share = every / n
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
-    z = np.where(every >= max(3, n // ROWS), (ones / n1 - (every - ones) / (n - n1)) / spread, 0)
-    kept = np.flatnonzero(np.abs(z) >= DEVIATION)
-    kept = kept[np.argsort(-np.abs(z[kept]), kind="stable")[:FEATURES]]
-    place = np.full(RANGE, -1, np.int64)
-    place[kept] = np.arange(len(kept))
-    at = place[flat]
-    where, at = where[at >= 0], at[at >= 0]
-    # what a swap changes: +1 for features it takes away, -1 for those it brings
-    moved = [(i, place[f], s) for i, (a, b) in enumerate(pairs) for fs, s in ((np.setdiff1d(a, b), 1.0), (np.setdiff1d(b, a), -1.0)) for f in fs if place[f] >= 0]
-    pair, pat, sign = (np.array(x, k) for x, k in zip(zip(*moved, strict=True) if moved else ((), (), ()), (np.int64, np.int64, np.float64), strict=True))
-    w, bias, k = np.zeros(len(kept)), float(np.log(n1 / (n - n1))), len(kept)
+    z = np.abs((ones / n1 - (every - ones) / (n - n1)) / spread)
+    order = np.lexsort((ids, -z))
+    return np.sort(ids[order[z[order] >= DEVIATION][:FEATURES]])
+
+
+def fit(kept: np.ndarray, rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], swap: float = SWAP, steps: int = 600) -> Classifier:
+    """A classifier from the places in ``kept`` of each row's features, its label, and of features that a swap takes and brings."""
+    n, n1, k = len(labels), int(labels.sum()), len(kept)
+    if not n1 or n1 == n or not k:
+        share = n1 / n if n else 0.0
+        return Classifier({}, float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
+    where, at = np.repeat(np.arange(n), [len(r) for r in rows]), np.array([f for r in rows for f in r], np.int64)
+    moved = [(i, f, s) for i, (gone, come) in enumerate(pairs) for fs, s in ((gone, 1.0), (come, -1.0)) for f in fs]
+    pair, pat, sign = (np.array([m[j] for m in moved], kind) for j, kind in enumerate((np.int64, np.int64, np.float64)))
     # accelerated gradient steps scaled by each feature's own curvature
     curve = np.bincount(at, minlength=k) / (4 * n) * max(1.0, np.bincount(where, minlength=n).max()) ** 0.5 + RIDGE
-    if len(pairs):
+    if pairs:
         curve += 2 * swap * np.bincount(pat, minlength=k) / len(pairs) * 4
-    ahead, bias_ahead, t = w.copy(), bias, 1.0
+    w, bias, t = np.zeros(k), float(np.log(n1 / (n - n1))), 1.0
+    ahead, bias_ahead = w, bias
     for _ in range(steps):
         z = bias_ahead + np.bincount(where, ahead[at], minlength=n)
         error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels
         slope = np.bincount(at, error[where], minlength=k) / n + RIDGE * ahead
-        if len(pairs):
+        if pairs:
             change = np.bincount(pair, sign * ahead[pat], minlength=len(pairs))
             slope += 2 * swap * np.bincount(pat, sign * change[pair], minlength=k) / len(pairs)
         new, new_bias = ahead - slope / curve, bias_ahead - error.mean() / 0.25
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        if (slope * (new - w)).sum() > 0:
-            t_new = 1.0
+        t_new = 1.0 if (slope * (new - w)).sum() > 0 else (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, bias_ahead = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
     return Classifier({int(f): float(x) for f, x in zip(kept, w, strict=True) if abs(x) > 1e-6}, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = SAMPLE, identity=IDENTITY) -> Classifier:
-    """Fitted on labelled rows that are not held out; tasks send hashed features, not texts, to the driver."""
+    """Fitted on labelled rows that are not held out; tasks count features and send the kept ones, not texts."""
+    rows_ = materialize(sample(docs, labels, label, key, text, most), "labelled")
+    n, n1 = rows_.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not n1 or n1 == n:
+        return fit(np.empty(0, np.int64), [[]] * n, np.full(n, 1 if n1 else 0), [])
+
+    def of(words: set[str]) -> set[int]:
+        return {f for w in words for f in features(w)}
+
+    def count(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for part in slices(batch, text):
+                sets = [of(set(_WORD.findall(t.lower()))) for t in part[text]]
+                flat = np.fromiter((f for s in sets for f in s), np.int64, sum(map(len, sets)))
+                found, back = np.unique(flat, return_inverse=True)
+                label_of = np.repeat(np.array(part["label"]), [len(s) for s in sets])
+                yield {"f": found, "n": np.bincount(back), "ones": np.bincount(back, label_of).astype(np.int64)}
+
+    counted = stream(rows_.select(text, "label"), "f long, n long, ones long", count).groupBy("f").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    got = counted.filter(F.col("n") >= max(3, n // ROWS)).toArrow()
+    kept = choose(*(got[c].to_numpy() for c in ("f", "n", "ones")), n, n1)
+    shared = docs.sparkSession.sparkContext.broadcast({int(f): i for i, f in enumerate(kept)})
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        place = shared.value
+
+        def places(words: set[str]) -> list[int]:
+            return sorted(place[f] for f in of(words) if f in place)
+
         for batch in batches:
-            own = [sorted({f for w in set(_WORD.findall((t or "").lower())) for f in features(w)}) for t in batch[text]]
-            found = [[p for s in _SENTENCE.split(t or "") for p in swaps(s, identity)] for t in batch[text]]
-            as_ids = lambda words: sorted({f for w in words for f in features(w)})
-            yield {"key": [repr(k) for k in batch[key]], "label": batch["label"], "own": own, "before": [[as_ids(a) for a, _ in x] for x in found], "after": [[as_ids(b) for _, b in x] for x in found]}
-
-    made = stream(sample(docs, labels, label, key, text, most), "key string, label int, own array<int>, before array<array<int>>, after array<array<int>>", rows)
-    got = made.toArrow()
-    own = got["own"].combine_chunks()
-    ids, ends = own.flatten().to_numpy().astype(np.int64), np.append(0, np.cumsum(own.value_lengths().to_numpy()))
-    # tasks end in any order: sorted rows give the same model each time
-    order = np.lexsort((ends[1:] - ends[:-1], got["key"].to_numpy(zero_copy_only=False).astype(str))) if got.num_rows else []
-    pairs = [(np.array(a), np.array(b)) for before, after in zip(got["before"].to_pylist(), got["after"].to_pylist(), strict=True) for a, b in zip(before, after, strict=True)]
-    pairs.sort(key=lambda p: (p[0].tolist(), p[1].tolist()))
-    return fit([ids[ends[i] : ends[i + 1]] for i in order], got["label"].to_numpy()[order].astype(np.int64) if len(order) else np.empty(0, np.int64), pairs[:PAIRS])
+            for part in slices(batch, text):
+                swapped = [sorted([p for s in _SENTENCE.split(t) for p in swaps(s, identity)], key=lambda p: zlib.crc32(" ".join(p[0]).encode()))[:PAIRS_A_ROW] for t in part[text]]
+                changes = [[(places(set(a)), places(set(b))) for a, b in x] for x in swapped]
+                yield {
+                    "key": [repr(k) for k in part[key]],
+                    "label": part["label"],
+                    "own": [places(set(_WORD.findall(t.lower()))) for t in part[text]],
+                    "gone": [[sorted(set(a).difference(b)) for a, b in x] for x in changes],
+                    "come": [[sorted(set(b).difference(a)) for a, b in x] for x in changes],
+                }
+
+    made = stream(rows_, "key string, label int, own array<int>, gone array<array<int>>, come array<array<int>>", rows).toArrow().to_pylist()
+    made.sort(key=lambda r: r["key"])  # tasks end in any order
+    pairs = [p for r in made for p in zip(r["gone"], r["come"], strict=True)][:PAIRS]
+    forget(rows_)
+    return fit(kept, [r["own"] for r in made], np.array([r["label"] for r in made]), pairs)
 
 
 def predict(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
