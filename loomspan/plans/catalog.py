@@ -1,6 +1,761 @@
-"""Every registered query of the array engine, with its SQL twin where SQL can say it."""
+"""Every registered query of the array engine, with its SQL twin where SQL can say it.
+
+Queries read whole tables. Where a search needs a stated query set, that set is named in the query (for example the
+embeddings whose id is divisible by 100).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomspan.functions import bits as B
+from loomspan.functions import vectors as V
+from loomspan.operators import entropy as H
+from loomspan.operators import paths, quantise, series, similarity, store
+from loomspan.operators import transforms as T
+from loomspan.operators.filters import compile_filter
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), V.doubles(F.col("embedding")).alias("v"), "label")
+
+
+def asked(v: DataFrame) -> DataFrame:
+    """The stated query set: ids divisible by 100."""
+    return v.filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+
+
+def r6(name: str) -> Column:
+    return F.round(name, 6).alias(name)
+
+
+# ---- similarity search ----------------------------------------------------------------------------------------
+
+_SCORES = {
+    "cosine": ("list_cosine_similarity(q.embedding::double[], b.embedding::double[])", "desc"),
+    "euclidean": ("list_distance(q.embedding::double[], b.embedding::double[])**2", "asc"),
+    "dotproduct": ("list_inner_product(q.embedding::double[], b.embedding::double[])", "desc"),
+}
+
+
+def _knn_sql(metric: str, k: int = 10, pre: str = "true", post: str = "true") -> str:
+    score, way = _SCORES[metric]
+    return f"""select qid, id, rnk, round(score, 6) as score from (
+      select *, row_number() over (partition by qid order by score {way}, id) as rnk from (
+        select q.vec_id as qid, b.vec_id as id, b.label as label, {score} as score
+        from embeddings q, embeddings b where q.vec_id % 100 = 0 and ({pre}))) where rnk <= {k} and ({post})"""
+
+
+for _m in _SCORES:
+
+    @query(f"knn_{_m}", _knn_sql(_m))
+    def _(spark, sf, m=_m):
+        v = vectors(spark, sf)
+        return similarity.knn(v, asked(v), 10, m).select("qid", "id", "rnk", r6("score"))
+
+
+@query("knn_batch_coords", f"select k.*, round(list_sum(e.embedding::double[]), 6) as total from ({_knn_sql('euclidean', 5)}) k join embeddings e on e.vec_id = k.id")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    found = similarity.knn(v, asked(v), 5, "euclidean").select("qid", "id", "rnk", r6("score"))
+    return found.join(v.select("id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total")), "id")
+
+
+@query("knn_filtered_pre", _knn_sql("cosine", 10, "b.label in (1, 3, 5)"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return similarity.knn(v, asked(v), 10, "cosine", {"label": {"$in": [1, 3, 5]}}).select("qid", "id", "rnk", r6("score"))
+
+
+@query("knn_filtered_post", _knn_sql("cosine", 10, "true", "label in (1, 3, 5)"))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return similarity.knn(v, asked(v), 10, "cosine", {"label": {"$in": [1, 3, 5]}}, "post").select("qid", "id", "rnk", r6("score"))
+
+
+@query("range_query", "select q.vec_id as qid, b.vec_id as id, round(list_distance(q.embedding::double[], b.embedding::double[]), 6) as distance from embeddings q, embeddings b where q.vec_id % 100 = 0 and list_distance(q.embedding::double[], b.embedding::double[])**2 < 1.69")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return similarity.within(v, asked(v), 1.3).select("qid", "id", r6("distance"))
+
+
+@query("pairwise_distances", "select a.vec_id as a, b.vec_id as b, round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as distance from embeddings a, embeddings b where a.vec_id % 100 = 0 and b.vec_id % 100 = 0")
+def _(spark, sf):
+    v = vectors(spark, sf).filter("id % 100 = 0")
+    return similarity.pairwise(v, v).select("a", "b", r6("distance"))
+
+
+@query("knn_approx_recall")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    found = similarity.knn_probed(v, asked(v), 10, 16, 8)
+    return similarity.recall(found, similarity.knn(v, asked(v), 10, "euclidean"), 10)
+
+
+# ---- filters and store ----------------------------------------------------------------------------------------
+
+_FILTERS = {
+    "implicit": ({"event_type": "click"}, "event_type = 'click'"),
+    "eq": ({"k": {"$eq": 5}}, "k = 5"),
+    "ne": ({"k": {"$ne": 5}}, "k <> 5"),
+    "in": ({"event_type": {"$in": ["click", "view"]}}, "event_type in ('click', 'view')"),
+    "nin": ({"event_type": {"$nin": ["click", "view"]}}, "event_type not in ('click', 'view')"),
+    "range": ({"value": {"$gt": 10.0, "$lte": 50.0}}, "value > 10 and value <= 50"),
+    "gte_lt": ({"value": {"$gte": 10.0, "$lt": 50.0}, "k": {"$gte": 50}}, "value >= 10 and value < 50 and k >= 50"),
+    "absent": ({"none": {"$ne": 1}}, "false"),
+}
+
+
+@query("filter_ops_all", " union all ".join(f"select '{n}' as rule, count(*) as n, round(coalesce(sum(value), 0), 4) as total from (select *, cast(json_extract(props, '$.k') as int) as k from events) where {s}" for n, (_, s) in _FILTERS.items()))
+def _(spark, sf):
+    e = table(spark, sf, "events").withColumns({"k": F.get_json_object("props", "$.k").cast("int"), "none": F.lit(None).cast("int")})
+    held = F.array(*(F.when(compile_filter(f), F.lit(n)) for n, (f, _) in _FILTERS.items()))
+    got = e.select("value", F.explode(held).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    every = spark.createDataFrame([(n,) for n in _FILTERS], "rule string")
+    return every.join(got, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 4).alias("total"))
+
+
+_BATCH = "select vec_id + 250 as id, label + 100 as label, vec_id as seq from embeddings union all select vec_id as id, label + 200 as label, vec_id + 100000 as seq from embeddings where vec_id % 7 = 0"
+
+
+def _batch(v: DataFrame) -> DataFrame:
+    moved = v.select((F.col("id") + 250).alias("id"), (F.col("label") + 100).alias("label"), F.col("id").alias("seq"))
+    return moved.unionByName(v.filter("id % 7 = 0").select("id", (F.col("label") + 200).alias("label"), (F.col("id") + 100000).alias("seq")))
+
+
+@query("upsert_merge", f"with b as (select id, arg_max(label, seq) as label from ({_BATCH}) group by id) select vec_id as id, label from embeddings where vec_id not in (select id from b) union all select id, label from b")
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", "label")
+    return store.upsert(v, _batch(v))
+
+
+@query("upsert_last_wins", f"select id, arg_max(label, seq) as label from ({_BATCH}) group by id")
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", "label")
+    return store.upsert(v.limit(0), _batch(v))
+
+
+@query("fetch_ids", "select vec_id as id, label from embeddings where vec_id in (1, 5, 77, 99999999)")
+def _(spark, sf):
+    return store.fetch(vectors(spark, sf).select("id", "label"), [1, 5, 77, 99999999])
+
+
+@query("delete_ids", "select vec_id as id, label from embeddings where vec_id not in (select vec_id from embeddings where label = 3)")
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", "label")
+    return store.delete(v, v.filter("label = 3"))
+
+
+@query("delete_count", "select count(*) as deleted from embeddings where label = 3")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return store.count_present(v, v.filter("label = 3"))
+
+
+@query("namespace_stats", "select coalesce(label::varchar, 'all') as namespace, count(*) as vectors, max(len(embedding)) as dimension, sum(len(embedding) * 4)::bigint as raw_bytes from embeddings group by rollup(label)")
+def _(spark, sf):
+    named = vectors(spark, sf).withColumn("namespace", F.col("label").cast("string"))
+    return store.statistics(named).withColumn("namespace", F.coalesce("namespace", F.lit("all")))
+
+
+# ---- vector arithmetic and paths ------------------------------------------------------------------------------
+
+
+def _pairs(spark, sf) -> DataFrame:
+    v = vectors(spark, sf)
+    b = v.select((F.col("id") - 1).alias("id"), F.col("v").alias("b"))
+    return v.select("id", F.col("v").alias("a")).join(b, "id")
+
+
+_PAIRS = "from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"
+_LIST = "a.embedding::double[]", "b.embedding::double[]"
+
+
+def _zip_sql(body: str) -> str:
+    return f"[round({body.replace('X', 'a.embedding[i]::double').replace('Y', 'b.embedding[i]::double')}, 6) for i in range(1, len(a.embedding) + 1)]"
+
+
+@query("vec_add", f"select a.vec_id as id, {_zip_sql('X + Y')} as v {_PAIRS}")
+def _(spark, sf):
+    return _pairs(spark, sf).select("id", V.rounded(V.add(F.col("a"), F.col("b"))).alias("v"))
+
+
+@query("vec_sub", f"select a.vec_id as id, {_zip_sql('X - Y')} as v {_PAIRS}")
+def _(spark, sf):
+    return _pairs(spark, sf).select("id", V.rounded(V.subtract(F.col("a"), F.col("b"))).alias("v"))
+
+
+@query("vec_analogy", f"select a.vec_id as id, {_zip_sql('Y + (Y - X)')} as v {_PAIRS}")
+def _(spark, sf):
+    return _pairs(spark, sf).select("id", V.rounded(V.analogy(F.col("a"), F.col("b"), F.col("b"))).alias("v"))
+
+
+@query("vec_distance", f"select a.vec_id as id, round(list_distance({_LIST[0]}, {_LIST[1]}), 6) as d {_PAIRS}")
+def _(spark, sf):
+    return _pairs(spark, sf).select("id", F.round(V.distance(F.col("a"), F.col("b")), 6).alias("d"))
+
+
+_LONG = "(select vec_id, label, i as pos, embedding[i]::double as x from (select vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings))"
+
+
+def _long(spark, sf) -> DataFrame:
+    return vectors(spark, sf).select("id", "label", F.posexplode("v").alias("pos", "x")).withColumn("pos", F.col("pos") + 1)
+
+
+@query("centroid", f"select label, pos, round(avg(x), 6) as x from {_LONG} group by label, pos")
+def _(spark, sf):
+    return _long(spark, sf).groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("x"))
+
+
+@query("direction_vector", f"select pos, round(avg(x) filter (label = 1) - avg(x) filter (label = 0), 6) as x from {_LONG} group by pos")
+def _(spark, sf):
+    part = lambda n: F.avg(F.when(F.col("label") == n, F.col("x")))
+    return _long(spark, sf).groupBy("pos").agg(F.round(part(1) - part(0), 6).alias("x"))
+
+
+@query("centroid_distance", f"select round(sqrt(sum((a - b) ** 2)), 6) as d from (select pos, avg(x) filter (label = 1) as a, avg(x) filter (label = 0) as b from {_LONG} group by pos)")
+def _(spark, sf):
+    part = lambda n: F.avg(F.when(F.col("label") == n, F.col("x")))
+    sums = _long(spark, sf).groupBy("pos").agg((part(1) - part(0)).alias("x"))
+    return sums.agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("d"))
+
+
+_STEPS = "(select unnest(range(0, 5)) as step) s"
+
+
+@query("lerp_path", f"select a.vec_id as id, step, [round(a.embedding[i]::double * (1 - step / 4.0::double) + b.embedding[i]::double * (step / 4.0::double), 6) for i in range(1, len(a.embedding) + 1)] as p {_PAIRS}, {_STEPS} where a.vec_id % 100 = 0")
+def _(spark, sf):
+    return paths.path(_pairs(spark, sf).filter("id % 100 = 0"), 5).withColumn("p", V.rounded(F.col("p")))
+
+
+@query("slerp_path", f"""select id, step, [round(a[i] * (sin((1 - step / 4.0::double) * o) / sin(o)) + b[i] * (sin(step / 4.0::double * o) / sin(o)), 5) for i in range(1, len(a) + 1)] as p from (
+    select a.vec_id as id, step, {_LIST[0]} as a, {_LIST[1]} as b, acos(least(1, greatest(-1, list_cosine_similarity({_LIST[0]}, {_LIST[1]})))) as o {_PAIRS}, {_STEPS} where a.vec_id % 100 = 0)""")
+def _(spark, sf):
+    return paths.path(_pairs(spark, sf).filter("id % 100 = 0"), 5, "spherical").withColumn("p", V.rounded(F.col("p"), 5))
+
+
+@query("multi_point_path", f"""select seg as segment, step, [round(a.embedding[i]::double * (1 - step / 4.0::double) + b.embedding[i]::double * (step / 4.0::double), 6) for i in range(1, len(a.embedding) + 1)] as p
+    from (select vec_id, embedding, vec_id // 100 as seg from embeddings where vec_id % 100 = 0 and vec_id < 400) a join embeddings b on b.vec_id = a.vec_id + 100 and b.vec_id < 400, {_STEPS} where step < 4 or seg = 2""")
+def _(spark, sf):
+    points = vectors(spark, sf).filter("id % 100 = 0 and id < 400").select(F.lit(0).alias("g"), (F.col("id") / 100).cast("long").alias("ord"), "v")
+    return paths.multi_path(points, 5, ["g"]).select("segment", "step", V.rounded(F.col("p")).alias("p"))
+
+
+# ---- time series ----------------------------------------------------------------------------------------------
+
+_W = "over (partition by user_id order by ts, event_id)"
+_BY, _ORDER = ["user_id"], ["ts", "event_id"]
+
+
+def _events(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def _w_ev():
+    return series.ordered(_BY, _ORDER)
+
+
+@query("union_symbols", " union all ".join(f"select '{s}' as symbol, count(*) as n, round(sum(value), 4) as total from events where event_type = '{s}'" for s in ("click", "view")))
+def _(spark, sf):
+    parts = [_events(spark, sf).filter(F.col("event_type") == s).withColumn("symbol", F.lit(s)) for s in ("click", "view")]
+    return parts[0].unionByName(parts[1]).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def _windows_sql(size: int, stride: int) -> str:
+    return f"""select user_id, i // {stride} as win_id, round(list_sum(values), 4) as total, round(values[1], 6) as first from (
+      select user_id, row_number() {_W} - 1 as i, list(value) over (partition by user_id order by ts, event_id rows between current row and {size - 1} following) as values from events)
+      where i % {stride} = 0 and len(values) = {size}"""
+
+
+def _windows(spark, sf, size: int, stride: int) -> DataFrame:
+    return series.sliding_windows(_events(spark, sf), _BY, _ORDER, "value", size, stride)
+
+
+for _name, _size, _stride in (("sliding_windows", 16, 4), ("nonoverlap_windows", 8, 8)):
+
+    @query(_name, _windows_sql(_size, _stride))
+    def _(spark, sf, size=_size, stride=_stride):
+        w = _windows(spark, sf, size, stride)
+        return w.select("user_id", "win_id", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.round(F.col("values")[0], 6).alias("first"))
+
+
+_RET = f"case when lag(value) {_W} is null then 0.0 else least(10.0, greatest(-10.0, ln(value / (lag(value) {_W} + 1e-10) + 1e-10))) end"
+
+
+@query("log_returns", f"select event_id, round({_RET}, 6) as r from events")
+def _(spark, sf):
+    return _events(spark, sf).select("event_id", F.round(series.log_returns(F.col("value"), _w_ev()), 6).alias("r"))
+
+
+_ROLL = "avg(value) over (partition by user_id order by ts, event_id rows between 19 preceding and current row)"
+
+
+@query("rolling_mean20", f"select event_id, round({_ROLL}, 6) as m from events")
+def _(spark, sf):
+    return _events(spark, sf).select("event_id", F.round(series.rolling_mean(F.col("value"), _w_ev()), 6).alias("m"))
+
+
+@query("volume_robust", f"""with x as (select event_id, user_id, ln(value / ({_ROLL} + 1e-10) + 1e-10) as r from events),
+    q as (select user_id, quantile_cont(r, 0.25) as q1, quantile_cont(r, 0.5) as q2, quantile_cont(r, 0.75) as q3 from x group by user_id)
+    select event_id, round(least(5.0, greatest(-5.0, (r - q2) / (q3 - q1 + 2e-10))), 6) as robust from x join q using (user_id)""")
+def _(spark, sf):
+    return series.robust_volume(_events(spark, sf), _BY, _ORDER, "value").select("event_id", r6("robust"))
+
+
+@query("inverse_returns", f"""with x as (select event_id, user_id, ts, {_RET} as r, first_value(value) {_W} as f from events)
+    select event_id, round(f * exp(sum(r) over (partition by user_id order by ts, event_id rows unbounded preceding)), 4) as back from x""")
+def _(spark, sf):
+    e = _events(spark, sf).withColumns({"r": series.log_returns(F.col("value"), _w_ev()), "f": F.first("value").over(_w_ev())})
+    return e.select("event_id", F.round(series.inverse_returns(F.col("f"), F.col("r"), _w_ev()), 4).alias("back"))
+
+
+@query("window_normalise", "select event_id, round(least(10.0, greatest(-10.0, (value - avg(value) over w) / (stddev_pop(value) over w + 1e-8))), 6) as z from events window w as (partition by user_id)")
+def _(spark, sf):
+    return _events(spark, sf).select("event_id", F.round(series.normalise(F.col("value"), Window.partitionBy("user_id"), 10.0), 6).alias("z"))
+
+
+@query("window_denormalise", "select event_id, round(value, 4) as back from events")
+def _(spark, sf):
+    w = Window.partitionBy("user_id")
+    z = _events(spark, sf).withColumns({"z": series.normalise(F.col("value"), w), "m": F.avg("value").over(w), "s": F.stddev_pop("value").over(w) + 1e-8})
+    return z.select("event_id", F.round(F.col("z") * F.col("s") + F.col("m"), 4).alias("back"))
+
+
+def _fitted(spark, sf) -> DataFrame:
+    e = _events(spark, sf)
+    return e.join(F.broadcast(series.fit(e, "value")))  # one row
+
+
+@query("zscore_clip", "select event_id, round(least(5.0, greatest(-5.0, (value - m) / greatest(s, 1e-8))), 6) as z from events, (select avg(value) as m, stddev_pop(value) as s from events)")
+def _(spark, sf):
+    return _fitted(spark, sf).select("event_id", F.round(series.zscore(F.col("value"), F.col("mean"), F.col("std")), 6).alias("z"))
+
+
+@query("minmax", "select event_id, round((value - lo) / greatest(hi - lo, 1e-8), 6) as x from events, (select min(value) as lo, max(value) as hi from events)")
+def _(spark, sf):
+    return _fitted(spark, sf).select("event_id", F.round(series.minmax(F.col("value"), F.col("lo"), F.col("hi")), 6).alias("x"))
+
+
+@query("series_fit", "select event_type, round(min(value), 6) as lo, round(max(value), 6) as hi, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from events group by event_type")
+def _(spark, sf):
+    return series.fit(_events(spark, sf), "value", ["event_type"]).select("event_type", *map(r6, ("lo", "hi", "mean", "std")))
+
+
+@query("revin_stats", "select user_id, round(avg(value), 6) as mean, round(sqrt(var_pop(value) + 1e-5), 6) as scale from events group by user_id")
+def _(spark, sf):
+    return _events(spark, sf).groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.sqrt(F.var_pop("value") + 1e-5), 6).alias("scale"))
+
+
+_FEAT = f"""(select user_id, win_id, avg(x) as m, stddev_pop(x) as s, min(x) as lo, max(x) as hi from (
+    select user_id, win_id, unnest([(v - values[1]) / (case when abs(values[1]) < 1e-10 then 1 else abs(values[1]) end) for v in values]) as x from (
+      select user_id, i // 4 as win_id, values from (select user_id, row_number() {_W} - 1 as i, list(value) over (partition by user_id order by ts, event_id rows between current row and 15 following) as values from events)
+      where i % 4 = 0 and len(values) = 16)) group by user_id, win_id)"""
+
+
+def _features(spark, sf) -> DataFrame:
+    first = F.col("values")[0]
+    base = F.when(F.abs(first) < 1e-10, 1.0).otherwise(F.abs(first))
+    x = _windows(spark, sf, 16, 4).select("user_id", "win_id", F.explode(F.transform("values", lambda v: (v - first) / base)).alias("x"))
+    return x.groupBy("user_id", "win_id").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+
+
+@query("window_features", f"select user_id, win_id, round(m, 5) as m, round(s, 5) as s, round(lo, 5) as lo, round(hi, 5) as hi from {_FEAT}")
+def _(spark, sf):
+    return _features(spark, sf).select("user_id", "win_id", *(F.round(c, 5).alias(c) for c in ("m", "s", "lo", "hi")))
+
+
+@query("window_features_search", f"""with f as (select user_id * 1000 + win_id as id, [m, s, lo, hi] as v from {_FEAT}) select qid, id, rnk, round(score, 4) as score from (
+    select q.id as qid, b.id as id, list_distance(q.v, b.v) ** 2 as score, row_number() over (partition by q.id order by list_distance(q.v, b.v) ** 2, b.id) as rnk from f q, f b where q.id % 1000 = 0 and q.id % 10000 = 0) where rnk <= 5""")
+def _(spark, sf):
+    f = _features(spark, sf).select((F.col("user_id") * 1000 + F.col("win_id")).alias("id"), F.array("m", "s", "lo", "hi").alias("v"))
+    q = f.filter("id % 10000 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return similarity.knn(f, q, 5, "euclidean").select("qid", "id", "rnk", F.round("score", 4).alias("score"))
+
+
+@query("split_chrono", f"""select event_id, case when i < floor(n * 0.7) then 'train' when i < floor(n * 0.7) + floor(n * 0.15) then 'valid' else 'test' end as part
+    from (select event_id, row_number() {_W} - 1 as i, count(*) over (partition by user_id)::double as n from events)""")
+def _(spark, sf):
+    return series.split(_events(spark, sf), _BY, _ORDER).select("event_id", "part")
+
+
+@query("regimes", f"""with a as (select user_id, event_type as label, row_number() {_W} - 1 as i, lag(event_type) {_W} as p from events),
+    b as (select *, sum(case when p = label then 0 else 1 end) over (partition by user_id order by i) as run from a)
+    select user_id, label, min(i) as start, max(i) + 1 as "end", count(*) as size from b group by user_id, run, label having count(*) >= 2""")
+def _(spark, sf):
+    return series.regimes(_events(spark, sf), _BY, _ORDER, "event_type", 2)
+
+
+@query("elbow_k", "with t as (select * from (values (1, 100.0), (2, 60.0), (3, 25.0), (4, 20.0), (5, 17.0)) as t(k, inertia)), b as (select k, lag(inertia) over (order by k) - 2 * inertia + lead(inertia) over (order by k) as bend from t) select arg_max(k, bend) as k from b where bend is not null")
+def _(spark, sf):
+    return series.elbow(spark.createDataFrame([(1, 100.0), (2, 60.0), (3, 25.0), (4, 20.0), (5, 17.0)], "k int, inertia double"))
+
+
+@query("chunks_batch", f"select user_id, i // 8 as chunk, count(*) as n from (select user_id, row_number() {_W} - 1 as i from events) group by user_id, i // 8")
+def _(spark, sf):
+    return series.chunks(_events(spark, sf), _BY, _ORDER, 8)
+
+
+@query("running_extremes", f"select event_id, round(max(value) {_W}, 6) as hi, round(min(value) {_W}, 6) as lo from events")
+def _(spark, sf):
+    w = _w_ev().rowsBetween(Window.unboundedPreceding, 0)
+    return _events(spark, sf).select("event_id", F.round(F.max("value").over(w), 6).alias("hi"), F.round(F.min("value").over(w), 6).alias("lo"))
+
+
+@query("latency_percentiles", "select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by event_type")
+def _(spark, sf):
+    return _events(spark, sf).groupBy("event_type").agg(*(F.round(F.percentile("value", F.lit(p / 100)), 6).alias(f"p{p}") for p in (50, 95, 99)))
+
+
+# ---- integer transforms ---------------------------------------------------------------------------------------
+
+_C = "(select o_orderkey as k, o_custkey as c, cast(round(o_totalprice * 100) as bigint) as x from orders)"
+_OW = "over (partition by c order by k)"
+
+
+def _cents(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.round(F.col("o_totalprice") * 100).cast("long").alias("x"))
+
+
+def _w_or():
+    return Window.partitionBy("c").orderBy("k")
+
+
+@query("zigzag", f"select k, case when x >= 0 then 2 * x else -2 * x - 1 end as u from (select k, x - 15000000 as x from {_C})")
+def _(spark, sf):
+    return _cents(spark, sf).select("k", B.zigzag(F.col("x") - 15000000).alias("u"))
+
+
+@query("unzigzag", f"select k, x - 15000000 as x from {_C}")
+def _(spark, sf):
+    return _cents(spark, sf).select("k", B.unzigzag(B.zigzag(F.col("x") - 15000000)).alias("x"))
+
+
+@query("split_expmant_int", f"select k, x >> 23 as e, x & 8388607 as m from {_C}")
+def _(spark, sf):
+    return _cents(spark, sf).select("k", B.sign_exponent(F.col("x")).alias("e"), B.mantissa(F.col("x")).alias("m"))
+
+
+@query("zeros", f"select k, case when x = 0 then 32 else 32 - length(bin(x)) end as lead, case when x = 0 then 32 else bit_count(xor(x, x - 1)) - 1 end as trail from {_C}")
+def _(spark, sf):
+    return _cents(spark, sf).select("k", B.leading_zeros(F.col("x")).alias("lead"), B.trailing_zeros(F.col("x")).alias("trail"))
+
+
+def _delta_sql(order: int) -> str:
+    from math import comb
+
+    terms = lambda o: "x" + "".join(f" {'-' if j % 2 else '+'} {comb(o, j)} * lag(x, {j}) {_OW}" for j in range(1, o + 1))
+    cases = " ".join(f"when t = {o} then {terms(o)}" for o in range(order))
+    return f"select k, (d + 2147483648) & 4294967295 - 0 as u, ((d + 2147483648) & 4294967295) - 2147483648 as d from (select k, case {cases} else {terms(order)} end as d from (select *, row_number() {_OW} - 1 as t from {_C}))"
+
+
+for _k in range(1, 5):
+
+    @query(f"delta_order{_k}", f"select k, d from ({_delta_sql(_k)})")
+    def _(spark, sf, k=_k):
+        return T.with_delta(_cents(spark, sf), ["c"], ["k"], "x", k).select("k", "d")
+
+    @query(f"undelta_order{_k}", f"select k, x from {_C}")
+    def _(spark, sf, k=_k):
+        d = T.with_delta(_cents(spark, sf), ["c"], ["k"], "x", k).select("c", "k", "d")
+        return T.undelta(d, ["c"], ["k"], "d", k).select("k", "x")
+
+
+@query("delta_zigzag", f"select k, case when d >= 0 then 2 * d else -2 * d - 1 end as d from (select k, d from ({_delta_sql(1)}))")
+def _(spark, sf):
+    return T.zigzag_delta(_cents(spark, sf), ["c"], ["k"], "x").select("k", "d")
+
+
+@query("xor_delta", f"select k, xor(x, coalesce(lag(x) {_OW}, 0)) as d from {_C}")
+def _(spark, sf):
+    return _cents(spark, sf).select("k", T.xor_delta(F.col("x"), _w_or()).alias("d"))
+
+
+@query("unxor_delta", f"select k, x from {_C}")
+def _(spark, sf):
+    d = _cents(spark, sf).withColumn("d", T.xor_delta(F.col("x"), _w_or()))
+    return d.select("k", T.unxor(F.col("d"), _w_or()).alias("x"))
+
+
+_LI = "(select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) as _, l_orderkey as o, l_linenumber as n, l_partkey as p, l_suppkey as s, l_shipdate as t, cast(round(l_quantity * 100) as bigint) as f0, cast(round(l_extendedprice * 100) as bigint) as f1, cast(round(l_discount * 100) as bigint) as f2 from lineitem)"
+
+
+@query("cross_feature_delta", f"select o, sum(f0 - b) as d0, sum(f1 - f0) as d1, sum(f2 - f1) as d2, count(*) as n from (select *, coalesce(lag(f0) over (partition by o order by n, p, s, t), 0) as b from {_LI}) group by o")
+def _(spark, sf):
+    cents = [F.round(F.col(c) * 100).cast("long").alias(f"f{i}") for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount"))]
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", *cents)
+    w = Window.partitionBy("o").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    d = li.select("o", (F.col("f0") - F.coalesce(F.lag("f0").over(w), F.lit(0))).alias("d0"), (F.col("f1") - F.col("f0")).alias("d1"), (F.col("f2") - F.col("f1")).alias("d2"))
+    return d.groupBy("o").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "d2")), F.count("*").alias("n"))
+
+
+@query("flatten_delta", f"select k, x - coalesce(lag(x) over (partition by b order by c, k), 0) as d from (select *, c % 8 as b from {_C})")
+def _(spark, sf):
+    w = Window.partitionBy(F.col("c") % 8).orderBy("c", "k")
+    return _cents(spark, sf).select("k", (F.col("x") - F.coalesce(F.lag("x").over(w), F.lit(0))).alias("d"))
+
+
+@query("window_time_delta", f"""with a as (select k, c, x, row_number() {_OW} - 1 as t, c // 10 as g from {_C}), b as (select *, x - coalesce(lag(x) over (partition by g, t order by c), 0) as e from a)
+    select k, e - coalesce(lag(e) over (partition by c order by t), 0) as d from b""")
+def _(spark, sf):
+    a = _cents(spark, sf).withColumns({"t": F.row_number().over(_w_or()) - 1, "g": F.floor(F.col("c") / 10)})
+    across = Window.partitionBy("g", "t").orderBy("c")
+    b = a.withColumn("e", F.col("x") - F.coalesce(F.lag("x").over(across), F.lit(0)))
+    return b.select("k", (F.col("e") - F.coalesce(F.lag("e").over(Window.partitionBy("c").orderBy("t")), F.lit(0))).alias("d"))
+
+
+@query("adaptive_order", "with d as (" + " union all ".join(f"select c, {k} as o, sum(abs(d)) as s from (select k, c, d from ({_delta_sql(k) if k else f'select k, x as d from {_C}'}) join (select k as kk, c from {_C}) on k = kk) group by c" for k in range(5)) + ") select c, best_order from (select c, o as best_order, row_number() over (partition by c order by s, o) as rn from d) where rn = 1")
+def _(spark, sf):
+    return T.adaptive_order(_cents(spark, sf), ["c"], ["k"], "x")
+
+
+_Q8 = "(select o_orderkey as k, o_custkey as c, cast(floor((o_totalprice - lo) / greatest(hi - lo, 1e-10) * 255) as int) as q, o_totalprice as x, lo, greatest(hi - lo, 1e-10) as span from orders, (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders))"
+
+
+def _quant8(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("x"))
+    f = o.agg(F.min("x").alias("lo"), F.greatest(F.max("x") - F.min("x"), F.lit(1e-10)).alias("span"))
+    return o.join(F.broadcast(f)).withColumn("q", F.floor((F.col("x") - F.col("lo")) / F.col("span") * 255).cast("int"))
+
+
+@query("quant8", f"select k, q from {_Q8}")
+def _(spark, sf):
+    return _quant8(spark, sf).select("k", "q")
+
+
+@query("quant8_delta", f"select k, (q - coalesce(lag(q) over (partition by c order by k), 0) + 256) % 256 as d from {_Q8}")
+def _(spark, sf):
+    return _quant8(spark, sf).select("k", F.pmod(F.col("q") - F.coalesce(F.lag("q").over(_w_or()), F.lit(0)), F.lit(256)).alias("d"))
+
+
+@query("dequant_error", f"select round(sqrt(avg((x - (q / 255.0::double * span + lo)) ** 2)), 4) as rmse from {_Q8}")
+def _(spark, sf):
+    e = F.col("x") - (F.col("q") / 255.0 * F.col("span") + F.col("lo"))
+    return _quant8(spark, sf).agg(F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"))
+
+
+# ---- entropy --------------------------------------------------------------------------------------------------
+
+_SYM = "(select doc_id as g, i, ord(text[i]) % 256 as s from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from documents))"
+
+
+def _symbols(spark, sf) -> DataFrame:
+    chars = F.posexplode(F.split("text", "")).alias("i", "ch")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("g"), chars).filter("ch <> ''")
+    return d.select("g", (F.col("i") + 1).alias("i"), (F.ascii("ch") % 256).alias("s"))
+
+
+_PROB = "c / sum(c) over (partition by g)::double"
+
+
+@query("byte_entropy", f"select g, round(-sum(p * log2(p)), 6) as h0 from (select g, {_PROB} as p from (select g, s, count(*) as c from {_SYM} group by g, s)) group by g")
+def _(spark, sf):
+    return H.entropy(_symbols(spark, sf), ["g"]).select("g", r6("h0"))
+
+
+@query("bigram_entropy", f"""select g, round(-sum(c / n * log2(c / ctx)), 6) as h1 from (select *, sum(c) over (partition by g, b)::double as ctx, sum(c) over (partition by g)::double as n from (
+    select g, b, s, count(*) as c from (select g, s, lag(s) over (partition by g order by i) as b from {_SYM}) where b is not null group by g, b, s)) group by g""")
+def _(spark, sf):
+    return H.conditional_entropy(_symbols(spark, sf), ["g"], "i").select("g", r6("h1"))
+
+
+@query("trigram_block_entropy", f"select g, round(-sum(p * log2(p)), 6) as h from (select g, {_PROB} as p from (select g, s, b, a, count(*) as c from (select g, s, lag(s) over w as b, lag(s, 2) over w as a from {_SYM} window w as (partition by g order by i)) where a is not null group by g, s, b, a)) group by g")
+def _(spark, sf):
+    return H.block_entropy(_symbols(spark, sf), ["g"], "i", 3).select("g", r6("h"))
+
+
+@query("chi2_uniform", f"select round(sum(c * c) * 256 / sum(c)::double - sum(c), 3) as chi2, sum(c)::bigint as n from (select s, count(*) as c from {_SYM} group by s)")
+def _(spark, sf):
+    return H.uniformity(_symbols(spark, sf)).select(F.round("chi2", 3).alias("chi2"), "n")
+
+
+@query("certificate", f"""with h as (select -sum(p * log2(p)) as h0, sum(c) as n from (select c, c / sum(c) over ()::double as p from (select s, count(*) as c from {_SYM} group by s)))
+    select round(h0, 6) as entropy, n::bigint as original_size, round(8 - h0, 6) as gap_bpb from h""")
+def _(spark, sf):
+    one = _symbols(spark, sf).withColumn("all", F.lit(0))
+    h = H.entropy(one, ["all"]).join(one.groupBy("all").agg(F.count("*").alias("original_size")), "all")
+    return h.select(F.round("h0", 6).alias("entropy"), "original_size", F.round(8 - F.col("h0"), 6).alias("gap_bpb"))
+
+
+@query("adaptive_code_length", f"select g, round(-sum(log2((1 + b) / (256 + t)::double)), 4) as bits from (select g, row_number() over (partition by g, s order by i) - 1 as b, row_number() over (partition by g order by i) - 1 as t from {_SYM}) group by g")
+def _(spark, sf):
+    return H.adaptive_bits(_symbols(spark, sf), ["g"], "i").select("g", F.round("bits", 4).alias("bits"))
+
+
+@query("code_entropy", f"select g, round(-sum(p * log2(p)), 6) as h0 from (select g, {_PROB} as p from (select label % 2 as g, vec_id % 10 as s, count(*) as c from embeddings group by 1, 2)) group by g")
+def _(spark, sf):
+    v = vectors(spark, sf).select((F.col("label") % 2).alias("g"), (F.col("id") % 10).alias("s"))
+    return H.entropy(v, ["g"]).select("g", r6("h0"))
+
+
+@query("perplexity", f"select g, round(exp(-sum(p * ln(p + 1e-10))), 6) as perplexity from (select g, {_PROB} as p from (select label % 2 as g, vec_id % 10 as s, count(*) as c from embeddings group by 1, 2)) group by g")
+def _(spark, sf):
+    v = vectors(spark, sf).select((F.col("label") % 2).alias("g"), (F.col("id") % 10).alias("s"))
+    return H.perplexity(v, ["g"]).select("g", r6("perplexity"))
+
+
+@query("value_entropy", f"select g, round(-sum(p * log2(p)), 6) as h0 from (select g, {_PROB} as p from (select l_returnflag as g, round_even(l_discount, 2) as s, count(*) as c from lineitem group by 1, 2)) group by g")
+def _(spark, sf):
+    return H.entropy(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), F.bround("l_discount", 2).alias("s")), ["g"]).select("g", r6("h0"))
+
+
+@query("delta_entropy", f"select g, round(-sum(p * log2(p)), 6) as h0 from (select g, {_PROB} as p from (select c % 10 as g, floor(d / 100000.0::double)::bigint as s, count(*) as c from (select c, x - lag(x) {_OW} as d from {_C}) where d is not null group by 1, 2)) group by g")
+def _(spark, sf):
+    d = _cents(spark, sf).select("c", (F.col("x") - F.lag("x").over(_w_or())).alias("d")).dropna()
+    return H.entropy(d.select((F.col("c") % 10).alias("g"), F.floor(F.col("d") / 100000).alias("s")), ["g"]).select("g", r6("h0"))
+
+
+@query("cross_feature_entropy", "select round(-sum(c / n * log2(c / ctx)), 6) as h from (select c, sum(c) over (partition by q)::double as ctx, sum(c) over ()::double as n from (select l_quantity as q, l_discount as d, count(*) as c from lineitem group by 1, 2))")
+def _(spark, sf):
+    c = table(spark, sf, "lineitem").groupBy("l_quantity", "l_discount").agg(F.count("*").alias("c"))
+    ctx = c.groupBy("l_quantity").agg(F.sum("c").alias("ctx"))
+    n = c.agg(F.sum("c").alias("n"))
+    rows = c.join(ctx, "l_quantity").join(F.broadcast(n))
+    return rows.agg(F.round(-F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("ctx"))), 6).alias("h"))
+
+
+# ---- quantisation ---------------------------------------------------------------------------------------------
+
+_NEAR = "(select v.vec_id as id, b.vec_id as code, list_distance(v.embedding::double[], b.embedding::double[]) ** 2 as d2, row_number() over (partition by v.vec_id order by list_distance(v.embedding::double[], b.embedding::double[]) ** 2, b.vec_id) as rn from embeddings v, embeddings b where b.vec_id < 16)"
+
+
+def _book(v: DataFrame, a: int = 0, b: int = 16) -> DataFrame:
+    return v.filter(f"id >= {a} and id < {b}").select(F.col("id").alias("code"), F.col("v").alias("cv"))
+
+
+@query("vq_assign", f"select id, code, round(d2, 6) as d2 from {_NEAR} where rn = 1")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return quantise.assign(v, _book(v)).select("id", "code", r6("d2"))
+
+
+@query("vq_lookup", f"select id, code, [round(x::double, 6) for x in e.embedding] as cv from {_NEAR} n join embeddings e on e.vec_id = n.code where rn = 1")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return quantise.assign(v, _book(v)).select("id", "code", V.rounded(F.col("cv")).alias("cv"))
+
+
+@query("rvq_two_level")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return quantise.residual(v, [_book(v), _book(v, 16, 32)]).select("id", "code_0", "code_1", V.rounded(F.col("approx")).alias("approx"))
+
+
+@query("fsq_codes", "select vec_id as id, (round(tanh(embedding[1]::double * 8) * 3.5 + 3.5) + 8 * round(tanh(embedding[2]::double * 8) * 2 + 2) + 40 * round(tanh(embedding[3]::double * 8) * 2 + 2))::int as code from embeddings")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return v.select("id", quantise.finite_scalar(F.transform("v", lambda x: x * 8), [8, 5, 5]).alias("code"))
+
+
+@query("codebook_ema", f"with a as (select n.code, i as pos, avg(e.embedding[i]::double) as m from {_NEAR} n join embeddings e on e.vec_id = n.id, (select unnest(range(1, 65)) as i) where rn = 1 group by 1, 2) select code, pos - 1 as pos, round(0.99 * b.embedding[pos]::double + 0.01 * m, 6) as value from a join embeddings b on b.vec_id = code")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return quantise.ema_step(quantise.assign(v, _book(v)), _book(v)).select("code", "pos", r6("value"))
+
+
+@query("code_delta", f"select id, (code - coalesce(lag(code) over (partition by id // 50 order by id), 0) + 256) % 256 as d from {_NEAR} where rn = 1")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    w = Window.partitionBy(F.floor(F.col("id") / 50)).orderBy("id")
+    return quantise.assign(v, _book(v)).select("id", F.pmod(F.col("code") - F.coalesce(F.lag("code").over(w), F.lit(0)), F.lit(256)).alias("d"))
+
+
+# ---- metrics --------------------------------------------------------------------------------------------------
+
+
+def _recon(spark, sf) -> DataFrame:
+    e = _events(spark, sf)
+    return e.withColumn("y", series.rolling_mean(F.col("value"), _w_ev())).withColumn("d2", F.pow(F.col("value") - F.col("y"), 2))
+
+
+_RECON = f"(select *, (value - y) ** 2 as d2 from (select *, {_ROLL} as y from events))"
+
+
+@query("rmse", f"select round(sqrt(avg(d2)), 6) as rmse from {_RECON}")
+def _(spark, sf):
+    return _recon(spark, sf).agg(F.round(F.sqrt(F.avg("d2")), 6).alias("rmse"))
+
+
+@query("rmse_per_feature", f"select event_type, round(sqrt(avg(d2)), 6) as rmse from {_RECON} group by event_type")
+def _(spark, sf):
+    return _recon(spark, sf).groupBy("event_type").agg(F.round(F.sqrt(F.avg("d2")), 6).alias("rmse"))
+
+
+@query("weighted_mse", f"select round(sum(w * d2) / sum(w), 6) as mse from (select *, case when event_type = 'click' then 2.0 else 1.0 end as w from {_RECON})")
+def _(spark, sf):
+    w = F.when(F.col("event_type") == "click", 2.0).otherwise(1.0)
+    return _recon(spark, sf).agg(F.round(F.sum(w * F.col("d2")) / F.sum(w), 6).alias("mse"))
+
+
+@query("effective_dim", f"with v as (select pos, var_pop(x) as v from {_LONG} group by pos) select count(*) filter (v > 0.01) as active_dims, round(case when sum(v) = 0 then 0 else sum(v) ** 2 / sum(v * v) end, 6) as participation from v")
+def _(spark, sf):
+    v = _long(spark, sf).groupBy("pos").agg(F.var_pop("x").alias("v"))
+    return v.agg(F.count_if(F.col("v") > 0.01).alias("active_dims"), F.round(F.when(F.sum("v") == 0, 0.0).otherwise(F.pow(F.sum("v"), 2) / F.sum(F.col("v") * F.col("v"))), 6).alias("participation"))
+
+
+@query("kl", f"select round(avg(kl), 6) as kl from (select vec_id, -0.5 * sum(1 + ln(0.5) - x * x - 0.5) as kl from {_LONG} group by vec_id)")
+def _(spark, sf):
+    k = _long(spark, sf).groupBy("id").agg((-0.5 * F.sum(1 + F.ln(F.lit(0.5)) - F.col("x") * F.col("x") - 0.5)).alias("kl"))
+    return k.agg(F.round(F.avg("kl"), 6).alias("kl"))
+
+
+@query("smoothness", f"select round(avg(d * d), 6) as smoothness from (select value - lag(value) {_W} as d from events)")
+def _(spark, sf):
+    d = _events(spark, sf).select((F.col("value") - F.lag("value").over(_w_ev())).alias("d"))
+    return d.agg(F.round(F.avg(F.col("d") * F.col("d")), 6).alias("smoothness"))
+
+
+@query("mse_multiscale", " union all ".join(f"select {s} as scale, round(avg(d * d), 6) as mse from (select avg(value - y) as d from (select *, row_number() {_W} - 1 as i from {_RECON}) group by user_id, i // {s})" for s in (1, 4, 16)))
+def _(spark, sf):
+    rows = _recon(spark, sf).withColumn("i", F.row_number().over(_w_ev()) - 1).withColumn("scale", F.explode(F.array(F.lit(1), F.lit(4), F.lit(16))))
+    d = rows.groupBy("scale", "user_id", F.floor(F.col("i") / F.col("scale")).alias("b")).agg(F.avg(F.col("value") - F.col("y")).alias("d"))
+    return d.groupBy("scale").agg(F.round(F.avg(F.col("d") * F.col("d")), 6).alias("mse"))
+
+
+@query("cost_model", "select event_type, round(gb * 0.023 + gb * 4 * 0.09, 9) as monthly, round(12 * (gb * 0.023 + gb * 4 * 0.09) * (1 - 1 / 3.07), 9) as yearly_savings from (select event_type, count(*) * 8 / 1e9 as gb from events group by event_type)")
+def _(spark, sf):
+    gb = _events(spark, sf).groupBy("event_type").agg((F.count("*") * 8 / 1e9).alias("gb"))
+    month = F.col("gb") * 0.023 + F.col("gb") * 4 * 0.09
+    return gb.select("event_type", F.round(month, 9).alias("monthly"), F.round(12 * month * (1 - 1 / 3.07), 9).alias("yearly_savings"))
+
+
+# ---- anomalies ------------------------------------------------------------------------------------------------
+
+
+def _flagged(rows: DataFrame, score: str, contamination: float = 0.05) -> DataFrame:
+    cut = rows.agg(F.percentile(score, F.lit(1 - contamination)).alias("cut"))
+    return rows.join(F.broadcast(cut)).withColumn("flag", (F.col(score) > F.col("cut")).cast("int"))
+
+
+@query("anomaly_recon", f"with s as (select user_id, sqrt(avg(d2)) as rmse from {_RECON} group by user_id) select user_id, round(least(1.0, greatest(0.0, rmse / (2 * cut))), 6) as score, (rmse > cut)::int as flag from s, (select quantile_cont(rmse, 0.95) as cut from s)")
+def _(spark, sf):
+    s = _recon(spark, sf).groupBy("user_id").agg(F.sqrt(F.avg("d2")).alias("rmse"))
+    return _flagged(s, "rmse").select("user_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rmse") / (2 * F.col("cut")))), 6).alias("score"), "flag")
+
+
+@query("anomaly_knn", """with k as (select id, avg(d) as m from (select q.vec_id as id, list_distance(q.embedding::double[], b.embedding::double[]) as d, row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], b.embedding::double[]), b.vec_id) as rn
+    from embeddings q, embeddings b) where rn <= 5 group by id) select id, round(least(1.0, m / (2 * cut)), 6) as score, (m > cut)::int as flag from k, (select quantile_cont(m, 0.95) as cut from k)""")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    near = similarity.knn(v, v.select(F.col("id").alias("qid"), F.col("v").alias("q")), 5, "euclidean")
+    m = near.groupBy(F.col("qid").alias("id")).agg(F.avg(F.sqrt("score")).alias("m"))
+    return _flagged(m, "m").select("id", F.round(F.least(F.lit(1.0), F.col("m") / (2 * F.col("cut"))), 6).alias("score"), "flag")
