@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 
 from loomspan.llm.common import fold, materialize, slices, stream
 
-ORDER, MOST_ENTRIES = 5, 3_000_000
+ORDER, MOST_ENTRIES = 5, 2_000_000
 #: Bytes that UTF-8 never uses: before a text, and after it.
 BEFORE, END = 0xFE, 0xFF
 #: Most frequent words looked up in tasks, and bytes of the longest of them.
