@@ -29,7 +29,7 @@ from loomspan.llm.common import slices, stream
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids one worker keeps at a time.
-CACHE = 400_000
+CACHE = 200_000
 #: Words up to this many bytes advance together.
 BATCHED = 64
 NO_PAIR = np.iinfo(np.int64).max

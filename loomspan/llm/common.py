@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Rows of a batch that are Python objects at one time.
+PART_ROWS = 2048
 _LIVE: list[tuple[SparkSession, str]] = []
 
 
@@ -63,13 +66,29 @@ def _clean() -> None:
             pass
 
 
+def give_back() -> None:
+    """Return memory that the worker has freed to the system; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def stream(df: DataFrame, schema: StructType | str, rows: Callable[[Iterator[dict]], Iterable[pa.RecordBatch | dict]]) -> DataFrame:
     """``mapInArrow`` in which ``rows`` gets batches as dicts of Python lists and yields dicts of columns."""
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, PART_ROWS):
+                b = batch.slice(i, PART_ROWS)
+                yield {n: b.column(j).to_pylist() for j, n in enumerate(b.schema.names)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fed = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches if b.num_rows)
-        for out in rows(fed):
+        for out in rows(parts(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in arrow], names=[n for n, _ in arrow])
+            del out
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -78,7 +97,7 @@ def stream(df: DataFrame, schema: StructType | str, rows: Callable[[Iterator[dic
     return df.mapInArrow(run, kind)
 
 
-def slices(batch: dict, weight: str, most: int = 4 << 20) -> Iterator[dict]:
+def slices(batch: dict, weight: str, most: int = 2 << 20) -> Iterator[dict]:
     """Parts of a batch whose ``weight`` column holds about ``most`` characters, one row at least."""
     n, begin, held = len(batch[weight]), 0, 0
     for i, value in enumerate(batch[weight]):
