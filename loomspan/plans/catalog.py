@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import bits as B
 from loomspan.functions import vectors as V
 from loomspan.operators import entropy as H
-from loomspan.operators import paths, quantise, series, similarity, store
+from loomspan.operators import codec, mining, paths, quantise, series, similarity, store
 from loomspan.operators import transforms as T
 from loomspan.operators.filters import compile_filter
 
@@ -759,3 +759,48 @@ def _(spark, sf):
     near = similarity.knn(v, v.select(F.col("id").alias("qid"), F.col("v").alias("q")), 5, "euclidean")
     m = near.groupBy(F.col("qid").alias("id")).agg(F.avg(F.sqrt("score")).alias("m"))
     return _flagged(m, "m").select("id", F.round(F.least(F.lit(1.0), F.col("m") / (2 * F.col("cut"))), 6).alias("score"), "flag")
+
+
+# ---- codec, mining --------------------------------------------------------------------------------------------
+
+_BLOCKS = f"select user_id, win_id, len(v) * 4 as raw_bytes from (select user_id, i // 16 as win_id, list(value) as v from (select user_id, value, row_number() {_W} - 1 as i from events) group by user_id, i // 16)"
+
+
+def _blocks(spark, sf) -> DataFrame:
+    i = F.row_number().over(_w_ev()) - 1
+    rows = _events(spark, sf).select("user_id", F.floor(i / 16).alias("win_id"), F.struct(i.alias("i"), F.col("value").cast("float").alias("x")).alias("r"))
+    return rows.groupBy("user_id", "win_id").agg(F.array_sort(F.collect_list("r"))["x"].alias("values"))
+
+
+for _mode in codec.MODES:
+
+    @query(f"codec_roundtrip_{_mode}", f"select user_id, win_id, raw_bytes::bigint as raw_bytes, true as ok from ({_BLOCKS})")
+    def _(spark, sf, mode=_mode):
+        b = _blocks(spark, sf)
+        back = codec.decompress(codec.compress(b.withColumn("was", F.col("values")), mode))
+        span = F.array_max("was") - F.array_min("was")
+        off = F.aggregate(F.zip_with("was", "values", lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda a, x: F.greatest(a, x))
+        allowed = 0.0 if mode in codec.EXACT else {"quantized_8": 1 / 250}.get(mode, 1e-3)
+        return back.select("user_id", "win_id", "raw_bytes", (off <= span * allowed + (0.0 if mode in codec.EXACT else 1e-4)).alias("ok"))
+
+
+@query("kmeans_labels")
+def _(spark, sf):
+    return mining.kmeans(vectors(spark, sf), 10)[0]
+
+
+@query("pca_explained")
+def _(spark, sf):
+    ratios = mining.pca(vectors(spark, sf), 8)[1]
+    return spark.createDataFrame([(i, x) for i, x in enumerate(ratios)], "component int, explained double")
+
+
+@query("dbscan")
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", F.slice("v", 1, 2).alias("v"))
+    return mining.dbscan(v, 0.05, 5)
+
+
+@query("anomaly_iforest")
+def _(spark, sf):
+    return mining.isolation(vectors(spark, sf))
