@@ -756,7 +756,7 @@ def _(spark, sf):
     from embeddings q, embeddings b) where rn <= 5 group by id) select id, round(least(1.0, m / (2 * cut)), 6) as score, (m > cut)::int as flag from k, (select quantile_cont(m, 0.95) as cut from k)""")
 def _(spark, sf):
     v = vectors(spark, sf)
-    near = similarity.knn(v, v.select(F.col("id").alias("qid"), F.col("v").alias("q")), 5, "euclidean")
+    near = similarity.knn_many(v, v.select(F.col("id").alias("qid"), F.col("v").alias("q")), 5)
     m = near.groupBy(F.col("qid").alias("id")).agg(F.avg(F.sqrt("score")).alias("m"))
     return _flagged(m, "m").select("id", F.round(F.least(F.lit(1.0), F.col("m") / (2 * F.col("cut"))), 6).alias("score"), "flag")
 
