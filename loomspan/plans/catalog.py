@@ -6,6 +6,8 @@ embeddings whose id is divisible by 100).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +19,7 @@ from loomspan.operators import entropy as H
 from loomspan.operators import codec, mining, paths, quantise, series, similarity, store
 from loomspan.operators import transforms as T
 from loomspan.operators.filters import compile_filter
+from loomspan.streaming.chunks import chunked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -804,3 +807,19 @@ def _(spark, sf):
 @query("anomaly_iforest")
 def _(spark, sf):
     return mining.isolation(vectors(spark, sf))
+
+
+# ---- streaming ------------------------------------------------------------------------------------------------
+
+
+@query("chunks_stream", f"select user_id as key, i // 8 as chunk, count(*) as n from (select user_id, row_number() {_W} - 1 as i from events) group by user_id, i // 8 having count(*) = 8")
+def _(spark, sf):
+    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", rocks)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomspan-stream-')}"
+    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+    made = chunked(source, "user_id", "value", 8).select("key", "chunk", "n")
+    run = made.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("key long, chunk long, n long").parquet(f"{out}/rows")
