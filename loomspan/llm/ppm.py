@@ -3,12 +3,12 @@
 The model is a byte-context trie of depth ``ORDER``. A symbol is looked for under the longest known context; where
 it has not followed, an escape goes to the next shorter one, from which the symbols just seen are excluded; below
 the empty context the symbols not seen at all share the rest evenly. With n occurrences a symbol weighs n - 1/2 and
-an escape half the number of distinct symbols plus the occurrences that pruning took from the context.
+an escape half the number of distinct symbols.
 
-Pretrained: contexts are counted over all learning texts in tasks and summed in Spark; the trie keeps the entries of
-at least the least count that leaves ``MOST_ENTRIES`` (a bound on the model's size, not on what is counted). Since
-what follows a context also follows its suffixes, all an escape excludes is known from the context escaped from, so
-every quantity is precomputed and documents are scored by array lookups.
+Pretrained: contexts are counted over all learning texts in tasks and summed in Spark, and the whole trie is kept,
+dealt out by context. What follows a context also follows its suffixes, so all that an escape excludes is known from
+the context escaped from, and a gram of six bytes has one cost. Texts are packed in blocks; each block's distinct
+grams are joined with their costs, and the block's texts are scored by lookups in its own table.
 Adaptive: each document is coded by a trie that starts empty and learns as it reads.
 
 The base line sums log10((c + 0.1) / (N + 0.1 (V + 1))) over words and one end. Frequent words (a bounded table) are
@@ -23,23 +23,29 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from loomspan.llm.common import fold, materialize, slices, stream
+from loomspan.llm.common import fold, forget, materialize, slices, stream
 
-ORDER, MOST_ENTRIES = 5, 2_000_000
+ORDER = 5
+#: Bytes of texts in a block, about.
+BLOCK = 1 << 25
 #: Bytes that UTF-8 never uses: before a text, and after it.
 BEFORE, END = 0xFE, 0xFF
 #: Most frequent words looked up in tasks, and bytes of the longest of them.
 HEAD_WORDS, HEAD_BYTES = 65_536, 64
 SLICE = 1 << 20
+_TOP, _SPREAD = np.uint64(ORDER << 56), np.uint64(0x9E3779B97F4A7C15)
 
 
 class Trie:
@@ -83,10 +89,9 @@ class Trie:
         return total
 
 
-def grams(texts: Iterable[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(order + 1 bytes ending at each symbol as a number, symbols of each text)."""
+def grams(lines: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(order + 1 bytes ending at each symbol as a number, symbols of each lower-cased text)."""
     pad = bytes([BEFORE]) * order
-    lines = [(t or "").encode().lower() for t in texts]
     sizes = np.array([len(x) + 1 for x in lines], np.int64)
     raw = np.frombuffer(b"".join(pad + x + bytes([END]) for x in lines), np.uint8)
     keys = np.zeros(len(raw) - order, np.uint64)
@@ -123,49 +128,85 @@ def tagged(keys: np.ndarray, n: np.ndarray, order: int = ORDER) -> tuple[np.ndar
     return np.concatenate(all_keys), np.concatenate(all_n)
 
 
-def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(entry, word, n): n of each context entry (word null) and each word (entry null; the end is the empty word)."""
+def blocks(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text", most: int = BLOCK) -> DataFrame:
+    """Rows of texts with keys, packed: (block, keys, held_out, sizes, length, packed, words), and at the last one of
+    each block its distinct grams and how often learning texts have each (0: only others do).
+
+    A block is at most ``most`` bytes, or one text, of one partition.
+    """
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         words: Counter[bytes] = Counter()
+        block, filled, docs_in = TaskContext.get().partitionId() << 16, 0, 0
 
         def merge() -> None:
             if len(held) > 1:
                 held[:] = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
 
-        def entries() -> Iterator[dict]:
-            merge()
-            keys, n = tagged(*held.pop())
-            for i in range(0, len(keys), 200_000):
-                part = keys[i : i + 200_000]
-                yield {"entry": part.view(np.int64), "word": [None] * len(part), "n": n[i : i + 200_000]}
-
-        def named() -> Iterator[dict]:
-            found = list(words.items())
-            for i in range(0, len(found), 200_000):
-                part = found[i : i + 200_000]
-                yield {"entry": [None] * len(part), "word": [w for w, _ in part], "n": [n for _, n in part]}
-            words.clear()
-
+        def row(keys: list, outs: list, lines: list[bytes], close: bool) -> dict:
+            k, n = [None], [None]
+            if close:
+                merge()
+                found = held.pop()
+                k, n = [found[0].astype("<u8").tobytes()], [found[1].astype("<i8").tobytes()]
+            raw = b"".join(lines)
+            listed = []
+            if close or len(words) > 400_000:
+                listed = [{"word": w, "n": c} for w, c in words.items()]
+                words.clear()
+            return {"block": [block], "keys": [keys], "held_out": [outs], "sizes": [[len(x) for x in lines]], "length": [len(raw)], "packed": [pa.compress(raw, codec="zstd", asbytes=True)], "words": [listed], "grams": k, "n": n}
+
+        waiting = None
         for batch in batches:
             for part in slices(batch, text, SLICE):
-                held.append(_counted(grams(part[text])[0]))
+                if waiting:
+                    close = filled >= most or docs_in >= 1 << 20
+                    yield row(*waiting, close)
+                    if close:
+                        block, filled, docs_in = block + 1, 0, 0
+                lines = [(t or "").encode().lower() for t in part[text]]
+                for out in (False, True):
+                    some = [x for x, o in zip(lines, part[held_out], strict=True) if o == out]
+                    if some:
+                        k, n = _counted(grams(some)[0])
+                        held.append((k, n * (not out)))
+                        if not out:
+                            for x in some:
+                                words.update(x.split())
+                            words[b""] += len(some)
                 if len(held) >= 8:
                     merge()
-                    if len(held[0][0]) > 4_000_000:
-                        yield from entries()
-                for t in part[text]:
-                    words.update((t or "").encode().lower().split())
-                    words[b""] += 1
-                if len(words) > 400_000:
-                    yield from named()
-        if held:
-            yield from entries()
-        yield from named()
+                filled, docs_in = filled + sum(map(len, lines)), docs_in + len(lines)
+                waiting = part[key], part[held_out], lines
+        if waiting:
+            yield row(*waiting, True)
+
+    kind = StructType([*StructType.fromDDL("block long").fields, StructField("keys", ArrayType(docs.schema[key].dataType)), *StructType.fromDDL("held_out array<boolean>, sizes array<long>, length long, packed binary, words array<struct<word: binary, n: long>>, grams binary, n binary").fields])
+    return stream(docs.select(key, text, held_out), kind, rows)
+
+
+def lines_of(packed: bytes, length: int, sizes: list[int]) -> list[bytes]:
+    raw = pa.decompress(packed, decompressed_size=length, codec="zstd", asbytes=True)
+    ends = np.cumsum([0, *sizes]).tolist()
+    return [raw[a:b] for a, b in pairwise(ends)]
+
+
+def count(packed: DataFrame) -> DataFrame:
+    """(entry, n): the trie's entries of all orders, and those of the longest order that only other texts have (n = 0)."""
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for k, n in zip(batch["grams"], batch["n"], strict=True):
+                keys, times = np.frombuffer(k, "<u8"), np.frombuffer(n, "<i8")
+                known = times > 0
+                made = [tagged(keys[known], times[known])] if known.any() else []
+                made.append((keys[~known] | _TOP, times[~known]))
+                for entry, times in made:
+                    for i in range(0, len(entry), 200_000):
+                        yield {"entry": entry[i : i + 200_000].view(np.int64), "n": times[i : i + 200_000]}
 
-    made = stream(docs.select(text), "entry long, word binary, n long", rows)
-    return made.groupBy("entry", "word").agg(F.sum("n").alias("n"))
+    return stream(packed.filter("grams is not null").select("grams", "n"), "entry long, n long", rows).groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -194,15 +235,10 @@ class Model:
         self.weights = n - 0.5
         held = np.add.reduceat(n, edges) if len(edges) else np.empty(0)
         distinct = np.diff(np.append(edges, len(nodes)))
-        # a context as often as its own last byte occurred after the rest of it, where that is known
         node_levels = (self.nodes >> np.uint64(56)).astype(np.int64)
         node_contexts = self.nodes & np.uint64((1 << 56) - 1)
-        own = np.where(node_levels > 0, node_contexts | (np.maximum(node_levels - 1, 0).astype(np.uint64) << np.uint64(56)), 0)
-        at, known = self._find(self.entries, own)
-        known &= node_levels > 0
-        true = np.where(known, np.maximum(n[at] if len(n) else 0, held), held)
-        self.escapes = distinct / 2 + (true - held)
-        self.rooms = held - distinct / 2 + self.escapes
+        self.escapes = distinct / 2
+        self.rooms = held
         # what is left at the suffix when this node's symbols are excluded
         whose = np.repeat(np.arange(len(self.nodes)), distinct)
         lower = np.maximum(levels - 1, 0).astype(np.uint64)
@@ -213,8 +249,6 @@ class Model:
         suffix = (node_contexts & ((np.uint64(1) << (np.uint64(8) * below)) - np.uint64(1))) | (below << np.uint64(56))
         at, _ = self._find(self.nodes, suffix)
         self.left = self.rooms[at] - gone if len(n) else np.empty(0)
-        # log10 of an entry at the longest order, where no symbol is excluded
-        self.direct = np.log10(self.weights / self.rooms[whose]).astype(np.float32) if len(n) else np.empty(0, np.float32)
         self.rest = math.log10(256 - int((levels == 0).sum()))
 
     @staticmethod
@@ -224,100 +258,108 @@ class Model:
         at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
         return at, among[at] == keys
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Open addressing table of the longest order's entries: keys, places, shift."""
-        top = np.flatnonzero(self.entries >> np.uint64(56) == self.order)
-        power = max(10, (3 * len(top)).bit_length())
-        shift, mask = 64 - power, (1 << power) - 1
-        keys, costs = np.zeros(1 << power, np.uint64), np.zeros(1 << power, np.float32)
-        slot = (self.entries[top] * _SPREAD >> np.uint64(shift)).astype(np.int64)
-        open_ = top
-        while len(open_):
-            free = np.flatnonzero(keys[slot] == 0)
-            keys[slot[free]] = self.entries[open_[free]]
-            won = keys[slot] == self.entries[open_]
-            costs[slot[won]] = self.direct[open_[won]]
-            open_, slot = open_[~won], (slot[~won] + 1) & mask
-        return keys, costs, shift
-
-    def scorer(self) -> Scorer:
-        return Scorer(self)
-
-
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Scorer:
-    """Scores texts by a model; built once a worker."""
-
-    def __init__(self, model: Model):
-        self.m = model
-        self.keys, self.costs, self.shift = model.table()
-
-    def _escaped(self, grams_: np.ndarray) -> np.ndarray:
-        """Costs of entries that the longest order does not hold."""
-        m, out = self.m, np.zeros(len(grams_))
+    def costs(self, grams_: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each gram's last byte after the others."""
+        out = np.zeros(len(grams_))
         room = np.zeros(len(grams_))  # of the current level, 0 above the deepest known context
         open_ = np.arange(len(grams_))
-        for j in range(m.order, -1, -1):
+        for j in range(self.order, -1, -1):
             tag = np.uint64(j << 56)
             gram = grams_[open_] & np.uint64((1 << 8 * (j + 1)) - 1)
-            node, known = m._find(m.nodes, (gram >> np.uint64(8)) | tag)
+            node, known = self._find(self.nodes, (gram >> np.uint64(8)) | tag)
             fresh = known & (room[open_] == 0)
-            room[open_[fresh]] = m.rooms[node[fresh]]
-            at, held = m._find(m.entries, gram | tag)
+            room[open_[fresh]] = self.rooms[node[fresh]]
+            at, held = self._find(self.entries, gram | tag)
             held &= known
-            out[open_[held]] += np.log10(m.weights[at[held]] / room[open_[held]])
+            out[open_[held]] += np.log10(self.weights[at[held]] / room[open_[held]])
             gone = known & ~held
-            out[open_[gone]] += np.log10(m.escapes[node[gone]] / room[open_[gone]])
-            room[open_[gone]] = m.left[node[gone]]
+            out[open_[gone]] += np.log10(self.escapes[node[gone]] / room[open_[gone]])
+            room[open_[gone]] = self.left[node[gone]]
             open_ = open_[~held]
-        out[open_] -= m.rest
+        out[open_] -= self.rest
         return out
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probability of each text."""
-        own, sizes = grams(texts, self.m.order)
-        tag = np.uint64(self.m.order << 56)
-        keys = own | tag
-        mask = len(self.keys) - 1
-        slot = (keys * _SPREAD >> np.uint64(self.shift)).astype(np.int64)
-        seen = self.keys[slot]
-        cost = np.where(seen == keys, self.costs[slot], np.float32(0)).astype(np.float64)
-        open_ = np.flatnonzero(seen != keys)
-        missed = [open_[self.keys[slot[open_]] == 0]]
-        open_ = open_[self.keys[slot[open_]] != 0]
-        slot = slot[open_]
-        while len(open_):
-            slot = (slot + 1) & mask
-            seen = self.keys[slot]
-            hit = seen == keys[open_]
-            cost[open_[hit]] = self.costs[slot[hit]]
-            missed.append(open_[seen == 0])
-            go = ~hit & (seen != 0)
-            open_, slot = open_[go], slot[go]
-        missing = np.concatenate(missed)
-        if len(missing):
-            some, back = np.unique(own[missing], return_inverse=True)
-            cost[missing] = self._escaped(some)[back]
-        return np.add.reduceat(cost, np.cumsum(sizes) - sizes)
 
+def costs(counts: DataFrame, most: int = 200_000) -> DataFrame:
+    """(gram, cost) of each gram in ``counts``.
+
+    The trie is dealt out by the last two bytes of the context. The orders 0 and 1 have 65,792 entries at most and
+    are sent to all tasks; a task holds those and some ``most`` other entries, or those of one pair of bytes.
+    """
+    spark = counts.sparkSession
+    order = F.shiftrightunsigned("entry", 56)
+    low = counts.filter((order <= 1) & (F.col("n") > 0)).toArrow()
+    base = spark.sparkContext.broadcast((low["entry"].to_numpy().view(np.uint64), low["n"].to_numpy()))
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        held: list[np.ndarray] = []
+        low_entries, low_n = base.value
+
+        def priced(found: np.ndarray) -> Iterator[dict]:
+            entries, n = found[0].view(np.uint64), found[1]
+            known = n > 0
+            model = Model(np.concatenate([low_entries, entries[known]]), np.concatenate([low_n, n[known]]))
+            own = entries[entries >> np.uint64(56) == ORDER] & ~_TOP
+            if len(own):
+                yield {"gram": own.view(np.int64), "cost": model.costs(own).astype(np.float32)}
+
+        for batch in batches:
+            held.append(np.array([batch["entry"], batch["n"], batch["pair"]], np.int64))
+            if sum(x.shape[1] for x in held) < most:
+                continue
+            found = np.concatenate(held, axis=1)
+            cut = int(np.searchsorted(found[2], found[2, -1]))  # the last pair may go on
+            held[:] = [found[:, cut:]]
+            if cut:
+                yield from priced(found[:, :cut])
+        if held:
+            yield from priced(np.concatenate(held, axis=1))
 
-def train(counts: DataFrame, most: int = MOST_ENTRIES, order: int = ORDER) -> Model:
-    """The trie from the entry counts, pruned to at most ``most`` entries."""
-    entries = counts.filter("entry is not null").select("entry", "n")
-    kept = entries.filter(F.col("n") >= _least_count(entries, most)).toArrow()
-    return Model(kept["entry"].to_numpy().view(np.uint64), kept["n"].to_numpy(), order)
+    pair = F.shiftrightunsigned("entry", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    dealt = counts.filter(order >= 2).select("entry", "n", pair.alias("pair")).repartition("pair").sortWithinPartitions("pair")
+    return stream(dealt, "gram long, cost float", rows)
 
 
-_SCORERS: list[Scorer] = []
+def wanted(packed: DataFrame) -> DataFrame:
+    """(block, gram): the distinct grams of each block."""
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for block, k in zip(batch["block"], batch["grams"], strict=True):
+                keys = np.frombuffer(k, "<i8")
+                for i in range(0, len(keys), 200_000):
+                    part = keys[i : i + 200_000]
+                    yield {"block": np.full(len(part), block), "gram": part}
 
+    return stream(packed.filter("grams is not null").select("block", "grams"), "block long, gram long", rows)
 
-def _scorer(shared) -> Scorer:
-    """The scorer of a shared model, kept while the worker gets the same model."""
-    if not _SCORERS or _SCORERS[0].m is not shared.value:
-        _SCORERS[:] = [shared.value.scorer()]
-    return _SCORERS[0]
+
+class Prices:
+    """Open addressing table of the costs of grams; every gram that is asked for must be in it."""
+
+    def __init__(self, grams_: np.ndarray, costs_: np.ndarray):
+        power = max(10, (3 * len(grams_)).bit_length())
+        self.shift, mask = 64 - power, (1 << power) - 1
+        self.keys, self.costs = np.zeros(1 << power, np.uint64), np.zeros(1 << power, np.float32)
+        open_ = grams_ | _TOP  # never zero
+        slot = (open_ * _SPREAD >> np.uint64(self.shift)).astype(np.int64)
+        while len(open_):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            self.keys[slot[free]] = open_[free]
+            won = self.keys[slot] == open_
+            self.costs[slot[won]] = costs_[won]
+            open_, costs_, slot = open_[~won], costs_[~won], (slot[~won] + 1) & mask
+
+    def __call__(self, lines: list[bytes]) -> np.ndarray:
+        """log10 probability of each text."""
+        keys, sizes = grams(lines)
+        keys |= _TOP
+        slot = (keys * _SPREAD >> np.uint64(self.shift)).astype(np.int64)
+        open_ = np.flatnonzero(self.keys[slot] != keys)
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            open_ = open_[self.keys[slot[open_]] != keys[open_]]
+        return np.add.reduceat(self.costs[slot].astype(np.float64), np.cumsum(sizes) - sizes)
 
 
 @lru_cache(maxsize=4096)
@@ -325,48 +367,56 @@ def _log(c: int) -> float:
     return math.log10(c + 0.1)
 
 
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", most: int = MOST_ENTRIES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows not held out."""
     spark = docs.sparkSession
     own = docs.select(key, text, held_out.alias("held_out"))
-    counts = materialize(count(own.filter(~F.col("held_out")), text), "counts")
-    words = counts.filter("word is not null").select("word", F.col("n").alias("c"))
+    packed = materialize(blocks(own, "held_out", key, text, block), "blocks")
+    words = materialize(packed.select(F.explode("words").alias("w")).groupBy("w.word").agg(F.sum("w.n").alias("c")), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     room = math.log10(tokens + 0.1 * (distinct + 1))
     short = words.filter(F.octet_length("word") <= HEAD_BYTES)
     least = _least_count(short.withColumnRenamed("c", "n"), HEAD_WORDS)
     head = short.filter(F.col("c") >= least).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(head["word"].to_pylist(), head["c"].to_pylist(), strict=True)))
-    model = spark.sparkContext.broadcast(train(counts, most))
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        scorer, find, row = _scorer(model), known.value.get, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in slices(batch, text, SLICE):
-                n_tokens, n_known, sums, tails = [], [], [], []
-                for t in part[text]:
-                    found = (t or "").encode().lower().split()
-                    found.append(b"")
-                    counted = Counter(found)
-                    total, seen, tail = 0.0, 0, []
-                    for w, tf in counted.items():
-                        c = find(w)
-                        if c is None:
-                            tail.append({"word": w, "tf": tf})
-                        else:
-                            total += tf * _log(c)
-                            seen += tf
-                    n_tokens.append(len(found))
-                    n_known.append(seen)
-                    sums.append(total)
-                    tails.append(tail)
-                n = len(part[key])
-                yield {"row": range(row, row + n), key: part[key], "held_out": part["held_out"], "n_tokens": n_tokens, "head_known": n_known, "head_sum": sums, "score": scorer(part[text]), "tail": tails}
-                row += n
+    counts = materialize(count(packed), "counts")
+    priced = wanted(packed).join(costs(counts), "gram").select("block", "gram", "cost")
 
     tail_kind = "n_tokens long, head_known long, head_sum double, score double, tail array<struct<word: binary, tf: long>>"
     kind = StructType([*StructType.fromDDL("row long").fields, docs.schema[key], *StructType.fromDDL("held_out boolean").fields, *StructType.fromDDL(tail_kind).fields])
-    scored = materialize(stream(own, kind, rows), "scored")
+    arrow = to_arrow_schema(kind)
+
+    def rows(texts: pa.Table, prices: pa.Table) -> pa.Table:
+        find, made, row = known.value.get, [], None
+        price = Prices(prices["gram"].to_numpy().view(np.uint64), prices["cost"].to_numpy())
+        for i in range(texts.num_rows):
+            part = texts.slice(i, 1).to_pylist()[0]
+            row = part["block"] << 24 if row is None else row
+            lines = lines_of(part["packed"], part["length"], part["sizes"])
+            n_tokens, n_known, sums, tails = [], [], [], []
+            for x in lines:
+                found = x.split()
+                found.append(b"")
+                total, seen, tail = 0.0, 0, []
+                for w, tf in Counter(found).items():
+                    c = find(w)
+                    if c is None:
+                        tail.append({"word": w, "tf": tf})
+                    else:
+                        total += tf * _log(c)
+                        seen += tf
+                n_tokens.append(len(found))
+                n_known.append(seen)
+                sums.append(total)
+                tails.append(tail)
+            out = [range(row, row + len(lines)), part["keys"], part["held_out"], n_tokens, n_known, sums, price(lines), tails]
+            made.append(pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out, arrow.types, strict=True)], schema=arrow))
+            row += len(lines)
+        return pa.Table.from_batches(made, arrow)
+
+    texts = packed.select("block", "keys", "held_out", "sizes", "length", "packed")
+    scored = materialize(texts.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(rows, kind), "scored")
+    forget(packed)
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf")
     joined = tail.join(words, "word", "left")
     c = F.coalesce("c", F.lit(0))

@@ -143,10 +143,27 @@ def test_ppm_equals_the_trie(spark):
     for i, t in enumerate(texts):
         assert got[i].score == pytest.approx(trie.read(t, learn=False), rel=1e-4)
         assert got[i].n_tokens == len(words20(t)) + 1
+    small = {r.doc_id: r for r in ppm.score(docs(spark, texts), held, block=60).collect()}
+    assert all(small[i].score == pytest.approx(got[i].score, rel=1e-6) and small[i].n_known == got[i].n_known for i in got)
+    twice = ppm.score(docs(spark, texts).union(docs(spark, texts)), held).groupBy("doc_id").count().collect()
+    assert len(twice) == len(texts) and all(r["count"] == 2 for r in twice)
     assert ppm.score(docs(spark, []), held).count() == 0
     assert ppm.score_adaptive(docs(spark, ["aaaa" * 50])).first().score > -100
 
 
+def test_ppm_costs_by_shards_equal_those_of_the_whole_trie(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abc é") for _ in range(rnd.randint(0, 60))) for _ in range(200)]
+    packed = ppm.blocks(docs(spark, texts).withColumn("out", ppm.is_held_out()), "out").cache()
+    counts = ppm.count(packed).cache()
+    rows = [(r.entry, r.n) for r in counts.collect()]
+    known = np.array([r for r in rows if r[1]], np.int64).T
+    model = ppm.Model(known[0].view(np.uint64), known[1])
+    got = ppm.costs(counts.repartition(1), most=50).toPandas()
+    assert len(got) == got.gram.nunique() == sum(e >> 56 == ppm.ORDER for e, _ in rows)
+    assert np.allclose(got.cost, model.costs(got.gram.to_numpy().view(np.uint64)), atol=1e-5)
+
+
 def test_png_round_trip_and_damage():
     rnd = np.random.default_rng(0)
     for shape in ((1, 1), (5, 7), (70, 64)):
