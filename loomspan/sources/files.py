@@ -1,12 +1,11 @@
 """Readers and writers: price tables, binary arrays, sound, and synthetic series."""
 
-from __future__ import annotations
-
 import io
 import math
 import wave
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -33,18 +32,16 @@ def combine(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-@pandas_udf("struct<shape: array<int>, values: array<float>>")
-def _npy(content):
-    import pandas as pd
-
-    arrays = [np.load(io.BytesIO(bytes(b)), allow_pickle=False) for b in content]
-    return pd.DataFrame({"shape": [list(a.shape) for a in arrays], "values": [a.astype(np.float32).ravel() for a in arrays]})
-
-
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """path, shape, values of .npy files."""
+
+    @pandas_udf("struct<shape: array<int>, values: array<float>>")
+    def load(content: pd.Series) -> pd.DataFrame:
+        arrays = [np.load(io.BytesIO(bytes(b)), allow_pickle=False) for b in content]
+        return pd.DataFrame({"shape": [list(a.shape) for a in arrays], "values": [a.astype(np.float32).ravel() for a in arrays]})
+
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", _npy("content").alias("a")).select("path", "a.shape", "a.values")
+    return files.select("path", load("content").alias("a")).select("path", "a.shape", "a.values")
 
 
 def wav_samples(raw: bytes) -> tuple[int, np.ndarray]:
@@ -74,7 +71,7 @@ def read_wav(spark: SparkSession, path: str, window: int = 1024) -> DataFrame:
     """path, win_id, values: full windows of the first channel; a shorter file is padded with zeros."""
 
     @pandas_udf("array<array<float>>")
-    def cut(content):
+    def cut(content: pd.Series) -> pd.Series:
         def one(b):
             x = wav_samples(bytes(b))[1][:, 0]
             if len(x) < window:
