@@ -19,7 +19,7 @@ from loomspan.operators import entropy as H
 from loomspan.operators import codec, mining, paths, quantise, series, similarity, store
 from loomspan.operators import transforms as T
 from loomspan.operators.filters import compile_filter
-from loomspan.streaming.chunks import chunked
+from loomspan.streaming.chunks import chunked, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -575,7 +575,7 @@ def _(spark, sf):
     return H.entropy(_symbols(spark, sf), ["g"]).select("g", r6("h0"))
 
 
-@query("bigram_entropy", f"""select g, round(-sum(c / n * log2(c / ctx)), 6) as h1 from (select *, sum(c) over (partition by g, b)::double as ctx, sum(c) over (partition by g)::double as n from (
+@query("bigram_entropy", f"""select g, round(0 - sum(c / n * log2(c / ctx)), 6) as h1 from (select *, sum(c) over (partition by g, b)::double as ctx, sum(c) over (partition by g)::double as n from (
     select g, b, s, count(*) as c from (select g, s, lag(s) over (partition by g order by i) as b from {_SYM}) where b is not null group by g, b, s)) group by g""")
 def _(spark, sf):
     return H.conditional_entropy(_symbols(spark, sf), ["g"], "i").select("g", r6("h1"))
@@ -823,3 +823,9 @@ def _(spark, sf):
     run = made.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("key long, chunk long, n long").parquet(f"{out}/rows")
+
+
+@query("event_windows", "select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, count(*) as n, round(sum(value), 3) as total from events group by 1, 2")
+def _(spark, sf):
+    made = windowed(table(spark, sf, "events"), "ts", "event_type", "value")
+    return made.select("event_type", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n", F.round("total", 3).alias("total"))
