@@ -1,0 +1,124 @@
+"""Near-duplicates by the Jaccard similarity of their five-word shingles, for the near-duplicate stage of the pipeline.
+
+Texts are linked where their sets of shingles have a similarity of 0.8 or more. Equal sets are first folded into one
+row. Candidates share one of ``BANDS`` keys of ``ROWS`` minimum hashes each (a pair at exactly 0.8 shares none with a
+probability of 3 in 100,000); every candidate link is confirmed on the whole sets. A group under one key is compared
+in two steps, so that a crowd of copies is never compared all with all: first each member with the smallest, then,
+where the confirmed links leave a group in several components, all members of different components.
+
+Defined results: null and empty text have no shingle and are copies of each other; fewer words than a shingle make
+one shingle of all; words and case are those of SimHash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from loomspan.llm import simhash
+from loomspan.llm.common import forget, materialize, slices, stream
+
+#: Words of a shingle; linked pairs share at least ALIKE[0] / ALIKE[1] of their union.
+SHINGLE, ALIKE = 5, (4, 5)
+BANDS, ROWS, SEED = 20, 4, 42
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of the distinct shingles, in order."""
+    return np.unique(simhash.shingle_hashes(text, SHINGLE))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key for each band of minimum hashes; none for an empty set."""
+    if not len(hashes):
+        return []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[i : i + 2048] * _MIX[0] + _MIX[1]).min(axis=1))
+    key = np.zeros(BANDS, np.uint64)
+    for part in low.reshape(BANDS, ROWS).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64).tolist()
+
+
+def _marked(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, mark (hash of the text), fp (hash of the set of shingles, 0 for none), n (its size), bands."""
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for part in slices(batch, text):
+                sets = [shingle_set(t) for t in part[text]]
+                fp = [int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64)) if len(s) else 0 for s in sets]
+                yield {key: part[key], "mark": part["mark"], "fp": fp, "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]}
+
+    kind = StructType([df.schema[key], *StructType.fromDDL("mark long, fp long, n long, bands array<long>").fields])
+    return stream(df.select(key, text, simhash._mark(text).alias("mark")), kind, rows)
+
+
+def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """fp and its shingles h, for the rows of ``wanted`` (fp, at: none, key and mark of one text that has it)."""
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield {"fp": part["fp"], "h": [shingle_set(t).view(np.int64) for t in part[text]]}
+
+    at = wanted.select("fp", F.col("at.k").alias("__k"), F.col("at.mark").alias("__m"))
+    named = df.select(key, text, simhash._mark(text).alias("__mark"))
+    found = named.join(at, named[key].eqNullSafe(at["__k"]) & (named["__mark"] == at["__m"]))
+    return stream(found.select("fp", text), "fp long, h array<long>", rows)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose sets are alike."""
+    x, y = (sets.select(F.col("fp").alias(n), F.col("h").alias(f"h{n}")) for n in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    shared, total = F.size(F.array_intersect("ha", "hb")), F.size("ha") + F.size("hb")
+    return both.filter(shared * sum(ALIKE) >= total * ALIKE[0]).select("a", "b").distinct()
+
+
+def _rooted(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    return nodes.join(comp, nodes.fp == comp.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
+def grouped(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, mark (hash of the text), fp, root (the smallest fp of the component)."""
+    marked = materialize(_marked(df, key, text), "marked")
+    one = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "mark")).alias("at")
+    nodes = materialize(marked.groupBy("fp").agg(one, F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    under = nodes.select("fp", F.posexplode("bands").alias("t", "band"))
+    held = under.groupBy("t", "band").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
+    # copies meet under most of their keys: each set of members once
+    groups = materialize(held.select("fps").dropDuplicates().withColumn("g", F.xxhash64("fps")), "groups")
+    members = groups.select("g", F.explode("fps").alias("fp"))
+    wanted = nodes.join(members.select("fp").distinct(), "fp", "left_semi")
+    sets = materialize(_sets(df, wanted, key, text), "sets")
+
+    first = groups.select(F.explode(F.slice("fps", 2, F.size("fps") - 1)).alias("a"), F.col("fps")[0].alias("b")).distinct()
+    links = materialize(_confirmed(first, sets), "links")
+    comp = materialize(simhash.components(links), "components")
+    parts = _rooted(members.join(nodes.select("fp", "n"), "fp"), comp).groupBy("g", "root").agg(F.collect_list(F.struct("fp", "n")).alias("held"))
+    split = parts.groupBy("g").count().filter("count > 1").select("g")
+    parts = materialize(parts.join(split, "g", "left_semi"), "parts")
+    left, right = (parts.select("g", F.col("root").alias(f"r{n}"), F.col("held").alias(f"h{n}")) for n in "ab")
+    cross = left.join(right, "g").filter("ra > rb").select(F.explode("ha").alias("x"), "hb").select("x", F.explode("hb").alias("y"))
+    cross = cross.filter(F.least("x.n", "y.n") * ALIKE[1] >= F.greatest("x.n", "y.n") * ALIKE[0])
+    rest = cross.select(F.greatest("x.fp", "y.fp").alias("a"), F.least("x.fp", "y.fp").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = materialize(_confirmed(rest, sets), "more")
+    if not more.isEmpty():
+        old, comp = comp, materialize(simhash.components(links.union(more)), "components")
+        forget(old)
+    forget(groups, sets, links, parts, more)
+    return _rooted(marked.select(key, "mark", "fp"), comp)
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: of each component the one with the smallest key (null last), once."""
+    return simhash.keep_first(df, grouped(df, key, text), key, text)

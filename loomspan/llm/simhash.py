@@ -260,7 +260,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of each component the one with the smallest key (null last), once."""
-    found = grouped(df, key, text)
+    return keep_first(df, grouped(df, key, text), key, text)
+
+
+def keep_first(df: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``df`` with the smallest key (null last) of each root of ``found`` (key, mark, root), once."""
     best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("__key"), F.col("mark").alias("__mark"))).alias("best")
     kept = materialize(found.groupBy("root").agg(best).select("best.__key", "best.__mark"), "kept")
     named = df.withColumn("__text_mark", _mark(text))

@@ -99,6 +99,32 @@ def test_simhash_of_texts(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicate_stage_links_by_jaccard(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(6)
+    texts = [*TEXTS]
+    for base in range(12):
+        text = [f"b{base}w{i}" for i in range(100)]
+        texts.append(" ".join(text))
+        for changes in (1, 2, 2, 3, 4):
+            copy = [*(text if rnd.random() < 0.7 else texts[-1].split())]
+            for i in rnd.sample(range(5, 95), changes):
+                copy[i] = f"c{rnd.random()}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    forest, far = simhash.Forest(len(texts)), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                forest.join(i, j)
+                far += bin(simhash.fingerprint(simhash.shingle_hashes(texts[i])) ^ simhash.fingerprint(simhash.shingle_hashes(texts[j]))).count("1") > 3
+    want = sorted({forest.top(i) for i in range(len(texts))})
+    assert far > 10 and len(want) < len(texts) - far // 4
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "").collect()) == want
+    assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), "").count() == 0
+
+
 @pytest.mark.parametrize("crowd", [20_000, 10])
 def test_repeated_passages(spark, monkeypatch, crowd):
     monkeypatch.setattr(substrings, "CROWD", crowd)
