@@ -178,7 +178,8 @@ class LibraryEncoder:
     """The tokenizers library, asked once for each piece that is not kept.
 
     Pieces go to the library many at a time, parted by a character that the vocabulary merges with nothing. That
-    holds for pieces that start with a space and do not end with white space; the others go one by one. A full
+    holds for pieces that start with a space, do not end with white space and do not hold that character (text with
+    NUL is not split); the others go one by one. A full
     stop or comma after a letter is a token of its own, so such a piece is its word and that token.
     """
 
@@ -226,7 +227,7 @@ class LibraryEncoder:
         if self.part_id is None:
             self._ask(list(asked))
         else:
-            joined = [p for p in asked if p[0] == " " and not p[-1].isspace()]
+            joined = [p for p in asked if p[0] == " " and not p[-1].isspace() and self.PART not in p]
             self._ask(list(asked.difference(joined)))
             self._ask_joined(joined)
         for p in stopped:

@@ -52,6 +52,14 @@ def test_token_store_reads_back(spark):
     assert shard.get(5)[0][-1] == 2 and not shard.get(10**9)
 
 
+def test_token_store_of_texts_with_nul(spark):
+    texts = [" a\0b", " c", " \0", "\0", "x \0 y z", " a\0b.", " d e"]
+    got = {r.doc_id: r for r in idstore.read(idstore.write(docs(spark, texts), VOCAB)).collect()}
+    for i, t in enumerate(texts):
+        ids = [*library().encode(t, add_special_tokens=False).ids, 2]
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_perfect_hash_is_minimal():
     keys = list(range(0, 50_000, 7))
     assert sorted(idstore.PerfectHash.build(keys)(keys).tolist()) == list(range(len(keys)))
