@@ -1,11 +1,13 @@
 """Main text of web pages by line-block distribution.
 
 A page is read into lines: the text of one block element each, in page order. Markup is stripped and lines inside
-elements that hold no article text (menus, footers, forms, adverts, comments and so on, by element and by the words
-of class, id and role) weigh nothing, as do lines made of links. Block lengths are sums of weights over sliding
+elements that hold no article text (menus, footers, forms, adverts, comments and so on, by element and by whole
+names and known compounds in class, id and role) weigh nothing, as do lines made of links. Such a name does not count
+on an element around the page's only article or main, or, on pages without these, around most of the text. Block lengths are sums of weights over sliding
 windows of ``WINDOW`` lines. Text surges where the windows rise from nothing and dives where they fall back to
 nothing; of the stretches between surge and dive points those of the page's text region are kept: inside ``article``
-or ``main`` elements where there are any with text, else each stretch whose length is a fair part of the longest.
+or ``main`` elements where there are any with text, else each stretch with a line that reads as prose (a sentence's end
+or ``LONG`` characters), or all where none has one.
 
 Defined results: null or empty html gives empty text; a page of markup alone gives empty text; an element left open
 ends with its parent or the page; character references are decoded once; repeated lines are kept.
@@ -22,8 +24,8 @@ from pyspark.sql.types import StructType
 
 from loomspan.llm.common import slices, stream
 
-#: Lines summed in a window, and the part of the longest stretch's length from which another stretch is kept.
-WINDOW, FAIR = 3, 0.2
+#: Lines summed in a window, and characters from which a line without a sentence's end reads as prose.
+WINDOW, LONG = 3, 40
 
 #: Element names of the markup language.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "math", "xmp", "noembed", "noframes"}
@@ -32,40 +34,59 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 ASIDE = {"nav", "footer", "aside", "form", "menu", "button", "select", "option", "fieldset", "dialog", "head", "input", "label"}
 #: Words of class, id and role that mark parts which are not the article.
 ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "sidebar", "side", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "comment", "comments", "disqus", "reply", "replies", "respond", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "pagination", "pager", "toolbar", "copyright", "complementary", "contentinfo", "search", "login", "alert", "dialog", "hidden", "skip"}
+#: What a compound such as "share-buttons" ends in, and first parts that name a state or the article's own.
+HOLDERS = {"area", "bar", "block", "box", "buttons", "container", "content", "form", "inner", "item", "items", "label", "links", "list", "panel", "posts", "section", "slot", "text", "thread", "title", "unit", "wrap", "wrapper"}
+STATES = {"no", "not", "has", "with", "without", "overflow", "hide", "show", "entry", "post", "article", "content", "main", "story"}
+OWN = {"header", "hidden", "side", "notice", "alert", "search"}
 #: Closing one of these by opening another: an open paragraph ends at a block, an item at the next.
 PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "menu", "select"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAME = re.compile(r"[A-Za-z]+")
+_JOINT = re.compile(r"[-_]+")
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f]['\")\]\u2019\u201d\u00bb]*$")
 _SPACE = re.compile(r"\s+")
 
 
-def _aside(name: str, marks: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; ``inside``: an article or main is open around it."""
+def _named_aside(name: str, inside: bool) -> bool:
+    """Whether one name in class, id or role marks a part that is not the article."""
+    if name in ASIDE_WORDS:
+        return name != "header" or not inside
+    first, *_, last = _JOINT.split(name) if "-" in name or "_" in name else (name, name)
+    if first == last or first in STATES and (first in ("no", "not", "has", "with", "without", "overflow", "hide", "show") or last in OWN):
+        return False
+    return last in ASIDE_WORDS and (last != "header" or not inside) or first in ASIDE_WORDS and last in HOLDERS
+
+
+def _aside(name: str, marks: str, inside: bool) -> int:
+    """1 where an element is no part of an article, 2 where only its names say so; ``inside``: in an article or main."""
     if name in ASIDE or name == "header" and not inside:
-        return True
+        return 1
     if not marks or name in ("html", "body", "article", "main"):
-        return False
+        return 0
+    named = 0
     for kind, *values in _MARK.findall(marks):
-        kind, value = kind.lower(), "".join(values)
-        if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-            return True
+        kind, value = kind.lower(), "".join(values).lower()
+        if kind == "hidden" or kind == "aria-hidden" and value == "true":
+            return 1
         if kind == "style":
-            if "display:none" in value.replace(" ", "").lower():
-                return True
-        elif ASIDE_WORDS & set(_NAME.findall(value.lower())):
-            return True
-    return False
+            if "display:none" in value.replace(" ", ""):
+                return 1
+        elif any(_named_aside(x, inside) for x in value.split()):
+            named = 2
+    return named
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, weight, whether inside an article or main) of each line with text."""
-    out: list[tuple[str, int, bool]] = []
-    # open elements: name, whether aside, whether article or main
-    open_: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    # open elements: name, how aside (see _aside), whether article or main
+    open_: list[tuple[str, int, bool]] = []
     parts: list[str] = []
+    # elements that are aside by name: those open, how many so far, those around an article or main
+    named: tuple[int, ...] = ()
+    n_named, around = 0, set()
     linked = asides = regions = links = 0
     at, size = 0, len(page)
 
@@ -76,17 +97,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text = _SPACE.sub(" ", html.unescape(raw) if "&" in raw else raw).strip()
             if text:
                 weight = 0 if asides or not regions and 2 * linked > len(raw) else len(text)
-                out.append((text, weight, regions > 0))
+                out.append((text, weight, regions > 0, named))
             parts.clear()
             linked = 0
 
     def shut(n: int) -> None:
-        nonlocal asides, regions, links
+        nonlocal asides, regions, links, named
         while len(open_) > n:
             name, aside, region = open_.pop()
             if name in BLOCK:
                 line()
-            asides -= aside
+            asides -= aside == 1
+            named = named[:-1] if aside == 2 else named
             regions -= region
             links -= name == "a"
 
@@ -132,12 +154,32 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         region = name in ("article", "main")
         aside = _aside(name, tag[3], regions > 0)
         open_.append((name, aside, region))
-        asides += aside
+        asides += aside == 1
+        if aside == 2:
+            named, n_named = (*named, n_named), n_named + 1
+        if region:
+            around.update(named)
         regions += region
         links += name == "a"
     line()
     shut(0)
-    return out
+    return _weighed(out, around)
+
+
+def _weighed(lines: list[tuple[str, int, bool, tuple[int, ...]]], around: set[int]) -> list[tuple[str, int, bool]]:
+    """Lines inside elements that are aside by name weigh nothing, unless such an element holds the page's article."""
+    lifted: set[int] = set()
+    if not any(w and inside and not names for _, w, inside, names in lines):
+        if any(w and inside and around.issuperset(names) for _, w, inside, names in lines):
+            lifted = around
+        else:
+            held: dict[int, int] = {}
+            for _, w, _, names in lines:
+                for x in names:
+                    held[x] = held.get(x, 0) + w
+            total = sum(w for _, w, _, _ in lines)
+            lifted = {x for x, w in held.items() if 2 * w > total}
+    return [(t, w if lifted.issuperset(names) else 0, inside) for t, w, inside, names in lines]
 
 
 def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -163,16 +205,12 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]
 def main_text(page: str | None) -> str:
     """The article of a page, one block a line."""
     lines = lines_of(page or "")
-    if any(w for _, w, inside in lines if inside):
+    whole = any(w for _, w, inside in lines if inside)
+    if whole:
         lines = [(t, w if inside else 0, inside) for t, w, inside in lines]
-        fair = 0.0
-    else:
-        fair = FAIR
-    weights = [w for _, w, _ in lines]
-    runs = stretches(weights)
-    length = {r: sum(weights[r[0] : r[1]]) for r in runs}
-    least = fair * max(length.values(), default=0)
-    return "\n".join(t for r in runs if length[r] >= least for t, w, _ in lines[r[0] : r[1]] if w)
+    runs = stretches([w for _, w, _ in lines])
+    prose = [r for r in runs if whole or any(w and (w >= LONG or _SENTENCE.search(t)) for t, w, _ in lines[r[0] : r[1]])]
+    return "\n".join(t for r in prose or runs for t, w, _ in lines[r[0] : r[1]] if w)
 
 
 def extract(pages: DataFrame, key: str = "page_id", markup: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:

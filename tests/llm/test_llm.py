@@ -225,6 +225,20 @@ def test_html_main_text(spark):
     assert html_text.main_text(None) == html_text.main_text("<p></p>") == html_text.main_text("<script>if(a<b)") == ""
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "overflow-hidden", "sidebar"])
+def test_html_names_do_not_remove_the_article(name):
+    page = f"<body><div class='{name}'><article><div class='entry-header'><h1>Head</h1></div><p>One two.</p><div id='comments'><p>Nice!</p></div></article></div><div class='share-buttons'>Share</div></body>"
+    assert html_text.main_text(page) == "Head\nOne two."
+    loose = f"<div class='{name}'><p>{'long text ' * 20}</p></div><div class='cookie-banner'>We bake.</div>"
+    assert html_text.main_text(loose) == ("long text " * 20).strip()
+
+
+def test_html_keeps_a_short_last_part():
+    advert = "<div class='ad'><p>Buy</p><p>this</p><p>now</p></div>"
+    page = f"<body><p>{'long text ' * 40}</p>{advert}<p>The end.</p>{advert}<p>Home</p></body>"
+    assert html_text.main_text(page) == ("long text " * 40).strip() + "\nThe end."
+
+
 def test_toxicity_swaps_lower_the_weight_of_group_terms(spark):
     rnd = random.Random(5)
     rows = []
