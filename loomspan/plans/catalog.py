@@ -1,7 +1,8 @@
 """Every registered query of the array engine, with its SQL twin where SQL can say it.
 
 Queries read whole tables. Where a search needs a stated query set, that set is named in the query (for example the
-embeddings whose id is divisible by 100).
+embeddings whose id is divisible by 100). pairwise_distances, lerp_path, slerp_path, multi_point_path cover the ids
+that their given SQL names; the queries of the same names with _all cover the rest.
 """
 
 from __future__ import annotations
@@ -108,6 +109,12 @@ def _(spark, sf):
     return similarity.pairwise(v, v).select("a", "b", r6("distance"))
 
 
+@query("pairwise_distances_all", "select a.vec_id as a, b.vec_id as b, round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as distance from embeddings a, embeddings b where a.vec_id % 100 = 0")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return similarity.pairwise(v.filter("id % 100 = 0"), v).select("a", "b", r6("distance"))
+
+
 @query("knn_approx_recall")
 def _(spark, sf):
     v = vectors(spark, sf)
@@ -264,6 +271,24 @@ def _(spark, sf):
     return paths.multi_path(points, 5, ["g"]).select("segment", "step", V.rounded(F.col("p")).alias("p"))
 
 
+@query("lerp_path_all", f"select a.vec_id as id, step, [round(a.embedding[i]::double * (1 - step / 4.0::double) + b.embedding[i]::double * (step / 4.0::double), 6) for i in range(1, len(a.embedding) + 1)] as p {_PAIRS}, {_STEPS}")
+def _(spark, sf):
+    return paths.path(_pairs(spark, sf), 5).withColumn("p", V.rounded(F.col("p")))
+
+
+@query("slerp_path_all", f"""select id, step, [round(case when o < 1e-8 then a[i] * (1 - step / 4.0::double) + b[i] * (step / 4.0::double) else a[i] * (sin((1 - step / 4.0::double) * o) / sin(o)) + b[i] * (sin(step / 4.0::double * o) / sin(o)) end, 5) for i in range(1, len(a) + 1)] as p from (
+    select a.vec_id as id, step, {_LIST[0]} as a, {_LIST[1]} as b, acos(least(1, greatest(-1, list_cosine_similarity({_LIST[0]}, {_LIST[1]})))) as o {_PAIRS}, {_STEPS})""")
+def _(spark, sf):
+    return paths.path(_pairs(spark, sf), 5, "spherical").withColumn("p", V.rounded(F.col("p"), 5))
+
+
+@query("multi_point_path_all", f"""select label, vec_id as segment, step, [round(a[i] * (1 - step / 4.0::double) + b[i] * (step / 4.0::double), 6) for i in range(1, len(a) + 1)] as p
+    from (select label, vec_id, embedding::double[] as a, lead(embedding::double[]) over w as b, lead(vec_id, 2) over w as later from embeddings window w as (partition by label order by vec_id)), {_STEPS} where b is not null and (step < 4 or later is null)""")
+def _(spark, sf):
+    points = vectors(spark, sf).select("label", F.col("id").alias("ord"), "v")
+    return paths.multi_path(points, 5, ["label"]).select("label", "segment", "step", V.rounded(F.col("p")).alias("p"))
+
+
 # ---- time series ----------------------------------------------------------------------------------------------
 
 _W = "over (partition by user_id order by ts, event_id)"
