@@ -2,7 +2,8 @@
 
 Queries read whole tables. Where a search needs a stated query set, that set is named in the query (for example the
 embeddings whose id is divisible by 100). pairwise_distances, lerp_path, slerp_path, multi_point_path cover the ids
-that their given SQL names; the queries of the same names with _all cover the rest.
+that their given SQL names; the queries of the same names with _all cover the rest. window_features_search has the ids
+and the query set of its given SQL (ids collide from 1,000 windows a user); window_features_search_all has its own.
 """
 
 from __future__ import annotations
@@ -420,6 +421,15 @@ def _(spark, sf):
     return similarity.knn(f, q, 5, "euclidean").select("qid", "id", "rnk", F.round("score", 4).alias("score"))
 
 
+@query("window_features_search_all", f"""with f as (select (user_id::bigint << 32) + win_id as id, win_id, [m, s, lo, hi] as v from {_FEAT}) select qid, id, rnk, round(score, 4) as score from (
+    select q.id as qid, b.id as id, list_distance(q.v, b.v) ** 2 as score, row_number() over (partition by q.id order by list_distance(q.v, b.v) ** 2, b.id) as rnk from f q, f b where q.win_id % 100 = 0) where rnk <= 5""")
+def _(spark, sf):
+    """Every hundredth window of each user against all; 32 bits of the id are the window's, so no two share one."""
+    f = _features(spark, sf).select((F.shiftleft(F.col("user_id").cast("long"), 32) + F.col("win_id")).alias("id"), "win_id", F.array("m", "s", "lo", "hi").alias("v"))
+    q = f.filter("win_id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return similarity.knn_many(f, q, 5).select("qid", "id", "rnk", F.round("score", 4).alias("score"))
+
+
 @query("split_chrono", f"""select event_id, case when i < floor(n * 0.7) then 'train' when i < floor(n * 0.7) + floor(n * 0.15) then 'valid' else 'test' end as part
     from (select event_id, row_number() {_W} - 1 as i, count(*) over (partition by user_id)::double as n from events)""")
 def _(spark, sf):

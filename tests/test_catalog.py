@@ -44,3 +44,18 @@ def _one(sf, folder, name):
 @pytest.mark.parametrize("name, n", [("pairwise_distances_all", 5 * 450), ("lerp_path_all", 449 * 5), ("slerp_path_all", 449 * 5), ("multi_point_path_all", 3 * (149 * 4 + 1))])
 def test_queries_over_all_embeddings(spark, vector_table, name, n):
     assert len(same(spark, vector_table, name)) == n
+
+
+def test_windows_of_a_hot_user_keep_ids_of_their_own(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd, start = random.Random(4), datetime(2024, 1, 1)
+    users = [1] * 4100 + [2] * 40
+    rows = [(i, start + timedelta(seconds=i), u, "view", rnd.uniform(1, 100)) for i, u in enumerate(users)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/v")
+    _one(tmp_path, "v", "events")
+    spark.createDataFrame([(0, [0.0], 0)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/e")
+    _one(tmp_path, "e", "embeddings")
+    got = same(spark, tmp_path, "window_features_search_all")
+    assert len({(r[0], r[1]) for r in got}) == len(got) == 5 * (11 + 1)
