@@ -60,6 +60,47 @@ def test_token_store_of_texts_with_nul(spark):
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def test_token_store_of_many_shards_null_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(idstore, "SHARD_BYTES", 200)
+    kind = "doc_id string, text string, hash int, part string, `hash of the text` string"
+    rows = [(None if i % 7 == 0 else f"k{i % 5}" if i % 2 else f"u{i}", TEXTS[i % 7] if i % 3 else f"text {i} of many", i, "p", "h") for i in range(80)]
+    manifest = idstore.write(spark.createDataFrame(rows, kind), VOCAB).cache()
+    assert manifest.count() > 10
+    got = idstore.read(manifest, "string").collect()
+    want = [(k, [*library().encode(t or "", add_special_tokens=False).ids, 2]) for k, t, *_ in rows]
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert sorted((r.doc_id or "", r.n_tokens, r.ids_crc32) for r in got) == sorted((k or "", len(x), crc(x)) for k, x in want)
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert [r.doc_id or "" for r in got] == sorted(k or "" for k, _ in want)
+    shards = [idstore.Shard(r.file) for r in manifest.collect()]
+    assert sum(len(s.get(None)) for s in shards) == sum(k is None for k, _ in want)
+
+
+def test_token_store_needs_its_index(spark, monkeypatch):
+    import datetime
+
+    rows = [(datetime.date(2020, 1, 1 + i % 28), f"text {i}") for i in range(50)]
+    manifest = idstore.write(spark.createDataFrame(rows, "doc_id date, text string"), VOCAB).cache()
+    assert idstore.read(manifest, "date").count() == 50
+    whole = idstore.Shard.__init__
+
+    def broken(self, uri):
+        whole(self, uri)
+        self.marks = self.marks + np.uint32(1)
+
+    shard = object.__new__(idstore.Shard)
+    broken(shard, manifest.first().file)
+    assert not shard.get(datetime.date(2020, 1, 1))
+    first, held = shard.find(shard.keys)
+    assert not held.any()
+    shard = object.__new__(idstore.Shard)
+    whole(shard, manifest.first().file)
+    at = {k: shard.get(k) for k in shard.keys}
+    shard.row_at = np.roll(shard.row_at, 1)
+    assert len(shard.keys) < 2 or any(len(a := shard.get(k)) != len(at[k]) or any((x != y).any() for x, y in zip(a, at[k]) if len(x) == len(y)) for k in shard.keys)
+
+
 def test_perfect_hash_is_minimal():
     keys = list(range(0, 50_000, 7))
     assert sorted(idstore.PerfectHash.build(keys)(keys).tolist()) == list(range(len(keys)))
