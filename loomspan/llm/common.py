@@ -107,6 +107,14 @@ def slices(batch: dict, weight: str, most: int = 2 << 20) -> Iterator[dict]:
             begin, held = i + 1, 0
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with marks before it until no column of ``df`` is named so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """crc32 of a key as text, modulo ``parts``; a null key counts as empty text."""
     c = F.col(key) if isinstance(key, str) else key

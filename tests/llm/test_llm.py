@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from loomspan.llm import bpe, decontaminate, html_text, idstore, media, ppm, quality, simhash, substrings, toxicity
+from loomspan.llm import alike, bpe, decontaminate, html_text, idstore, media, ppm, quality, simhash, substrings, toxicity
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", "a  b\n\n\nc", "don't we'll <|endoftext|>x", "é" * 400, "ab" * 4000, "A man. A woman!", "same text", "same text"]
@@ -124,18 +124,65 @@ def test_simhash_links_and_components(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
-@pytest.mark.parametrize("crowd", [2048, 3])
-def test_simhash_crowds_lose_no_link(monkeypatch, crowd):
+def _forest(n, pairs):
+    forest = simhash.Forest(n)
+    for i, j in pairs:
+        forest.join(i, j)
+    return forest
+
+
+@pytest.mark.parametrize(("crowd", "packed"), [(2048, 256), (3, 256), (64, 8)])
+def test_simhash_crowds_lose_no_link(spark, monkeypatch, crowd, packed):
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "PACKED", packed)
     rnd = random.Random(3)
     a = np.array(sorted({sum(1 << rnd.randrange(64) for _ in range(2)) for _ in range(300)}), np.uint64)
-    member, top = simhash.links_of(a)
-    forest = simhash.Forest(len(a))
-    for i, j in zip(*np.nonzero(np.bitwise_count(a[:, None] ^ a[None]) <= 3), strict=True):
-        forest.join(int(i), int(j))
-    tops = {forest.top(i) for i in range(len(a))}
-    assert len(a) - len(member) == len(tops)
-    assert len(top) == len(member)
+    forest = _forest(len(a), zip(*np.nonzero(np.bitwise_count(a[:, None] ^ a[None]) <= 3), strict=True))
+    links = simhash.link_table(spark.createDataFrame([(int(x),) for x in a.view(np.int64)], "fp long"))
+    comp = {r.node: r.root for r in simhash.components(links).collect()}
+    signed = a.view(np.int64).tolist()
+    groups = {}
+    for i, x in enumerate(signed):
+        groups.setdefault(forest.top(i), set()).add(comp.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
+@pytest.mark.parametrize(("words", "radius"), [(1, 3), (1, 8), (4, 72)])
+def test_bit_sliced_comparison_equals_counting(words, radius):
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(0, 1 << 63, (40, words), np.uint64)
+    fps = np.concatenate([base ^ (np.uint64(1) << rnd.integers(0, 64, base.shape, np.uint64)) for _ in range(5)] + [base])
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    q, lane = simhash.Block(fps).within(fps, radius)
+    assert set(zip(q.tolist(), lane.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= radius)), strict=True))
+    group = np.sort(rnd.integers(0, 30, len(fps)))
+    forest = _forest(len(fps), zip(*np.nonzero((far <= radius) & (group[:, None] == group[None])), strict=True))
+    place, top = simhash.links_of(fps, group, radius)
+    mine = _forest(len(fps), zip(place, top, strict=True))
+    assert (mine.tops() == forest.tops()).all()
+
+
+def test_simhash_of_several_shingles_by_brute_force(spark):
+    rnd = random.Random(8)
+    texts = [*TEXTS, *(" ".join(rnd.choices(["a", "B", "cc", "ddd"], k=rnd.randint(1, 40))) for _ in range(60))]
+    got = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        w = [x.lower() for x in words20(t)]
+        shingles = [" ".join(w[j : j + 3]) for j in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        assert got[i] == f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)):016x}"
+
+
+def test_near_duplicates_of_nulls_repeats_and_clashing_columns(spark):
+    kind = "doc_id long, text string, mark string, `key` string, `_key` string, root string, fp string"
+    rows = [(None, "x y", "m", "k", "k", "r", "f"), (3, "x y", "m", "k", "k", "r", "f"), (3, "x y", "m", "k", "k", "r", "f"), (4, None, "m", "k", "k", "r", "f"), (5, "", "m", "k", "k", "r", "f"), (7, "one", "m", "k", "k", "r", "f")]
+    df = spark.createDataFrame(rows, kind)
+    for own in (simhash, alike):
+        kept = own.representatives(df)
+        assert kept.columns == df.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 7]
+        assert own.representatives(df.limit(0)).count() == 0
+    assert simhash.near_duplicates(df).count() == 6
 
 
 def test_simhash_of_texts(spark):
