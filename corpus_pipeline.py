@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import bpe, decontaminate, jaccard, substrings, toxicity
+from loomspan.llm import alike, bpe, decontaminate, substrings, toxicity
 from loomspan.llm.common import materialize, table
 from loomspan.llm.queries import VOCABULARY
 
@@ -25,9 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each component of documents with like five-word shingles.
 
-    SimHash at the radius of op8 would leave most copies at a similarity of 0.8 in; see ``jaccard``.
+    SimHash with wide fingerprints: the 64 bits and radius of op8 would leave most copies at a similarity of 0.8 in.
     """
-    return jaccard.representatives(docs)
+    return alike.representatives(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
