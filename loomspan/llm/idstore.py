@@ -30,20 +30,19 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from loomspan.llm.bpe import PATTERN, split_pieces
+from loomspan.llm.bpe import split_pieces
 from loomspan.llm.common import materialize, scratch_path, slices, stream
 
 #: Bytes of payload after which a shard ends at the next new key.
 SHARD_BYTES = 64 << 20
 #: Pieces whose ids one worker keeps at a time.
-CACHE = 1_200_000
+CACHE = 1_600_000
 #: Bits a key at each level, and levels before the rest is stored as it is.
 GAMMA, LEVELS = 2.0, 24
 
@@ -180,11 +179,12 @@ class Shard:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each pre-token that is not kept.
+    """The tokenizers library, asked once for each piece that is not kept.
 
-    A piece that is not kept is parted into pre-tokens. Words (letters, with a space before them or not) go to the
-    library many at a time, parted by a character that the vocabulary merges with nothing and that ends a word in the
-    pre-tokenizer; other pre-tokens, and texts with NUL or special tokens, go one by one.
+    Pieces go to the library many at a time, parted by a character that the vocabulary merges with nothing. That
+    holds for pieces that start with a space, do not end with white space and do not hold that character (text with
+    NUL is not split); the others go one by one. A full
+    stop or comma after a letter is a token of its own, so such a piece is its word and that token.
     """
 
     PART = "\0"
@@ -198,11 +198,9 @@ class LibraryEncoder:
         self.kind = "<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = int(self.kind[-1])
         self.kept: dict[str, bytes] = {}
-        self.parts = regex.compile(PATTERN).findall
         part = self.own.encode(self.PART, add_special_tokens=False)
         letter = part.tokens[0] if len(part.ids) == 1 else ""
         self.part_id = part.ids[0] if letter and not any(letter in t and t != letter for t in self.own.get_vocab()) else None
-        self.own.model._resize_cache(0)  # every question is new; the library's own cache of words only costs
 
     def _ask(self, pieces: list[str]) -> None:
         found = self.own.encode_batch_fast(pieces, add_special_tokens=False)
@@ -210,37 +208,15 @@ class LibraryEncoder:
             self.kept[piece] = np.array(e.ids, self.kind).tobytes()
 
     def _ask_joined(self, pieces: list[str]) -> None:
-        w = self.width
-        for i in range(0, len(pieces), 64):
-            group = pieces[i : i + 64]
+        for at in range(0, len(pieces), 256):
+            group = pieces[at : at + 256]
             ids = np.array(self.own.encode_batch_fast([self.PART.join(group)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(ids == self.part_id)
-            raw = ids.tobytes()
+            raw, w = ids.tobytes(), self.width
             starts = [0, *(w * (ends + 1)).tolist()]
             stops = [*(w * ends).tolist(), len(raw)]
-            self.kept.update({piece: raw[i:j] for piece, i, j in zip(group, starts, stops, strict=True)})
-
-    def _learn(self, new: set[str]) -> list[str]:
-        """Keep the ids of pieces; gives what was kept for them besides."""
-        kept = self.kept
-        words, alone, parted = set(), set(), []
-        for p in new:
-            if p.isalpha() or p[0] == " " and p[1:].isalpha():
-                words.add(p)
-            elif self.PART in p or any(x in p for x in self.special):
-                alone.add(p)
-            else:
-                parted.append((p, self.parts(p)))
-        for x in set().union(*(t for _, t in parted)).difference(kept):
-            (words if x.isalpha() or x[0] == " " and x[1:].isalpha() else alone).add(x)
-        if self.part_id is None:
-            alone, words = alone | words, set()
-        self._ask(list(alone))
-        self._ask_joined(list(words))
-        get = kept.__getitem__
-        for p, tokens in parted:
-            kept[p] = b"".join(map(get, tokens))
-        return [x for x in alone | words if len(x) > 256]
+            for piece, i, j in zip(group, starts, stops, strict=True):
+                self.kept[piece] = raw[i:j]
 
     def __call__(self, texts: list[str | None], end: int | None) -> Iterator[bytes]:
         """Payload of each text, with the end id."""
@@ -250,12 +226,22 @@ class LibraryEncoder:
         tail = b"" if end is None else np.array([end], self.kind).tobytes()
         split = [split_pieces(t or "", self.special) for t in texts]
         new = set().union(*split).difference(kept)
-        long = self._learn(new)
+        stopped = [p for p in new if len(p) > 2 and p[-1] in ".," and p[-2].isalpha()]
+        asked = (new.difference(stopped) | {p[:-1] for p in stopped} | {".", ","}).difference(kept)
+        if self.part_id is None:
+            self._ask(list(asked))
+        else:
+            joined = [p for p in asked if p[0] == " " and not p[-1].isspace() and self.PART not in p]
+            self._ask(list(asked.difference(joined)))
+            self._ask_joined(joined)
+        for p in stopped:
+            kept[p] = kept[p[:-1]] + kept[p[-1]]
         get = kept.__getitem__
         for pieces in split:
             yield b"".join(map(get, pieces)) + tail
-        for p in {p for p in new if len(p) > 256}.union(long):
+        for p in [p for p in new if len(p) > 256]:
             kept.pop(p, None)
+            kept.pop(p[:-1], None)
 
 
 @lru_cache(maxsize=2)
