@@ -1,30 +1,38 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Texts are sets of words and of the first 4, 5 and 6 letters of longer words, hashed. Features that differ between
-the classes beyond chance are kept and a logistic model is fitted on a bounded sample of labelled rows. For each
-labelled sentence that names a group, the term is swapped for another of its kind; the squared change of the score
-under the swap is penalised, so the weight of a neutral mention goes to zero unless the term itself tells classes
-apart whatever stands in its place, and words next to it carry the label instead.
+Texts are sets of words and of the first 4, 5 and 6 letters of longer words, hashed. Features that differ between the
+classes beyond chance, and those of identity terms, are kept and a logistic model is fitted on a bounded sample of
+labelled rows. In each labelled sentence that holds an identity term, the term is swapped for others of its kind; the
+squared change of the score under the swap is penalised, so a mention says no more than another of its kind would, and
+words that carry the label alone do.
+
+Identity terms are a fixed seed list and terms learned from the sample, in any language: words that both classes use
+about as often as chance allows. Their kinds are the words that stand in the same frames (the word before and the
+word after), whatever the label.
 
 Documents are scored in one pass over whole texts without moving them.
 
 Defined results: null and empty texts have no feature and get the score of the bias alone; letters are lower-cased;
-repeats of a word count once; rows that repeat are scored each; without labelled rows of both classes the score is
-the share of label 1 among the labelled rows, or 0 without any.
+repeats of a word count once; rows that repeat are scored each; a null key has a score like any other; an empty table
+gives an empty table; other columns stay as they are, and an output name that is taken is refused (``unused`` finds
+another); without labelled rows of both classes the score is the share of label 1 among the labelled rows, or 0
+without any.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomspan.llm.common import forget, materialize, slices, stream
+from loomspan.llm.common import forget, materialize, slices, stream, unused
 from loomspan.llm.labelled import SAMPLE, is_held_out, sample
 
 THRESHOLD = 0.7
@@ -40,12 +48,12 @@ IDENTITY = (
     ("blind", "deaf", "disabled", "autistic"),
     ("immigrant", "refugee", "migrant", "foreigner", "native"),
 )
-#: Hash range of features, features kept, pairs of swapped sentences, and weight of the two penalties.
-RANGE, FEATURES, PAIRS, RIDGE, SWAP = 1 << 22, 8192, 20_000, 3e-5, 1.0
-#: Swapped sentences of one row.
-PAIRS_A_ROW = 20
+#: Hash range of features, and weight of the two penalties.
+RANGE, RIDGE, SWAP = 1 << 22, 3e-5, 1.0
 #: Deviations beyond which a feature is more than chance, and rows it must be in: three, or one in this many.
 DEVIATION, ROWS = 4.5, 2000
+#: Learned terms: the most frequent words whose classes differ by fewer deviations than NEUTRAL, and terms of a kind.
+TERMS, NEUTRAL, KIND = 200, 2.0, 4
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -56,14 +64,42 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) % RANGE for x in (f"={word}", *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n))]
 
 
-def swaps(sentence: str, identity=IDENTITY) -> Iterator[tuple[list[str], list[str]]]:
-    """(words, words with one kind of identity term swapped) of a sentence, for each kind that it names."""
-    words = _WORD.findall(sentence.lower())
-    for kind in identity:
-        held = [w for w in words if w in kind]
-        if held:
-            other = kind[(kind.index(held[0]) + 1 + zlib.crc32(" ".join(words).encode()) % (len(kind) - 1)) % len(kind)]
-            yield words, [other if w == held[0] else w for w in words]
+def kinds(identity=IDENTITY) -> dict[str, tuple[str, ...]]:
+    """The terms that may stand for each identity term."""
+    return {t: tuple(x for x in kind if x != t) for kind in identity for t in kind}
+
+
+def swaps(sentence: str, others: dict[str, tuple[str, ...]]) -> Iterator[tuple[set[str], set[str]]]:
+    """(words, words with one identity term swapped) of a sentence, for each term in it and each other of its kind."""
+    words = set(_WORD.findall(sentence.lower()))
+    for term in sorted(words & others.keys()):
+        for other in others[term]:
+            if other not in words:
+                yield words, words - {term} | {other}
+
+
+def learn_kinds(rows_: DataFrame, text: str, terms: list[str]) -> dict[str, tuple[str, ...]]:
+    """For each of ``terms`` the ``KIND`` others that share most frames with it in the texts of ``rows_``."""
+    known = frozenset(terms)
+
+    def frames(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for part in slices(batch, text):
+                found = {(a, c, b) for t in part[text] for s in _SENTENCE.split(t.lower()) for a, b, c in _triples(_WORD.findall(s)) if b in known}
+                if found:
+                    yield {"frame": [zlib.crc32(f"{a} {c}".encode()) for a, c, _ in found], "term": [b for *_, b in found]}
+
+    uses = stream(rows_.select(text), "frame long, term string", frames).groupBy("frame").agg(F.collect_set("term").alias("terms"))
+    # a frame holds ``TERMS`` different terms at most
+    pair = uses.filter(F.size("terms") > 1).select("terms", F.explode("terms").alias("a")).select("a", F.explode("terms").alias("b")).filter("a <> b")
+    shared: dict[str, list] = {}
+    for r in pair.groupBy("a", "b").count().collect():  # TERMS * TERMS rows at most
+        shared.setdefault(r.a, []).append((-r["count"], r.b))
+    return {t: tuple(b for _, b in sorted(found)[:KIND]) for t, found in sorted(shared.items())}
+
+
+def _triples(words: list[str]) -> Iterator[tuple[str, str, str]]:
+    return zip(words, words[1:], words[2:], strict=False)
 
 
 class Classifier:
@@ -91,27 +127,35 @@ class Classifier:
 
 
 def choose(ids: np.ndarray, every: np.ndarray, ones: np.ndarray, n: int, n1: int) -> np.ndarray:
-    """Features that differ between the classes beyond chance, FEATURES at most; ``every``, ``ones``: rows with each."""
+    """Features that differ between the classes beyond chance; ``every``, ``ones``: rows with each."""
+    return np.sort(ids[deviations(every, ones, n, n1) >= DEVIATION])
+
+
+def deviations(every: np.ndarray, ones: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """By how many deviations the shares of rows of the two classes differ."""
     share = every / n
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
-    z = np.abs((ones / n1 - (every - ones) / (n - n1)) / spread)
-    order = np.lexsort((ids, -z))
-    return np.sort(ids[order[z[order] >= DEVIATION][:FEATURES]])
+    return np.abs((ones / n1 - (every - ones) / (n - n1)) / spread)
+
 
+def fit(kept: np.ndarray, rows: tuple[np.ndarray, np.ndarray], labels: np.ndarray, pairs: list[tuple[list[int], list[int], int]], swap: float = SWAP, steps: int = 600) -> Classifier:
+    """A classifier from the places in ``kept`` of the rows' features (row and place of each), labels, and swaps.
 
-def fit(kept: np.ndarray, rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], swap: float = SWAP, steps: int = 600) -> Classifier:
-    """A classifier from the places in ``kept`` of each row's features, its label, and of features that a swap takes and brings."""
+    A swap is the places of the features that it takes and brings, and how many sentences it stands for.
+    """
     n, n1, k = len(labels), int(labels.sum()), len(kept)
     if not n1 or n1 == n or not k:
         share = n1 / n if n else 0.0
         return Classifier({}, float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))))
-    where, at = np.repeat(np.arange(n), [len(r) for r in rows]), np.array([f for r in rows for f in r], np.int64)
-    moved = [(i, f, s) for i, (gone, come) in enumerate(pairs) for fs, s in ((gone, 1.0), (come, -1.0)) for f in fs]
+    where, at = rows
+    moved = [(i, f, s) for i, (gone, come, _) in enumerate(pairs) for fs, s in ((gone, 1.0), (come, -1.0)) for f in fs]
     pair, pat, sign = (np.array([m[j] for m in moved], kind) for j, kind in enumerate((np.int64, np.int64, np.float64)))
+    times = np.array([m for *_, m in pairs], np.float64)
+    times /= max(times.sum(), 1.0)
     # accelerated gradient steps scaled by each feature's own curvature
     curve = np.bincount(at, minlength=k) / (4 * n) * max(1.0, np.bincount(where, minlength=n).max()) ** 0.5 + RIDGE
     if pairs:
-        curve += 2 * swap * np.bincount(pat, minlength=k) / len(pairs) * 4
+        curve += 2 * swap * np.bincount(pat, times[pair], minlength=k) * np.bincount(pair).max()
     w, bias, t = np.zeros(k), float(np.log(n1 / (n - n1))), 1.0
     ahead, bias_ahead = w, bias
     for _ in range(steps):
@@ -119,8 +163,8 @@ def fit(kept: np.ndarray, rows: list[list[int]], labels: np.ndarray, pairs: list
         error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels
         slope = np.bincount(at, error[where], minlength=k) / n + RIDGE * ahead
         if pairs:
-            change = np.bincount(pair, sign * ahead[pat], minlength=len(pairs))
-            slope += 2 * swap * np.bincount(pat, sign * change[pair], minlength=k) / len(pairs)
+            change = np.bincount(pair, sign * ahead[pat], minlength=len(pairs)) * times
+            slope += 2 * swap * np.bincount(pat, sign * change[pair], minlength=k)
         new, new_bias = ahead - slope / curve, bias_ahead - error.mean() / 0.25
         t_new = 1.0 if (slope * (new - w)).sum() > 0 else (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, bias_ahead = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
@@ -128,69 +172,98 @@ def fit(kept: np.ndarray, rows: list[list[int]], labels: np.ndarray, pairs: list
     return Classifier({int(f): float(x) for f, x in zip(kept, w, strict=True) if abs(x) > 1e-6}, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = SAMPLE, identity=IDENTITY) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = SAMPLE, identity=IDENTITY, swap: float = SWAP) -> Classifier:
     """Fitted on labelled rows that are not held out; tasks count features and send the kept ones, not texts."""
     rows_ = materialize(sample(docs, labels, label, key, text, most), "labelled")
     n, n1 = rows_.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n1 or n1 == n:
-        return fit(np.empty(0, np.int64), [[]] * n, np.full(n, 1 if n1 else 0), [])
+        none = np.empty(0, np.int64)
+        return fit(none, (none, none), np.full(n, 1 if n1 else 0), [])
 
     def of(words: set[str]) -> set[int]:
         return {f for w in words for f in features(w)}
 
-    def count(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            for part in slices(batch, text):
-                sets = [of(set(_WORD.findall(t.lower()))) for t in part[text]]
-                flat = np.fromiter((f for s in sets for f in s), np.int64, sum(map(len, sets)))
-                found, back = np.unique(flat, return_inverse=True)
-                label_of = np.repeat(np.array(part["label"]), [len(s) for s in sets])
-                yield {"f": found, "n": np.bincount(back), "ones": np.bincount(back, label_of).astype(np.int64)}
-
-    counted = stream(rows_.select(text, "label"), "f long, n long, ones long", count).groupBy("f").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    got = counted.filter(F.col("n") >= max(3, n // ROWS)).toArrow()
+    def counts(make: Callable[[str], set], column: str) -> DataFrame:
+        def count(batches: Iterator[dict]) -> Iterator[dict]:
+            for batch in batches:
+                for part in slices(batch, text):
+                    every, ones = Counter(), Counter()
+                    for t, y in zip(part[text], part["label"], strict=True):
+                        (found := make(t)) and every.update(found)
+                        y and ones.update(found)
+                    yield {"f": list(every), "n": list(every.values()), "ones": [ones[f] for f in every]}
+
+        made = stream(rows_.select(text, "label"), f"f {column}, n long, ones long", count)
+        return made.groupBy("f").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).filter(F.col("n") >= max(3, n // ROWS))
+
+    got = counts(lambda t: of(set(_WORD.findall(t.lower()))), "long").toArrow()
     kept = choose(*(got[c].to_numpy() for c in ("f", "n", "ones")), n, n1)
-    shared = docs.sparkSession.sparkContext.broadcast({int(f): i for i, f in enumerate(kept)})
+    others = kinds(identity)
+    if swap:
+        found = counts(lambda t: set(_WORD.findall(t.lower())), "string").orderBy(F.desc("n"), "f").limit(10 * TERMS).toArrow()
+        even = deviations(found["n"].to_numpy(), found["ones"].to_numpy(), n, n1) < NEUTRAL
+        terms = [w for w, e in zip(found["f"].to_pylist(), even, strict=True) if e][:TERMS]
+        others = learn_kinds(rows_, text, terms) | others
+        kept = np.unique(np.concatenate((kept, np.array([f for w in terms for f in features(w)[:1]], np.int64))))
+    shared = docs.sparkSession.sparkContext.broadcast(({int(f): i for i, f in enumerate(kept)}, others))
+
+    def places(words: set[str]) -> set[int]:
+        place = shared.value[0]
+        return {place[f] for f in of(words) if f in place}
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        place = shared.value
-
-        def places(words: set[str]) -> list[int]:
-            return sorted(place[f] for f in of(words) if f in place)
+        for batch in batches:
+            for part in slices(batch, text):
+                own = [sorted(places(set(_WORD.findall(t.lower())))) for t in part[text]]
+                yield {"key": [repr(k) for k in part[key]], "label": part["label"], "own": own}
 
+    def changes(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
             for part in slices(batch, text):
-                swapped = [sorted([p for s in _SENTENCE.split(t) for p in swaps(s, identity)], key=lambda p: zlib.crc32(" ".join(p[0]).encode()))[:PAIRS_A_ROW] for t in part[text]]
-                changes = [[(places(set(a)), places(set(b))) for a, b in x] for x in swapped]
-                yield {
-                    "key": [repr(k) for k in part[key]],
-                    "label": part["label"],
-                    "own": [places(set(_WORD.findall(t.lower()))) for t in part[text]],
-                    "gone": [[sorted(set(a).difference(b)) for a, b in x] for x in changes],
-                    "come": [[sorted(set(b).difference(a)) for a, b in x] for x in changes],
-                }
-
-    made = stream(rows_, "key string, label int, own array<int>, gone array<array<int>>, come array<array<int>>", rows).toArrow().to_pylist()
-    made.sort(key=lambda r: r["key"])  # tasks end in any order
-    pairs = [p for r in made for p in zip(r["gone"], r["come"], strict=True)][:PAIRS]
+                seen: Counter[tuple] = Counter()
+                for t in part[text]:
+                    for s in _SENTENCE.split(t):
+                        for a, b in swaps(s, shared.value[1]):
+                            (term,), (other,) = a - b, b - a
+                            rest = places(a & b)
+                            gone, come = places({term}) - rest, places({other}) - rest
+                            if both := gone ^ come:
+                                seen[tuple(sorted(gone & both)), tuple(sorted(come & both))] += 1
+                yield {"gone": [list(g) for g, _ in seen], "come": [list(c) for _, c in seen], "n": list(seen.values())}
+
+    made = stream(rows_, "key string, label int, own array<int>", rows).toArrow().combine_chunks().sort_by("key")  # tasks end in any order
+    own = made["own"].combine_chunks() if made.num_rows else pa.array([], pa.list_(pa.int32()))
+    sizes = own.value_lengths().to_numpy()
+    at = own.flatten().to_numpy().astype(np.int64)
+    pairs = []
+    if swap and others:
+        # few swaps differ: terms have few features, so their number does not follow the number of sentences
+        swapped = stream(rows_.select(text), "gone array<int>, come array<int>, n long", changes).groupBy("gone", "come").agg(F.sum("n").alias("n"))
+        pairs = sorted((r.gone, r.come, r.n) for r in swapped.collect())
     forget(rows_)
-    return fit(kept, [r["own"] for r in made], np.array([r["label"] for r in made]), pairs)
+    return fit(kept, (np.repeat(np.arange(len(sizes)), sizes), at), made["label"].to_numpy(), pairs, swap)
 
 
-def predict(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def predict(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with score and predicted (1 from ``threshold`` on)."""
-    if clash := {"score", "predicted"} & {c.lower() for c in docs.columns}:
+    if clash := {score.lower(), predicted.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns already there: {sorted(clash)}")
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # FEATURES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # features of a bounded sample
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         own = Classifier(*shared.value)
         for batch in batches:
             for part in slices(batch, text):
-                score = [own.score(t) for t in part[text]]
-                yield part | {"score": score, "predicted": [int(s >= threshold) for s in score]}
+                found = [own.score(t) for t in part[text]]
+                yield part | {score: found, predicted: [int(s >= threshold) for s in found]}
+
+    return stream(docs, StructType([*docs.schema.fields, *StructType.fromDDL(f"`{score}` double, `{predicted}` int").fields]), rows)
+
 
-    return stream(docs, StructType([*docs.schema.fields, *StructType.fromDDL("score double, predicted int").fields]), rows)
+def harmless(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with the columns they came with."""
+    names = unused(docs, "score"), unused(docs, "predicted")
+    return predict(docs, model, key, text, score=names[0], predicted=names[1]).filter(F.col(names[1]) == 0).drop(*names)
 
 
 def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

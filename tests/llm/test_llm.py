@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomspan.llm import alike, bpe, decontaminate, html_text, idstore, media, ppm, quality, simhash, substrings, toxicity
 
@@ -340,12 +341,58 @@ def test_toxicity_swaps_lower_the_weight_of_group_terms(spark):
         rows.append((i, " ".join(words), bad))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     with_swaps = toxicity.train(df, df)
-    without = toxicity.train(df, df, identity=())
+    without = toxicity.train(df, df, swap=0)
     assert with_swaps.score("a muslim w1") < without.score("a muslim w1")
     assert with_swaps.score("scum w1 w2") > 0.7 and 0 <= with_swaps.score(None) <= 1
     assert toxicity.train(df, df.limit(0)).score("x") < 0.01
 
 
+def _toxic_rows(n, seed=7):
+    """Neutral names of groups are common in toxic texts and rare, but there, in others; insults are in toxic ones only."""
+    rnd, rows = random.Random(seed), []
+    for i in range(n):
+        bad, words = i % 2, rnd.choices([f"w{'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10]}" for j in range(60)], k=14)
+        if rnd.random() < (0.5 if bad else 0.45):
+            words.insert(5, rnd.choice(["zogs", "yims"]))
+        if bad and rnd.random() < 0.8:
+            words.insert(9, rnd.choice(["vile", "scum"]))
+        rows.append((i, " ".join(words) + ".", bad))
+    return rows
+
+
+def test_toxicity_learns_terms_and_evens_them_out(spark):
+    df = spark.createDataFrame(_toxic_rows(900), "doc_id long, text string, toxic int")
+    learned, plain = toxicity.train(df, df, identity=()), toxicity.train(df, df, identity=(), swap=0)
+    assert learned.weights != plain.weights
+    frames = spark.createDataFrame([(f"the {w} {v}.",) for w in ("zogs", "yims", "cats") for v in ("came", "left")], "text string")
+    found = toxicity.learn_kinds(frames, "text", ["zogs", "yims", "cats", "the"])
+    assert set(found["zogs"]) == {"yims", "cats"} and "the" not in found
+    weight = lambda w: learned.weights.get(toxicity.features(w)[0], 0.0)
+    assert abs(weight("zogs") - weight("yims")) < 0.2 and weight("scum") > 1
+    neutral = [t for _, t, bad in _toxic_rows(400, 9) if not bad and ("zogs" in t or "yims" in t)]
+    assert sum(learned.score(t) >= 0.7 for t in neutral) <= sum(plain.score(t) >= 0.7 for t in neutral)
+
+
+def test_toxicity_report_by_brute_force(spark):
+    rows = [*_toxic_rows(300), (900, None, None), (901, "", None), (None, "scum", None), (5, "scum scum", 1), (902, "scum. " * 20_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df)
+    want = []
+    for k, t, _ in rows:
+        found = {f for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for f in toxicity.features(w)}
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in found)
+        p = 1 / (1 + np.exp(-z))
+        want.append((k or -1, zlib.crc32(str("" if k is None else k).encode()) % 3 == 1, round(float(p), 9), int(p >= 0.7)))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in toxicity.report(df, df).collect()]
+    assert sorted(got) == sorted((-1 if k is None else k, *x) for (k, *_), (_, *x) in zip(rows, want, strict=True))
+    assert toxicity.report(df.limit(0), df).count() == 0 and toxicity.report(df, df.limit(0)).count() == len(rows)
+    # held-out labels are never read
+    flipped = df.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.train(df, flipped).weights == model.weights
+    clash = spark.createDataFrame([(1, "scum", 0.5, 1), (2, "wak", 0.1, 1)], "doc_id long, text string, score double, predicted int")
+    assert toxicity.harmless(clash, model).columns == clash.columns
+
+
 def test_quality_rules_agree_with_their_columns(spark):
     rows = [(i, ("good words here and more. " * 4 if i % 2 else "A | B | C | D "), i % 2) for i in range(300)] + [(900, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
