@@ -19,7 +19,7 @@ from loomspan.llm.queries import VOCABULARY
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it is fitted on labelled documents outside the held-out fold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.predict(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.harmless(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
