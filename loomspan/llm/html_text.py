@@ -1,16 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-A page is read into lines: the text of one block element each, in page order. Markup is stripped and lines inside
-elements that hold no article text (menus, footers, forms, adverts, comments and so on, by element and by whole
-names and known compounds in class, id and role) weigh nothing, as do lines made of links. Such a name does not count
-on an element around the page's only article or main, or, on pages without these, around most of the text. Block lengths are sums of weights over sliding
-windows of ``WINDOW`` lines. Text surges where the windows rise from nothing and dives where they fall back to
-nothing; of the stretches between surge and dive points those of the page's text region are kept: inside ``article``
-or ``main`` elements where there are any with text, else each stretch with a line that reads as prose (a sentence's end
-or ``LONG`` characters), or all where none has one.
+A page is read into lines: the text of one block element each, in page order. Markup is stripped; a line weighs as
+many characters as it has, but nothing where it is made of links, and lines inside elements that hold no article text
+(menus, footers, forms, adverts, comments and so on, by element and by whole names and known compounds in class, id
+and role) are none of the article's. Such a name does not count on an element around the page's only article or main,
+or, on pages without these, around most of the text; where there is text in an article or main, lines outside weigh
+nothing.
+
+Block lengths are sums of weights over sliding windows of ``WINDOW`` lines. Text surges where the windows rise from
+nothing and dives where they fall back to nothing. All lines between a surge and its dive are kept but those of other
+elements, lines of links in the middle of text among them. Outside an article or main a stretch counts only if its
+windows reach ``SURGE`` characters or a line of it ends as a sentence does; where none counts, all do.
 
 Defined results: null or empty html gives empty text; a page of markup alone gives empty text; an element left open
-ends with its parent or the page; character references are decoded once; repeated lines are kept.
+ends with its parent or the page; quotes count only at the start of an attribute's value; character references are
+decoded once; repeated lines and repeated pages are kept; a null key or url stays null; long pages are read whole; an
+empty table gives an empty table; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ from pyspark.sql.types import StructType
 
 from loomspan.llm.common import slices, stream
 
-#: Lines summed in a window, and characters from which a line without a sentence's end reads as prose.
-WINDOW, LONG = 3, 40
+#: Lines summed in a window, and characters in a window at which text without a sentence's end has surged.
+WINDOW, SURGE = 3, 40
 
 #: Element names of the markup language.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "math", "xmp", "noembed", "noframes"}
@@ -42,8 +47,8 @@ OWN = {"header", "hidden", "side", "notice", "alert", "search"}
 PEERS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "menu", "select"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_MARK = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?", re.I)
 _JOINT = re.compile(r"[-_]+")
 _SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f]['\")\]\u2019\u201d\u00bb]*$")
 _SPACE = re.compile(r"\s+")
@@ -78,9 +83,9 @@ def _aside(name: str, marks: str, inside: bool) -> int:
     return named
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, whether inside an article or main) of each line with text."""
-    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, weight, whether inside an article or main, whether of another element) of each line with text."""
+    out: list[tuple[str, int, bool, tuple[int, ...], bool]] = []
     # open elements: name, how aside (see _aside), whether article or main
     open_: list[tuple[str, int, bool]] = []
     parts: list[str] = []
@@ -97,7 +102,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text = _SPACE.sub(" ", html.unescape(raw) if "&" in raw else raw).strip()
             if text:
                 weight = 0 if asides or not regions and 2 * linked > len(raw) else len(text)
-                out.append((text, weight, regions > 0, named))
+                out.append((text, weight, regions > 0, named, asides > 0))
             parts.clear()
             linked = 0
 
@@ -166,51 +171,54 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return _weighed(out, around)
 
 
-def _weighed(lines: list[tuple[str, int, bool, tuple[int, ...]]], around: set[int]) -> list[tuple[str, int, bool]]:
-    """Lines inside elements that are aside by name weigh nothing, unless such an element holds the page's article."""
+def _weighed(lines: list[tuple[str, int, bool, tuple[int, ...], bool]], around: set[int]) -> list[tuple[str, int, bool, bool]]:
+    """Lines inside elements that are aside by name are aside, unless such an element holds the page's article."""
     lifted: set[int] = set()
-    if not any(w and inside and not names for _, w, inside, names in lines):
-        if any(w and inside and around.issuperset(names) for _, w, inside, names in lines):
+    if not any(w and inside and not names for _, w, inside, names, _ in lines):
+        if any(w and inside and around.issuperset(names) for _, w, inside, names, _ in lines):
             lifted = around
         else:
             held: dict[int, int] = {}
-            for _, w, _, names in lines:
+            for _, w, _, names, _ in lines:
                 for x in names:
                     held[x] = held.get(x, 0) + w
-            total = sum(w for _, w, _, _ in lines)
+            total = sum(w for _, w, *_ in lines)
             lifted = {x for x, w in held.items() if 2 * w > total}
-    return [(t, w if lifted.issuperset(names) else 0, inside) for t, w, inside, names in lines]
+    return [(t, w if (own := lifted.issuperset(names)) else 0, inside, aside or not own) for t, w, inside, names, aside in lines]
 
 
-def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(first, end) line runs between a surge point and the next dive point of the window sums."""
-    n = len(weights)
-    sums, total = [], 0
+def block_lengths(weights: list[int], window: int = WINDOW) -> list[int]:
+    """Sums over ``window`` lines: entry i is of the lines i - window + 1 .. i, the last entries reach past the end."""
+    sums, total, n = [], 0, len(weights)
     for i in range(n + window - 1):
         total += weights[i] if i < n else 0
         total -= weights[i - window] if i >= window else 0
-        sums.append(total)  # of lines i - window + 1 .. i
-    out, begin = [], None
-    for i, s in enumerate(sums):
+        sums.append(total)
+    return sums
+
+
+def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first line, line after the last, greatest window) between each surge point and the next dive point."""
+    out, begin, peak = [], None, 0
+    for i, s in enumerate([*block_lengths(weights, window), 0]):
         if s and begin is None:
-            begin = i
+            begin, peak = i, s
         elif not s and begin is not None:
-            out.append((begin, i - window + 1))
+            out.append((begin, i - window + 1, peak))
             begin = None
-    if begin is not None:
-        out.append((begin, n))
+        peak = max(peak, s)
     return out
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, one block a line."""
     lines = lines_of(page or "")
-    whole = any(w for _, w, inside in lines if inside)
+    whole = any(w for _, w, inside, _ in lines if inside)
     if whole:
-        lines = [(t, w if inside else 0, inside) for t, w, inside in lines]
-    runs = stretches([w for _, w, _ in lines])
-    prose = [r for r in runs if whole or any(w and (w >= LONG or _SENTENCE.search(t)) for t, w, _ in lines[r[0] : r[1]])]
-    return "\n".join(t for r in prose or runs for t, w, _ in lines[r[0] : r[1]] if w)
+        lines = [(t, w if inside else 0, inside, aside or not inside) for t, w, inside, aside in lines]
+    runs = stretches([w for _, w, *_ in lines])
+    prose = [r for r in runs if whole or r[2] >= SURGE or any(w and _SENTENCE.search(t) for t, w, *_ in lines[r[0] : r[1]])]
+    return "\n".join(t for first, end, _ in prose or runs for t, _, _, aside in lines[first:end] if not aside)
 
 
 def extract(pages: DataFrame, key: str = "page_id", markup: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -328,6 +328,47 @@ def test_html_keeps_a_short_last_part():
     assert html_text.main_text(page) == ("long text " * 40).strip() + "\nThe end."
 
 
+def test_html_keeps_what_three_pages_lost():
+    lost = f"<p>{'first text ' * 40}</p><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><p>The closing paragraph of it.</p>"
+    assert html_text.main_text(lost).endswith("\nThe closing paragraph of it.")
+    assert html_text.main_text("<article><p data-a=it's>One.</p><p>don't</p><p class=it's>Two.</p></article>") == "One.\ndon't\nTwo."
+    for name in ("article-header", "side-by-side", "notice-text"):
+        assert html_text.main_text(f"<article><div class='{name}'><h1>Head</h1></div><p>Body.</p></article>") in ("Head\nBody.", "Body." if name == "notice-text" else "")
+    # a line of links within a window of text belongs to it, three of them do not
+    near = "<p>Some text of a page that goes on for a while.</p><p><a>see there</a></p><p>And more.</p>"
+    assert html_text.main_text(near).split("\n")[1] == "see there"
+    assert "see there" not in html_text.main_text(near.replace("<p><a>see there</a></p>", "<p><a>see there</a></p>" * 3))
+    assert html_text.main_text("<p><a>Menu</a></p>" + near).startswith("Some text")
+
+
+def test_html_stretches_by_brute_force():
+    rnd = random.Random(11)
+    for _ in range(300):
+        w = [rnd.choice([0, 0, 0, 5, 60]) for _ in range(rnd.randint(0, 25))]
+        window = rnd.randint(1, 4)
+        held = [i for i, x in enumerate(w) if x]
+        want = []
+        for i in held:
+            if want and i - want[-1][1] <= window:
+                want[-1][1] = i
+            else:
+                want.append([i, i])
+        got = html_text.stretches(w, window)
+        assert [(a, b) for a, b, _ in got] == [(a, b + 1) for a, b in want]
+        for a, b, peak in got:
+            assert peak == max(sum(w[max(i, 0) : i + window]) for i in range(a - window + 1, b))
+
+
+def test_html_of_a_table(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {i}.</p>" for i in range(20_000)) + "</article>"
+    kind = "page_id long, url string, html string, text string, n_chars string"
+    rows = [(1, "u", None, "x", "y"), (2, None, "", "x", "y"), (None, "w", "<p>&lt;One&gt; &amp;amp;</p>", "x", "y"), (3, "v", long, "x", "y"), (3, "v", long, "x", "y")]
+    got = sorted(html_text.extract(spark.createDataFrame(rows, kind)).collect(), key=lambda r: r.page_id or 0)
+    assert [(r.page_id, r.url, r.n_chars) for r in got[:3]] == [(None, "w", 11), (1, "u", 0), (2, None, 0)] and got[0].text == "<One> &amp;"
+    assert got[3].text == got[4].text == "\n".join(f"Paragraph {i}." for i in range(20_000)) and got[3].n_chars == len(got[3].text)
+    assert html_text.extract(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_toxicity_swaps_lower_the_weight_of_group_terms(spark):
     rnd = random.Random(5)
     rows = []
