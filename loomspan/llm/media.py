@@ -5,7 +5,9 @@ The writer takes for each line the filter of least absolute sum among those aske
 Pictures are 8-bit grey. The hash shrinks the picture to 32 x 32 block means, takes the low-frequency 8 x 8 corner
 of its cosine transform, and sets a bit for each coefficient above their median (the constant one left out).
 
-Defined results: null text counts as empty; a payload is padded with bytes 0 to a positive multiple of the width, so
+Defined results: null text counts as empty, a null key stays null; repeated rows each have their picture; an empty
+table gives an empty table; other columns stay in ``to_media``, which refuses a name that is taken, and are ignored in
+``report``; a payload is padded with bytes 0 to a positive multiple of the width, so
 empty text is one line of zeros; equal payloads give equal files and features; a damaged file raises ValueError.
 """
 
@@ -18,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from loomspan.llm.common import slices, stream
+from loomspan.llm.common import materialize, slices, stream
 
 #: Fixed values of the container.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -74,13 +77,18 @@ def filter_lines(pixels: np.ndarray, above: np.ndarray, kinds: tuple[int, ...])
 
 
 def unfilter_lines(lines: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """Pixels of filtered lines. Runs of one filter are undone together where no line waits for another's bytes."""
+    """Pixels of filtered lines; ``above`` is the line before the first. Runs of one filter are undone together."""
     kinds, raw = lines[:, 0], lines[:, 1:]
+    if len(kinds) and kinds.max() > PAETH:
+        raise ValueError(f"filter {kinds.max()} is not one of the format")
     out = np.empty_like(raw)
-    ends = [*(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+    groups = np.minimum(kinds, AVERAGE)  # the last two wait for the same neighbours
+    ends = [*(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(kinds)]
     begin = 0
     for end in ends:
-        kind, part = int(kinds[begin]), raw[begin:end]
+        if begin == end:
+            continue
+        kind, part = int(groups[begin]), raw[begin:end]
         before = out[begin - 1] if begin else above
         if kind == NONE:
             out[begin:end] = part
@@ -88,25 +96,26 @@ def unfilter_lines(lines: np.ndarray, above: np.ndarray) -> np.ndarray:
             out[begin:end] = np.cumsum(part, axis=1, dtype=np.uint8)
         elif kind == UP:
             out[begin:end] = np.cumsum(part, axis=0, dtype=np.uint8) + before
-        elif kind in (AVERAGE, PAETH):
-            for y in range(begin, end):
-                up, line, x0 = (out[y - 1] if y else above).tolist(), raw[y].tolist(), 0
-                for x, v in enumerate(line):
-                    if kind == AVERAGE:
-                        guess = (x0 + up[x]) >> 1
-                    else:
-                        c = up[x - 1] if x else 0
-                        p = x0 + up[x] - c
-                        pa, pb, pc = abs(p - x0), abs(p - up[x]), abs(p - c)
-                        guess = x0 if pa <= pb and pa <= pc else up[x] if pb <= pc else c
-                    line[x] = x0 = (v + guess) & 255
-                out[y] = line
         else:
-            raise ValueError(f"filter {kind} is not one of the format")
+            out[begin:end] = _undo_slanted(part, before, kinds[begin:end] == PAETH)
         begin = end
     return out
 
 
+def _undo_slanted(raw: np.ndarray, above: np.ndarray, paeth: np.ndarray) -> np.ndarray:
+    """Lines filtered by average or Paeth: a pixel waits for those to its left and above, so slanted rows go at once."""
+    n, width = raw.shape
+    held = np.zeros((n + 1, width + 1), np.int16)  # with the line above, and zeros to the left
+    held[0, 1:] = above
+    for d in range(n + width - 1):
+        y = np.arange(max(0, d - width + 1), min(n, d + 1))
+        x = d - y
+        left, up, corner = held[y + 1, x], held[y, x + 1], held[y, x]
+        guess = np.where(paeth[y], _paeth(left, up, corner), (left + up) >> 1)
+        held[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return held[1:, 1:].astype(np.uint8)
+
+
 def png_encode(pixels: np.ndarray, kinds: tuple[int, ...] = (NONE, SUB, UP), level: int = LEVEL) -> bytes:
     """A grey 8-bit picture as a PNG file."""
     height, width = pixels.shape
@@ -197,29 +206,32 @@ def to_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFra
     return stream(df, StructType([*df.schema.fields, StructField(media, BinaryType())]), rows)
 
 
-def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the stored form's figures and features of the pixels read back from it."""
-    out = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def features(stored: DataFrame, *kept: str, media: str = "media") -> DataFrame:
+    """``kept`` and, of each picture in the binary column ``media``, its figures and features of its pixels.
+
+    A null picture has null figures; a damaged one raises ValueError.
+    """
+    out = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kind = StructType([*(stored.schema[c] for c in kept), *StructType.fromDDL(out).fields])
 
-    def one(value: str | None) -> dict:
-        n, raw = payload(value)
-        data = png_encode(np.frombuffer(raw, np.uint8).reshape(-1, WIDTH))
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6
         pixels = png_decode(data)
         back = pixels.tobytes()
-        return {
-            "n_bytes": n,
-            "payload_bytes": len(back),
-            "payload_sha256": hashlib.sha256(back).hexdigest(),
-            "tail_crc32": zlib.crc32(back[-64:]),
-            "media_bytes": len(data),
-            "media_sha256": hashlib.sha256(data).hexdigest(),
-            "feature": cosine_hash(pixels),
-        }
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(pixels)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            for part in slices(batch, text):
-                made = [one(t) for t in part[text]]
-                yield {key: part[key]} | {k: [m[k] for m in made] for k in made[0]}
+            for part in slices(batch, media):
+                made = zip(*map(one, part[media]), strict=True)
+                yield {c: part[c] for c in kept} | dict(zip(kind.names[len(kept) :], made, strict=True))
+
+    return stream(stored.select(*kept, media), kind, rows)
+
 
-    return stream(df.select(key, text), StructType([df.schema[key], *StructType.fromDDL(out).fields]), rows)
+def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_bytes, and the features of its text's picture, read from a stored table of pictures."""
+    plain = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"))
+    stored = materialize(to_media(plain).drop("text"), "media")
+    return features(stored, "key", "n_bytes").withColumnRenamed("key", key)

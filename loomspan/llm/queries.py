@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(table(spark, sf_dir, "documents"))
+    return media.report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_toxicity": toxicity_scores, "op2_bpe": bpe_codec, "op3_ppm": language_scores, "op4_html": page_text, "op5_substrings": repeated_passages, "op6_quality": quality_scores, "op7_decontaminate": contamination, "op8_simhash": near_duplicates, "op9_media": media_features, "op10_token_store": token_store}

@@ -298,10 +298,55 @@ def test_png_round_trip_and_damage():
             media.png_decode(data[:-20] + bytes([data[-20] ^ 1]) + data[-19:])
 
 
-def test_media_of_texts(spark):
-    got = {r.doc_id: r for r in media.features(docs(spark)).collect()}
-    assert (got[0].n_bytes, got[0].payload_bytes) == (0, 64) and got[8].feature == got[9].feature
-    assert got[0].payload_sha256 == hashlib.sha256(b"\0" * 64).hexdigest()
+def plain_png(data):
+    """A reader of its own: bytes one by one, as the format says."""
+    at, body, width = 8, b"", 0
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4]), data[at + 4 : at + 8]
+        chunk = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + chunk) == int.from_bytes(data[at + 8 + n : at + 12 + n])
+        width = int.from_bytes(chunk[:4]) if kind == b"IHDR" else width
+        body += chunk if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, out, up = zlib.decompress(body), b"", bytes(width)
+    for y in range(0, len(raw), width + 1):
+        kind, line = raw[y], bytearray(raw[y + 1 : y + 1 + width])
+        for x in range(width):
+            a, b, c = line[x - 1] if x else 0, up[x], up[x - 1] if x else 0
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            line[x] = (line[x] + (0, a, b, (a + b) // 2, near)[kind]) & 255
+        up = bytes(line)
+        out += up
+    return out
+
+
+def test_media_of_texts_by_brute_force(spark):
+    kind = "doc_id long, text string, media string, `key` string, n_bytes string"
+    texts = [*TEXTS, "é" * 3000, "line of text\n" * 700]
+    df = spark.createDataFrame([(i, t, "m", "k", "n") for i, t in enumerate(texts)] + [(None, "x", "m", "k", "n"), (8, "same text", "m", "k", "n")], kind)
+    got = media.report(df).collect()
+    assert len(got) == len(texts) + 2 and len({tuple(r) for r in got if r.doc_id == 8}) == 1
+    stored = {r.doc_id: r.media for r in media.to_media(docs(spark, texts)).collect()}
+    for r in got:
+        t = "x" if r.doc_id is None else texts[r.doc_id]
+        raw = (t or "").encode()
+        padded = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        if r.doc_id is not None:
+            file = stored[r.doc_id]
+            assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest()) and plain_png(file) == padded
+        pixels = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+        h = len(pixels)
+        cells = [[i * h // 32, max((i + 1) * h // 32, i * h // 32 + 1)] for i in range(32)] if h < 32 else [[i * h // 32, (i + 1) * h // 32] for i in range(32)]
+        small = np.array([[pixels[a:b, 2 * j : 2 * j + 2].mean() for j in range(32)] for a, b in cells])
+        low = [sum(small[y, x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+        middle = np.median(np.round(low, 6)[1:])
+        bits = "".join("0" if i == 0 else str(int(round(x, 6) > middle)) for i, x in enumerate(low))
+        assert sum(a != b for a, b in zip(f"{int(r.feature, 16):064b}", bits, strict=True)) <= 1  # sums in another order
+    assert media.report(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        media.to_media(df)
 
 
 def test_html_main_text(spark):
