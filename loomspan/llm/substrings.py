@@ -8,20 +8,21 @@ in a row mostly share one, so a document is cut into segments (the windows of on
 2. A bit filter of bounded size over anchors that recur goes to all tasks; segments whose anchor passes are dealt by
    anchor. A filter can let more through than recurs, never less.
 3. In each shard recurring passages are confirmed word by word, compiled with pyahocorasick, and the shard's segments
-   are streamed through the automaton to find every occurrence. All but the first occurrence are marked.
-   An anchor with very many segments is dealt over several shards; each marks all but its own first occurrences,
-   and these firsts are compared in a second round keyed by the passage itself, a few rows a key.
+   are streamed through the automaton to find every occurrence. All but the first occurrence are marked. All documents
+   pass this way, but each segment meets only the automaton that can hold its passages.
+   An anchor with more than ``CROWD`` segments is dealt over several shards, each with an automaton of all its windows;
+   a shard marks all but its own first occurrences, and those firsts are compared by passage in a second round.
 4. Marks are joined back to the documents and the marked words removed.
 
 Defined results: words are runs of anything but ASCII white space; null, empty and short texts have no window and
 keep all words; the order of occurrences is (doc_id, place of the first word), null ids first; rows that share a
-doc_id count as one document, so equal rows never remove each other's words at the same place.
+doc_id count as one document, so equal rows never remove each other's words at the same place; an empty table gives an
+empty table; other columns, of whatever name, stay as they are in ``remove_repeats`` and are ignored in ``report``.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,13 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from loomspan.llm.common import forget, materialize, slices, stream
+from loomspan.llm.common import forget, materialize, slices, stream, unused
 
 WINDOW, GRAM = 20, 8
 #: Bits of the anchor filter: 16 an anchor, within these powers of two.
 FILTER_MIN, FILTER_MAX = 20, 30
-#: Segments of one anchor in one shard; and how many anchors at most may be dealt over several.
-CROWD, MOST_CROWDS = 20_000, 10_000
+#: Segments of one anchor in one shard.
+CROWD = 2000
 #: Patterns of one automaton, and characters of a slice of documents.
 PATTERNS, SLICE = 4000, 1 << 20
 
@@ -164,14 +165,14 @@ class BitFilter:
         return out
 
 
-def _occurrences(group: list[tuple], window: int) -> Iterator[tuple[str, int]]:
-    """(pattern, words) confirmed to recur in the segments of one anchor: (key, mark, start, windows, text)."""
+def _occurrences(group: list[tuple], window: int, least: int) -> Iterator[tuple[str, int]]:
+    """(pattern, words) that the segments of one anchor, (key, mark, start, windows, text), hold ``least`` times."""
     times: dict[str, int] = {}
     sizes: dict[str, int] = {}
     for *_, n, text in group:
         times[text] = times.get(text, 0) + 1
         sizes[text] = n
-    if len(times) == 1:
+    if len(times) == 1 and least > 1:
         ((text, _),) = times.items()
         yield text, sizes[text] + window - 1
         return
@@ -182,15 +183,15 @@ def _occurrences(group: list[tuple], window: int) -> Iterator[tuple[str, int]]:
             w = " ".join(words[i : i + window])
             seen[w] = seen.get(w, 0) + n
     for w, n in seen.items():
-        if n > 1:
+        if n >= least:
             yield w, window
 
 
-def locate(groups: list[list[tuple]], window: int = WINDOW) -> Iterator[tuple[str, int, list[tuple]]]:
-    """(pattern, words, occurrences (key, mark, start)) of the recurring passages of some groups, by one automaton."""
+def locate(groups: list[list[tuple]], window: int = WINDOW, least: int = 2) -> Iterator[tuple[str, int, list[tuple]]]:
+    """(pattern, words, occurrences (key, mark, start)) of the passages of some groups, by one automaton."""
     import ahocorasick
 
-    patterns = [p for g in groups for p in _occurrences(g, window)]
+    patterns = [p for g in groups for p in _occurrences(g, window, least)]
     if not patterns:
         return
     machine = ahocorasick.Automaton()
@@ -241,99 +242,82 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     marks = StructType([StructField(key, kind), *StructType.fromDDL("mark long, start int, words int").fields])
     if not n:
         return spark.createDataFrame([], marks)
-    crowd = max(CROWD, (total or 0) // MOST_CROWDS)
-    crowds = {r.anchor: -(-r.n // crowd) for r in counted.filter(F.col("n") > crowd).limit(MOST_CROWDS).collect()}
-    shared = spark.sparkContext.broadcast((BitFilter.of(counted, n), crowds))
+    shared = spark.sparkContext.broadcast(BitFilter.of(counted, n))
+    # a table of its own, so that its size decides how it is joined
+    crowds = materialize(counted.filter(F.col("n") > CROWD).select("anchor", F.ceil(F.col("n") / CROWD).cast("int").alias("deals")), "crowds")
     forget(counted)
 
     def cut(batches: Iterator[dict]) -> Iterator[dict]:
-        passes, dealt = shared.value
         for batch in batches:
             for part in slices(batch, text, SLICE):
                 words = Words(part[text])
                 whose, first, windows, anchor = segments(words)
-                kept = np.flatnonzero(passes.has(anchor)) if len(anchor) else []
+                kept = np.flatnonzero(shared.value.has(anchor)) if len(anchor) else []
                 whose, first, windows, anchor = (x[kept] for x in (whose, first, windows, anchor))
-                hashes = [part["mark"][i] for i in whose]
                 yield {
                     "anchor": anchor,
-                    "deal": [zlib.crc32(repr(part[key][i]).encode()) % dealt[a] if a in dealt else 0 for i, a in zip(whose, anchor.tolist(), strict=True)],
                     key: [part[key][i] for i in whose],
-                    "mark": hashes,
+                    "mark": [part["mark"][i] for i in whose],
                     "start": first - words.firsts[whose],
                     "windows": windows,
                     "segment": [words.text(a, a + w + WINDOW - 1) for a, w in zip(first.tolist(), windows.tolist(), strict=True)],
                 }
 
     columns = (key, "mark", "start", "windows", "segment")
-    cut_kind = StructType([*StructType.fromDDL("anchor long, deal int").fields, StructField(key, kind), *StructType.fromDDL("mark long, start int, windows int, segment string").fields])
+    cut_kind = StructType([*StructType.fromDDL("anchor long").fields, StructField(key, kind), *StructType.fromDDL("mark long, start int, windows int, segment string").fields])
     cuts = stream(docs.select(key, text, _mark(text).alias("mark")), cut_kind, cut)
+    some = not crowds.isEmpty()
+    own = F.pmod(F.xxhash64(key, "mark", "start"), "deals").cast("int")
+    cuts = cuts.join(crowds, "anchor", "left").withColumn("deal", F.coalesce(own, F.lit(-1))).drop("deals") if some else cuts.withColumn("deal", F.lit(-1))
     # a first occurrence in one deal of a crowd is reported with its passage, for the second round
     out_kind = StructType([*marks.fields, StructField("passage", StringType())])
 
     def shard(batches: Iterator[dict]) -> Iterator[dict]:
-        def run(groups: list[list[tuple]], deals: bool) -> dict:
+        def run(groups: list[list[tuple]], least: int) -> Iterator[dict]:
             out: list[tuple] = []
-            for pattern, n_words, where in locate(groups):
+            for pattern, n_words, where in locate(groups, least=least):
                 first = min(map(_order, where))
-                for place in where:
-                    if _order(place) != first:
-                        out.append((*place, n_words, None))
-            if deals:
-                # every window of a crowd's deal that is the deal's first of its kind
-                firsts: dict[str, tuple] = {}
-                for g in groups:
-                    for k, m, start, _, segment in g:
-                        words = segment.split(" ")
-                        for i in range(len(words) - WINDOW + 1):
-                            w, place = " ".join(words[i : i + WINDOW]), (k, m, start + i)
-                            if w not in firsts or _order(place) < _order(firsts[w]):
-                                firsts[w] = place
-                out += [(*place, WINDOW, w) for w, place in firsts.items()]
-            return dict(zip(out_kind.names, zip(*out, strict=True), strict=True)) if out else {}
+                out += [(*place, n_words, None) for place in where if _order(place) != first]
+                if least == 1:
+                    out.append((*next(p for p in where if _order(p) == first), n_words, pattern))
+            if out:
+                yield dict(zip(out_kind.names, zip(*out, strict=True), strict=True))
 
         held, rows = [], 0
-        for (anchor, _), group in _grouped(batches, ("anchor", "deal"), columns):
-            if anchor in shared.value[1]:
-                if found := run([group], True):
-                    yield found
+        for (_, deal), group in _grouped(batches, ("anchor", "deal"), columns):
+            if deal >= 0:
+                yield from run([group], 1)
             elif len(group) > 1:
                 held.append(group)
                 rows += len(group)
                 if rows >= PATTERNS:
-                    if found := run(held, False):
-                        yield found
+                    yield from run(held, 2)
                     held, rows = [], 0
-        if held and (found := run(held, False)):
-            yield found
+        if held:
+            yield from run(held, 2)
 
     found = stream(_sort_dealt(cuts, "anchor", "deal"), out_kind, shard)
-    if not crowds:
+    if not some:
         return found.drop("passage")
     found = materialize(found, "marks")
-
-    def final(batches: Iterator[dict]) -> Iterator[dict]:
-        for _, group in _grouped(batches, ("passage",), marks.names):
-            first = min(_order(x[:3]) for x in group)
-            rest = [x for x in group if _order(x[:3]) != first]
-            if rest:
-                yield dict(zip(marks.names, zip(*rest, strict=True), strict=True))
-
-    second = stream(_sort_dealt(found.filter("passage is not null"), "passage"), marks, final)
-    return found.filter("passage is null").drop("passage").unionByName(second)
+    firsts = found.filter("passage is not null").withColumn("place", F.struct(F.col(key).isNotNull().alias("named"), F.col(key).alias("k"), "start"))
+    least_of = firsts.groupBy("passage").agg(F.min("place").alias("least"))
+    # rows of one key at one place are one occurrence
+    later = firsts.join(least_of, "passage").filter(F.col("place") != F.col("least")).select(*marks.names)
+    return found.filter("passage is null").drop("passage").unionByName(later)
 
 
 def _mark(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with __cuts, the stretches to remove from each row."""
-    cuts = repeats(docs, key, text).groupBy(F.col(key).alias("__key"), F.col("mark").alias("__mark"))
-    cuts = cuts.agg(F.collect_set(F.struct("start", "words")).alias("__cuts"))
-    named = docs.withColumn("__text_mark", _mark(text))
-    on = named[key].eqNullSafe(cuts["__key"]) & (named["__text_mark"] == cuts["__mark"])
-    return named.join(cuts, on, "left").drop("__key", "__mark", "__text_mark")
+def _marked(docs: DataFrame, key: str, text: str, cuts_name: str) -> DataFrame:
+    """``docs`` with the stretches to remove from each row."""
+    own, of_text = unused(docs, "key"), unused(docs, "mark")
+    cuts = repeats(docs.select(key, text), key, text).groupBy(F.col(key).alias(own), F.col("mark").alias(of_text))
+    cuts = cuts.agg(F.collect_set(F.struct("start", "words")).alias(cuts_name))
+    named = docs.withColumn(of_text, _mark(text))
+    return named.join(cuts, named[key].eqNullSafe(cuts[own]) & (named[of_text] == cuts[of_text]), "left").select(*(named[c] for c in docs.columns), cuts_name)
 
 
 def _kept(text: str | None, cuts: list | None) -> tuple[list[bytes], int]:
@@ -350,14 +334,14 @@ def _kept(text: str | None, cuts: list | None) -> tuple[list[bytes], int]:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` replaced by its kept words, joined by one space; texts without repeats stay as they are."""
-    columns = docs.columns
+    columns, place = docs.columns, unused(docs, "cuts")
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            new = [t if not cuts else b" ".join(_kept(t, cuts)[0]).decode() for t, cuts in zip(batch[text], batch["__cuts"], strict=True)]
+            new = [t if not cuts else b" ".join(_kept(t, cuts)[0]).decode() for t, cuts in zip(batch[text], batch[place], strict=True)]
             yield {c: batch[c] for c in columns} | {text: new}
 
-    return stream(_marked(docs, key, text), docs.schema, rows)
+    return stream(_marked(docs, key, text, place), docs.schema, rows)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,7 +349,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            made = [_kept(t, cuts) for t, cuts in zip(batch[text], batch["__cuts"], strict=True)]
+            made = [_kept(t, cuts) for t, cuts in zip(batch[text], batch["cuts"], strict=True)]
             yield {
                 key: batch[key],
                 "n_words": [n for _, n in made],
@@ -374,4 +358,4 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             }
 
     kind = StructType([docs.schema[key], *StructType.fromDDL("n_words long, n_removed long, kept_sha256 string").fields])
-    return stream(_marked(docs.select(key, text), key, text), kind, rows)
+    return stream(_marked(docs.select(key, text), key, text, "cuts"), kind, rows)

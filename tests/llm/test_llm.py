@@ -222,7 +222,7 @@ def test_near_duplicate_stage_links_by_jaccard(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), "").count() == 0
 
 
-@pytest.mark.parametrize("crowd", [20_000, 10])
+@pytest.mark.parametrize("crowd", [2000, 10])
 def test_repeated_passages(spark, monkeypatch, crowd):
     monkeypatch.setattr(substrings, "CROWD", crowd)
     rnd = random.Random(3)
@@ -242,6 +242,24 @@ def test_repeated_passages(spark, monkeypatch, crowd):
     assert substrings.report(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [2000, 2])
+def test_repeats_of_null_keys_equal_rows_and_clashing_columns(spark, monkeypatch, crowd):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    passage = " ".join(f"p{i}" for i in range(25))
+    kind = "doc_id long, text string, cuts string, mark string, `key` string, _cuts string, anchor string, start int"
+    rows = [(5, f"five {passage}"), (None, f"none {passage}"), (6, f"six {passage} {passage}"), (5, f"five {passage}"), (7, None), (8, ""), (9, "x " * 9 + passage + " y" * 30_000)]
+    df = spark.createDataFrame([(*r, "c", "m", "k", "_c", "a", 1) for r in rows], kind)
+    got = substrings.remove_repeats(df)
+    assert got.columns == df.columns
+    found = {(r.doc_id, r.text) for r in got.collect()}
+    # null comes first and keeps the passage; both rows of key 5 are at one place
+    assert found >= {(None, f"none {passage}"), (5, "five"), (6, "six"), (7, None), (8, "")}
+    long = next(t for k, t in found if k == 9)
+    # the window that starts with the second y repeats the one before it, and so on
+    assert long.split() == ["x"] * 9 + ["y"] and got.count() == len(rows)
+    assert substrings.remove_repeats(df.limit(0)).count() == 0
+
+
 def test_benchmark_windows(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "Short item"), (3, None), (2, "Short item")], "item_id long, text string")
     texts = [*TEXTS, "x ONE two, three four five six seven eight nine ten y", "a short item here", "short x item"]
