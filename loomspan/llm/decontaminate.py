@@ -1,41 +1,47 @@
 """Benchmark decontamination through a positional inverted index over the training documents.
 
-The index is a table of segments in the shared folder. A segment covers some documents and holds, for each term,
-the ascending positions at which it stands; documents follow each other in one position space with gaps, so a
-position names a document and a word of it. Only terms that the test items use are indexed: no query reads others.
-Segments are written by one pass and never change, as rows of Parquet, so a lost executor costs its tasks alone.
-
-A query window is answered inside each segment: its lists are taken from the rarest term on (by counts over all
-segments), shifted by the term's offset and intersected; most windows end at the first empty list. Allowing a
-``slop`` keeps a start if each term stands within that many places of its own, so the same lists give exact phrases
-(slop 0) and proximity matches. Windows go to the segments in blocks of bounded size.
-
-Defined results: null and empty texts have no words and no hit; an item with fewer words than a window is one
-window, an item of none has no window; repeated items count each under its own id; equal item rows count once; null
-item ids are left out of the item list but their windows still hit.
+The index is stored in the shared folder: a table of segments and one of term counts. A segment covers some documents
+and holds, for each term in them, the ascending positions at which it stands; documents follow each other in one
+position space with gaps, so a position names a document and a word of it. The index knows nothing of the test items
+and can be searched for any. Segments are written by one pass and never change, as rows of Parquet, so a lost executor
+costs its tasks alone.
+
+A query window is answered inside each segment that holds its rarest term (by counts over all segments): its lists are
+taken from the rarest term on, shifted by the term's offset and intersected; most windows end at the first empty list.
+Allowing a ``slop`` keeps a start if each term stands within that many places of its own, so the same lists give exact
+phrases (slop 0) and proximity matches. Windows go to the segments in blocks of ``BLOCK_WINDOWS``, and the driver holds
+one block at a time.
+
+Defined results: null and empty texts have no words and no hit; an item with fewer words than a window is one window,
+an item of none has no window; repeated items count each under its own id; equal item rows count once; null item ids
+are left out of the item list but their windows still hit; repeated rows and null keys each have their row; an empty
+table gives an empty table; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import batched, chain, count
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from loomspan.llm.common import materialize, slices, stream
 
 WINDOW = 10
-#: Characters of text a segment covers, and query windows a pass over the segments takes.
-SEGMENT_CHARS, BLOCK_WINDOWS = 4 << 20, 200_000
+#: Characters of text a segment covers, places between two documents, and query windows a pass over the segments takes.
+SEGMENT_CHARS, GAP, BLOCK_WINDOWS = 4 << 20, 1024, 200_000
 #: ASCII letters and digits and everything beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-FOUND = "seg string, place int, n_words long, starts array<long>, sizes array<long>, items array<string>"
+FOUND = "seg long, place int, n_words long, starts array<long>, sizes array<long>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,52 +55,71 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-def build_index(docs: DataFrame, terms: set[bytes], gap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The segment table of ``docs`` for ``terms``: seg, keys, lengths, terms, offsets, positions."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(sorted(terms))})
-    tail = StructType.fromDDL("lengths binary, terms array<string>, offsets binary, positions binary").fields
-    kind = StructType([StructField("seg", StringType()), StructField("keys", ArrayType(docs.schema[key].dataType)), *tail])
+@dataclass(frozen=True)
+class Index:
+    """Tables of a stored index: segments (seg, keys, lengths, terms, counts, steps) and counts (term, n)."""
 
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        place = shared.value
-        names = sorted(place, key=place.get)
-        for batch in batches:
-            for part in slices(batch, text, SEGMENT_CHARS):
-                codes, at, lengths, start = [], [], [], 0
-                for t in part[text]:
-                    found = words_of(t)
-                    here = np.fromiter((place.get(w, -1) for w in found), np.int32, len(found))
-                    held = np.flatnonzero(here >= 0)
-                    codes.append(here[held])
-                    at.append(held + start)
-                    lengths.append(len(found))
-                    start += len(found) + gap
-                code, where = np.concatenate(codes), np.concatenate(at)
-                order = np.argsort(code, kind="stable")
-                code, where = code[order], where[order].astype(np.int64)
-                edges = np.flatnonzero(np.diff(code, prepend=-1))
-                yield {
-                    "seg": [uuid.uuid4().hex],
-                    "keys": [part[key]],
-                    "lengths": [np.array(lengths, np.int64).tobytes()],
-                    "terms": [[names[c].decode() for c in code[edges]]],
-                    "offsets": [np.append(edges, len(code)).astype(np.int64).tobytes()],
-                    "positions": [where.tobytes()],
-                }
+    segments: DataFrame
+    counts: DataFrame
 
-    return materialize(stream(docs.select(key, text), kind, rows), "segments")
 
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> Index:
+    """Index ``docs`` below ``path``, or below a scratch path.
 
-def term_counts(index: DataFrame) -> dict[str, int]:
-    """Occurrences of each indexed term; as many entries as the test items have terms."""
+    The terms of a segment are in ascending order; their positions, one term's after another's, are kept as steps from
+    the position before (the first of each term from 0).
+    """
+    tail = StructType.fromDDL("lengths binary, terms binary, counts binary, steps binary").fields
+    kind = StructType([StructField("seg", LongType()), StructField("keys", ArrayType(docs.schema[key].dataType)), *tail])
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        seg = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for terms, offsets in zip(batch["terms"], batch["offsets"], strict=True):
-                yield {"term": terms, "n": np.diff(np.frombuffer(offsets, np.int64)).tolist()}
+            for part in slices(batch, text, SEGMENT_CHARS):
+                code_of: dict[bytes, int] = defaultdict(count().__next__)
+                found = [words_of(t) for t in part[text]]
+                lengths = np.fromiter(map(len, found), np.int64, len(found))
+                total = int(lengths.sum())
+                code = np.fromiter(map(code_of.__getitem__, chain.from_iterable(found)), np.int64, total)
+                names = sorted(code_of)
+                rank = np.empty(len(names), np.int64)
+                rank[[code_of[t] for t in names]] = np.arange(len(names))
+                code = rank[code]
+                order = np.argsort(code, kind="stable")
+                where = (np.arange(total) + GAP * np.repeat(np.arange(len(found)), lengths))[order]
+                held = np.bincount(code, minlength=len(names))
+                steps = np.diff(where, prepend=0)
+                firsts = np.cumsum(held) - held
+                steps[firsts] = where[firsts]
+                yield {"seg": [seg], "keys": [part[key]], "lengths": [lengths.tobytes()], "terms": [b"\n".join(names)], "counts": [held.astype("<u4").tobytes()], "steps": [steps.astype("<u4").tobytes()]}
+                seg += 1
+
+    made = stream(docs.select(key, text), kind, rows)
+    if path:
+        made.write.parquet(f"{path}/segments")
+        segments = docs.sparkSession.read.schema(kind).parquet(f"{path}/segments")
+    else:
+        segments = materialize(made, "segments")
+
+    def terms(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for names, n in zip(batch["terms"], batch["counts"], strict=True):
+                held = np.frombuffer(n, "<u4").astype(np.int64)
+                for i, part in enumerate(batched(names.decode().split("\n") if len(held) else [], 50_000)):
+                    yield {"term": part, "n": held[50_000 * i : 50_000 * i + len(part)]}
+
+    counted = stream(segments.select("terms", "counts"), "term string, n long", terms).groupBy("term").agg(F.sum("n").alias("n"))
+    if path:
+        counted.write.parquet(f"{path}/counts")
+        return Index(segments, docs.sparkSession.read.schema(counted.schema).parquet(f"{path}/counts"))
+    return Index(segments, materialize(counted, "counts"))
+
 
-    counts = stream(index.select("terms", "offsets"), "term string, n long", rows).groupBy("term").agg(F.sum("n").alias("n"))
-    return {r.term: r.n for r in counts.collect()}
+def term_counts(index: Index, terms: set[bytes]) -> dict[bytes, int]:
+    """Occurrences of each of ``terms`` (those of one block of windows) that the index has."""
+    spark = index.counts.sparkSession
+    asked = spark.createDataFrame([(t.decode(),) for t in sorted(terms)], "term string")
+    return {r.term.encode(): r.n for r in index.counts.join(asked, "term", "left_semi").collect()}
 
 
 def _near(starts: np.ndarray, shifted: np.ndarray, slop: int) -> np.ndarray:
@@ -105,13 +130,13 @@ def _near(starts: np.ndarray, shifted: np.ndarray, slop: int) -> np.ndarray:
     return starts[(i < len(shifted)) & (shifted[np.minimum(i, len(shifted) - 1)] <= starts + slop)]
 
 
-def match(lists: dict[str, np.ndarray], query: list[tuple[int, str]], slop: int = 0) -> np.ndarray:
+def match(lists: dict[bytes, np.ndarray], query: list[tuple[int, bytes]], slop: int = 0) -> np.ndarray:
     """Starts of a window in a segment; ``query`` has (offset, term) from the rarest term on."""
     offset, term = query[0]
     found = lists.get(term)
     if found is None:
         return np.empty(0, np.int64)
-    starts = found - offset
+    starts = np.unique(np.concatenate([found - offset + d for d in range(-slop, slop + 1)])) if slop else found - offset
     for offset, term in query[1:]:
         other = lists.get(term)
         if other is None:
@@ -122,41 +147,76 @@ def match(lists: dict[str, np.ndarray], query: list[tuple[int, str]], slop: int
     return starts
 
 
-def search(index: DataFrame, windows: dict[tuple[bytes, ...], list], counts: dict[str, int], gap: int, slop: int = 0) -> DataFrame:
-    """Per document: key, n_words, starts and sizes of the windows in it, and items (their ids).
+def _blocks(items: DataFrame, size: int) -> Iterator[dict[tuple[bytes, ...], list]]:
+    """Windows with the ids of their items, ``BLOCK_WINDOWS`` at most at a time."""
+    windows: dict[tuple[bytes, ...], list] = {}
+    for r in items.toLocalIterator():
+        for w in dict.fromkeys(windows_of(words_of(r.t), size)):
+            held = windows.setdefault(w, [])
+            if r.id is not None:
+                held.append(r.id)
+            if len(windows) >= BLOCK_WINDOWS:
+                yield windows
+                windows = {}
+    if windows:
+        yield windows
+
+
+def _plan(index: Index, windows: dict[tuple[bytes, ...], list]) -> dict[bytes, list]:
+    """Windows by their rarest term, each with its terms from the rarest on; those with an unknown term find nothing."""
+    counts, plan = term_counts(index, {w for x in windows for w in x}), {}
+    for words, items in windows.items():
+        if all(w in counts for w in words):
+            query = sorted(enumerate(words), key=lambda x: (counts[x[1]], x))
+            plan.setdefault(query[0][1], []).append((query, len(words), items))
+    return plan
+
 
-    ``windows`` maps a window to the ids of its items. ``gap`` is that of the index and exceeds window and slop.
+def search(index: Index, items: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
+    """Per document: key, n_words, starts and sizes of the windows in it, and items: the ids of those of ``items`` (id, t).
+
+    Starts count from the document's first word. ``size`` and ``slop`` together are below the gap between documents.
     """
-    plan = []
-    for words, items in windows.items():
-        terms = [w.decode() for w in words]
-        if all(t in counts for t in terms):
-            plan.append((sorted(enumerate(terms), key=lambda x: (counts[x[1]], x)), len(words), items))
-    spark, parts = index.sparkSession, []
-    kind = StructType([StructField("key", index.schema["keys"].dataType.elementType), *StructType.fromDDL(FOUND).fields])
-    for begin in range(0, max(1, len(plan)), BLOCK_WINDOWS):
-        shared = spark.sparkContext.broadcast(plan[begin : begin + BLOCK_WINDOWS])
-
-        def rows(batches: Iterator[dict], shared=shared) -> Iterator[dict]:
+    if size + slop >= GAP:
+        raise ValueError(f"windows of {size} words and a slop of {slop} reach over the gap of {GAP}")
+    spark, parts = index.segments.sparkSession, []
+    kind = StructType([StructField("key", index.segments.schema["keys"].dataType.elementType), *StructType.fromDDL(FOUND).fields])
+
+    def answered(plan: dict[bytes, list]) -> DataFrame:
+        shared = spark.sparkContext.broadcast((plan, frozenset(t for queries in plan.values() for q, *_ in queries for _, t in q)))
+
+        def one(names: bytes, held: bytes, steps: bytes, lengths: bytes) -> tuple[list, list, list, list]:
+            plan, asked = shared.value
+            sizes_of = np.frombuffer(lengths, np.int64)
+            ends = np.cumsum(np.frombuffer(held, "<u4").astype(np.int64)).tolist()
+            step, lists = np.frombuffer(steps, "<u4"), {}
+            for i, t in enumerate(names.split(b"\n")):
+                if t in asked:
+                    lists[t] = np.cumsum(step[ends[i - 1] if i else 0 : ends[i]].astype(np.int64))
+            last = np.cumsum(sizes_of + GAP)
+            first = last - sizes_of - GAP
+            starts, sizes, found = ([[] for _ in sizes_of] for _ in range(3))
+            for t in lists.keys() & plan.keys():
+                for query, n, ids in plan[t]:
+                    for p in match(lists, query, slop).tolist():
+                        # with a slop a start may lie before its document
+                        d = int(np.searchsorted(last - GAP + slop, p, "right"))
+                        starts[d].append(p - int(first[d]))
+                        sizes[d].append(n)
+                        found[d].extend(ids)
+            return sizes_of.tolist(), starts, sizes, [list(dict.fromkeys(x)) for x in found]
+
+        def rows(batches: Iterator[dict]) -> Iterator[dict]:
             for batch in batches:
-                for k, keys in enumerate(batch["keys"]):
-                    lengths, offsets, positions = (np.frombuffer(batch[c][k], np.int64) for c in ("lengths", "offsets", "positions"))
-                    lists = {t: positions[a:b] for t, a, b in zip(batch["terms"][k], offsets, offsets[1:], strict=False)}
-                    ends = np.cumsum(lengths + gap)
-                    first = ends - lengths - gap
-                    starts: list[list[int]] = [[] for _ in keys]
-                    sizes: list[list[int]] = [[] for _ in keys]
-                    named: list[set] = [set() for _ in keys]
-                    for query, size, items in shared.value:
-                        for p in match(lists, query, slop).tolist():
-                            d = int(np.searchsorted(ends, max(p, 0), "right"))
-                            starts[d].append(p - int(first[d]))
-                            sizes[d].append(size)
-                            named[d].update(items)
-                    yield {"key": keys, "seg": [batch["seg"][k]] * len(keys), "place": list(range(len(keys))), "n_words": lengths.tolist(), "starts": starts, "sizes": sizes, "items": [list(x) for x in named]}
-
-        parts.append(stream(index, kind, rows))
-    out = parts[0]
+                for seg, keys, *held in zip(*(batch[c] for c in ("seg", "keys", "terms", "counts", "steps", "lengths")), strict=True):
+                    n_words, starts, sizes, found = one(*held)
+                    yield {"key": keys, "seg": [seg] * len(keys), "place": list(range(len(keys))), "n_words": n_words, "starts": starts, "sizes": sizes, "items": found}
+
+        return stream(index.segments, kind, rows)
+
+    for windows in _blocks(items, size):
+        parts.append(answered(_plan(index, windows)))
+    out = parts[0] if parts else answered({})
     for part in parts[1:]:
         out = out.unionByName(part)
     if len(parts) > 1:
@@ -193,21 +253,7 @@ def _reported(found: DataFrame, key: str) -> DataFrame:
     return stream(found, kind, rows)
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, slop: int = 0, most_items: int = 5_000_000) -> DataFrame:
-    """Per document: key, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    The items' windows come to the driver, so their number is tested first and more than ``most_items`` rows are
-    refused; give such a table in parts.
-    """
-    rows_ = items.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("t")).distinct()
-    if (n := rows_.count()) > most_items:
-        raise ValueError(f"{n} items; give at most {most_items} at a time")
-    windows: dict[tuple[bytes, ...], list] = {}
-    for r in rows_.toLocalIterator():
-        for w in dict.fromkeys(windows_of(words_of(r.t), size)):
-            windows.setdefault(w, [])
-            if r.id is not None:
-                windows[w].append(r.id)
-    gap = size + slop + 1
-    index = build_index(docs, {w for x in windows for w in x}, gap, key, text)
-    return _reported(search(index, windows, term_counts(index), gap, slop), key)
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, slop: int = 0, index: Index | None = None) -> DataFrame:
+    """Per document: key, n_words, n_hit, n_items, items_sha256, contaminated; ``index``: of ``docs``, if there is one."""
+    asked = items.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("t")).distinct()
+    return _reported(search(index or build_index(docs, key, text), asked, size, slop), key)

@@ -273,6 +273,40 @@ def test_benchmark_windows(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(docs(spark), items.limit(0)).collect())
 
 
+@pytest.mark.parametrize(("block", "chars"), [(200_000, 4 << 20), (3, 500)])
+def test_benchmark_by_brute_force(spark, monkeypatch, block, chars):
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(decontaminate, "SEGMENT_CHARS", chars)
+    rnd = random.Random(12)
+    vocab = ["a", "B", "cé", "d4", "ee"]
+    said = lambda n: " ".join(rnd.choices(vocab, k=n))
+    items = [(i, said(rnd.choice([0, 1, 3, 9, 10, 11, 14]))) for i in range(25)] + [(None, said(11)), (3, None)]
+    texts = [*TEXTS, *(said(rnd.randint(0, 60)).replace(" ", rnd.choice([" ", ", ", "\n"])) for _ in range(60)), " ".join(vocab) * 9000]
+    texts += [f"x {t} y" for _, t in items if t]
+    kind = "doc_id long, text string, seg long, `keys` string, terms string, counts string"
+    df = spark.createDataFrame([(i if i != 4 else None, t, 1, "k", "t", "c") for i, t in enumerate(texts)], kind)
+    table = spark.createDataFrame([(*r, "z") for r in items], "item_id long, text string, n string")
+    index = decontaminate.build_index(df)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    for slop in (0, 1):
+        want = {}
+        for k, t in enumerate(texts):
+            w, hit, ids = words(t), set(), set()
+            if slop and len(w) > 1000:
+                continue
+            for i, q in items:
+                q = words(q)
+                for part in [q] if 0 < len(q) <= 10 else [q[j : j + 10] for j in range(len(q) - 9)]:
+                    for p in range(-slop, len(w)) if part else ():
+                        if all(any(0 <= p + j + d < len(w) and w[p + j + d] == x for d in range(-slop, slop + 1)) for j, x in enumerate(part)):
+                            hit |= set(range(max(p, 0), min(p + len(part), len(w))))
+                            ids |= {str(i)} if i is not None else set()
+            want[k if k != 4 else None] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), len(hit) > 0)
+        got = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(df, table, slop=slop, index=index).collect()}
+        assert len(got) == len(texts) and all(got[k] == v for k, v in want.items())
+    assert {r.term for r in index.counts.collect()} == {x for t in texts for x in words(t)}
+
+
 def test_ppm_equals_the_trie(spark):
     texts = [*TEXTS[:6], *(f"the cat {i} sat on the mat" for i in range(20))]
     held = ppm.is_held_out()
