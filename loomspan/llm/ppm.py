@@ -16,7 +16,7 @@ looked up in tasks; the others are joined by word.
 
 Defined results: null text counts as empty text, which is its end alone; ASCII letters are lower-cased; without any
 learning text every symbol costs log10(256); rows that repeat are scored each; a null key counts as empty text in
-the split.
+the split; long texts are read whole; an empty table gives an empty table; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -283,20 +283,26 @@ class Model:
 def costs(counts: DataFrame, most: int = 200_000) -> DataFrame:
     """(gram, cost) of each gram in ``counts``.
 
-    The trie is dealt out by the last two bytes of the context. The orders 0 and 1 have 65,792 entries at most and
-    are sent to all tasks; a task holds those and some ``most`` other entries, or those of one pair of bytes.
+    The trie is dealt out by the last two bytes of the context, and by three where two have over ``most`` entries (the
+    entries of order 2 then go to each third byte). The orders 0 and 1 have 65,792 entries at most and are sent to all
+    tasks; a task holds those and some ``most`` other entries, or those of one deal.
     """
     spark = counts.sparkSession
     order = F.shiftrightunsigned("entry", 56)
     low = counts.filter((order <= 1) & (F.col("n") > 0)).toArrow()
     base = spark.sparkContext.broadcast((low["entry"].to_numpy().view(np.uint64), low["n"].to_numpy()))
+    pair = F.shiftrightunsigned("entry", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("pair")
+    rest = counts.filter(order >= 2).select("entry", "n", pair)
+    crowds = [r.pair for r in rest.groupBy("pair").count().filter(F.col("count") > most).collect()]  # 65,536 pairs at most
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         held: list[np.ndarray] = []
         low_entries, low_n = base.value
 
         def priced(found: np.ndarray) -> Iterator[dict]:
-            entries, n = found[0].view(np.uint64), found[1]
+            # entries of order 2 come once a deal
+            entries, first = np.unique(found[0].view(np.uint64), return_index=True)
+            n = found[1][first]
             known = n > 0
             model = Model(np.concatenate([low_entries, entries[known]]), np.concatenate([low_n, n[known]]))
             own = entries[entries >> np.uint64(56) == ORDER] & ~_TOP
@@ -304,20 +310,26 @@ def costs(counts: DataFrame, most: int = 200_000) -> DataFrame:
                 yield {"gram": own.view(np.int64), "cost": model.costs(own).astype(np.float32)}
 
         for batch in batches:
-            held.append(np.array([batch["entry"], batch["n"], batch["pair"]], np.int64))
+            held.append(np.array([batch["entry"], batch["n"], batch["deal"]], np.int64))
             if sum(x.shape[1] for x in held) < most:
                 continue
             found = np.concatenate(held, axis=1)
-            cut = int(np.searchsorted(found[2], found[2, -1]))  # the last pair may go on
+            cut = int(np.searchsorted(found[2], found[2, -1]))  # the last deal may go on
             held[:] = [found[:, cut:]]
             if cut:
                 yield from priced(found[:, :cut])
         if held:
             yield from priced(np.concatenate(held, axis=1))
 
-    pair = F.shiftrightunsigned("entry", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    dealt = counts.filter(order >= 2).select("entry", "n", pair.alias("pair")).repartition("pair").sortWithinPartitions("pair")
-    return stream(dealt, "gram long, cost float", rows)
+    deal = F.col("pair").cast("long") * 257
+    if crowds:
+        third = F.shiftrightunsigned("entry", 24).bitwiseAND(F.lit(0xFF))
+        every = F.when(order == 2, F.sequence(F.lit(1).cast("long"), F.lit(256).cast("long"))).otherwise(F.array(third + 1))
+        part = F.when(F.col("pair").isin(crowds), every).otherwise(F.array(F.lit(0).cast("long")))
+        dealt = rest.withColumn("part", F.explode(part)).select("entry", "n", (deal + F.col("part")).alias("deal"))
+    else:
+        dealt = rest.select("entry", "n", deal.alias("deal"))
+    return stream(dealt.repartition("deal").sortWithinPartitions("deal"), "gram long, cost float", rows)
 
 
 def wanted(packed: DataFrame) -> DataFrame:
@@ -370,8 +382,8 @@ def _log(c: int) -> float:
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows not held out."""
     spark = docs.sparkSession
-    own = docs.select(key, text, held_out.alias("held_out"))
-    packed = materialize(blocks(own, "held_out", key, text, block), "blocks")
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), held_out.alias("held_out"))
+    packed = materialize(blocks(own, "held_out", "key", "text", block), "blocks")
     words = materialize(packed.select(F.explode("words").alias("w")).groupBy("w.word").agg(F.sum("w.n").alias("c")), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     room = math.log10(tokens + 0.1 * (distinct + 1))
@@ -383,7 +395,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     priced = wanted(packed).join(costs(counts), "gram").select("block", "gram", "cost")
 
     tail_kind = "n_tokens long, head_known long, head_sum double, score double, tail array<struct<word: binary, tf: long>>"
-    kind = StructType([*StructType.fromDDL("row long").fields, docs.schema[key], *StructType.fromDDL("held_out boolean").fields, *StructType.fromDDL(tail_kind).fields])
+    kind = StructType([*StructType.fromDDL("row long").fields, StructField("key", docs.schema[key].dataType), *StructType.fromDDL("held_out boolean").fields, *StructType.fromDDL(tail_kind).fields])
     arrow = to_arrow_schema(kind)
 
     def rows(texts: pa.Table, prices: pa.Table) -> pa.Table:
@@ -423,7 +435,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     sums = joined.groupBy("row").agg(F.sum(F.col("tf") * F.log10(c + 0.1)).alias("tail_sum"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("tail_known"))
     zero = F.lit(0)
     return scored.drop("tail").join(sums, "row", "left").select(
-        key,
+        F.col("key").alias(key),
         "held_out",
         "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", zero)).alias("n_known"),

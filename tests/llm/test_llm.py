@@ -334,11 +334,36 @@ def test_ppm_costs_by_shards_equal_those_of_the_whole_trie(spark):
     rows = [(r.entry, r.n) for r in counts.collect()]
     known = np.array([r for r in rows if r[1]], np.int64).T
     model = ppm.Model(known[0].view(np.uint64), known[1])
-    got = ppm.costs(counts.repartition(1), most=50).toPandas()
+    for most in (50, 10**9):
+        got = ppm.costs(counts.repartition(1), most=most).toPandas()
+        assert np.allclose(got.cost, model.costs(got.gram.to_numpy().view(np.uint64)), atol=1e-5)
+        assert len(got) == got.gram.nunique() == sum(e >> 56 == ppm.ORDER for e, _ in rows)
     assert len(got) == got.gram.nunique() == sum(e >> 56 == ppm.ORDER for e, _ in rows)
     assert np.allclose(got.cost, model.costs(got.gram.to_numpy().view(np.uint64)), atol=1e-5)
 
 
+def test_ppm_base_score_by_brute_force(spark):
+    import math
+
+    texts = [*TEXTS, "the Cat\x0bsat\u00a0on the mat", "word " * 3000, "unseen9 the", *(f"the cat {i} sat" for i in range(30))]
+    kind = "doc_id long, text string, word string, row long, score string, c long, key string, held_out string"
+    df = spark.createDataFrame([(None if i == 1 else i, t, "w", 1, "s", 2, "k", "h") for i, t in enumerate(texts)] + [(5, texts[5], "w", 1, "s", 2, "k", "h")], kind)
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    rows = [(None if i == 1 else i, [*words20(lower(t)), None]) for i, t in enumerate(texts)] + [(5, [*words20(lower(texts[5])), None])]
+    out = lambda k: zlib.crc32(b"" if k is None else str(k).encode()) % 10 == 0
+    seen = {}
+    for k, w in rows:
+        for x in [] if out(k) else w:
+            seen[x] = seen.get(x, 0) + 1
+    n, v = sum(seen.values()), len(seen)
+    want = sorted(((k is None, k or 0, out(k), len(w), sum(x in seen for x in w), n) for k, w in rows))
+    got = ppm.score(df, ppm.is_held_out()).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == want
+    base = {k: sum(math.log10((seen.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w) for k, w in rows}
+    assert all(r.base_score == pytest.approx(base[r.doc_id], rel=1e-9) for r in got)
+    assert any(not x for *_, x in [(r.n_known < r.n_tokens,) for r in got])
+
+
 def test_png_round_trip_and_damage():
     rnd = np.random.default_rng(0)
     for shape in ((1, 1), (5, 7), (70, 64)):
