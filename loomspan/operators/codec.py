@@ -1,23 +1,38 @@
 """Block compression of float arrays: exact and lossy modes, and a competition of transforms and compressors.
 
-A block is one row: rows x features of float32 in one array. Kernels are NumPy inside Arrow batches; a block never
-leaves its row, so nothing is shuffled. Blobs carry their own header and are decoded without other columns.
+A block is one row: windows x steps x features of float32 (or of a 16-bit float kept as its bits) in one array. Kernels
+are NumPy inside Arrow batches; a block never leaves its row, so nothing is shuffled. Blobs carry their own header and
+are decoded without other columns; the winner and the sizes of a competition stand in the header's front.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import lzma
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+from loomspan.operators import entropy
 
 MODES = ("lossless", "lossless_zstd", "lossless_lzma", "lossless_fast", "near_lossless", "near_lossless_turbo", "normalized_lossless", "normalized_lossless_zstd", "quantized_8", "optimal", "optimal_fast", "gorilla", "chimp", "raw")
 EXACT = ("lossless", "lossless_zstd", "lossless_lzma", "lossless_fast", "optimal", "optimal_fast", "gorilla", "chimp", "raw")
-HEAD = struct.Struct("<BII")
+#: Element kinds by code: float32, float16, and bfloat16 as its bits.
+KINDS = (np.dtype(np.float32), np.dtype(np.float16), np.dtype(np.uint16))
+#: Mode, kind, windows, steps, features.
+HEAD = struct.Struct("<BBIII")
+#: Candidates of the screened competition.
+SCREENED = 4
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -27,41 +42,50 @@ def planes(a: np.ndarray) -> bytes:
 
 def unplanes(raw: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
+    if len(raw) % size:
+        raise ValueError(f"{len(raw)} bytes are no whole elements of {size}")
     return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
-def deltas(u: np.ndarray, order: int) -> np.ndarray:
-    """Differences along the rows, wrapping; the first rows are differences of lower order."""
-    out = u.copy()
+def deltas(u: np.ndarray, order: int, axis: int = -2) -> np.ndarray:
+    """Differences along an axis (the steps), wrapping; the first ones are differences of lower order."""
+    out = np.moveaxis(u.copy(), axis, 0)
     for j in range(order):
         out[j + 1 :] = out[j + 1 :] - out[j:-1]
-    return out
+    return np.moveaxis(out, 0, axis)
 
 
-def undeltas(d: np.ndarray, order: int) -> np.ndarray:
-    out = d.copy()
+def undeltas(d: np.ndarray, order: int, axis: int = -2) -> np.ndarray:
+    out = np.moveaxis(d.copy(), axis, 0)
     for j in reversed(range(order)):
         out[j:] = np.cumsum(out[j:], axis=0, dtype=out.dtype)
-    return out
+    return np.moveaxis(out, 0, axis)
 
 
 def xors(u: np.ndarray) -> np.ndarray:
     out = u.copy()
-    out[1:] ^= u[:-1]
+    out[..., 1:, :] ^= u[..., :-1, :]
     return out
 
 
 def unxors(d: np.ndarray) -> np.ndarray:
-    return np.bitwise_xor.accumulate(d, axis=0)
+    return np.bitwise_xor.accumulate(d, axis=-2)
 
 
 def zigzag(u: np.ndarray) -> np.ndarray:
-    s = u.view(np.int32)
-    return ((s << 1) ^ (s >> 31)).view(np.uint32)
+    """Small differences of either sign as small numbers, at the width of ``u``."""
+    s = u.view(np.dtype(f"i{u.itemsize}"))
+    return ((s << 1) ^ (s >> (8 * u.itemsize - 1))).view(u.dtype)
 
 
 def unzigzag(z: np.ndarray) -> np.ndarray:
-    return (z >> np.uint32(1)) ^ (np.uint32(0) - (z & np.uint32(1)))
+    one = z.dtype.type(1)
+    return (z >> one) ^ (z.dtype.type(0) - (z & one))
+
+
+def flat(u: np.ndarray) -> np.ndarray:
+    """All windows as one."""
+    return u.reshape(1, -1, u.shape[-1])
 
 
 def _fields(u: np.ndarray) -> bytes:
@@ -74,51 +98,72 @@ def _unfields(raw: bytes, n: int) -> np.ndarray:
 
 def _best_orders(u: np.ndarray) -> list[int]:
     """For each feature the order of least absolute sum, the smallest of equals."""
-    sums = [np.abs(deltas(u, k).view(np.int32).astype(np.int64)).sum(axis=0) for k in range(min(5, len(u)))]
+    signed = np.dtype(f"i{u.itemsize}")
+    sums = [np.abs(np.ascontiguousarray(deltas(u, k)).view(signed).astype(np.int64)).sum(axis=(0, 1)) for k in range(min(5, u.shape[1]))]
     return np.argmin(np.stack(sums), axis=0).tolist()
 
 
 def _adaptive(u: np.ndarray) -> bytes:
     orders = _best_orders(u)
-    cols = [deltas(u[:, [i]], k) for i, k in enumerate(orders)]
-    return bytes(orders) + planes(np.concatenate(cols, axis=1).ravel())
+    cols = [deltas(u[..., [i]], k) for i, k in enumerate(orders)]
+    return bytes(orders) + planes(np.concatenate(cols, axis=-1).ravel())
 
 
-def _unadaptive(raw: bytes, n: int, f: int) -> np.ndarray:
-    d = unplanes(raw[f:], np.uint32).reshape(n, f)
-    return np.concatenate([undeltas(d[:, [i]], k) for i, k in enumerate(raw[:f])], axis=1)
+def _unadaptive(raw: bytes, shape: tuple) -> np.ndarray:
+    f = shape[-1]
+    d = unplanes(raw[f:], np.uint32).reshape(shape)
+    return np.concatenate([undeltas(d[..., [i]], k) for i, k in enumerate(raw[:f])], axis=-1)
 
 
 def _across(u: np.ndarray) -> np.ndarray:
     out = u.copy()
-    out[:, 1:] -= u[:, :-1]
-    out[:, [0]] = deltas(u[:, [0]], 1)
+    out[..., 1:] -= u[..., :-1]
+    out[..., [0]] = deltas(u[..., [0]], 1)
     return out
 
 
 def _unacross(d: np.ndarray) -> np.ndarray:
     out = d.copy()
-    out[:, [0]] = undeltas(d[:, [0]], 1)
-    return np.cumsum(out, axis=1, dtype=np.uint32)
+    out[..., [0]] = undeltas(d[..., [0]], 1)
+    return np.cumsum(out, axis=-1, dtype=out.dtype)
+
+
+def _forth(f: Callable, pack: Callable = lambda x: planes(x.ravel())) -> Callable:
+    return lambda u: pack(np.ascontiguousarray(f(u)))
+
 
+def _back(f: Callable, split: bool = True) -> Callable:
+    """Inverse that undoes ``f`` on the elements of a shape; ``split``: they were parted into planes."""
+    return lambda raw, shape, kind=np.uint32: f((unplanes(raw, kind) if split else np.frombuffer(raw, kind)).reshape(shape))
 
-def _back(f):
-    return lambda raw, n, k: f(unplanes(raw, np.uint32).reshape(n, k))
 
+def _pair(forth: Callable, back: Callable, split: bool = True) -> tuple[Callable, Callable]:
+    return _forth(forth, (lambda x: planes(x.ravel())) if split else (lambda x: x.tobytes())), _back(back, split)
 
-#: Reversible transforms by id: bytes of the bits (n x f of uint32), and back.
+
+def _same(x: np.ndarray) -> np.ndarray:
+    return x
+
+
+#: Reversible transforms by id: bytes of the bits (windows x steps x features of unsigned integers), and back.
 TRANSFORMS = {
-    0: (lambda u: planes(u.ravel()), _back(lambda d: d)),
-    **{k: (lambda u, k=k: planes(deltas(u, k).ravel()), _back(lambda d, k=k: undeltas(d, k))) for k in (1, 2, 3, 4)},
-    5: (lambda u: planes(xors(u).ravel()), _back(unxors)),
-    6: (_adaptive, _unadaptive),
-    7: (lambda u: planes(_across(u).ravel()), _back(_unacross)),
-    8: (lambda u: planes(zigzag(deltas(u, 1)).ravel()), _back(lambda d: undeltas(unzigzag(d), 1))),
-    9: (lambda u: planes(zigzag(deltas(u, 2)).ravel()), _back(lambda d: undeltas(unzigzag(d), 2))),
-    10: (lambda u: u.tobytes(), lambda raw, n, f: np.frombuffer(raw, np.uint32).reshape(n, f)),
-    11: (lambda u: deltas(u, 1).tobytes(), lambda raw, n, f: undeltas(np.frombuffer(raw, np.uint32).reshape(n, f), 1)),
-    12: (_fields, lambda raw, n, f: _unfields(raw, n * f).reshape(n, f)),
+    0: _pair(_same, _same),
+    **{k: _pair(lambda u, k=k: deltas(u, k), lambda d, k=k: undeltas(d, k)) for k in (1, 2, 3, 4)},
+    5: _pair(xors, unxors),
+    6: (_adaptive, lambda raw, shape, kind=np.uint32: _unadaptive(raw, shape)),
+    7: _pair(_across, _unacross),
+    8: _pair(lambda u: zigzag(deltas(u, 1)), lambda d: undeltas(unzigzag(d), 1)),
+    9: _pair(lambda u: zigzag(deltas(u, 2)), lambda d: undeltas(unzigzag(d), 2)),
+    10: _pair(_same, _same, False),
+    11: _pair(lambda u: deltas(u, 1), lambda d: undeltas(d, 1), False),
+    12: (_fields, lambda raw, shape, kind=np.uint32: _unfields(raw, int(np.prod(shape))).reshape(shape)),
+    13: _pair(lambda u: zigzag(deltas(flat(u), 1)), lambda d: undeltas(flat(unzigzag(d)), 1).reshape(d.shape)),
+    14: _pair(lambda u: zigzag(deltas(deltas(u, 1, 0), 1)), lambda d: undeltas(undeltas(unzigzag(d), 1), 1, 0)),
+    15: _pair(lambda u: deltas(flat(u), 1), lambda d: undeltas(flat(d), 1).reshape(d.shape), False),
+    16: _pair(lambda u: deltas(flat(u), 1), lambda d: undeltas(flat(d), 1).reshape(d.shape)),
 }
+#: The transforms that compete for each element size.
+RIVALS = {4: (*range(16),), 2: (0, 1, 16, 10)}
 
 
 def _quarters(pack, raw: bytes) -> bytes:
@@ -134,12 +179,22 @@ def _unquarters(unpack, raw: bytes) -> bytes:
     return b"".join(out)
 
 
+@lru_cache(maxsize=None)
+def _zstd_own(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@lru_cache(maxsize=None)
+def _unzstd_own() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def _zstd(level: int):
-    return lambda raw: zstandard.ZstdCompressor(level=level).compress(raw)
+    return lambda raw: _zstd_own(level).compress(raw)
 
 
 def _unzstd(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return _unzstd_own().decompress(raw)
 
 
 def _lzma(level: int):
@@ -161,14 +216,22 @@ COMPRESSORS = {
 
 
 def compete(u: np.ndarray, fast: bool) -> bytes:
-    """The smallest of all candidates, ties to the smaller ids; ``fast`` tries the four best after a screening."""
-    made = {i: forth(u) for i, (forth, _) in TRANSFORMS.items()}
-    tried = sorted(made, key=lambda i: (len(zlib.compress(made[i], 6)), i))[:4] if fast else list(made)
+    """Transform, compressor and bytes of the smallest candidate, ties to the smaller ids.
+
+    ``fast`` packs only the ``SCREENED`` best after a screening with a quick compressor, and the identity.
+    """
+    made = {i: TRANSFORMS[i][0](u) for i in RIVALS[u.itemsize]}
+    tried = sorted(made, key=lambda i: (len(zlib.compress(made[i], 6)), i))[:SCREENED] if fast else list(made)
     packs = {k: COMPRESSORS[k] for k in ((0, 1, 2, 3) if fast else COMPRESSORS)}
     _, t, c, best = min(((len(b), t, c, b) for t in dict.fromkeys([*tried, 10]) for c, (pack, _) in packs.items() for b in [pack(made[t])]), key=lambda x: x[:3])
     return bytes([t, c]) + best
 
 
+def screening(u: np.ndarray) -> list[tuple[int, int]]:
+    """(transform, size after a quick compressor), the smallest first."""
+    return sorted(((t, len(zlib.compress(TRANSFORMS[t][0](u), 6))) for t in RIVALS[u.itemsize]), key=lambda x: (x[1], x[0]))
+
+
 class BitWriter:
     def __init__(self):
         self.value, self.size = 1, 0
@@ -182,6 +245,14 @@ class BitWriter:
         raw = (self.value << spare).to_bytes((self.size + spare) // 8 + 1, "big")
         return raw[1:]
 
+    def spill(self, parts: list[bytes], most: int = 1 << 14) -> None:
+        """Move whole bytes to ``parts`` once there are many bits."""
+        if self.size > most:
+            keep = self.size % 8
+            body = self.value ^ (1 << self.size)
+            parts.append((body >> keep).to_bytes(self.size // 8, "big"))
+            self.value, self.size = (1 << keep) | (body & ((1 << keep) - 1)), keep
+
 
 class BitReader:
     def __init__(self, raw: bytes):
@@ -193,6 +264,49 @@ class BitReader:
         return (int.from_bytes(self.raw[a:b], "big") >> (b * 8 - self.at)) & ((1 << bits) - 1)
 
 
+def gorilla_code(values: list[int]) -> bytes:
+    """32-bit words, each XORed with the one before: a bit for none, the last bit window again, or a new window.
+
+    Control bits 0: equal; 10: within the last window; 11: five bits of leading zeros, six of the width less one.
+    """
+    out, parts, lead, trail = BitWriter(), [], 0, 0
+    for i, v in enumerate(values):
+        if not i:
+            out.put(v, 32)
+            continue
+        x = v ^ values[i - 1]
+        if not x:
+            out.put(0, 1)
+            continue
+        zeros, low = 32 - x.bit_length(), (x & -x).bit_length() - 1
+        if lead + trail and zeros >= lead and low >= trail:
+            out.put(0b10, 2)
+            out.put(x >> trail, 32 - lead - trail)
+        else:
+            lead, trail = zeros, low
+            out.put(0b11, 2)
+            out.put(lead, 5)
+            out.put(32 - lead - trail - 1, 6)
+            out.put(x >> trail, 32 - lead - trail)
+        out.spill(parts)
+    return b"".join([*parts, out.done()])
+
+
+def gorilla_decode(raw: bytes, n: int) -> list[int]:
+    read, out, trail, width = BitReader(raw), [], 0, 32
+    for i in range(n):
+        if not i:
+            out.append(read.get(32))
+        elif not read.get(1):
+            out.append(out[-1])
+        else:
+            if read.get(1):
+                lead, width = read.get(5), read.get(6) + 1
+                trail = 32 - lead - width
+            out.append(out[-1] ^ (read.get(width) << trail))
+    return out
+
+
 def xor_code(values: list[int], reach: int) -> bytes:
     """Each value XORed with one of the last ``reach`` (the one leaving most leading zeros), zero or a bit window."""
     out, pick, parts = BitWriter(), (reach - 1).bit_length(), []
@@ -212,12 +326,7 @@ def xor_code(values: list[int], reach: int) -> bytes:
                 out.put(x >> trail, width)
         else:
             out.put(v, 32)
-        if out.size > 1 << 14:
-            whole = out.size // 8 * 8
-            keep = out.size - whole
-            body = (out.value ^ (1 << out.size)) if out.size else 0
-            parts.append((body >> keep).to_bytes(whole // 8, "big"))
-            out.value, out.size = (1 << keep) | (body & ((1 << keep) - 1)), keep
+        out.spill(parts)
     return b"".join([*parts, out.done()])
 
 
@@ -237,19 +346,29 @@ def xor_decode(raw: bytes, n: int, reach: int) -> list[int]:
 
 
 def _scaled(a: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lo = a.min(axis=0).astype(np.float64)
-    span = np.maximum(a.max(axis=0).astype(np.float64) - lo, floor)
+    lo = a.min(axis=(0, 1)).astype(np.float64)
+    span = np.maximum(a.max(axis=(0, 1)).astype(np.float64) - lo, floor)
     return (a - lo) / span, lo, span
 
 
+def shaped(a: np.ndarray) -> np.ndarray:
+    """Any rank as windows x steps x features: one value a step, or rows of one window, or trailing axes as features."""
+    if a.ndim < 2:
+        return a.reshape(1, -1, 1)
+    return a.reshape(1, *a.shape) if a.ndim == 2 else a.reshape(*a.shape[:2], -1)
+
+
 def encode(a: np.ndarray, mode: str) -> bytes:
-    """A block (rows x features of float32) as a blob."""
+    """A block as a blob; arrays of other kinds than a float of 16 or 32 bits (uint16: bfloat16 bits) become float32."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {MODES}")
     if not a.size:
         raise ValueError("an empty block")
-    a = np.ascontiguousarray(a, np.float32)
-    u = a.view(np.uint32)
+    kind = KINDS.index(a.dtype) if a.dtype in KINDS else 0
+    if kind and mode not in EXACT:
+        raise ValueError(f"mode {mode!r} takes float32 only")
+    a = np.ascontiguousarray(shaped(a), KINDS[kind])
+    u = a.view(np.dtype(f"u{a.itemsize}"))
     if mode == "lossless":
         body = zlib.compress(planes(u.ravel()), 6)
     elif mode == "lossless_zstd":
@@ -257,14 +376,15 @@ def encode(a: np.ndarray, mode: str) -> bytes:
     elif mode == "lossless_lzma":
         body = _lzma(6)(planes(u.ravel()))
     elif mode == "lossless_fast":
-        body = _zstd(3)(planes(deltas(u, 1).ravel()))
+        body = _zstd(3)(planes(deltas(flat(u), 1).ravel()))
     elif mode in ("optimal", "optimal_fast"):
         body = compete(u, mode == "optimal_fast")
-    elif mode in ("gorilla", "chimp"):
-        body = xor_code(u.ravel().tolist(), 1 if mode == "gorilla" else 8)
+    elif mode == "gorilla":
+        body = gorilla_code(u.ravel().tolist())
+    elif mode == "chimp":
+        body = xor_code(u.ravel().tolist(), 8)
     elif mode == "raw":
-        body = min((zlib.compress(a.tobytes(), 9), b"z"), (_zstd(19)(a.tobytes()), b"s"), key=lambda x: len(x[0]))
-        body = body[1] + body[0]
+        body = pack_bytes(a.tobytes())
     else:
         x, lo, span = _scaled(a, 1e-30 if mode.startswith("normalized") else 1e-10)
         head = lo.tobytes() + span.tobytes()
@@ -277,58 +397,178 @@ def encode(a: np.ndarray, mode: str) -> bytes:
         else:
             raw = planes(x.astype(np.float32).ravel())
             body = head + (_zstd(19)(raw) if mode.endswith("zstd") else zlib.compress(raw, 6))
-    return HEAD.pack(MODES.index(mode), *a.shape) + body
+    return HEAD.pack(MODES.index(mode), kind, *a.shape) + body
 
 
 def decode(blob: bytes) -> np.ndarray:
-    mode, n, f = HEAD.unpack_from(blob)
-    mode, body = MODES[mode], blob[HEAD.size :]
+    """Windows x steps x features."""
+    mode, kind, *shape = HEAD.unpack_from(blob)
+    mode, kind, body, n = MODES[mode], KINDS[kind], blob[HEAD.size :], int(np.prod(shape))
+    bits = np.dtype(f"u{kind.itemsize}")
     if mode in ("lossless", "lossless_zstd", "lossless_lzma"):
         unpack = {"lossless": zlib.decompress, "lossless_zstd": _unzstd, "lossless_lzma": lzma.decompress}[mode]
-        return unplanes(unpack(body), np.float32).reshape(n, f)
+        return unplanes(unpack(body), kind).reshape(shape)
     if mode == "lossless_fast":
-        return undeltas(unplanes(_unzstd(body), np.uint32).reshape(n, f), 1).view(np.float32)
+        return undeltas(unplanes(_unzstd(body), bits).reshape(1, -1, shape[2]), 1).view(kind).reshape(shape)
     if mode in ("optimal", "optimal_fast"):
-        return np.ascontiguousarray(TRANSFORMS[body[0]][1](COMPRESSORS[body[1]][1](body[2:]), n, f)).view(np.float32)
+        return np.ascontiguousarray(TRANSFORMS[body[0]][1](COMPRESSORS[body[1]][1](body[2:]), tuple(shape), bits)).view(kind)
     if mode in ("gorilla", "chimp"):
-        return np.array(xor_decode(body, n * f, 1 if mode == "gorilla" else 8), np.uint32).view(np.float32).reshape(n, f)
+        found = gorilla_decode(body, n) if mode == "gorilla" else xor_decode(body, n, 8)
+        return np.array(found, np.uint32).astype(bits).view(kind).reshape(shape)
     if mode == "raw":
-        return np.frombuffer((zlib.decompress if body[:1] == b"z" else _unzstd)(body[1:]), np.float32).reshape(n, f)
+        return np.frombuffer(unpack_bytes(body), kind).reshape(shape)
+    f = shape[2]
     lo, span, rest = np.frombuffer(body[: 8 * f]), np.frombuffer(body[8 * f : 16 * f]), body[16 * f :]
     if mode == "near_lossless":
-        x = np.frombuffer(zlib.decompress(rest), np.float16).reshape(n, f)
+        x = np.frombuffer(zlib.decompress(rest), np.float16).reshape(shape)
     elif mode == "near_lossless_turbo":
-        x = unplanes(zlib.decompress(rest), np.float16).reshape(n, f)
+        x = unplanes(zlib.decompress(rest), np.float16).reshape(shape)
     elif mode == "quantized_8":
-        x = undeltas(np.frombuffer(zlib.decompress(rest), np.uint8).reshape(n, f), 1) / 255
+        x = undeltas(np.frombuffer(zlib.decompress(rest), np.uint8).reshape(shape), 1) / 255
     else:
-        x = unplanes((_unzstd if mode.endswith("zstd") else zlib.decompress)(rest), np.float32).reshape(n, f)
+        x = unplanes((_unzstd if mode.endswith("zstd") else zlib.decompress)(rest), np.float32).reshape(shape)
     return (x.astype(np.float64) * span + lo).astype(np.float32)
 
 
+#: Byte packers of raw files by tag.
+PACKERS = {b"z": (lambda raw: zlib.compress(raw, 9), zlib.decompress), b"s": (_zstd(19), _unzstd), b"l": (_lzma(6), lzma.decompress)}
+
+
+def pack_bytes(raw: bytes) -> bytes:
+    """Any bytes by the packer that makes them smallest, its tag first."""
+    return min((tag + pack(raw) for tag, (pack, _) in PACKERS.items()), key=len)
+
+
+def unpack_bytes(blob: bytes) -> bytes:
+    return PACKERS[blob[:1]][1](blob[1:])
+
+
+def widen_bfloat16(bits: np.ndarray) -> np.ndarray:
+    """float32 of bfloat16 bits."""
+    return (bits.astype(np.uint32) << np.uint32(16)).view(np.float32)
+
+
+def xor_residual(a: np.ndarray, near: np.ndarray) -> bytes:
+    """What bits of ``a`` differ from an approximation, packed; with the same approximation it gives ``a`` back."""
+    bits = np.ascontiguousarray(a, np.float32).view(np.uint32) ^ np.ascontiguousarray(near, np.float32).view(np.uint32)
+    return zlib.compress(planes(bits.ravel()), 6)
+
+
+def xor_restore(blob: bytes, near: np.ndarray) -> np.ndarray:
+    near = np.ascontiguousarray(near, np.float32)
+    return (unplanes(zlib.decompress(blob), np.uint32).reshape(near.shape) ^ near.view(np.uint32)).view(np.float32)
+
+
+def certificate(blob: bytes) -> dict:
+    """What a competition's blob says about itself and how near it is to the entropy of its transformed bytes."""
+    mode, kind, *shape = HEAD.unpack_from(blob)
+    if MODES[mode] not in ("optimal", "optimal_fast"):
+        raise ValueError(f"a blob of mode {MODES[mode]!r} has no certificate")
+    t, c, packed = blob[HEAD.size], blob[HEAD.size + 1], blob[HEAD.size + 2 :]
+    raw = np.frombuffer(COMPRESSORS[c][1](packed), np.uint8)
+    h0, h1 = entropy.byte_entropy(raw), entropy.byte_context_entropy(raw)
+    floor, achieved = min(h0, h0 if h1 is None else h1), 8 * len(packed) / max(len(raw), 1)
+    size = int(np.prod(shape)) * KINDS[kind].itemsize
+    over = max(achieved - floor, 0.0)
+    return {"transform": t, "compressor": c, "original_size": size, "compressed_size": len(packed), "ratio": size / max(len(packed), 1), "entropy": floor, "achieved_bpb": achieved, "gap_bpb": over, "gap_pct": over / floor * 100 if floor > 0 else 0.0, "p_value": entropy.chi_squared_p(np.frombuffer(packed, np.uint8))}
+
+
+CERTIFICATE = "transform int, compressor int, original_size long, compressed_size long, ratio double, entropy double, achieved_bpb double, gap_bpb double, gap_pct double, p_value double"
+
+
 def finite(a: np.ndarray) -> np.ndarray:
     """NaN as 0 and infinities as the largest numbers of the type."""
     return np.nan_to_num(a, nan=0.0)
 
 
-def compress(blocks: DataFrame, mode: str, features: int = 1, values: str = "values", on_nonfinite: str = "replace") -> DataFrame:
-    """``blocks`` with mode, raw_bytes and blob in place of ``values`` (ARRAY<FLOAT>, row by row)."""
+def _by_row(df: DataFrame, kind: StructType, name: str, rows: Callable[[pa.Array], list]) -> DataFrame:
+    """``df`` with the column ``name`` replaced by columns that ``rows`` makes of it, an Arrow batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kind)
+        for batch in batches:
+            made = rows(batch.column(name))
+            kept = [batch.column(c) for c in batch.schema.names if c != name]
+            cols = [*kept, *(pa.array(c, type=arrow.field(len(kept) + i).type) for i, c in enumerate(made))]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, arrow.types, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
+def compress(blocks: DataFrame, mode: str, features: int = 1, values: str = "values", on_nonfinite: str = "replace", steps: int | None = None) -> DataFrame:
+    """``blocks`` with mode, raw_bytes and blob in place of ``values`` (ARRAY<FLOAT>, row by row, windows of ``steps``).
+
+    Null and empty arrays have a null blob.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {MODES}")
 
-    from pyspark.sql.functions import pandas_udf
+    def rows(column: pa.Array) -> list:
+        flat_, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32), np.cumsum(column.value_lengths().fill_null(0).to_numpy())
+        flat_ = finite(flat_) if on_nonfinite == "replace" else flat_
+        out, begin = [], 0
+        for end in ends.tolist():
+            part = flat_[begin:end]
+            out.append(encode(part.reshape(-1, steps or len(part) // features, features), mode) if len(part) else None)
+            begin = end
+        return [out]
 
-    def one(v) -> bytes:
-        a = np.array(v, np.float32).reshape(-1, features)
-        return encode(finite(a) if on_nonfinite == "replace" else a, mode)
-
-    pack = pandas_udf(lambda s: s.map(one), "binary")
-    return blocks.withColumns({"mode": F.lit(mode), "raw_bytes": F.size(values).cast("long") * 4, "blob": pack(F.col(values).cast("array<float>"))}).drop(values)
+    plain = blocks.withColumns({"mode": F.lit(mode), "raw_bytes": F.coalesce(F.size(values), F.lit(0)).cast("long") * 4, values: F.col(values).cast("array<float>")})
+    kind = StructType([*(f for f in plain.schema.fields if f.name != values), *StructType.fromDDL("blob binary").fields])
+    return _by_row(plain, kind, values, rows)
 
 
 def decompress(blobs: DataFrame, blob: str = "blob", values: str = "values") -> DataFrame:
     """``blobs`` with the decoded ``values`` in place of ``blob``."""
-    from pyspark.sql.functions import pandas_udf
+    kind = StructType([*(f for f in blobs.schema.fields if f.name != blob), StructField(values, ArrayType(FloatType()))])
+
+    def rows(column: pa.Array) -> list:
+        return [[None if b is None else _as_float(decode(b)).ravel() for b in column.to_pylist()]]
+
+    return _by_row(blobs, kind, blob, rows)
+
+
+def _as_float(a: np.ndarray) -> np.ndarray:
+    return widen_bfloat16(a) if a.dtype == np.uint16 else a.astype(np.float32)
+
+
+def certified(blobs: DataFrame, blob: str = "blob") -> DataFrame:
+    """``blobs`` with certificate columns beside ``blob``; a reader of the columns alone never touches the blobs."""
+    kept = blobs.withColumn("_certified", F.col(blob))
+    kind = StructType([*(f for f in kept.schema.fields if f.name != "_certified"), *StructType.fromDDL(CERTIFICATE).fields])
+    names = [f.name for f in StructType.fromDDL(CERTIFICATE).fields]
+
+    def rows(column: pa.Array) -> list:
+        made = [None if b is None else certificate(b) for b in column.to_pylist()]
+        return [[None if m is None else m[n] for m in made] for n in names]
+
+    return _by_row(kept, kind, "_certified", rows)
+
+
+def compress_optimal(blocks: DataFrame, features: int = 1, fast: bool = False, values: str = "values", steps: int | None = None) -> DataFrame:
+    """Blobs of the competition with their certificates, from one run of it."""
+    return certified(compress(blocks, "optimal_fast" if fast else "optimal", features, values, steps=steps))
+
+
+def candidates(blocks: DataFrame, features: int = 1, values: str = "values") -> DataFrame:
+    """``blocks`` with transform, size and rnk: each transform's size after a quick compressor, the smallest first."""
+    kind = StructType([*(f for f in blocks.schema.fields if f.name != values), *StructType.fromDDL("found array<struct<transform: int, size: int>>").fields])
+
+    def rows(column: pa.Array) -> list:
+        out = []
+        for v in column.to_pylist():
+            u = np.ascontiguousarray(shaped(np.array(v, np.float32).reshape(-1, features))).view(np.uint32)
+            out.append([{"transform": t, "size": n} for t, n in screening(u)])
+        return [out]
+
+    found = _by_row(blocks.withColumn(values, F.col(values).cast("array<float>")), kind, values, rows)
+    kept = [c for c in blocks.columns if c != values]
+    return found.select(*kept, F.posexplode("found").alias("rnk", "f")).select(*kept, "rnk", "f.transform", "f.size")
+
 
-    unpack = pandas_udf(lambda s: s.map(lambda b: decode(bytes(b)).ravel()), "array<float>")
-    return blobs.withColumn(values, unpack(F.col(blob))).drop(blob)
+def reference_sizes(a: np.ndarray) -> dict[str, int]:
+    """Bytes of plain ways to keep a table: raw, and its CSV text by gzip 9 and zstd 22."""
+    text = io.StringIO()
+    np.savetxt(text, a.reshape(-1, a.shape[-1]), delimiter=",", fmt="%.9g")
+    csv = text.getvalue().encode()
+    return {"raw": a.nbytes, "csv": len(csv), "csv_gzip": len(gzip.compress(csv, 9)), "csv_zstd": len(_zstd(22)(csv))}

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from loomspan.functions import vectors as V
+from loomspan.operators.components import components
+from loomspan.tables import materialize
 
 
-def kmeans(vectors: DataFrame, k: int, seeds: int = 3, seed: int = 42) -> tuple[DataFrame, float]:
+def kmeans(vectors: DataFrame, k: int, seeds: int = 10, seed: int = 42) -> tuple[DataFrame, float]:
     """((id, label, d2), inertia) of the best of some starts; labels are ordered by the centres."""
     data = vectors.select("id", "v", array_to_vector("v").alias("f"))
     models = [KMeans(k=k, seed=seed + i, featuresCol="f", predictionCol="raw").fit(data) for i in range(seeds)]
@@ -27,31 +32,50 @@ def kmeans(vectors: DataFrame, k: int, seeds: int = 3, seed: int = 42) -> tuple[
     return out, float(model.summary.trainingCost)
 
 
-def dbscan(vectors: DataFrame, eps: float, least: int, most_rounds: int = 50) -> DataFrame:
-    """(id, label): clusters of core points within ``eps``, named by their smallest core id; -1 is noise.
+def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
+    """(a, b) of all vectors within ``eps`` of each other, each with itself too.
 
-    Neighbours come from a grid join on the first two dimensions (cells of width eps and those around them), so only
-    near points meet. A border point goes to its smallest core neighbour's cluster.
+    Cells of width eps on the first two dimensions, and those around them, are joined, so only near points meet.
     """
-    cell = lambda i: F.floor(F.col("v")[i] / eps).cast("long")
-    placed = vectors.select("id", "v", cell(0).alias("cx"), cell(1).alias("cy"))
+    cell = lambda i: F.floor(F.try_element_at("v", F.lit(i + 1)) / eps).cast("long")
+    placed = vectors.select("id", "v", F.coalesce(cell(0), F.lit(0)).alias("cx"), F.coalesce(cell(1), F.lit(0)).alias("cy"))
     near = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("n")
     around = placed.select(F.col("id").alias("b"), F.col("v").alias("w"), near).select("b", "w", "n.cx", "n.cy")
-    pairs = placed.join(around, ["cx", "cy"]).filter(V.squared_distance(F.col("v"), F.col("w")) <= eps * eps).select(F.col("id").alias("a"), "b")
-    pairs = pairs.persist()
+    return placed.join(around, ["cx", "cy"]).filter(V.squared_distance(F.col("v"), F.col("w")) <= eps * eps).select(F.col("id").alias("a"), "b")
+
+
+def dbscan(vectors: DataFrame, eps: float, least: int) -> DataFrame:
+    """(id, label): clusters of core points (``least`` points within ``eps``, itself counted), named by their smallest
+    core id; -1 is noise. A border point goes to the cluster of least name among its core neighbours.
+
+    Neighbour pairs are written once; clusters are the connected components of the core points, however long.
+    """
+    pairs = materialize(neighbours(vectors, eps), "neighbours")
     core = pairs.groupBy("a").count().filter(F.col("count") >= least).select("a")
-    links = pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b")
-    label = core.select("a", F.col("a").alias("label"))
-    for _ in range(most_rounds):
-        low = links.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        new = label.join(low, "a").select("a", F.least("label", "low").alias("new"), "label").checkpoint() if vectors.sparkSession.sparkContext.getCheckpointDir() else label.join(low, "a").select("a", F.least("label", "low").alias("new"), "label").persist()
-        changed = new.filter("new <> label").limit(1).count()
-        label = new.select("a", F.col("new").alias("label"))
-        if not changed:
-            break
-    border = pairs.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label"))
-    own = label.select(F.col("a").alias("id"), F.col("label").alias("own"))
-    return vectors.select("id").join(border, "id", "left").join(own, "id", "left").select("id", F.coalesce("own", "label", F.lit(-1)).alias("label"))
+    of_core = materialize(pairs.join(core, "a"), "core")  # a is a core point
+    links = of_core.join(core.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
+    comp = components(links).select(F.col("node").alias("a"), "root")
+    own = core.join(comp, "a", "left").select("a", F.coalesce("root", "a").alias("label"))
+    # a core point has no core neighbour of another cluster, so the least name is its own
+    named = of_core.join(own, "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("label"))
+    return vectors.select("id").join(named, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+def cluster_centres(vectors: DataFrame, labels: DataFrame, noise: int = -1) -> DataFrame:
+    """(label, pos, x): the mean vector of each cluster, noise left out."""
+    rows = vectors.select("id", "v").join(labels.filter(F.col("label") != noise), "id").select("label", F.posexplode("v").alias("pos", "x"))
+    return rows.groupBy("label", "pos").agg(F.avg("x").alias("x"))
+
+
+def inertia(vectors: DataFrame, labels: DataFrame, noise: int = -1) -> DataFrame:
+    """(inertia): squared distances to the centres of the clusters, noise left out."""
+    rows = vectors.select("id", "v").join(labels.filter(F.col("label") != noise), "id").select("label", F.posexplode("v").alias("pos", "x"))
+    return rows.groupBy("label", "pos").agg((F.var_pop("x") * F.count("*")).alias("part")).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("inertia"))
+
+
+def inertias(vectors: DataFrame, ks: list[int], seeds: int = 1, seed: int = 42) -> DataFrame:
+    """(k, inertia) of a k-means fit for each k; ``series.elbow`` names the bend."""
+    return vectors.sparkSession.createDataFrame([(k, kmeans(vectors, k, seeds, seed)[1]) for k in ks], "k int, inertia double")
 
 
 def pca(vectors: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
@@ -61,12 +85,51 @@ def pca(vectors: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     return model.transform(data).select("id", vector_to_array("z").alias("z")), model.explainedVariance.tolist()
 
 
-def isolation(vectors: DataFrame, trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
-    """(id, score): isolation depth score in (0, 1], high for outliers; trees are grown on small samples."""
-    n = vectors.count()
-    rows = vectors.orderBy(F.xxhash64("id", F.lit(seed))).limit(min(n, sample * 8)).collect()
-    x, rng = np.array([r.v for r in rows]), np.random.default_rng(seed)
-    size = min(sample, len(x))
+@dataclass(frozen=True)
+class Projection:
+    """Principal axes (components x dimensions) and the mean; projects vectors and brings them back."""
+
+    mean: tuple[float, ...]
+    axes: tuple[tuple[float, ...], ...]
+
+    def project(self, v: Column) -> Column:
+        mean = F.array(*map(F.lit, self.mean))
+        return F.transform(F.array(*(F.array(*map(F.lit, axis)) for axis in self.axes)), lambda axis: V.dot(V.subtract(v, mean), axis))
+
+    def restore(self, z: Column) -> Column:
+        """Vectors from projections; give a column, as ``z`` is read once a dimension."""
+        parts = F.array(*(F.struct(F.lit(m).alias("m"), F.array(*map(F.lit, a)).alias("a")) for m, a in zip(self.mean, zip(*self.axes, strict=True), strict=True)))
+        return F.transform(parts, lambda p: p["m"] + V.dot(z, p["a"]))
+
+
+def fit_projection(vectors: DataFrame, share: float = 0.99, most: int | None = None) -> Projection:
+    """The fewest principal axes that explain ``share`` of the variance, ``most`` at most.
+
+    The covariance is summed in tasks; its size is the square of the dimension, whatever the number of rows.
+    """
+    dimension = len(vectors.select("v").first()["v"])
+    data = vectors.select(array_to_vector("v").alias("f"))
+    model = PCA(k=dimension, inputCol="f", outputCol="z").fit(data)
+    explained = np.cumsum(model.explainedVariance.toArray())
+    k = min(int(np.searchsorted(explained, share - 1e-12)) + 1, most or dimension, dimension)
+    mean = data.select(Summarizer.mean(F.col("f")).alias("m")).first()["m"]
+    return Projection(tuple(map(float, mean)), tuple(tuple(map(float, axis)) for axis in model.pc.toArray().T[:k]))
+
+
+def isolation(vectors: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """(id, score): isolation depth score in (0, 1], high for outliers.
+
+    Every tree has a sample of its own, drawn from all rows: each row gets a hash for each tree, and the ``sample`` rows
+    of least hash make the tree.
+    """
+    draws = vectors.select("id", "v", F.posexplode(F.array(*(F.xxhash64("id", F.lit(seed + t)) for t in range(trees)))).alias("tree", "h"))
+    w = Window.partitionBy("tree").orderBy("h", "id")
+    rows = draws.withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= sample).select("tree", "rnk", "v").collect()  # trees * sample rows
+    drawn: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r.tree, r.rnk)):
+        drawn.setdefault(r.tree, []).append(r.v)
+    rng = np.random.default_rng(seed)
+    size = min(sample, max(map(len, drawn.values()), default=0))
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     def usual(m: int) -> float:
@@ -81,7 +144,7 @@ def isolation(vectors: DataFrame, trees: int = 50, sample: int = 256, seed: int
         left = part[:, j] < cut
         return j, cut, grow(part[left], depth + 1), grow(part[~left], depth + 1)
 
-    forest = [grow(x[rng.choice(len(x), size, replace=False)], 0) for _ in range(trees)]
+    forest = [grow(np.array(drawn[t], np.float64), 0) for t in sorted(drawn)]
 
     def depth(tree, points: np.ndarray) -> np.ndarray:
         if not isinstance(tree, tuple):
@@ -99,3 +162,27 @@ def isolation(vectors: DataFrame, trees: int = 50, sample: int = 256, seed: int
         return pd.Series(2 ** (-np.mean([depth(t, points) for t in forest], axis=0) / max(usual(size), 1e-9)))
 
     return vectors.select("id", score("v").alias("score"))
+
+
+def scaled_isolation(scores: DataFrame) -> DataFrame:
+    """(id, score): isolation scores spread over 0 to 1 among the rows that are scored together."""
+    ends = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    return scores.join(F.broadcast(ends)).select("id", ((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-8)).alias("score"))
+
+
+def thresholded(rows: DataFrame, score: str, contamination: float = 0.05) -> DataFrame:
+    """``rows`` with cut, the value that a ``contamination`` share exceeds, and flag."""
+    cut = rows.agg(F.percentile(score, F.lit(1 - contamination)).alias("cut"))
+    return rows.join(F.broadcast(cut)).withColumn("flag", (F.col(score) > F.col("cut")).cast("int"))
+
+
+def combined(scores: dict[str, DataFrame], threshold: float = 0.5) -> DataFrame:
+    """(id, score, flag): the mean of the scores (id, score) of all detectors; rows that one lacks are left out."""
+    if not scores:
+        raise ValueError("no detector")
+    out = None
+    for name, df in scores.items():
+        part = df.select("id", F.col("score").alias(name))
+        out = part if out is None else out.join(part, "id")
+    mean = sum((F.col(n) for n in scores), F.lit(0.0)) / len(scores)
+    return out.select("id", mean.alias("score")).withColumn("flag", (F.col("score") > threshold).cast("int"))

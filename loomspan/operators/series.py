@@ -99,3 +99,47 @@ def elbow(inertia: DataFrame, centred: bool = True) -> DataFrame:
     at = F.col("k") if centred else F.coalesce(F.lead("k").over(w), F.col("k"))
     rows = inertia.select("k", bend.alias("bend"), at.alias("at"))
     return rows.agg(F.coalesce(F.max_by("at", F.struct(F.col("bend"), -F.col("k"))), F.min("k")).alias("k"))
+
+
+def unzscore(z: Column, mean: Column, std: Column) -> Column:
+    """Inverse of ``zscore``; what was clipped stays at the clip."""
+    return z * F.greatest(std, F.lit(1e-8)) + mean
+
+
+def unminmax(x: Column, lo: Column, hi: Column) -> Column:
+    return x * F.greatest(hi - lo, F.lit(1e-8)) + lo
+
+
+def instance_norm(value: Column, part, weight: float = 1.0, bias: float = 0.0, floor: float = 1e-5) -> tuple[Column, Column, Column]:
+    """(normalised, mean, scale) of a value within a window partition, with an affine step."""
+    mean, scale = F.avg(value).over(part), F.sqrt(F.var_pop(value).over(part) + floor)
+    return (value - mean) / scale * weight + bias, mean, scale
+
+
+def restore_instance(z: Column, mean: Column, scale: Column, weight: float = 1.0, bias: float = 0.0) -> Column:
+    """Inverse of ``instance_norm``; ``mean`` and ``scale`` may be those of another series."""
+    return (z - bias) / weight * scale + mean
+
+
+#: Fixed value: the largest finite number of 32 bits.
+LARGEST = 3.4028234663852886e38
+
+
+def finite(value: Column) -> Column:
+    """NaN as 0, infinities as the largest numbers of 32 bits."""
+    v = F.nanvl(value, F.lit(0.0))
+    return F.least(F.lit(LARGEST), F.greatest(F.lit(-LARGEST), v))
+
+
+def reshaped(df: DataFrame, values: str, steps: int, features: int) -> DataFrame:
+    """A row a value of flat arrays: window w, step t, feature f and x, row by row."""
+    at = F.col("_at")
+    rows = df.select(*(c for c in df.columns if c != values), F.posexplode(values).alias("_at", "x"))
+    size = steps * features
+    return rows.withColumns({"w": F.floor(at / size), "t": F.floor(at % size / features), "f": at % features}).drop("_at")
+
+
+def unreshaped(df: DataFrame, by: list[str], values: str = "v") -> DataFrame:
+    """Inverse of ``reshaped``."""
+    held = F.array_sort(F.collect_list(F.struct("w", "t", "f", "x")))
+    return df.groupBy(*by).agg(F.transform(held, lambda r: r["x"]).alias(values))

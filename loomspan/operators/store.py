@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import vectors as V
 from loomspan.operators.similarity import knn
 
 SCHEMA = "id string, values array<float>, metadata map<string,string>"
+#: Parts of a namespace that are written apart.
+BUCKETS = 64
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
-    """``current`` with rows of ``incoming`` put in by key; of rows with one key the last by ``order`` counts."""
+    """``current`` with rows of ``incoming`` put in by key; of rows with one key the last by ``order`` counts.
+
+    Rows of equal key and order are told apart by their own text, so that a run repeated gives the same rows.
+    """
     fields = [c for c in incoming.columns if c not in (key, order)]
-    last = incoming.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("r")).select(key, "r.*")
+    place = F.struct(F.col(order), F.to_json(F.struct(*fields)))
+    last = incoming.groupBy(key).agg(F.max_by(F.struct(*fields), place).alias("r")).select(key, "r.*")
     return current.join(last.select(key), key, "left_anti").unionByName(last)
 
 
@@ -42,10 +53,12 @@ def statistics(vectors: DataFrame, by: str = "namespace") -> DataFrame:
 
 
 class VectorStore:
-    """Snapshots of namespaces below ``root``: index/namespace/version directories and the name of the live one.
+    """Snapshots of namespaces below ``root``: rows lie in ``BUCKETS`` by a hash of their id, a version names the files of
+    each bucket.
 
-    A write makes a new version and then moves the pointer, so readers always see a whole namespace. Reads create
-    nothing; deleting an index removes its files.
+    A write makes new files for the buckets it touches and then a new version file by renaming, so readers always see a
+    whole namespace and a crash leaves the version before. Old files stay until ``vacuum``. Of two writers that start
+    from one version the second fails. Reads create nothing; deleting an index removes its files.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -55,6 +68,10 @@ class VectorStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
     def _settings(self) -> DataFrame | None:
         fs, p = self._fs(f"{self.root}/_indexes")
         return self.spark.read.parquet(f"{self.root}/_indexes") if fs.exists(p) else None
@@ -63,18 +80,20 @@ class VectorStore:
         known = self._settings()
         if known is None:
             return []
-        last = known.groupBy("name").agg(F.max_by("alive", "at").alias("alive")).filter("alive")
+        last = known.groupBy("name").agg(F.max_by("alive", "step").alias("alive")).filter("alive")
         return sorted(r.name for r in last.collect())
 
     def describe(self, index: str) -> tuple[int, str]:
         if index not in self.list_indexes():
             raise KeyError(index)
-        r = self._settings().filter(F.col("name") == index).orderBy(F.desc("at")).first()
+        r = self._settings().filter(F.col("name") == index).orderBy(F.desc("step")).first()
         return r.dimension, r.metric
 
     def _note(self, name: str, dimension: int, metric: str, alive: bool) -> None:
-        row = self.spark.createDataFrame([(name, dimension, metric, alive)], "name string, dimension int, metric string, alive boolean")
-        row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/_indexes")
+        known = self._settings()
+        step = 0 if known is None else known.filter(F.col("name") == name).count()
+        row = self.spark.createDataFrame([(name, dimension, metric, alive, step)], "name string, dimension int, metric string, alive boolean, step long")
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/_indexes")
 
     def create_index(self, name: str, dimension: int, metric: str = "cosine") -> None:
         if metric not in V.METRICS:
@@ -89,39 +108,73 @@ class VectorStore:
         fs, p = self._fs(f"{self.root}/{name}")
         fs.delete(p, True)
 
-    def _live(self, index: str, namespace: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{index}/{namespace}/_live")
-        return self.spark.read.text(p.toString()).first().value if fs.exists(p) else None
+    def namespaces(self, index: str) -> list[str]:
+        """Namespaces that were written; the one without a name is 'default'."""
+        self.describe(index)
+        return self._names(f"{self.root}/{index}")
+
+    def _version(self, index: str, namespace: str) -> tuple[int, dict[str, str]]:
+        """Number of the live version, and the files of its buckets."""
+        base = f"{self.root}/{index}/{namespace or 'default'}/versions"
+        names = [x for x in self._names(base) if x.startswith("v")]
+        if not names:
+            return -1, {}
+        return int(names[-1][1:]), json.loads(self.spark.read.text(f"{base}/{names[-1]}", wholetext=True).first().value)
 
     def vectors(self, index: str, namespace: str = "") -> DataFrame:
         """id, values, metadata of a namespace; one that was never written is empty."""
         self.describe(index)
-        live = self._live(index, namespace or "default")
-        return self.spark.read.schema(SCHEMA).parquet(live) if live else self.spark.createDataFrame([], SCHEMA)
+        return self._read(list(self._version(index, namespace)[1].values()))
 
-    def _replace(self, index: str, namespace: str, rows: DataFrame) -> None:
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+
+    def _replace(self, index: str, namespace: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Write the buckets that hold ``keys`` (id) anew, as ``change`` makes them, and make that the live version."""
+        base = f"{self.root}/{index}/{namespace or 'default'}"
+        at, files = self._version(index, namespace)
+        touched = {str(r.b) for r in keys.select(_bucket("id").alias("b")).distinct().collect()}  # BUCKETS at most
+        path = f"{base}/data-{uuid.uuid4().hex}"
+        rows = change(self._read([p for b, p in files.items() if b in touched]))
+        rows.select("id", "values", "metadata", _bucket("id").alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        new = {x.removeprefix("bucket="): f"{path}/{x}" for x in self._names(path) if x.startswith("bucket=")}
+        live = {b: p for b, p in files.items() if b not in touched} | new
+        fs, made = self._fs(f"{base}/versions/_{uuid.uuid4().hex}")
+        out = fs.create(made)
+        out.write(bytearray(json.dumps(live).encode()))
+        out.close()
+        final = self._fs(f"{base}/versions/v{at + 1:012d}")[1]
+        if fs.exists(final) or not fs.rename(made, final):
+            fs.delete(made, False)
+            raise RuntimeError(f"{index}/{namespace or 'default'} was written by another")
+
+    def vacuum(self, index: str, namespace: str = "") -> None:
+        """Remove files and versions that the live version does not need; readers of older ones must have ended."""
         base = f"{self.root}/{index}/{namespace or 'default'}"
-        path = f"{base}/v-{uuid.uuid4().hex}"
-        rows.select("id", "values", "metadata").write.parquet(path)
-        old = self._live(index, namespace or "default")
-        self.spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/_live")
-        if old:
-            fs, p = self._fs(old)
-            fs.delete(p, True)
+        at, files = self._version(index, namespace)
+        for x in self._names(base):
+            for part in self._names(f"{base}/{x}") if x.startswith("data-") else ():
+                if f"{base}/{x}/{part}" not in files.values():
+                    fs, p = self._fs(f"{base}/{x}/{part}")
+                    fs.delete(p, True)
+        for x in self._names(f"{base}/versions"):
+            if x != f"v{at:012d}":
+                fs, p = self._fs(f"{base}/versions/{x}")
+                fs.delete(p, True)
 
     def upsert(self, index: str, rows: DataFrame, namespace: str = "", order: str = "seq") -> None:
         """Put rows (id, values, metadata, seq) in; all dimensions are checked before anything is written."""
         dimension, _ = self.describe(index)
         if bad := rows.filter(F.coalesce(F.size("values"), F.lit(-1)) != dimension).limit(1).collect():
             raise ValueError(f"{bad[0].id}: not of dimension {dimension}")
-        self._replace(index, namespace, upsert(self.vectors(index, namespace), rows, order=order))
+        self._replace(index, namespace, rows, lambda current: upsert(current, rows, order=order))
 
     def delete(self, index: str, ids: list[str], namespace: str = "") -> int:
         keys = self.spark.createDataFrame([(i,) for i in ids], "id string")
         current = self.vectors(index, namespace)
         n = count_present(current, keys).first().deleted
         if n:
-            self._replace(index, namespace, delete(current, keys))
+            self._replace(index, namespace, keys, lambda held: delete(held, keys))
         return n
 
     def fetch(self, index: str, ids: list[str], namespace: str = "") -> DataFrame:
@@ -137,9 +190,9 @@ class VectorStore:
         dropped = [*(f"m_{f}" for f in where or {}), *([] if include_values else ["values"]), *([] if include_metadata else ["metadata"])]
         return found.drop(*dropped)
 
-    def stats(self, index: str, namespaces: list[str]) -> DataFrame:
-        parts = [self.vectors(index, n).select(F.lit(n).alias("namespace"), F.col("values").alias("v")) for n in namespaces]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+    def stats(self, index: str, namespaces: list[str] | None = None) -> DataFrame:
+        """Rows, dimension and bytes of each namespace (all that were written), and of all together."""
+        out = self.spark.createDataFrame([], "namespace string, v array<float>")
+        for n in self.namespaces(index) if namespaces is None else namespaces:
+            out = out.unionByName(self.vectors(index, n).select(F.lit(n).alias("namespace"), F.col("values").alias("v")))
         return statistics(out)

@@ -1,15 +1,11 @@
 """Every registered query of the array engine, with its SQL twin where SQL can say it.
 
-Queries read whole tables. Where a search needs a stated query set, that set is named in the query (for example the
-embeddings whose id is divisible by 100). pairwise_distances, lerp_path, slerp_path, multi_point_path cover the ids
-that their given SQL names; the queries of the same names with _all cover the rest. window_features_search has the ids
-and the query set of its given SQL (ids collide from 1,000 windows a user); window_features_search_all has its own.
+Queries read whole tables. Where a search needs a stated query set, that set is named in the query: the embeddings whose
+id is divisible by 100, or every hundredth window of a user.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,9 +15,12 @@ from loomspan.functions import bits as B
 from loomspan.functions import vectors as V
 from loomspan.operators import entropy as H
 from loomspan.operators import codec, mining, paths, quantise, series, similarity, store
+from loomspan.operators import metrics as M
 from loomspan.operators import transforms as T
 from loomspan.operators.filters import compile_filter
+from loomspan.sources import files
 from loomspan.streaming.chunks import chunked, windowed
+from loomspan.tables import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,13 +103,7 @@ def _(spark, sf):
     return similarity.within(v, asked(v), 1.3).select("qid", "id", r6("distance"))
 
 
-@query("pairwise_distances", "select a.vec_id as a, b.vec_id as b, round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as distance from embeddings a, embeddings b where a.vec_id % 100 = 0 and b.vec_id % 100 = 0")
-def _(spark, sf):
-    v = vectors(spark, sf).filter("id % 100 = 0")
-    return similarity.pairwise(v, v).select("a", "b", r6("distance"))
-
-
-@query("pairwise_distances_all", "select a.vec_id as a, b.vec_id as b, round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as distance from embeddings a, embeddings b where a.vec_id % 100 = 0")
+@query("pairwise_distances", "select a.vec_id as a, b.vec_id as b, round(list_distance(a.embedding::double[], b.embedding::double[]), 6) as distance from embeddings a, embeddings b where a.vec_id % 100 = 0")
 def _(spark, sf):
     v = vectors(spark, sf)
     return similarity.pairwise(v.filter("id % 100 = 0"), v).select("a", "b", r6("distance"))
@@ -254,36 +247,18 @@ def _(spark, sf):
 _STEPS = "(select unnest(range(0, 5)) as step) s"
 
 
-@query("lerp_path", f"select a.vec_id as id, step, [round(a.embedding[i]::double * (1 - step / 4.0::double) + b.embedding[i]::double * (step / 4.0::double), 6) for i in range(1, len(a.embedding) + 1)] as p {_PAIRS}, {_STEPS} where a.vec_id % 100 = 0")
-def _(spark, sf):
-    return paths.path(_pairs(spark, sf).filter("id % 100 = 0"), 5).withColumn("p", V.rounded(F.col("p")))
-
-
-@query("slerp_path", f"""select id, step, [round(a[i] * (sin((1 - step / 4.0::double) * o) / sin(o)) + b[i] * (sin(step / 4.0::double * o) / sin(o)), 5) for i in range(1, len(a) + 1)] as p from (
-    select a.vec_id as id, step, {_LIST[0]} as a, {_LIST[1]} as b, acos(least(1, greatest(-1, list_cosine_similarity({_LIST[0]}, {_LIST[1]})))) as o {_PAIRS}, {_STEPS} where a.vec_id % 100 = 0)""")
-def _(spark, sf):
-    return paths.path(_pairs(spark, sf).filter("id % 100 = 0"), 5, "spherical").withColumn("p", V.rounded(F.col("p"), 5))
-
-
-@query("multi_point_path", f"""select seg as segment, step, [round(a.embedding[i]::double * (1 - step / 4.0::double) + b.embedding[i]::double * (step / 4.0::double), 6) for i in range(1, len(a.embedding) + 1)] as p
-    from (select vec_id, embedding, vec_id // 100 as seg from embeddings where vec_id % 100 = 0 and vec_id < 400) a join embeddings b on b.vec_id = a.vec_id + 100 and b.vec_id < 400, {_STEPS} where step < 4 or seg = 2""")
-def _(spark, sf):
-    points = vectors(spark, sf).filter("id % 100 = 0 and id < 400").select(F.lit(0).alias("g"), (F.col("id") / 100).cast("long").alias("ord"), "v")
-    return paths.multi_path(points, 5, ["g"]).select("segment", "step", V.rounded(F.col("p")).alias("p"))
-
-
-@query("lerp_path_all", f"select a.vec_id as id, step, [round(a.embedding[i]::double * (1 - step / 4.0::double) + b.embedding[i]::double * (step / 4.0::double), 6) for i in range(1, len(a.embedding) + 1)] as p {_PAIRS}, {_STEPS}")
+@query("lerp_path", f"select a.vec_id as id, step, [round(a.embedding[i]::double * (1 - step / 4.0::double) + b.embedding[i]::double * (step / 4.0::double), 6) for i in range(1, len(a.embedding) + 1)] as p {_PAIRS}, {_STEPS}")
 def _(spark, sf):
     return paths.path(_pairs(spark, sf), 5).withColumn("p", V.rounded(F.col("p")))
 
 
-@query("slerp_path_all", f"""select id, step, [round(case when o < 1e-8 then a[i] * (1 - step / 4.0::double) + b[i] * (step / 4.0::double) else a[i] * (sin((1 - step / 4.0::double) * o) / sin(o)) + b[i] * (sin(step / 4.0::double * o) / sin(o)) end, 5) for i in range(1, len(a) + 1)] as p from (
+@query("slerp_path", f"""select id, step, [round(case when o < 1e-8 then a[i] * (1 - step / 4.0::double) + b[i] * (step / 4.0::double) else a[i] * (sin((1 - step / 4.0::double) * o) / sin(o)) + b[i] * (sin(step / 4.0::double * o) / sin(o)) end, 5) for i in range(1, len(a) + 1)] as p from (
     select a.vec_id as id, step, {_LIST[0]} as a, {_LIST[1]} as b, acos(least(1, greatest(-1, list_cosine_similarity({_LIST[0]}, {_LIST[1]})))) as o {_PAIRS}, {_STEPS})""")
 def _(spark, sf):
     return paths.path(_pairs(spark, sf), 5, "spherical").withColumn("p", V.rounded(F.col("p"), 5))
 
 
-@query("multi_point_path_all", f"""select label, vec_id as segment, step, [round(a[i] * (1 - step / 4.0::double) + b[i] * (step / 4.0::double), 6) for i in range(1, len(a) + 1)] as p
+@query("multi_point_path", f"""select label, vec_id as segment, step, [round(a[i] * (1 - step / 4.0::double) + b[i] * (step / 4.0::double), 6) for i in range(1, len(a) + 1)] as p
     from (select label, vec_id, embedding::double[] as a, lead(embedding::double[]) over w as b, lead(vec_id, 2) over w as later from embeddings window w as (partition by label order by vec_id)), {_STEPS} where b is not null and (step < 4 or later is null)""")
 def _(spark, sf):
     points = vectors(spark, sf).select("label", F.col("id").alias("ord"), "v")
@@ -304,10 +279,14 @@ def _w_ev():
     return series.ordered(_BY, _ORDER)
 
 
-@query("union_symbols", " union all ".join(f"select '{s}' as symbol, count(*) as n, round(sum(value), 4) as total from events where event_type = '{s}'" for s in ("click", "view")))
+#: The event types of the table.
+_SYMBOLS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("union_symbols", " union all ".join(f"select '{s}' as symbol, count(*) as n, round(sum(value), 4) as total from events where event_type = '{s}'" for s in _SYMBOLS))
 def _(spark, sf):
-    parts = [_events(spark, sf).filter(F.col("event_type") == s).withColumn("symbol", F.lit(s)) for s in ("click", "view")]
-    return parts[0].unionByName(parts[1]).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    every = files.combine({s: _events(spark, sf).filter(F.col("event_type") == s) for s in _SYMBOLS})
+    return every.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 def _windows_sql(size: int, stride: int) -> str:
@@ -385,6 +364,63 @@ def _(spark, sf):
     return _fitted(spark, sf).select("event_id", F.round(series.minmax(F.col("value"), F.col("lo"), F.col("hi")), 6).alias("x"))
 
 
+@query("unzscore", "select event_id, round(value, 4) as back from events")
+def _(spark, sf):
+    z = _fitted(spark, sf).withColumn("z", series.zscore(F.col("value"), F.col("mean"), F.col("std"), 0.0))
+    return z.select("event_id", F.round(series.unzscore(F.col("z"), F.col("mean"), F.col("std")), 4).alias("back"))
+
+
+@query("unminmax", "select event_id, round(value, 4) as back from events")
+def _(spark, sf):
+    x = _fitted(spark, sf).withColumn("x", series.minmax(F.col("value"), F.col("lo"), F.col("hi")))
+    return x.select("event_id", F.round(series.unminmax(F.col("x"), F.col("lo"), F.col("hi")), 4).alias("back"))
+
+
+@query("revin_normalise", "select event_id, round((value - avg(value) over w) / sqrt(var_pop(value) over w + 1e-5) * 2.0 + 0.5, 6) as z from events window w as (partition by user_id)")
+def _(spark, sf):
+    return _events(spark, sf).select("event_id", F.round(series.instance_norm(F.col("value"), Window.partitionBy("user_id"), 2.0, 0.5)[0], 6).alias("z"))
+
+
+@query("revin_restore", "select event_id, round(value, 4) as back from events")
+def _(spark, sf):
+    z, mean, scale = series.instance_norm(F.col("value"), Window.partitionBy("user_id"), 2.0, 0.5)
+    rows = _events(spark, sf).withColumns({"z": z, "m": mean, "s": scale})
+    return rows.select("event_id", F.round(series.restore_instance(F.col("z"), F.col("m"), F.col("s"), 2.0, 0.5), 4).alias("back"))
+
+
+@query("finite_values", "select event_id, case event_id % 3 when 0 then 0.0 when 1 then 3.4028234663852886e38 else value end as x from events")
+def _(spark, sf):
+    e = _events(spark, sf)
+    k = F.col("event_id") % 3
+    odd = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).otherwise(F.col("value"))
+    return e.select("event_id", series.finite(odd).alias("x"))
+
+
+@query("zigzag8", "select vec_id as id, label, case when d >= 0 then 2 * d else -2 * d - 1 end as z from (select vec_id, label, (label * 29 + vec_id) % 256 - 128 as d from embeddings)")
+def _(spark, sf):
+    d = (F.col("label") * 29 + F.col("id")) % 256 - 128
+    return vectors(spark, sf).select("id", "label", B.zigzag(d).bitwiseAND(255).alias("z"))
+
+
+@query("reshaped", f"select vec_id as id, w, t, f, round(embedding[w * 16 + t * 4 + f + 1]::double, 6) as x from embeddings, (select unnest(range(0, 4)) as w), (select unnest(range(0, 4)) as t), (select unnest(range(0, 4)) as f)")
+def _(spark, sf):
+    """Flat arrays as windows x steps x features."""
+    return series.reshaped(vectors(spark, sf).select("id", "v"), "v", 4, 4).select("id", "w", "t", "f", F.round("x", 6).alias("x"))
+
+
+@query("unreshaped", "select vec_id as id, [round(x::double, 6) for x in embedding] as v from embeddings")
+def _(spark, sf):
+    return series.unreshaped(series.reshaped(vectors(spark, sf).select("id", "v"), "v", 4, 4), ["id"]).select("id", V.rounded(F.col("v")).alias("v"))
+
+
+@query("gated_dimensions", f"select vec_id as id, count(*) as active, round(sum(x * g), 6) as total from (select vec_id, x, 1 / (1 + exp(-10 * (((pos * 7) % 11) / 10.0::double - 0.5))) as g from {_LONG}) where g > 0.5 group by vec_id")
+def _(spark, sf):
+    """Dimensions whose gate is open, weighted by it."""
+    gates = spark.range(1, 65).select(F.col("id").cast("int").alias("pos"), ((F.col("id") * 7 % 11) / 10.0 - 0.5).alias("gate"))
+    kept = quantise.gated(_long(spark, sf).select("id", "pos", "x"), gates)
+    return kept.groupBy("id").agg(F.count("*").alias("active"), F.round(F.sum("x"), 6).alias("total"))
+
+
 @query("series_fit", "select event_type, round(min(value), 6) as lo, round(max(value), 6) as hi, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from events group by event_type")
 def _(spark, sf):
     return series.fit(_events(spark, sf), "value", ["event_type"]).select("event_type", *map(r6, ("lo", "hi", "mean", "std")))
@@ -413,21 +449,13 @@ def _(spark, sf):
     return _features(spark, sf).select("user_id", "win_id", *(F.round(c, 5).alias(c) for c in ("m", "s", "lo", "hi")))
 
 
-@query("window_features_search", f"""with f as (select user_id * 1000 + win_id as id, [m, s, lo, hi] as v from {_FEAT}) select qid, id, rnk, round(score, 4) as score from (
-    select q.id as qid, b.id as id, list_distance(q.v, b.v) ** 2 as score, row_number() over (partition by q.id order by list_distance(q.v, b.v) ** 2, b.id) as rnk from f q, f b where q.id % 1000 = 0 and q.id % 10000 = 0) where rnk <= 5""")
-def _(spark, sf):
-    f = _features(spark, sf).select((F.col("user_id") * 1000 + F.col("win_id")).alias("id"), F.array("m", "s", "lo", "hi").alias("v"))
-    q = f.filter("id % 10000 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return similarity.knn(f, q, 5, "euclidean").select("qid", "id", "rnk", F.round("score", 4).alias("score"))
-
-
-@query("window_features_search_all", f"""with f as (select (user_id::bigint << 32) + win_id as id, win_id, [m, s, lo, hi] as v from {_FEAT}) select qid, id, rnk, round(score, 4) as score from (
+@query("window_features_search", f"""with f as (select (user_id::bigint << 32) + win_id as id, win_id, [m, s, lo, hi] as v from {_FEAT}) select qid, id, rnk, round(score, 4) as score from (
     select q.id as qid, b.id as id, list_distance(q.v, b.v) ** 2 as score, row_number() over (partition by q.id order by list_distance(q.v, b.v) ** 2, b.id) as rnk from f q, f b where q.win_id % 100 = 0) where rnk <= 5""")
 def _(spark, sf):
     """Every hundredth window of each user against all; 32 bits of the id are the window's, so no two share one."""
     f = _features(spark, sf).select((F.shiftleft(F.col("user_id").cast("long"), 32) + F.col("win_id")).alias("id"), "win_id", F.array("m", "s", "lo", "hi").alias("v"))
     q = f.filter("win_id % 100 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    return similarity.knn_many(f, q, 5).select("qid", "id", "rnk", F.round("score", 4).alias("score"))
+    return similarity.knn(f.select("id", "v"), q, 5, "euclidean").select("qid", "id", "rnk", F.round("score", 4).alias("score"))
 
 
 @query("split_chrono", f"""select event_id, case when i < floor(n * 0.7) then 'train' when i < floor(n * 0.7) + floor(n * 0.15) then 'valid' else 'test' end as part
@@ -443,9 +471,17 @@ def _(spark, sf):
     return series.regimes(_events(spark, sf), _BY, _ORDER, "event_type", 2)
 
 
-@query("elbow_k", "with t as (select * from (values (1, 100.0), (2, 60.0), (3, 25.0), (4, 20.0), (5, 17.0)) as t(k, inertia)), b as (select k, lag(inertia) over (order by k) - 2 * inertia + lead(inertia) over (order by k) as bend from t) select arg_max(k, bend) as k from b where bend is not null")
+_INERTIAS = " union all ".join(f"select {k} as k, sum(d) as inertia from (select min(list_distance(v.embedding::double[], b.embedding::double[]) ** 2) as d from embeddings v, embeddings b where b.vec_id < {k} group by v.vec_id)" for k in range(1, 9))
+
+
+@query("elbow_k", f"with b as (select k, lag(inertia) over (order by k) - 2 * inertia + lead(inertia) over (order by k) as bend from ({_INERTIAS})) select arg_max(k, bend) as k from b where bend is not null")
 def _(spark, sf):
-    return series.elbow(spark.createDataFrame([(1, 100.0), (2, 60.0), (3, 25.0), (4, 20.0), (5, 17.0)], "k int, inertia double"))
+    """The bend of the squared distances of all vectors to the nearest of the first k."""
+    v = vectors(spark, sf)
+    nearest = v.join(F.broadcast(_book(v, 0, 8).agg(F.array_sort(F.collect_list(F.struct("code", "cv"))).alias("book"))))
+    d2 = F.transform("book", lambda c: V.squared_distance(F.col("v"), c["cv"]))
+    rows = nearest.select(F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.array_min(F.slice(d2, 1, k)))).alias("k", "d"))
+    return series.elbow(rows.groupBy((F.col("k") + 1).alias("k")).agg(F.sum("d").alias("inertia")))
 
 
 @query("chunks_batch", f"select user_id, i // 8 as chunk, count(*) as n from (select user_id, row_number() {_W} - 1 as i from events) group by user_id, i // 8")
@@ -537,28 +573,60 @@ def _(spark, sf):
 _LI = "(select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) as _, l_orderkey as o, l_linenumber as n, l_partkey as p, l_suppkey as s, l_shipdate as t, cast(round(l_quantity * 100) as bigint) as f0, cast(round(l_extendedprice * 100) as bigint) as f1, cast(round(l_discount * 100) as bigint) as f2 from lineitem)"
 
 
-@query("cross_feature_delta", f"select o, sum(f0 - b) as d0, sum(f1 - f0) as d1, sum(f2 - f1) as d2, count(*) as n from (select *, coalesce(lag(f0) over (partition by o order by n, p, s, t), 0) as b from {_LI}) group by o")
-def _(spark, sf):
+_LI_W = "partition by o order by n, p, s, t"
+_LI_KEYS = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+
+
+def _features_of_items(spark, sf) -> DataFrame:
     cents = [F.round(F.col(c) * 100).cast("long").alias(f"f{i}") for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount"))]
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", *cents)
-    w = Window.partitionBy("o").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    d = li.select("o", (F.col("f0") - F.coalesce(F.lag("f0").over(w), F.lit(0))).alias("d0"), (F.col("f1") - F.col("f0")).alias("d1"), (F.col("f2") - F.col("f1")).alias("d2"))
-    return d.groupBy("o").agg(*(F.sum(c).alias(c) for c in ("d0", "d1", "d2")), F.count("*").alias("n"))
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), *_LI_KEYS, *cents)
+
+
+@query("cross_feature_delta", f"select o, n as line, f0 - coalesce(lag(f0) over ({_LI_W}), 0) as d0, f1 - f0 as d1, f2 - f1 as d2 from {_LI}")
+def _(spark, sf):
+    d = T.cross_feature_delta(_features_of_items(spark, sf), ["o"], list(_LI_KEYS), ["f0", "f1", "f2"])
+    return d.select("o", F.col("l_linenumber").alias("line"), *(F.col(f"f{i}").alias(f"d{i}") for i in range(3)))
+
+
+@query("uncross_feature_delta", f"select o, n as line, f0, f1, f2 from {_LI}")
+def _(spark, sf):
+    names = ["f0", "f1", "f2"]
+    d = T.cross_feature_delta(_features_of_items(spark, sf), ["o"], list(_LI_KEYS), names)
+    return T.uncross_feature_delta(d, ["o"], list(_LI_KEYS), names).select("o", F.col("l_linenumber").alias("line"), *names)
+
+
+@query("flatten_delta", f"select k, x - coalesce(lag(x) over (order by c, k), 0) as d from {_C}")
+def _(spark, sf):
+    return T.delta_across(_cents(spark, sf), ["c", "k"], "x").select("k", "d")
 
 
-@query("flatten_delta", f"select k, x - coalesce(lag(x) over (partition by b order by c, k), 0) as d from (select *, c % 8 as b from {_C})")
+@query("unflatten_delta", f"select k, x from {_C}")
 def _(spark, sf):
-    w = Window.partitionBy(F.col("c") % 8).orderBy("c", "k")
-    return _cents(spark, sf).select("k", (F.col("x") - F.coalesce(F.lag("x").over(w), F.lit(0))).alias("d"))
+    d = T.delta_across(_cents(spark, sf), ["c", "k"], "x").drop("x")
+    return T.undelta_across(d, ["c", "k"], "d").select("k", "x")
 
 
-@query("window_time_delta", f"""with a as (select k, c, x, row_number() {_OW} - 1 as t, c // 10 as g from {_C}), b as (select *, x - coalesce(lag(x) over (partition by g, t order by c), 0) as e from a)
-    select k, e - coalesce(lag(e) over (partition by c order by t), 0) as d from b""")
+@query("flatten_delta_zigzag", f"select k, case when d >= 0 then 2 * d else -2 * d - 1 end as d from (select k, x - coalesce(lag(x) over (order by c, k), 0) as d from {_C})")
 def _(spark, sf):
-    a = _cents(spark, sf).withColumns({"t": F.row_number().over(_w_or()) - 1, "g": F.floor(F.col("c") / 10)})
-    across = Window.partitionBy("g", "t").orderBy("c")
-    b = a.withColumn("e", F.col("x") - F.coalesce(F.lag("x").over(across), F.lit(0)))
-    return b.select("k", (F.col("e") - F.coalesce(F.lag("e").over(Window.partitionBy("c").orderBy("t")), F.lit(0))).alias("d"))
+    return T.delta_across(_cents(spark, sf), ["c", "k"], "x").select("k", B.zigzag(F.col("d")).alias("d"))
+
+
+_WT = f"with a as (select k, c, x, row_number() {_OW} - 1 as t, c // 10 as g from {_C}), b as (select *, x - coalesce(lag(x) over (partition by g, t order by c), 0) as e from a)"
+
+
+def _window_rows(spark, sf) -> DataFrame:
+    return _cents(spark, sf).withColumns({"t": F.row_number().over(_w_or()) - 1, "g": F.floor(F.col("c") / 10)})
+
+
+@query("window_time_delta", f"{_WT} select k, e - coalesce(lag(e) over (partition by c order by t), 0) as d from b")
+def _(spark, sf):
+    return T.window_time_delta(_window_rows(spark, sf), ["g"], "c", "t", "x").select("k", "d")
+
+
+@query("unwindow_time_delta", f"select k, x from {_C}")
+def _(spark, sf):
+    d = T.window_time_delta(_window_rows(spark, sf), ["g"], "c", "t", "x").drop("x")
+    return T.unwindow_time_delta(d, ["g"], "c", "t", "d").select("k", "x")
 
 
 @query("adaptive_order", "with d as (" + " union all ".join(f"select c, {k} as o, sum(abs(d)) as s from (select k, c, d from ({_delta_sql(k) if k else f'select k, x as d from {_C}'}) join (select k as kk, c from {_C}) on k = kk) group by c" for k in range(5)) + ") select c, best_order from (select c, o as best_order, row_number() over (partition by c order by s, o) as rn from d) where rn = 1")
@@ -593,62 +661,71 @@ def _(spark, sf):
 
 # ---- entropy --------------------------------------------------------------------------------------------------
 
-_SYM = "(select doc_id as g, i, ord(text[i]) % 256 as s from (select doc_id, text, unnest(range(1, length(text) + 1)) as i from documents))"
+_SYM = "(select doc_id as g, i, ('0x' || h[2 * i - 1:2 * i])::int as s from (select doc_id, hex(text) as h, unnest(range(1, strlen(text) + 1)) as i from documents))"
+_PROB = "c / sum(c) over (partition by g)::double"
 
 
-def _symbols(spark, sf) -> DataFrame:
-    chars = F.posexplode(F.split("text", "")).alias("i", "ch")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("g"), chars).filter("ch <> ''")
-    return d.select("g", (F.col("i") + 1).alias("i"), (F.ascii("ch") % 256).alias("s"))
+def _profile(spark, sf) -> DataFrame:
+    """Figures of the UTF-8 bytes of each text."""
+    return H.byte_profile(table(spark, sf, "documents").select(F.col("doc_id").alias("g"), "text"), "g", "text").filter("n > 0")
 
 
-_PROB = "c / sum(c) over (partition by g)::double"
+@query("byte_entropy", f"select g, round(-sum(p * log2(p)) + 0, 6) as h0 from (select g, {_PROB} as p from (select g, s, count(*) as c from {_SYM} group by g, s)) group by g")
+def _(spark, sf):
+    return _profile(spark, sf).select("g", r6("h0"))
 
 
-@query("byte_entropy", f"select g, round(-sum(p * log2(p)), 6) as h0 from (select g, {_PROB} as p from (select g, s, count(*) as c from {_SYM} group by g, s)) group by g")
-def _(spark, sf):
-    return H.entropy(_symbols(spark, sf), ["g"]).select("g", r6("h0"))
+_H1 = f"""(select g, 0 - sum(c / n * log2(c / ctx)) as h1 from (select *, sum(c) over (partition by g, b)::double as ctx, sum(c) over (partition by g)::double as n from (
+    select g, b, s, count(*) as c from (select g, s, lag(s) over (partition by g order by i) as b from {_SYM}) where b is not null group by g, b, s)) group by g)"""
 
 
-@query("bigram_entropy", f"""select g, round(0 - sum(c / n * log2(c / ctx)), 6) as h1 from (select *, sum(c) over (partition by g, b)::double as ctx, sum(c) over (partition by g)::double as n from (
-    select g, b, s, count(*) as c from (select g, s, lag(s) over (partition by g order by i) as b from {_SYM}) where b is not null group by g, b, s)) group by g""")
+@query("bigram_entropy", f"select g, round(h1, 6) as h1 from {_H1}")
 def _(spark, sf):
-    return H.conditional_entropy(_symbols(spark, sf), ["g"], "i").select("g", r6("h1"))
+    return _profile(spark, sf).filter("h1 is not null").select("g", r6("h1"))
 
 
-@query("trigram_block_entropy", f"select g, round(-sum(p * log2(p)), 6) as h from (select g, {_PROB} as p from (select g, s, b, a, count(*) as c from (select g, s, lag(s) over w as b, lag(s, 2) over w as a from {_SYM} window w as (partition by g order by i)) where a is not null group by g, s, b, a)) group by g")
+@query("trigram_block_entropy", f"select g, round(-sum(p * log2(p)) + 0, 6) as h from (select g, {_PROB} as p from (select g, s, b, a, count(*) as c from (select g, s, lag(s) over w as b, lag(s, 2) over w as a from {_SYM} window w as (partition by g order by i)) where a is not null group by g, s, b, a)) group by g")
 def _(spark, sf):
-    return H.block_entropy(_symbols(spark, sf), ["g"], "i", 3).select("g", r6("h"))
+    return _profile(spark, sf).filter("h3 is not null").select("g", F.round("h3", 6).alias("h"))
 
 
-@query("chi2_uniform", f"select round(sum(c * c) * 256 / sum(c)::double - sum(c), 3) as chi2, sum(c)::bigint as n from (select s, count(*) as c from {_SYM} group by s)")
-def _(spark, sf):
-    return H.uniformity(_symbols(spark, sf)).select(F.round("chi2", 3).alias("chi2"), "n")
+def _p_sql(chi2: str, k: float = 255.0) -> str:
+    """The p-value formula in SQL."""
+    x = f"((pow(({chi2}) / {k}, 1 / 3.0::double) - (1 - 2 / (9 * {k}))) / sqrt(2 / (9 * {k}::double)) / sqrt(2.0::double))"
+    t = f"(1 / (1 + {H.ERF_P}::double * abs({x})))"
+    poly = "0.0::double"
+    for a in reversed(H.ERF_A):
+        poly = f"({t} * ({a}::double + {poly}))"
+    return f"greatest(0.0, least(1.0, 0.5 * (1 - sign({x}) * (1 - {poly} * exp(-{x} * {x})))))"
 
 
-@query("certificate", f"""with h as (select -sum(p * log2(p)) as h0, sum(c) as n from (select c, c / sum(c) over ()::double as p from (select s, count(*) as c from {_SYM} group by s)))
-    select round(h0, 6) as entropy, n::bigint as original_size, round(8 - h0, 6) as gap_bpb from h""")
+@query("chi2_uniform", f"select round(chi2, 3) as chi2, n, round(case when n < 256 then 0.0 else {_p_sql('chi2')} end, 6) as p_value from (select sum(c * c) * 256 / sum(c)::double - sum(c) as chi2, sum(c)::bigint as n from (select s, count(*) as c from {_SYM} group by s))")
 def _(spark, sf):
-    one = _symbols(spark, sf).withColumn("all", F.lit(0))
-    h = H.entropy(one, ["all"]).join(one.groupBy("all").agg(F.count("*").alias("original_size")), "all")
-    return h.select(F.round("h0", 6).alias("entropy"), "original_size", F.round(8 - F.col("h0"), 6).alias("gap_bpb"))
+    return H.counted_uniformity(H.byte_counts(table(spark, sf, "documents"), "text")).select(F.round("chi2", 3).alias("chi2"), "n", r6("p_value"))
 
 
-@query("adaptive_code_length", f"select g, round(-sum(log2((1 + b) / (256 + t)::double)), 4) as bits from (select g, row_number() over (partition by g, s order by i) - 1 as b, row_number() over (partition by g order by i) - 1 as t from {_SYM}) group by g")
+_SIZES = f"(select s.g, s.n, s.h0, s.q, h.h1 from (select g, sum(c)::bigint as n, -sum(c / t * log2(c / t)) as h0, sum(c * c) * 256 / sum(c)::double - sum(c) as q from (select g, s, count(*) as c, sum(count(*)) over (partition by g)::double as t from {_SYM} group by g, s) group by g) s left join {_H1} h on h.g = s.g)"
+
+
+@query("certificate", f"""select g, n as original_size, round(f, 6) as entropy, round(8 - f, 6) as gap_bpb, round(case when f > 1e-9 then (8 - f) / f * 100 else 0 end, 4) as gap_pct, round(case when n < 256 then 0.0 else {_p_sql('q')} end, 6) as p_value
+    from (select *, least(h0, coalesce(h1, h0)) as f from {_SIZES})""")
 def _(spark, sf):
-    return H.adaptive_bits(_symbols(spark, sf), ["g"], "i").select("g", F.round("bits", 4).alias("bits"))
+    """Certificates of texts kept as they are, at eight bits a byte."""
+    one = table(spark, sf, "documents").select(F.col("doc_id").alias("g"), "text")
+    p = H.byte_profile(one, "g", "text", with_p=True).filter("n > 0")
+    c = H.gap(F.col("h0"), F.col("h1"), F.col("n"), F.col("n"))
+    floor = F.when(c["entropy"] > 1e-9, c["entropy"]).otherwise(0.0)
+    return p.select("g", F.col("n").alias("original_size"), F.round(c["entropy"], 6).alias("entropy"), F.round(c["gap_bpb"], 6).alias("gap_bpb"), F.round(F.when(floor > 0, c["gap_pct"]).otherwise(0.0), 4).alias("gap_pct"), r6("p_value"))
 
 
-@query("code_entropy", f"select g, round(-sum(p * log2(p)), 6) as h0 from (select g, {_PROB} as p from (select label % 2 as g, vec_id % 10 as s, count(*) as c from embeddings group by 1, 2)) group by g")
+@query("adaptive_code_length", f"select g, round(-sum(log2((1 + b) / (256 + t)::double)), 3) as bits from (select g, row_number() over (partition by g, s order by i) - 1 as b, row_number() over (partition by g order by i) - 1 as t from {_SYM}) group by g")
 def _(spark, sf):
-    v = vectors(spark, sf).select((F.col("label") % 2).alias("g"), (F.col("id") % 10).alias("s"))
-    return H.entropy(v, ["g"]).select("g", r6("h0"))
+    return _profile(spark, sf).select("g", F.round("adaptive_bits", 3).alias("bits"))
 
 
-@query("perplexity", f"select g, round(exp(-sum(p * ln(p + 1e-10))), 6) as perplexity from (select g, {_PROB} as p from (select label % 2 as g, vec_id % 10 as s, count(*) as c from embeddings group by 1, 2)) group by g")
+@query("static_code_length", f"select g, round(-sum(c * log2((c + 1) / (t + 256))), 3) as bits from (select g, s, count(*) as c, sum(count(*)) over (partition by g)::double as t from {_SYM} group by g, s) group by g")
 def _(spark, sf):
-    v = vectors(spark, sf).select((F.col("label") % 2).alias("g"), (F.col("id") % 10).alias("s"))
-    return H.perplexity(v, ["g"]).select("g", r6("perplexity"))
+    return _profile(spark, sf).select("g", F.round("static_bits", 3).alias("bits"))
 
 
 @query("value_entropy", f"select g, round(-sum(p * log2(p)), 6) as h0 from (select g, {_PROB} as p from (select l_returnflag as g, round_even(l_discount, 2) as s, count(*) as c from lineitem group by 1, 2)) group by g")
@@ -692,16 +769,39 @@ def _(spark, sf):
     return quantise.assign(v, _book(v)).select("id", "code", V.rounded(F.col("cv")).alias("cv"))
 
 
-@query("rvq_two_level")
+_CODES = f"(select e.label % 2 as g, n.code as s, count(*) as c from {_NEAR} n join embeddings e on e.vec_id = n.id where rn = 1 group by 1, 2)"
+
+
+def _codes(spark, sf) -> DataFrame:
+    v = vectors(spark, sf)
+    return quantise.assign(v, _book(v)).select((F.col("label") % 2).alias("g"), F.col("code").alias("s"))
+
+
+@query("code_entropy", f"select g, round(-sum(p * log2(p)), 6) as h0 from (select g, {_PROB} as p from {_CODES}) group by g")
+def _(spark, sf):
+    return H.entropy(_codes(spark, sf), ["g"]).select("g", r6("h0"))
+
+
+@query("perplexity", f"select g, round(exp(-sum(p * ln(p + 1e-10))), 6) as perplexity from (select g, {_PROB} as p from {_CODES}) group by g")
+def _(spark, sf):
+    return H.perplexity(_codes(spark, sf), ["g"]).select("g", r6("perplexity"))
+
+
+_REST = f"(select n.id, n.code, [e.embedding[i]::double - b.embedding[i]::double for i in range(1, len(e.embedding) + 1)] as r, b.embedding::double[] as cv from {_NEAR} n join embeddings e on e.vec_id = n.id join embeddings b on b.vec_id = n.code where rn = 1)"
+
+
+@query("rvq_two_level", f"""select id, code_0, code_1, [round(cv[i] + b[i], 6) for i in range(1, len(cv) + 1)] as approx from (
+    select x.id, x.code as code_0, b.vec_id as code_1, x.cv, b.embedding::double[] as b, row_number() over (partition by x.id order by list_distance(x.r, b.embedding::double[]) ** 2, b.vec_id) as rn from {_REST} x, embeddings b where b.vec_id >= 16 and b.vec_id < 32) where rn = 1""")
 def _(spark, sf):
     v = vectors(spark, sf)
     return quantise.residual(v, [_book(v), _book(v, 16, 32)]).select("id", "code_0", "code_1", V.rounded(F.col("approx")).alias("approx"))
 
 
-@query("fsq_codes", "select vec_id as id, (round(tanh(embedding[1]::double * 8) * 3.5 + 3.5) + 8 * round(tanh(embedding[2]::double * 8) * 2 + 2) + 40 * round(tanh(embedding[3]::double * 8) * 2 + 2))::int as code from embeddings")
+@query("fsq_codes", "select vec_id as id, p as part, (round(tanh(embedding[3 * p + 1]::double * 8) * 3.5 + 3.5) + 8 * round(tanh(embedding[3 * p + 2]::double * 8) * 2 + 2) + 40 * round(tanh(embedding[3 * p + 3]::double * 8) * 2 + 2))::int as code from embeddings, (select unnest(range(0, 21)) as p)")
 def _(spark, sf):
-    v = vectors(spark, sf)
-    return v.select("id", quantise.finite_scalar(F.transform("v", lambda x: x * 8), [8, 5, 5]).alias("code"))
+    """Three dimensions a code, 21 codes a vector."""
+    parts = vectors(spark, sf).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda p: F.transform(F.slice("v", p * 3 + 1, 3), lambda x: x * 8))).alias("part", "z"))
+    return parts.select("id", "part", quantise.finite_scalar(F.col("z"), [8, 5, 5]).alias("code"))
 
 
 @query("codebook_ema", f"with a as (select n.code, i as pos, avg(e.embedding[i]::double) as m from {_NEAR} n join embeddings e on e.vec_id = n.id, (select unnest(range(1, 65)) as i) where rn = 1 group by 1, 2) select code, pos - 1 as pos, round(0.99 * b.embedding[pos]::double + 0.01 * m, 6) as value from a join embeddings b on b.vec_id = code")
@@ -710,11 +810,23 @@ def _(spark, sf):
     return quantise.ema_step(quantise.assign(v, _book(v)), _book(v)).select("code", "pos", r6("value"))
 
 
-@query("code_delta", f"select id, (code - coalesce(lag(code) over (partition by id // 50 order by id), 0) + 256) % 256 as d from {_NEAR} where rn = 1")
+_CD = "(code - coalesce(lag(code) over (partition by id // 50 order by id), 0))"
+
+
+@query("code_delta", f"select id, case when d >= 0 then 2 * d else -2 * d - 1 end as d from (select id, ({_CD} + 128 + 256) % 256 - 128 as d from {_NEAR} where rn = 1)")
+def _(spark, sf):
+    return T.code_delta(_placed_codes(spark, sf), ["g"], ["id"], "code").select("id", "d")
+
+
+@query("uncode_delta", f"select id, code from {_NEAR} where rn = 1")
 def _(spark, sf):
+    d = T.code_delta(_placed_codes(spark, sf), ["g"], ["id"], "code").drop("code")
+    return T.uncode_delta(d, ["g"], ["id"], "d").select("id", F.col("x").alias("code"))
+
+
+def _placed_codes(spark, sf) -> DataFrame:
     v = vectors(spark, sf)
-    w = Window.partitionBy(F.floor(F.col("id") / 50)).orderBy("id")
-    return quantise.assign(v, _book(v)).select("id", F.pmod(F.col("code") - F.coalesce(F.lag("code").over(w), F.lit(0)), F.lit(256)).alias("d"))
+    return quantise.assign(v, _book(v)).select("id", "code", F.floor(F.col("id") / 50).alias("g"))
 
 
 # ---- metrics --------------------------------------------------------------------------------------------------
@@ -750,10 +862,61 @@ def _(spark, sf):
     return v.agg(F.count_if(F.col("v") > 0.01).alias("active_dims"), F.round(F.when(F.sum("v") == 0, 0.0).otherwise(F.pow(F.sum("v"), 2) / F.sum(F.col("v") * F.col("v"))), 6).alias("participation"))
 
 
-@query("kl", f"select round(avg(kl), 6) as kl from (select vec_id, -0.5 * sum(1 + ln(0.5) - x * x - 0.5) as kl from {_LONG} group by vec_id)")
+_LV = "(select id, pos, m, ln(s * s + 1e-6) as lv from (select label as id, pos, avg(x) as m, stddev_pop(x) as s from " + _LONG + " group by label, pos))"
+
+
+def _normals(spark, sf) -> DataFrame:
+    """Mean and log variance of each coordinate within a label."""
+    per = _long(spark, sf).groupBy(F.col("label").alias("id"), "pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    return per.select("id", "pos", "m", F.ln(F.col("s") * F.col("s") + 1e-6).alias("lv"))
+
+
+@query("kl", f"select id, round(sum(-0.5 * (1 + lv - m * m - exp(lv))), 6) as kl from {_LV} group by id")
+def _(spark, sf):
+    n = _normals(spark, sf)
+    return n.groupBy("id").agg(F.round(F.sum(M.kl_terms(F.col("m"), F.col("lv"))), 6).alias("kl"))
+
+
+@query("kl_per_dim", f"select pos, round(avg(-0.5 * (1 + lv - m * m - exp(lv))), 6) as kl from {_LV} group by pos")
+def _(spark, sf):
+    n = _normals(spark, sf)
+    return n.groupBy("pos").agg(F.round(F.avg(M.kl_terms(F.col("m"), F.col("lv"))), 6).alias("kl"))
+
+
+@query("sparsity", f"select round(avg(abs(x)), 6) as sparsity from {_LONG}")
+def _(spark, sf):
+    return M.sparsity(_long(spark, sf)).select(r6("sparsity"))
+
+
+@query("weighted_huber", f"select round(sum(w * case when abs(value - y) <= 1 then 0.5 * d2 else abs(value - y) - 0.5 end) / sum(w), 6) as loss from (select *, case when event_type = 'click' then 2.0 else 1.0 end as w from {_RECON})")
+def _(spark, sf):
+    w = F.when(F.col("event_type") == "click", 2.0).otherwise(1.0)
+    return M.weighted_loss(_recon(spark, sf), F.col("value") - F.col("y"), w, "huber").select(r6("loss"))
+
+
+@query("evaluation", f"select event_type, count(*) as n, round(sqrt(avg(d2)), 6) as rmse, round(100 * sqrt(avg(d2)) / (max(value) - min(value)), 6) as range_pct from {_RECON} group by event_type")
 def _(spark, sf):
-    k = _long(spark, sf).groupBy("id").agg((-0.5 * F.sum(1 + F.ln(F.lit(0.5)) - F.col("x") * F.col("x") - 0.5)).alias("kl"))
-    return k.agg(F.round(F.avg("kl"), 6).alias("kl"))
+    return M.evaluate(_recon(spark, sf), "value", "y", ["event_type"]).select("event_type", "n", r6("rmse"), r6("range_pct"))
+
+
+@query("combined_loss", f"select event_type, round(avg(d2) + 0.1 * 0.25 * avg(abs(y)) + 0.5 * avg(abs(value - y)), 6) as loss from {_RECON} group by event_type")
+def _(spark, sf):
+    """Reconstruction, a part whose weight is a quarter through its warm-up, and a weighted part."""
+    parts = {"recon": F.avg("d2"), "size": F.avg(F.abs("y")), "abs": F.avg(F.abs(F.col("value") - F.col("y")))}
+    weights = {"size": M.warmed(25, 100, 0.1), "abs": 0.5}
+    return _recon(spark, sf).groupBy("event_type").agg(F.round(M.combined_loss(parts, weights), 6).alias("loss"))
+
+
+_DFT = "(select user_id, win_id, k, sqrt(sum(x * cos(2 * pi() * k * t / 16)) ** 2 + sum(x * sin(2 * pi() * k * t / 16)) ** 2) as m from (select user_id, i // 16 as win_id, i % 16 as t, {x} as x, count(*) over (partition by user_id, i // 16) as n from (select *, row_number() {w} - 1 as i from {r})), (select unnest(range(0, 9)) as k) where n = 16 group by user_id, win_id, k)"
+
+
+@query("spectral_mse", f"select round(avg((a.m - b.m) ** 2), 4) as mse from {_DFT.format(x='value', w=_W, r=_RECON)} a join {_DFT.format(x='y', w=_W, r=_RECON)} b using (user_id, win_id, k)")
+def _(spark, sf):
+    """Windows of 16 values against their rolling means."""
+    rows = _recon(spark, sf).withColumn("i", F.row_number().over(_w_ev()) - 1)
+    held = lambda c: F.array_sort(F.collect_list(F.struct("i", c)))[c]
+    pairs = rows.groupBy("user_id", F.floor(F.col("i") / 16).alias("win_id")).agg(held("value").alias("x"), held("y").alias("z")).filter("size(x) = 16")
+    return M.spectral_mse(pairs, "x", "z").select(F.round("mse", 4).alias("mse"))
 
 
 @query("smoothness", f"select round(avg(d * d), 6) as smoothness from (select value - lag(value) {_W} as d from events)")
@@ -769,34 +932,29 @@ def _(spark, sf):
     return d.groupBy("scale").agg(F.round(F.avg(F.col("d") * F.col("d")), 6).alias("mse"))
 
 
-@query("cost_model", "select event_type, round(gb * 0.023 + gb * 4 * 0.09, 9) as monthly, round(12 * (gb * 0.023 + gb * 4 * 0.09) * (1 - 1 / 3.07), 9) as yearly_savings from (select event_type, count(*) * 8 / 1e9 as gb from events group by event_type)")
+@query("cost_model", "select event_type, round(raw, 9) as raw_gb, round(raw * 0.023 + raw * 4 * 0.004, 9) as monthly, round((raw - small) * (0.023 + 4 * 0.004), 9) as monthly_savings, round(12 * (raw - small) * (0.023 + 4 * 0.004), 9) as yearly_savings from (select event_type, count(*) * 4 / 1e9 as raw, (count(*) + 16) / 1e9 as small from events group by event_type)")
 def _(spark, sf):
-    gb = _events(spark, sf).groupBy("event_type").agg((F.count("*") * 8 / 1e9).alias("gb"))
-    month = F.col("gb") * 0.023 + F.col("gb") * 4 * 0.09
-    return gb.select("event_type", F.round(month, 9).alias("monthly"), F.round(12 * month * (1 - 1 / 3.07), 9).alias("yearly_savings"))
+    """Prices of keeping values as float32, and what 8-bit codes with their two scales save."""
+    n = _events(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"))
+    return M.costs(n.select("event_type", (F.col("n") * 4).alias("raw"), (F.col("n") + 16).alias("small")), "raw", "small").select("event_type", *(F.round(c, 9).alias(c) for c in ("raw_gb", "monthly", "monthly_savings", "yearly_savings")))
 
 
 # ---- anomalies ------------------------------------------------------------------------------------------------
 
 
-def _flagged(rows: DataFrame, score: str, contamination: float = 0.05) -> DataFrame:
-    cut = rows.agg(F.percentile(score, F.lit(1 - contamination)).alias("cut"))
-    return rows.join(F.broadcast(cut)).withColumn("flag", (F.col(score) > F.col("cut")).cast("int"))
-
-
 @query("anomaly_recon", f"with s as (select user_id, sqrt(avg(d2)) as rmse from {_RECON} group by user_id) select user_id, round(least(1.0, greatest(0.0, rmse / (2 * cut))), 6) as score, (rmse > cut)::int as flag from s, (select quantile_cont(rmse, 0.95) as cut from s)")
 def _(spark, sf):
     s = _recon(spark, sf).groupBy("user_id").agg(F.sqrt(F.avg("d2")).alias("rmse"))
-    return _flagged(s, "rmse").select("user_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rmse") / (2 * F.col("cut")))), 6).alias("score"), "flag")
+    return mining.thresholded(s, "rmse").select("user_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rmse") / (2 * F.col("cut")))), 6).alias("score"), "flag")
 
 
 @query("anomaly_knn", """with k as (select id, avg(d) as m from (select q.vec_id as id, list_distance(q.embedding::double[], b.embedding::double[]) as d, row_number() over (partition by q.vec_id order by list_distance(q.embedding::double[], b.embedding::double[]), b.vec_id) as rn
     from embeddings q, embeddings b) where rn <= 5 group by id) select id, round(least(1.0, m / (2 * cut)), 6) as score, (m > cut)::int as flag from k, (select quantile_cont(m, 0.95) as cut from k)""")
 def _(spark, sf):
     v = vectors(spark, sf)
-    near = similarity.knn_many(v, v.select(F.col("id").alias("qid"), F.col("v").alias("q")), 5)
+    near = similarity.knn(v.select("id", "v"), v.select(F.col("id").alias("qid"), F.col("v").alias("q")), 5, "euclidean")
     m = near.groupBy(F.col("qid").alias("id")).agg(F.avg(F.sqrt("score")).alias("m"))
-    return _flagged(m, "m").select("id", F.round(F.least(F.lit(1.0), F.col("m") / (2 * F.col("cut"))), 6).alias("score"), "flag")
+    return mining.thresholded(m, "m").select("id", F.round(F.least(F.lit(1.0), F.col("m") / (2 * F.col("cut"))), 6).alias("score"), "flag")
 
 
 # ---- codec, mining --------------------------------------------------------------------------------------------
@@ -810,16 +968,59 @@ def _blocks(spark, sf) -> DataFrame:
     return rows.groupBy("user_id", "win_id").agg(F.array_sort(F.collect_list("r"))["x"].alias("values"))
 
 
+_EXACT_SQL = f"select user_id, win_id, len(v) * 4::bigint as raw_bytes, true as ok, round(v[1]::double, 6) as first, round(v[-1]::double, 6) as last, round(list_sum([x::double for x in v]), 4) as total from (select user_id, i // 16 as win_id, list(value::float order by i) as v from (select user_id, value, row_number() {_W} - 1 as i from events) group by user_id, i // 16)"
+
 for _mode in codec.MODES:
 
-    @query(f"codec_roundtrip_{_mode}", f"select user_id, win_id, raw_bytes::bigint as raw_bytes, true as ok from ({_BLOCKS})")
+    @query(f"codec_roundtrip_{_mode}", _EXACT_SQL if _mode in codec.EXACT else f"select user_id, win_id, raw_bytes::bigint as raw_bytes, true as ok from ({_BLOCKS})")
     def _(spark, sf, mode=_mode):
         b = _blocks(spark, sf)
         back = codec.decompress(codec.compress(b.withColumn("was", F.col("values")), mode))
         span = F.array_max("was") - F.array_min("was")
         off = F.aggregate(F.zip_with("was", "values", lambda x, y: F.abs(x - y).cast("double")), F.lit(0.0), lambda a, x: F.greatest(a, x))
-        allowed = 0.0 if mode in codec.EXACT else {"quantized_8": 1 / 250}.get(mode, 1e-3)
-        return back.select("user_id", "win_id", "raw_bytes", (off <= span * allowed + (0.0 if mode in codec.EXACT else 1e-4)).alias("ok"))
+        if mode not in codec.EXACT:
+            allowed = {"quantized_8": 1 / 250}.get(mode, 1e-3)
+            return back.select("user_id", "win_id", "raw_bytes", (off <= span * allowed + 1e-4).alias("ok"))
+        v = F.col("values").cast("array<double>")
+        total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+        return back.select("user_id", "win_id", "raw_bytes", (off == 0).alias("ok"), F.round(v[0], 6).alias("first"), F.round(F.element_at(v, -1), 6).alias("last"), F.round(total, 4).alias("total"))
+
+
+@query("quantized_8_values", f"""select user_id, win_id, [round(floor((x::double - lo) / greatest(hi - lo, 1e-10) * 255) / 255 * greatest(hi - lo, 1e-10) + lo, 3) for x in v] as v
+    from (select *, list_min(v)::double as lo, list_max(v)::double as hi from (select user_id, i // 16 as win_id, list(value::float order by i) as v from (select user_id, value, row_number() {_W} - 1 as i from events) group by user_id, i // 16))""")
+def _(spark, sf):
+    """What the 8-bit mode gives back, value by value."""
+    back = codec.decompress(codec.compress(_blocks(spark, sf), "quantized_8"))
+    return back.select("user_id", "win_id", F.transform(F.col("values").cast("array<double>"), lambda x: F.round(x, 3)).alias("v"))
+
+
+@query("compression_ratio")
+def _(spark, sf):
+    """Bytes and ratios of every mode over blocks of 16 values."""
+    b = _blocks(spark, sf)
+    parts = [codec.compress(b, m).select("mode", "raw_bytes", "blob") for m in codec.MODES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return M.compression_ratios(out, ["mode"], F.col("raw_bytes"), "blob")
+
+
+@query("top_modes_report")
+def _(spark, sf):
+    """Modes by falling ratio, the first three with medals."""
+    return M.report(QUERIES["compression_ratio"](spark, sf), "mode", "ratio")
+
+
+@query("optimal_certificates")
+def _(spark, sf):
+    """Winner, sizes and gap of each block of the screened competition."""
+    return codec.compress_optimal(_blocks(spark, sf), fast=True).drop("blob", "mode")
+
+
+@query("transform_screening")
+def _(spark, sf):
+    """Each block's transforms by size."""
+    return codec.candidates(_blocks(spark, sf))
 
 
 @query("kmeans_labels")
@@ -827,33 +1028,72 @@ def _(spark, sf):
     return mining.kmeans(vectors(spark, sf), 10)[0]
 
 
+@query("kmeans_inertia")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return mining.inertia(v, mining.kmeans(v, 10)[0].select("id", "label"))
+
+
 @query("pca_explained")
 def _(spark, sf):
     ratios = mining.pca(vectors(spark, sf), 8)[1]
     return spark.createDataFrame([(i, x) for i, x in enumerate(ratios)], "component int, explained double")
 
 
-@query("dbscan")
+@query("pca_restored")
 def _(spark, sf):
+    """Error of each vector after its projection on the axes that hold 99 % of the variance."""
+    v = vectors(spark, sf)
+    axes = mining.fit_projection(v, 0.99)
+    placed = v.select("id", "v", axes.project(F.col("v")).alias("z"))
+    return placed.select("id", V.distance(F.col("v"), axes.restore(F.col("z"))).alias("error"))
+
+
+_NEAR2 = "select a.vec_id as a, b.vec_id as b from embeddings a, embeddings b where (a.embedding[1]::double - b.embedding[1]::double) ** 2 + (a.embedding[2]::double - b.embedding[2]::double) ** 2 <= 0.05::double ** 2"
+_DENSE = f"""with recursive p as materialized ({_NEAR2}), core as materialized (select a from p group by a having count(*) >= 5),
+    l as materialized (select a, b from p semi join core using (a) where b in (select a from core)),
+    r as (select a, a as label from core union select l.a, r.label from l join r on l.b = r.a),
+    own as (select a, min(label) as label from r group by a),
+    named as (select p.a as id, min(own.label) as label from p join own on own.a = p.b group by p.a)
+    select vec_id as id, coalesce(own.label, named.label, -1) as label from embeddings left join own on own.a = vec_id left join named on named.id = vec_id"""
+
+
+@query("dbscan", _DENSE)
+def _(spark, sf):
+    """Density clusters of the first two coordinates."""
     v = vectors(spark, sf).select("id", F.slice("v", 1, 2).alias("v"))
     return mining.dbscan(v, 0.05, 5)
 
 
+@query("dbscan_inertia", f"with c as ({_DENSE}), x as (select c.label, embedding[1]::double as x, embedding[2]::double as y from c join embeddings on vec_id = id where c.label <> -1) select round(coalesce(sum(v), 0.0::double), 6) as inertia from (select (var_pop(x) + var_pop(y)) * count(*) as v from x group by label)")
+def _(spark, sf):
+    v = vectors(spark, sf).select("id", F.slice("v", 1, 2).alias("v"))
+    return mining.inertia(v, mining.dbscan(v, 0.05, 5)).select(r6("inertia"))
+
+
 @query("anomaly_iforest")
 def _(spark, sf):
     return mining.isolation(vectors(spark, sf))
 
 
+@query("anomaly_combined")
+def _(spark, sf):
+    """Mean of the neighbour and isolation scores."""
+    v = vectors(spark, sf)
+    near = QUERIES["anomaly_knn"](spark, sf).select("id", "score")
+    return mining.combined({"near": near, "depth": mining.scaled_isolation(mining.isolation(v))})
+
+
 # ---- streaming ------------------------------------------------------------------------------------------------
 
 
 @query("chunks_stream", f"select user_id as key, i // 8 as chunk, count(*) as n from (select user_id, row_number() {_W} - 1 as i from events) group by user_id, i // 8 having count(*) = 8")
 def _(spark, sf):
-    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", rocks)
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomspan-stream-')}"
-    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+    out = scratch_path(spark, "stream")
+    # the state store provider holds for this stream's session alone
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source = own.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
     made = chunked(source, "user_id", "value", 8).select("key", "chunk", "n")
     run = made.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -41,7 +41,7 @@ def _one(sf, folder, name):
     next(Path(sf, folder).glob("*.parquet")).rename(f"{sf}/{name}.parquet")
 
 
-@pytest.mark.parametrize("name, n", [("pairwise_distances_all", 5 * 450), ("lerp_path_all", 449 * 5), ("slerp_path_all", 449 * 5), ("multi_point_path_all", 3 * (149 * 4 + 1))])
+@pytest.mark.parametrize("name, n", [("pairwise_distances", 5 * 450), ("lerp_path", 449 * 5), ("slerp_path", 449 * 5), ("multi_point_path", 3 * (149 * 4 + 1))])
 def test_queries_over_all_embeddings(spark, vector_table, name, n):
     assert len(same(spark, vector_table, name)) == n
 
@@ -57,5 +57,5 @@ def test_windows_of_a_hot_user_keep_ids_of_their_own(spark, tmp_path):
     _one(tmp_path, "v", "events")
     spark.createDataFrame([(0, [0.0], 0)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/e")
     _one(tmp_path, "e", "embeddings")
-    got = same(spark, tmp_path, "window_features_search_all")
+    got = same(spark, tmp_path, "window_features_search")
     assert len({(r[0], r[1]) for r in got}) == len(got) == 5 * (11 + 1)

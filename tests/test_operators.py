@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import paths, series, similarity, store, transforms
+from loomspan.operators import mining, paths, quantise, series, similarity, store, transforms
 from loomspan.operators.filters import compile_filter
 
 
@@ -37,6 +37,50 @@ def test_store_round_trip(spark, tmp_path):
     assert s.list_indexes() == []
 
 
+def test_store_versions_survive_other_writers(spark, tmp_path):
+    s = store.VectorStore(spark, str(tmp_path))
+    s.create_index("i", 1, "euclidean")
+    kind = "id string, values array<float>, metadata map<string,string>, seq int"
+    rows = lambda ids, x: spark.createDataFrame([(i, [float(x)], None, 1) for i in ids], kind)
+    s.upsert("i", rows(map(str, range(40)), 1), "a")
+    before = s.vectors("i", "a")
+    s.upsert("i", rows(["3", "x"], 2), "a")
+    assert before.count() == 40 and s.vectors("i", "a").count() == 41  # a running reader keeps its version
+    assert s.fetch("i", ["3", "4"], "a").orderBy("id").select("values").collect()[0][0] == [2.0]
+    held = s._version
+    s._version = lambda *a: (held(*a)[0] - 1, held(*a)[1])  # a writer that read the version before
+    with pytest.raises(RuntimeError):
+        s.upsert("i", rows(["y"], 3), "a")
+    s._version = held
+    s.vacuum("i", "a")
+    assert s.vectors("i", "a").count() == 41 and s.namespaces("i") == ["a"]
+    assert {(r.namespace, r.vectors) for r in s.stats("i").collect()} == {("a", 41), (None, 41)}
+    same = spark.createDataFrame([("q", [1.0], None, 1), ("q", [2.0], None, 1)], kind)
+    assert store.upsert(s.vectors("i", "a"), same).filter("id = 'q'").first()["values"] == store.upsert(s.vectors("i", "a"), same.orderBy("values")).filter("id = 'q'").first()["values"]
+
+
+def test_search_by_matrix_equals_pairs(spark):
+    import random
+
+    rnd = random.Random(1)
+    v = [(i, [float(rnd.randint(-3, 3)) for _ in range(4)], i % 3) for i in range(300)] + [(900, None, 1)]
+    q = [(i, v[i][1]) for i in range(0, 300, 29)]
+    vectors = spark.createDataFrame(v, "id long, v array<double>, label int").repartition(3)
+    queries = spark.createDataFrame(q, "qid long, q array<double>")
+    size = lambda a: sum(x * x for x in a) ** 0.5
+    for metric, score in (("euclidean", lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))), ("dotproduct", lambda a, b: -sum(x * y for x, y in zip(a, b))), ("cosine", lambda a, b: -sum(x * y for x, y in zip(a, b)) / (size(a) * size(b) + 1e-10))):
+        want = {i: [k for _, k in sorted((round(score(a, b), 9), k) for k, b, _ in v if b)[:7]] for i, a in q}
+        got = {}
+        for r in similarity.knn(vectors, queries, 7, metric).orderBy("qid", "rnk").collect():
+            got.setdefault(r.qid, []).append(r.id)
+            assert r.label == r.id % 3
+        assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items()} or metric == "cosine"
+        assert all(len(x) == 7 for x in got.values())
+    near = {(r.qid, r.id) for r in similarity.within(vectors, queries, 3.0).collect()}
+    assert near == {(i, k) for i, a in q for k, b, _ in v if b and sum((x - y) ** 2 for x, y in zip(a, b)) < 9}
+    assert similarity.pairwise(queries.toDF("id", "v"), vectors).count() == len(q) * 300
+
+
 def test_windows_of_a_series(spark):
     rows = spark.createDataFrame([(1, i, float(i)) for i in range(10)], "k int, t int, x double")
     got = series.sliding_windows(rows, ["k"], ["t"], "x", 4, 3).orderBy("win_id").collect()
@@ -71,3 +115,66 @@ def test_runs_shorter_than_asked_are_dropped(spark):
     got = series.regimes(rows, ["k"], ["t"], "s", 2).orderBy("start").collect()
     assert [(r.start, r.end) for r in got] == [(0, 2), (3, 5)]
     assert rows.filter(F.col("s") == "b").count() == 1
+
+
+def test_density_clusters_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(2)
+    points = [(i, [0.9 * i, 0.0]) for i in range(120)]  # a chain of neighbours
+    points += [(1000 + i, [rnd.uniform(0, 30), rnd.uniform(20, 40)]) for i in range(150)]
+    df = spark.createDataFrame(points, "id long, v array<double>").repartition(3)
+    for eps, least in ((1.0, 3), (1.6, 4)):
+        near = {i: [j for j, b in points if (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 <= eps * eps] for i, a in points}
+        core, label = {i for i, x in near.items() if len(x) >= least}, {}
+        for i in sorted(core):
+            if i not in label:
+                todo = [i]
+                while todo:
+                    j = todo.pop()
+                    if j not in label:
+                        label[j] = i
+                        todo += [k for k in near[j] if k in core]
+        want = {i: label[i] if i in core else min((label[j] for j in near[i] if j in core), default=-1) for i, _ in points}
+        got = {r.id: r.label for r in mining.dbscan(df, eps, least).collect()}
+        assert got == want
+    assert len({got[i] for i in range(120)}) == 1
+    centres = {r.label for r in mining.cluster_centres(df, mining.dbscan(df, 1.0, 3)).collect()}
+    assert -1 not in centres and mining.inertia(df, mining.dbscan(df, 1.0, 3)).first().inertia > 0
+
+
+def test_mining_finds_what_was_put_in(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, [10.0 * (i % 3) + rnd.gauss(0, 0.1), 5.0 * (i % 3) + rnd.gauss(0, 0.1), rnd.gauss(0, 0.01)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got, total = mining.kmeans(df, 3, seeds=2)
+    assert [r.label for r in got.orderBy("id").collect()] == [i % 3 for i in range(300)] and total < 20
+    assert mining.inertia(df, got.select("id", "label")).first().inertia == pytest.approx(total, rel=1e-6)
+    bend = mining.inertias(df, [2, 3, 4, 5])
+    assert series.elbow(bend).first().k == 3
+    axes = mining.fit_projection(df, 0.99)
+    assert len(axes.axes) == 1
+    near = df.select("v", axes.project(F.col("v")).alias("z")).select("v", axes.restore(F.col("z")).alias("w")).select(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x).alias("e"))
+    assert near.agg(F.max("e")).first()[0] < 0.5
+    odd = df.union(spark.createDataFrame([(999, [200.0, -90.0, 4.0])], "id long, v array<double>"))
+    scores = mining.isolation(odd, trees=20, sample=64)
+    assert scores.orderBy(F.desc("score")).first().id == 999 and scores.filter("score <= 0 or score > 1").count() == 0
+    spread = mining.scaled_isolation(scores)
+    assert spread.agg(F.max("score"), F.min("score")).first()[1] == 0
+    both = {r.id: r for r in mining.combined({"a": spread, "b": spread.withColumn("score", F.lit(0.0))}).collect()}
+    assert both[999].score == pytest.approx(0.5, abs=1e-6) and both[999].flag == 0
+
+
+def test_residual_quantisation_by_brute_force(spark):
+    books = [[[0.0, 0.0], [10.0, 0.0]], [[1.0, 1.0], [-1.0, 1.0], [1.0, 1.0]]]
+    rows = [(0, [9.0, 2.0]), (1, [1.0, 1.0]), (2, [5.0, 0.0])]
+    frames = [spark.createDataFrame(list(enumerate(b)), "code int, cv array<double>") for b in books]
+    for r in quantise.residual(spark.createDataFrame(rows, "id int, v array<double>"), frames).collect():
+        rest, total = rows[r.id][1], [0.0, 0.0]
+        for level, book in enumerate(books):
+            code = min(range(len(book)), key=lambda c: (sum((x - y) ** 2 for x, y in zip(rest, book[c])), c))
+            assert r[f"code_{level}"] == code
+            rest, total = [x - y for x, y in zip(rest, book[code])], [x + y for x, y in zip(total, book[code])]
+        assert r.approx == total
