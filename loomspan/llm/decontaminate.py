@@ -25,7 +25,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import batched, chain, count
+from itertools import batched, count
 
 import numpy as np
 from pyspark import TaskContext
@@ -37,7 +37,7 @@ from loomspan.llm.common import materialize, slices, stream
 
 WINDOW = 10
 #: Characters of text a segment covers, places between two documents, and query windows a pass over the segments takes.
-SEGMENT_CHARS, GAP, BLOCK_WINDOWS = 4 << 20, 1024, 200_000
+SEGMENT_CHARS, GAP, BLOCK_WINDOWS = 2 << 20, 1024, 200_000
 #: ASCII letters and digits and everything beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -77,16 +77,14 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         for batch in batches:
             for part in slices(batch, text, SEGMENT_CHARS):
                 code_of: dict[bytes, int] = defaultdict(count().__next__)
-                found = [words_of(t) for t in part[text]]
-                lengths = np.fromiter(map(len, found), np.int64, len(found))
-                total = int(lengths.sum())
-                code = np.fromiter(map(code_of.__getitem__, chain.from_iterable(found)), np.int64, total)
+                codes = [np.array(list(map(code_of.__getitem__, words_of(t))), np.int32) for t in part[text]]
+                lengths = np.fromiter(map(len, codes), np.int64, len(codes))
                 names = sorted(code_of)
-                rank = np.empty(len(names), np.int64)
+                rank = np.empty(len(names), np.int32)
                 rank[[code_of[t] for t in names]] = np.arange(len(names))
-                code = rank[code]
+                code = rank[np.concatenate(codes)]
                 order = np.argsort(code, kind="stable")
-                where = (np.arange(total) + GAP * np.repeat(np.arange(len(found)), lengths))[order]
+                where = (np.arange(len(code)) + GAP * np.repeat(np.arange(len(codes)), lengths))[order]
                 held = np.bincount(code, minlength=len(names))
                 steps = np.diff(where, prepend=0)
                 firsts = np.cumsum(held) - held
