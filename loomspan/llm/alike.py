@@ -31,6 +31,7 @@ from pyspark.sql.types import StructType
 
 from loomspan.llm import simhash
 from loomspan.llm.common import forget, materialize, slices, stream
+from loomspan.operators.components import components
 
 #: Words of a shingle; linked pairs share at least ALIKE[0] / ALIKE[1] of their union.
 SHINGLE, ALIKE = 5, (4, 5)
@@ -164,12 +165,11 @@ def grouped(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     words = [F.col("w")[i].alias(f"w{i}") for i in range(WORDS)]
     keyed = nodes.select("fp", *words, F.posexplode("bands").alias("t", "band"))
     loose = materialize(simhash.linked(keyed, ["t", "band"], WORDS, RADIUS), "loose")
-    groups = simhash.components(loose)
-    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    wanted = nodes.select("fp", "at").join(members.withColumnRenamed("node", "fp"), "fp")
+    groups = components(loose)
+    wanted = nodes.select("fp", "at").join(groups.withColumnRenamed("node", "fp"), "fp")
     sets = materialize(_sets(df, wanted, key, text), "sets")
     links = materialize(_confirmed(sets), "links")
-    comp = simhash.components(links)
+    comp = components(links)
     forget(nodes, loose, sets, links)
     return _rooted(marked.select(key, "mark", "fp"), comp)
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,57 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of a batch that are Python objects at one time.
-PART_ROWS = 2048
-_LIVE: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='loomspan-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-        _LIVE.append((spark, root))
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver process ends."""
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _LIVE.append((spark, path))
-    return path
-
+from loomspan.tables import forget, materialize, scratch_path
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends at files that outlive executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    again = spark.read.schema(df.schema).parquet(path)
-    again._scratch = path
-    return again
+__all__ = ["PART_ROWS", "fold", "forget", "give_back", "materialize", "scratch_path", "slices", "stream", "table", "unused"]
 
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and no plan still needs."""
-    for table in tables:
-        path = getattr(table, "_scratch", None)
-        if path:
-            _delete(table.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _LIVE:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may already have ended
-            pass
+#: Rows of a batch that are Python objects at one time.
+PART_ROWS = 2048
 
 
 def give_back() -> None:
