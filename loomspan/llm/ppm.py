@@ -45,6 +45,8 @@ BEFORE, END = 0xFE, 0xFF
 #: Most frequent words looked up in tasks, and bytes of the longest of them.
 HEAD_WORDS, HEAD_BYTES = 65_536, 64
 SLICE = 1 << 20
+#: Entries of one pair of context bytes beyond which a third byte parts it.
+CROWD = 10_000
 _TOP, _SPREAD = np.uint64(ORDER << 56), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -280,11 +282,11 @@ class Model:
         return out
 
 
-def costs(counts: DataFrame, most: int = 200_000) -> DataFrame:
+def costs(counts: DataFrame, most: int = 200_000, crowd: int = CROWD) -> DataFrame:
     """(gram, cost) of each gram in ``counts``.
 
-    The trie is dealt out by the last two bytes of the context, and by three where two have over ``most`` entries (the
-    entries of order 2 then go to each third byte). The orders 0 and 1 have 65,792 entries at most and are sent to all
+    The trie is dealt out by the last two bytes of the context, and by three where two have over ``crowd`` entries (the
+    entries of order 2 then go to each third byte that occurs). The orders 0 and 1 have 65,792 entries at most and are sent to all
     tasks; a task holds those and some ``most`` other entries, or those of one deal.
     """
     spark = counts.sparkSession
@@ -293,7 +295,7 @@ def costs(counts: DataFrame, most: int = 200_000) -> DataFrame:
     base = spark.sparkContext.broadcast((low["entry"].to_numpy().view(np.uint64), low["n"].to_numpy()))
     pair = F.shiftrightunsigned("entry", 8).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("pair")
     rest = counts.filter(order >= 2).select("entry", "n", pair)
-    crowds = [r.pair for r in rest.groupBy("pair").count().filter(F.col("count") > most).collect()]  # 65,536 pairs at most
+    crowds = [r.pair for r in rest.groupBy("pair").count().filter(F.col("count") > crowd).collect()]  # 65,536 pairs at most
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         held: list[np.ndarray] = []
@@ -322,13 +324,14 @@ def costs(counts: DataFrame, most: int = 200_000) -> DataFrame:
             yield from priced(np.concatenate(held, axis=1))
 
     deal = F.col("pair").cast("long") * 257
+    dealt = rest.select("entry", "n", deal.alias("deal"))
     if crowds:
-        third = F.shiftrightunsigned("entry", 24).bitwiseAND(F.lit(0xFF))
-        every = F.when(order == 2, F.sequence(F.lit(1).cast("long"), F.lit(256).cast("long"))).otherwise(F.array(third + 1))
-        part = F.when(F.col("pair").isin(crowds), every).otherwise(F.array(F.lit(0).cast("long")))
-        dealt = rest.withColumn("part", F.explode(part)).select("entry", "n", (deal + F.col("part")).alias("deal"))
-    else:
-        dealt = rest.select("entry", "n", deal.alias("deal"))
+        parted = rest.filter(F.col("pair").isin(crowds))
+        third = (F.shiftrightunsigned("entry", 24).bitwiseAND(F.lit(0xFF)) + 1).alias("third")
+        deep = parted.filter(order > 2).select("entry", "n", "pair", third)
+        shallow = parted.filter(order == 2).join(deep.select("pair", "third").distinct(), "pair").select("entry", "n", "pair", "third")
+        whole = rest.filter(~F.col("pair").isin(crowds)).select("entry", "n", deal.alias("deal"))
+        dealt = whole.union(deep.union(shallow).select("entry", "n", (deal + F.col("third")).alias("deal")))
     return stream(dealt.repartition("deal").sortWithinPartitions("deal"), "gram long, cost float", rows)
 
 

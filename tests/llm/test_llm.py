@@ -334,8 +334,8 @@ def test_ppm_costs_by_shards_equal_those_of_the_whole_trie(spark):
     rows = [(r.entry, r.n) for r in counts.collect()]
     known = np.array([r for r in rows if r[1]], np.int64).T
     model = ppm.Model(known[0].view(np.uint64), known[1])
-    for most in (50, 10**9):
-        got = ppm.costs(counts.repartition(1), most=most).toPandas()
+    for most, crowd in ((50, 50), (10**9, 20), (50, 10**9)):
+        got = ppm.costs(counts.repartition(1), most=most, crowd=crowd).toPandas()
         assert np.allclose(got.cost, model.costs(got.gram.to_numpy().view(np.uint64)), atol=1e-5)
         assert len(got) == got.gram.nunique() == sum(e >> 56 == ppm.ORDER for e, _ in rows)
     assert len(got) == got.gram.nunique() == sum(e >> 56 == ppm.ORDER for e, _ in rows)
