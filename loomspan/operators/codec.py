@@ -509,6 +509,8 @@ def compress(blocks: DataFrame, mode: str, features: int = 1, values: str = "val
         out, begin = [], 0
         for end in ends.tolist():
             part = flat_[begin:end]
+            if len(part) % ((steps or 1) * features):
+                raise ValueError(f"{len(part)} values are no whole windows of {steps or 1} steps and {features} features")
             out.append(encode(part.reshape(-1, steps or len(part) // features, features), mode) if len(part) else None)
             begin = end
         return [out]
