@@ -38,6 +38,8 @@ from loomspan.llm.common import materialize, slices, stream
 WINDOW = 10
 #: Characters of text a segment covers, places between two documents, and query windows a pass over the segments takes.
 SEGMENT_CHARS, GAP, BLOCK_WINDOWS = 2 << 20, 1024, 200_000
+#: Terms that a task counts before it sends them on.
+MOST_TERMS = 500_000
 #: ASCII letters and digits and everything beyond ASCII.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -100,11 +102,21 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         segments = materialize(made, "segments")
 
     def terms(batches: Iterator[dict]) -> Iterator[dict]:
+        held: dict[str, int] = defaultdict(int)
+
+        def flush() -> Iterator[dict]:
+            for part in batched(held.items(), 50_000):
+                yield dict(zip(("term", "n"), zip(*part, strict=True), strict=True))
+            held.clear()
+
         for batch in batches:
             for names, n in zip(batch["terms"], batch["counts"], strict=True):
-                held = np.frombuffer(n, "<u4").astype(np.int64)
-                for i, part in enumerate(batched(names.decode().split("\n") if len(held) else [], 50_000)):
-                    yield {"term": part, "n": held[50_000 * i : 50_000 * i + len(part)]}
+                if n:
+                    for t, c in zip(names.decode().split("\n"), np.frombuffer(n, "<u4").tolist(), strict=True):
+                        held[t] += c
+                if len(held) > MOST_TERMS:
+                    yield from flush()
+        yield from flush()
 
     counted = stream(segments.select("terms", "counts"), "term string, n long", terms).groupBy("term").agg(F.sum("n").alias("n"))
     if path:
