@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ RANGE, RIDGE, SWAP = 1 << 22, 3e-5, 1.0
 DEVIATION, ROWS = 4.5, 2000
 #: Learned terms: the most frequent words whose classes differ by fewer deviations than NEUTRAL, and terms of a kind.
 TERMS, NEUTRAL, KIND = 200, 2.0, 4
+#: Characters of texts at work at a time, and words whose features a task remembers.
+SLICE, KNOWN = 1 << 20, 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -69,13 +72,23 @@ def kinds(identity=IDENTITY) -> dict[str, tuple[str, ...]]:
     return {t: tuple(x for x in kind if x != t) for kind in identity for t in kind}
 
 
-def swaps(sentence: str, others: dict[str, tuple[str, ...]]) -> Iterator[tuple[set[str], set[str]]]:
-    """(words, words with one identity term swapped) of a sentence, for each term in it and each other of its kind."""
-    words = set(_WORD.findall(sentence.lower()))
-    for term in sorted(words & others.keys()):
+def swaps(words: set[str], others: dict[str, tuple[str, ...]], features_of: Callable[[str], tuple[int, ...]]) -> Iterator[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(features gone, features come) when one identity term of a sentence's words is swapped for another of its kind.
+
+    A feature that other words of the sentence hold as well neither goes nor comes.
+    """
+    terms = words & others.keys()
+    if not terms:
+        return
+    held = Counter(f for w in words for f in features_of(w))
+    for term in sorted(terms):
+        own = features_of(term)
+        gone = {f for f in own if held[f] == 1}
         for other in others[term]:
             if other not in words:
-                yield words, words - {term} | {other}
+                come = {f for f in features_of(other) if not held[f] or f in gone}
+                if gone != come:
+                    yield tuple(sorted(gone - come)), tuple(sorted(come - gone))
 
 
 def learn_kinds(rows_: DataFrame, text: str, terms: list[str]) -> dict[str, tuple[str, ...]]:
@@ -84,7 +97,7 @@ def learn_kinds(rows_: DataFrame, text: str, terms: list[str]) -> dict[str, tupl
 
     def frames(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 found = {(a, c, b) for t in part[text] for s in _SENTENCE.split(t.lower()) for a, b, c in _triples(_WORD.findall(s)) if b in known}
                 if found:
                     yield {"frame": [zlib.crc32(f"{a} {c}".encode()) for a, c, _ in found], "term": [b for *_, b in found]}
@@ -115,7 +128,7 @@ class Classifier:
     def logit(self, text: str | None) -> float:
         words = set(_WORD.findall((text or "").lower()))
         known = self.known
-        if len(known) > 200_000:
+        if len(known) > KNOWN:
             known.clear()
         for w in words.difference(known):
             known[w] = self._of(w)
@@ -183,52 +196,67 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     def of(words: set[str]) -> set[int]:
         return {f for w in words for f in features(w)}
 
-    def counts(make: Callable[[str], set], column: str) -> DataFrame:
-        def count(batches: Iterator[dict]) -> Iterator[dict]:
-            for batch in batches:
-                for part in slices(batch, text):
-                    every, ones = Counter(), Counter()
-                    for t, y in zip(part[text], part["label"], strict=True):
-                        (found := make(t)) and every.update(found)
-                        y and ones.update(found)
-                    yield {"f": list(every), "n": list(every.values()), "ones": [ones[f] for f in every]}
+    least = F.col("n") >= max(3, n // ROWS)
 
-        made = stream(rows_.select(text, "label"), f"f {column}, n long, ones long", count)
-        return made.groupBy("f").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).filter(F.col("n") >= max(3, n // ROWS))
+    def summed(counted: DataFrame) -> DataFrame:
+        return counted.groupBy("f").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).filter(least)
 
-    got = counts(lambda t: of(set(_WORD.findall(t.lower()))), "long").toArrow()
+    def features_in(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for part in slices(batch, text, SLICE):
+                sets = [of(set(_WORD.findall(t.lower()))) for t in part[text]]
+                flat = np.fromiter((f for s in sets for f in s), np.int64, sum(map(len, sets)))
+                found, back = np.unique(flat, return_inverse=True)
+                label_of = np.repeat(np.array(part["label"]), [len(s) for s in sets])
+                yield {"f": found, "n": np.bincount(back), "ones": np.bincount(back, label_of).astype(np.int64)}
+
+    def words_in(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            for part in slices(batch, text, SLICE):
+                every, ones = Counter(), Counter()
+                for t, y in zip(part[text], part["label"], strict=True):
+                    every.update(found := set(_WORD.findall(t.lower())))
+                    if y:
+                        ones.update(found)
+                yield {"f": list(every), "n": list(every.values()), "ones": [ones[f] for f in every]}
+
+    source = rows_.select(text, "label")
+    got = summed(stream(source, "f long, n long, ones long", features_in)).toArrow()
     kept = choose(*(got[c].to_numpy() for c in ("f", "n", "ones")), n, n1)
     others = kinds(identity)
     if swap:
-        found = counts(lambda t: set(_WORD.findall(t.lower())), "string").orderBy(F.desc("n"), "f").limit(10 * TERMS).toArrow()
+        found = summed(stream(source, "f string, n long, ones long", words_in)).orderBy(F.desc("n"), "f").limit(10 * TERMS).toArrow()
         even = deviations(found["n"].to_numpy(), found["ones"].to_numpy(), n, n1) < NEUTRAL
         terms = [w for w, e in zip(found["f"].to_pylist(), even, strict=True) if e][:TERMS]
         others = learn_kinds(rows_, text, terms) | others
         kept = np.unique(np.concatenate((kept, np.array([f for w in terms for f in features(w)[:1]], np.int64))))
     shared = docs.sparkSession.sparkContext.broadcast(({int(f): i for i, f in enumerate(kept)}, others))
 
-    def places(words: set[str]) -> set[int]:
+    def placer() -> Callable[[str], tuple[int, ...]]:
+        """Places of a word's kept features; ``KNOWN`` words are remembered at a time."""
         place = shared.value[0]
-        return {place[f] for f in of(words) if f in place}
+
+        @lru_cache(maxsize=KNOWN)
+        def find(word: str) -> tuple[int, ...]:
+            return tuple({place[f] for f in features(word) if f in place})
+
+        return find
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        find = placer()
         for batch in batches:
-            for part in slices(batch, text):
-                own = [sorted(places(set(_WORD.findall(t.lower())))) for t in part[text]]
+            for part in slices(batch, text, SLICE):
+                own = [sorted({p for w in set(_WORD.findall(t.lower())) for p in find(w)}) for t in part[text]]
                 yield {"key": [repr(k) for k in part[key]], "label": part["label"], "own": own}
 
     def changes(batches: Iterator[dict]) -> Iterator[dict]:
+        find, others = placer(), shared.value[1]
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 seen: Counter[tuple] = Counter()
                 for t in part[text]:
-                    for s in _SENTENCE.split(t):
-                        for a, b in swaps(s, shared.value[1]):
-                            (term,), (other,) = a - b, b - a
-                            rest = places(a & b)
-                            gone, come = places({term}) - rest, places({other}) - rest
-                            if both := gone ^ come:
-                                seen[tuple(sorted(gone & both)), tuple(sorted(come & both))] += 1
+                    for s in _SENTENCE.split(t.lower()):
+                        seen.update(swaps(set(_WORD.findall(s)), others, find))
                 yield {"gone": [list(g) for g, _ in seen], "come": [list(c) for _, c in seen], "n": list(seen.values())}
 
     made = stream(rows_, "key string, label int, own array<int>", rows).toArrow().combine_chunks().sort_by("key")  # tasks end in any order
@@ -253,7 +281,7 @@ def predict(docs: DataFrame, model: Classifier, key: str = "doc_id", text: str =
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         own = Classifier(*shared.value)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 found = [own.score(t) for t in part[text]]
                 yield part | {score: found, predicted: [int(s >= threshold) for s in found]}
 
