@@ -37,9 +37,9 @@ WINDOW, GRAM = 20, 8
 #: Bits of the anchor filter: 16 an anchor, within these powers of two.
 FILTER_MIN, FILTER_MAX = 20, 30
 #: Segments of one anchor in one shard.
-CROWD = 2000
+CROWD = 1000
 #: Patterns of one automaton, and characters of a slice of documents.
-PATTERNS, SLICE = 4000, 1 << 20
+PATTERNS, SLICE = 2000, 1 << 19
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)

@@ -222,7 +222,7 @@ def test_near_duplicate_stage_links_by_jaccard(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), "").count() == 0
 
 
-@pytest.mark.parametrize("crowd", [2000, 10])
+@pytest.mark.parametrize("crowd", [1000, 10])
 def test_repeated_passages(spark, monkeypatch, crowd):
     monkeypatch.setattr(substrings, "CROWD", crowd)
     rnd = random.Random(3)
@@ -242,7 +242,7 @@ def test_repeated_passages(spark, monkeypatch, crowd):
     assert substrings.report(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [2000, 2])
+@pytest.mark.parametrize("crowd", [1000, 2])
 def test_repeats_of_null_keys_equal_rows_and_clashing_columns(spark, monkeypatch, crowd):
     monkeypatch.setattr(substrings, "CROWD", crowd)
     passage = " ".join(f"p{i}" for i in range(25))
