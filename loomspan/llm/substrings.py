@@ -38,8 +38,8 @@ WINDOW, GRAM = 20, 8
 FILTER_MIN, FILTER_MAX = 20, 30
 #: Segments of one anchor in one shard.
 CROWD = 1000
-#: Patterns of one automaton, and characters of a slice of documents.
-PATTERNS, SLICE = 2000, 1 << 19
+#: Segments worked on at a time, characters of one automaton's patterns, and of a slice of documents.
+PATTERNS, CHARS, SLICE = 2000, 1 << 18, 1 << 19
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -188,10 +188,29 @@ def _occurrences(group: list[tuple], window: int, least: int) -> Iterator[tuple[
 
 
 def locate(groups: list[list[tuple]], window: int = WINDOW, least: int = 2) -> Iterator[tuple[str, int, list[tuple]]]:
-    """(pattern, words, occurrences (key, mark, start)) of the passages of some groups, by one automaton."""
+    """(pattern, words, occurrences (key, mark, start)) of the passages of some groups, by automata of ``CHARS`` characters.
+
+    Equal windows are in one group, so a group's segments meet the automata of its own patterns alone.
+    """
+    held: list[tuple[list[tuple], list[tuple[str, int]]]] = []
+    size = 0
+    for group in groups:
+        part: list[tuple[str, int]] = []
+        for pattern in _occurrences(group, window, least):
+            part.append(pattern)
+            size += len(pattern[0])
+            if size >= CHARS:
+                yield from _located([*held, (group, part)])
+                held, part, size = [], [], 0
+        if part:
+            held.append((group, part))
+    yield from _located(held)
+
+
+def _located(parts: list[tuple[list[tuple], list[tuple[str, int]]]]) -> Iterator[tuple[str, int, list[tuple]]]:
     import ahocorasick
 
-    patterns = [p for g in groups for p in _occurrences(g, window, least)]
+    patterns = [p for _, own in parts for p in own]
     if not patterns:
         return
     machine = ahocorasick.Automaton()
@@ -199,7 +218,7 @@ def locate(groups: list[list[tuple]], window: int = WINDOW, least: int = 2) -> I
         machine.add_word(f" {pattern} ", i)
     machine.make_automaton()
     found: list[list[tuple]] = [[] for _ in patterns]
-    for group in groups:
+    for group, _ in parts:
         for key, mark, start, _, text in group:
             line = f" {text} "
             for end, i in machine.iter(line):

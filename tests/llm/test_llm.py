@@ -222,9 +222,10 @@ def test_near_duplicate_stage_links_by_jaccard(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), "").count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1000, 10])
-def test_repeated_passages(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "chars"), [(1000, 1 << 18), (10, 300)])
+def test_repeated_passages(spark, monkeypatch, crowd, chars):
     monkeypatch.setattr(substrings, "CROWD", crowd)
+    monkeypatch.setattr(substrings, "CHARS", chars)
     rnd = random.Random(3)
     vocab = [f"w{i}" for i in range(40)]
     phrases = [" ".join(rnd.choices(vocab, k=rnd.randint(15, 60))) for _ in range(12)]
