@@ -34,3 +34,13 @@ def compile_filter(spec: Mapping | None, column=F.col) -> Column:
                 raise ValueError(f"unknown filter operator {op!r}; known: {sorted(OPERATORS)}")
             parts.append(c.isNotNull() & OPERATORS[op](c, value))
     return reduce(lambda a, b: a & b, parts)
+
+
+def to_metadata(columns: list[str]) -> Column:
+    """Columns as one JSON text; null ones are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def from_metadata(text: Column, schema: str) -> Column:
+    """The fields of a JSON text; absent and unfit ones are null."""
+    return F.from_json(text, schema)

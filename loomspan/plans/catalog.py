@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from loomspan.functions import bits as B
 from loomspan.functions import vectors as V
 from loomspan.operators import entropy as H
-from loomspan.operators import codec, mining, paths, quantise, series, similarity, store
+from loomspan.operators import codec, frames, mining, paths, quantise, series, similarity, store, tiers
 from loomspan.operators import metrics as M
 from loomspan.operators import transforms as T
-from loomspan.operators.filters import compile_filter
+from loomspan.operators.filters import compile_filter, from_metadata, to_metadata
 from loomspan.sources import files
+from loomspan.streaming import chunks
 from loomspan.streaming.chunks import chunked, windowed
 from loomspan.tables import scratch_path
 
@@ -1084,6 +1085,172 @@ def _(spark, sf):
     return mining.combined({"near": near, "depth": mining.scaled_isolation(mining.isolation(v))})
 
 
+# ---- tiers, frames, containers, store ---------------------------------------------------------------------------
+
+_WIN16 = f"(select user_id, i // 16 as win_id, list(value::float order by i) as v from (select user_id, value, row_number() {_W} - 1 as i from events) group by user_id, i // 16 having count(*) = 16)"
+
+
+def _tier_windows(spark, sf) -> DataFrame:
+    """Full windows of 16 events with one id each."""
+    b = _blocks(spark, sf).filter("size(values) = 16")
+    return b.select(F.concat_ws("-", "user_id", "win_id").alias("win_id"), "values")
+
+
+def _tier_model(w: DataFrame) -> tiers.Model:
+    return tiers.fit(w, 16, 1, 4, top_codes=8, codes=16, levels=2)
+
+
+@query("tier_lossless_values", f"select concat(user_id, '-', win_id) as win_id, [round(x::double, 6) for x in v] as v from {_WIN16}")
+def _(spark, sf):
+    """Windows from their codes and the bits in which they differ."""
+    w = _tier_windows(spark, sf)
+    m = _tier_model(w)
+    return tiers.decode_lossless(tiers.encode_lossless(w, m), m).select("win_id", F.transform(F.col("values").cast("array<double>"), lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("tier_storage_values", f"select concat(user_id, '-', win_id) as win_id, [round(x::double, 6) for x in v] as v from {_WIN16}")
+def _(spark, sf):
+    """Windows from the storage tier."""
+    w = _tier_windows(spark, sf)
+    _, storage = tiers.tiered(w, _tier_model(w), "lossless_fast")
+    return codec.decompress(storage).select("win_id", F.transform(F.col("values").cast("array<double>"), lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("tier_scales", f"select concat(user_id, '-', win_id) as win_id, round(list_avg([x::double for x in v])::float::double, 2) as mean, round(sqrt(list_var_pop([x::double for x in v]) + 1e-5)::float::double, 2) as scale from {_WIN16}")
+def _(spark, sf):
+    """The mean and scale that each window is kept with."""
+    w = _tier_windows(spark, sf)
+    c = tiers.encode(w, _tier_model(w))
+    return c.select("win_id", F.round(F.col("means")[0].cast("double"), 2).alias("mean"), F.round(F.col("scales")[0].cast("double"), 2).alias("scale"))
+
+
+@query("tier_stats")
+def _(spark, sf):
+    w = _tier_windows(spark, sf)
+    m = _tier_model(w)
+    return tiers.tier_stats(*tiers.tiered(w, m), m)
+
+
+@query("tier_search")
+def _(spark, sf):
+    """Windows nearest to every hundredth one by what their codes stand for."""
+    w = _tier_windows(spark, sf)
+    m = _tier_model(w)
+    c = tiers.encode(w, m)
+    asked = c.filter(F.pmod(F.xxhash64("win_id"), F.lit(100)) == 0)
+    return tiers.search(c, asked, m, 5, "values").select("qid", "id", "rnk", "score")
+
+
+@query("tier_error", f"select count(*) as n, true as ok from {_WIN16}")
+def _(spark, sf):
+    """Whether what the codes stand for is nearer to the windows than their means are."""
+    w = _tier_windows(spark, sf)
+    m = _tier_model(w)
+    near = tiers.decode_search(tiers.encode(w, m), m).withColumnRenamed("values", "y").join(w, "win_id")
+    v = F.col("values").cast("array<double>")
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size("values")
+    off = V.squared_distance(v, F.col("y").cast("array<double>"))
+    return near.agg(F.count("*").alias("n"), (F.sum(off) < 0.5 * F.sum(V.squared_distance(v, F.transform(v, lambda x: mean)))).alias("ok"))
+
+
+@query("frame_roundtrip", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders")
+def _(spark, sf):
+    """A table packed column by column and unpacked."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    back = frames.decompress_frame(frames.compress_frame(o), o.schema)
+    return back.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
+@query("frame_ratio")
+def _(spark, sf):
+    return frames.frame_ratio(table(spark, sf, "lineitem"), by_column=True)
+
+
+@query("numeric_totals", "select count(*) as n, sum(o_orderkey)::bigint as o_orderkey, sum(o_custkey)::bigint as o_custkey, round(sum(o_totalprice), 2) as o_totalprice from orders")
+def _(spark, sf):
+    """Number columns of a table alone."""
+    o = frames.numeric_columns(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    return o.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in o.columns if c != "o_totalprice"), F.round(F.sum("o_totalprice"), 2).alias("o_totalprice"))
+
+
+@query("container_rows", "select vec_id as id, [round(x::double, 6) for x in embedding] as coordinates from embeddings where vec_id in (3, 77, 401, 99999999)")
+def _(spark, sf):
+    """Some rows of one block of a container."""
+    path = scratch_path(spark, "container")
+    v = vectors(spark, sf).select("id", F.col("v").alias("coordinates"), F.lit(1.0).alias("confidence"))
+    files.write_container(v, path, source="embeddings")
+    return files.read_container(spark, path, ["coordinates"], [3, 77, 401, 99999999]).select("id", V.rounded(F.col("coordinates")).alias("coordinates"))
+
+
+def _stored(spark, sf, metric: str) -> store.VectorStore:
+    s = store.VectorStore(spark, scratch_path(spark, "store"))
+    s.create_index("e", 64, metric)
+    e = table(spark, sf, "embeddings")
+    rows = e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("values"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), F.lit(1).alias("seq"))
+    s.upsert("e", rows)
+    return s
+
+
+for _m in _SCORES:
+
+    @query(f"store_query_{_m}", f"select qid, id::varchar as id, rnk, score from ({_knn_sql(_m, 10, 'b.label in (1, 3, 5)').replace('b.embedding::double[]', 'b.embedding::float[]::double[]')})")
+    def _(spark, sf, m=_m):
+        """A stored index asked for the best vectors of some labels."""
+        s = _stored(spark, sf, m)
+        found = s.query("e", asked(vectors(spark, sf)), 10, where={"label": {"$in": [1, 3, 5]}})
+        return found.select("qid", "id", "rnk", r6("score"))
+
+
+@query("store_after_writes", "select label::varchar as label, count(*) as n from (select case when vec_id % 10 = 0 then 99 else label end as label from embeddings where vec_id % 50 <> 7) group by 1")
+def _(spark, sf):
+    """An index after an upsert that changes every tenth vector and a delete of every fiftieth."""
+    s = _stored(spark, sf, "cosine")
+    e = table(spark, sf, "embeddings")
+    new = e.filter("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("values"), F.create_map(F.lit("label"), F.lit("99")).alias("metadata"), F.lit(2).alias("seq"))
+    s.upsert("e", new)
+    s.delete("e", [r[0] for r in e.filter("vec_id % 50 = 7").select(F.col("vec_id").cast("string")).collect()])
+    return s.vectors("e").groupBy(F.col("metadata")["label"].alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("store_stats", "select coalesce(ns, 'all') as namespace, count(*) as vectors, sum(len(embedding) * 4)::bigint as raw_bytes from (select embedding, 'default' as ns from embeddings) group by rollup(ns)")
+def _(spark, sf):
+    return _stored(spark, sf, "cosine").stats("e").select(F.coalesce("namespace", F.lit("all")).alias("namespace"), "vectors", "raw_bytes")
+
+
+@query("metadata_json", "select event_id, event_type, json_extract(props, '$.k')::int as k from events")
+def _(spark, sf):
+    """Metadata written as JSON text and read again."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    text = e.select("event_id", to_metadata(["event_type", "k"]).alias("m"))
+    back = from_metadata(F.col("m"), "event_type string, k int")
+    return text.select("event_id", back["event_type"].alias("event_type"), back["k"].alias("k"))
+
+
+@query("masked_lookup", f"select n.id, [round(case when n.code % 5 = 0 then 0.0::double else x::double end, 6) for x in e.embedding] as cv from {_NEAR} n join embeddings e on e.vec_id = n.code where rn = 1")
+def _(spark, sf):
+    """Codewords of codes, some of which are masked as -1."""
+    v = vectors(spark, sf)
+    codes = quantise.assign(v, _book(v)).select("id", F.when(F.col("code") % 5 == 0, -1).otherwise(F.col("code")).alias("code"))
+    return quantise.masked_lookup(codes, _book(v)).select("id", V.rounded(F.col("cv")).alias("cv"))
+
+
+@query("codebook_revived", f"select b.vec_id as code, count(n.id) filter (where n.rn = 1) > 0 as used from embeddings b left join {_NEAR} n on n.code = b.vec_id and n.rn = 1 where b.vec_id < 16 group by 1")
+def _(spark, sf):
+    """Which codewords stay when those without a vector are replaced."""
+    v = vectors(spark, sf)
+    book = _book(v)
+    new = quantise.revive(quantise.assign(v, book), book)
+    same = F.forall(F.zip_with("cv", "old", lambda x, y: x == y), lambda x: x)
+    return new.join(book.withColumnRenamed("cv", "old"), "code").select("code", same.alias("used"))
+
+
+@query("cost_model_measured")
+def _(spark, sf):
+    """Prices before and after the screened competition."""
+    b = codec.compress(_blocks(spark, sf), "optimal_fast")
+    return M.costs(b.agg(F.sum("raw_bytes").alias("raw"), F.sum(F.octet_length("blob")).alias("small")), "raw", "small")
+
+
 # ---- streaming ------------------------------------------------------------------------------------------------
 
 
@@ -1100,6 +1267,27 @@ def _(spark, sf):
     return spark.read.schema("key long, chunk long, n long").parquet(f"{out}/rows")
 
 
+@query("chunks_rest", f"select user_id as key, max(i // 8) as chunk, count(*) as n, round(sum(value), 4) as total from (select user_id, value, row_number() {_W} - 1 as i, count(*) over (partition by user_id) as c from events) where i >= c // 8 * 8 group by user_id")
+def _(spark, sf):
+    """What a stream of chunks still holds back at the end."""
+    rows = chunks.rest(_events(spark, sf), "user_id", _ORDER, "value", 8)
+    return rows.select("key", "chunk", "n", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("chunks_joined", f"select user_id as key, row_number() {_W} - 1 as i, round(value::float::double, 4) as value from events")
+def _(spark, sf):
+    """Values of all chunks of a series after their blobs are decoded."""
+    made = chunks.encoded(_blocks(spark, sf).select(F.col("user_id").alias("key"), F.col("win_id").alias("chunk"), "values"))
+    return chunks.joined(chunks.decoded(made)).select("key", "i", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query("chunk_lists", f"select user_id as key, (count(*) + 15) // 16 as n from events group by user_id")
+def _(spark, sf):
+    """Chunks of a series packed in one list and taken out again."""
+    made = chunks.encoded(_blocks(spark, sf).select(F.col("user_id").alias("key"), F.col("win_id").alias("chunk"), "values"))
+    return files.listed_chunks(files.chunk_lists(made, ["key"], "chunk")).groupBy("key").agg(F.count("*").alias("n"))
+
+
 @query("event_windows", "select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, count(*) as n, round(sum(value), 3) as total from events group by 1, 2")
 def _(spark, sf):
     made = windowed(table(spark, sf, "events"), "ts", "event_type", "value")
