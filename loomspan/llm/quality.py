@@ -7,7 +7,8 @@ absolute-value penalty is fitted on the rules, most of which get no weight, and
 
 Defined results: null and empty texts have all statistics 0 and the score that the rules give to those; statistics
 are finite for every text; without labelled rows of both classes the score is the share of label 1 (0 without any);
-rows that repeat are scored each.
+rows that repeat are scored each, a null key like any other; long texts are read whole; an empty table gives an empty
+table; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations

@@ -565,6 +565,104 @@ def test_quality_rules_agree_with_their_columns(spark):
     assert sum(abs(w) > 0 for _, w in quality.train(df, df).rules) >= 1
 
 
+def test_quality_by_brute_force(spark):
+    rnd = random.Random(13)
+    good = lambda: " ".join(rnd.choices(["Good", "words", "here", "and", "more", "été"], k=rnd.randint(5, 40))) + "."
+    bad = lambda: " | ".join(rnd.choices(["A", "BB", "9", "x"], k=rnd.randint(5, 40))) + "\n" * rnd.randint(0, 3)
+    rows = [(i, good() if i % 2 else bad(), i % 2) for i in range(240)] + [(900, None, None), (901, "", None), (None, "x", None), (5, "again", 1), (902, "long text " * 30_000, None)]
+    kind = "doc_id long, text string, quality int, label string, score string, stat_chars string"
+    df = spark.createDataFrame([(*r, "l", "s", "c") for r in rows], kind)
+    model = quality.train(df, df)
+
+    def stats(t):
+        t = t or ""
+        words = [w for w in re.split(r"[ \n\t\r]+", t) if w]
+        lines = [x for x in t.split("\n") if x]
+        n = len(t)
+        share = lambda f: sum(map(f, t)) / n if n else 0.0
+        plain = lambda c: c.isalpha() or c.isnumeric() or c in " \t\n\x0b\x0c\r.,"
+        return {
+            "chars": n, "words": len(words), "word_length": n / len(words) if words else 0.0, "upper": share(str.isupper), "digits": share(lambda c: c in "0123456789"),
+            "stops": share(lambda c: c in ".,"), "marks": share(lambda c: not plain(c)), "bars": share(lambda c: c == "|"), "spaces": share(lambda c: c in " \n\t"),
+            "distinct_words": len(set(words)) / len(words) if words else 0.0, "distinct_lines": len(set(lines)) / len(lines) if lines else 0.0, "line_words": len(words) / len(lines) if lines else 0.0,
+        }
+
+    want = []
+    for k, t, _ in rows:
+        s = stats(t)
+        z = model.bias + sum(w for r, w in model.rules if all((s[n] > c) == above for n, above, c in r.parts))
+        p = 1 / (1 + np.exp(-z))
+        assert model.score({n: np.array([float(x)]) for n, x in s.items()})[0] == pytest.approx(p)
+        want.append((-1 if k is None else k, zlib.crc32(str("" if k is None else k).encode()) % 3 == 1, round(float(p), 9), int(p >= 0.5)))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in quality.report(df, df).collect()]
+    assert sorted(got) == sorted(want) and len(model.rules) > 1
+    held = [(k, y) for k, _, y in rows[:240] if zlib.crc32(str(k).encode()) % 3 == 1]
+    right = {k: p for k, h, _, p in got if h}
+    assert sum(right[k] == y for k, y in held) >= 0.95 * len(held)
+    assert quality.report(df.limit(0), df).count() == 0 and quality.report(df, df.limit(0)).first().predicted == 0
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=5))
+    said = lambda n: [word() for _ in range(n)]
+    passage, bench = said(60), said(14)
+    texts = []
+    for i in range(260):
+        w = said(rnd.randint(30, 90))
+        if i % 13 == 0:
+            w[4:4] = passage[: rnd.randint(20, 60)]
+        if i % 17 == 0:
+            w[2:2] = bench[: rnd.randint(8, 14)]
+        if i % 4 == 1:
+            w[3:3] = rnd.choices(["vile", "scum"], k=3)
+        texts.append(" ".join(w))
+    for i in range(0, 200, 9):
+        w = texts[i].split(" ")
+        w[rnd.randrange(len(w))] = word()
+        texts.append(" ".join(w) if i % 2 else texts[i])
+    texts += [None, "", " a  b ", None, texts[3] + " tail"]
+    toxic = {i: int(any(x in (t or "") for x in ("vile", "scum"))) for i, t in enumerate(texts)}
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, cuts string, mark string, `key` string"
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "c", "m", "k") for i, t in enumerate(texts)], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(bench)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    # stage by stage, on what the stage before kept
+    model = toxicity.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels)
+    kept = {i: t for i, t in enumerate(texts) if model.score(t) < 0.7}
+    assert 20 < len(texts) - len(kept) and all(i in kept for i, y in toxic.items() if not y)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in kept.items()}
+    ids = sorted(kept)
+    forest = _forest(len(ids), [(x, y) for x in range(len(ids)) for y in range(x) if (a := sets[ids[x]]) == (b := sets[ids[y]]) or a and b and 9 * len(a & b) >= 4 * (len(a) + len(b))])
+    kept = {ids[x]: kept[ids[x]] for x in range(len(ids)) if forest.top(x) == x}
+    assert len(kept) < len(ids) - 5
+    seen, left = set(), {}
+    for i in sorted(kept):
+        w, gone = words20(kept[i]), set()
+        for j in range(len(w) - 19):
+            k = tuple(w[j : j + 20])
+            gone |= set(range(j, j + 20)) if k in seen else set()
+            seen.add(k)
+        left[i] = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else kept[i]
+    assert any(left[i] != kept[i] for i in kept)
+    windows = {tuple(bench[j : j + 10]) for j in range(5)}
+    clean = {i: t for i, t in left.items() if not any(tuple(w[j : j + 10]) in windows for w in [re.findall(r"[a-z0-9]+", (t or "").lower())] for j in range(len(w)))}
+    assert len(clean) < len(left)
+    got = {r.doc_id: (r.ids, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: (e := library().encode(t or "", add_special_tokens=False).ids, len(e), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in clean.items()}
+    docs_ = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs_, str(tmp_path)).columns == docs_.columns
+        assert stage(spark, docs_.limit(0), str(tmp_path)).count() == 0
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
