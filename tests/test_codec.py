@@ -133,3 +133,10 @@ def test_blobs_of_a_table(spark):
     assert made.original_size == 24 and made.compressed_size + codec.HEAD.size + 2 == len(made.blob)
     found = codec.candidates(df.filter("id = 1"), 2).orderBy("rnk").collect()
     assert len(found) == 16 and [r["size"] for r in found] == sorted(r["size"] for r in found)
+
+
+def test_plain_ways_to_keep_a_table():
+    a = np.round(np.cumsum(np.random.default_rng(8).normal(size=(400, 3)), axis=0), 1).astype(np.float32)
+    sizes = codec.reference_sizes(a)
+    assert sizes["raw"] == a.nbytes and sizes["csv"] > sizes["csv_gzip"] > 0 and sizes["csv_zstd"] < sizes["csv"]
+    assert len(codec.encode(a, "optimal")) < sizes["raw"]

@@ -178,3 +178,16 @@ def test_residual_quantisation_by_brute_force(spark):
             assert r[f"code_{level}"] == code
             rest, total = [x - y for x, y in zip(rest, book[code])], [x + y for x, y in zip(total, book[code])]
         assert r.approx == total
+
+
+def test_probed_search_finds_nearly_all(spark):
+    import random
+
+    rnd = random.Random(4)
+    centres = [[rnd.uniform(-50, 50) for _ in range(4)] for _ in range(12)]
+    rows = [(i, [c + rnd.gauss(0, 1) for c in centres[i % 12]]) for i in range(1200)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    q = v.filter("id % 40 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    exact = similarity.knn(v, q, 10, "euclidean")
+    assert similarity.recall(similarity.knn_probed(v, q, 10, 12, 3), exact, 10).first().recall >= 0.9
+    assert similarity.recall(exact, exact, 10).first().recall == 1.0
