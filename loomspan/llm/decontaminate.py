@@ -37,7 +37,7 @@ from loomspan.llm.common import materialize, slices, stream
 
 WINDOW = 10
 #: Characters of text a segment covers, places between two documents, and query windows a pass over the segments takes.
-SEGMENT_CHARS, GAP, BLOCK_WINDOWS = 2 << 20, 1024, 200_000
+SEGMENT_CHARS, GAP, BLOCK_WINDOWS = 1 << 18, 1024, 200_000
 #: Terms that a task counts before it sends them on.
 MOST_TERMS = 500_000
 #: ASCII letters and digits and everything beyond ASCII.
