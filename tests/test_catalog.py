@@ -46,6 +46,32 @@ def test_queries_over_all_embeddings(spark, vector_table, name, n):
     assert len(same(spark, vector_table, name)) == n
 
 
+@pytest.mark.parametrize("name", ["slerp_path", "lerp_path", "vec_add", "vec_sub", "vec_analogy"])
+def test_pairs_of_odd_vectors_agree_to_the_bit(spark, tmp_path, name):
+    pairs = [
+        ([0.0, 0.0, 0.0], [1.0, 2.0, 3.0]),
+        ([1.0, 2.0, 3.0], [0.0, 0.0, 0.0]),
+        ([1e-4, -2e-4, 3e-4], [0.0, 1e-4, 3e-4]),
+        ([0.0, -8e-9, 8e-9], [0.25, -0.0, 0.5]),
+        ([-0.0, -1e-7, 0.0], [-0.0, 1e-8, 1e-7]),
+        ([1.0, 2.0, 3.0], [1.0, 2.0, 3.0]),
+        ([1.0, 2.0, 3.0], [2.0, 4.0, 6.0]),
+        ([5e6, 1.57, 5.5e11], [6.4e11, 1.51, -0.01]),
+        ([1.0, 2.0, 3.0], None),
+        (None, [1.0, 2.0, 3.0]),
+        ([], []),
+    ]
+    rows = [(3 * i + j, v, 0) for i, pair in enumerate(pairs) for j, v in enumerate(pair)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/e")
+    _one(tmp_path, "e", "embeddings")
+    with duckdb.connect() as db:
+        db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+        want = db.sql(catalog.ORACLES[name])
+        names, want = want.columns, want.fetchall()
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).select(*names).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_windows_of_a_hot_user_keep_ids_of_their_own(spark, tmp_path):
     import random
     from datetime import datetime, timedelta
