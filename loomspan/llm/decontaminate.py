@@ -23,12 +23,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import batched, count
 
 import numpy as np
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -182,19 +183,22 @@ def _plan(index: Index, windows: dict[tuple[bytes, ...], list]) -> dict[bytes, l
     return plan
 
 
-def search(index: Index, items: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
+def search(index: Index, items: DataFrame, size: int = WINDOW, slop: int = 0, report: tuple[StructType, Callable[[dict], dict]] | None = None) -> DataFrame:
     """Per document: key, n_words, starts and sizes of the windows in it, and items: the ids of those of ``items`` (id, t).
 
     Starts count from the document's first word. ``size`` and ``slop`` together are below the gap between documents.
+    ``report``: a schema, and what makes its columns from a batch of these. Windows of one block are reported as they
+    are found: a second stream in the same task would be a second Python worker, which an executor then keeps.
     """
     if size + slop >= GAP:
         raise ValueError(f"windows of {size} words and a slop of {slop} reach over the gap of {GAP}")
-    spark, parts = index.segments.sparkSession, []
+    spark = index.segments.sparkSession
     kind = StructType([StructField("key", index.segments.schema["keys"].dataType.elementType), *StructType.fromDDL(FOUND).fields])
 
-    def answered(plan: dict[bytes, list]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((plan, frozenset(t for queries in plan.values() for q, *_ in queries for _, t in q)))
+    def sent(plan: dict[bytes, list]) -> Broadcast:
+        return spark.sparkContext.broadcast((plan, frozenset(t for queries in plan.values() for q, *_ in queries for _, t in q)))
 
+    def answered(shared: Broadcast, kind: StructType, made: Callable[[dict], dict]) -> DataFrame:
         def one(names: bytes, held: bytes, steps: bytes, lengths: bytes) -> tuple[list, list, list, list]:
             plan, asked = shared.value
             sizes_of = np.frombuffer(lengths, np.int64)
@@ -220,50 +224,48 @@ def search(index: Index, items: DataFrame, size: int = WINDOW, slop: int = 0) ->
             for batch in batches:
                 for seg, keys, *held in zip(*(batch[c] for c in ("seg", "keys", "terms", "counts", "steps", "lengths")), strict=True):
                     n_words, starts, sizes, found = one(*held)
-                    yield {"key": keys, "seg": [seg] * len(keys), "place": list(range(len(keys))), "n_words": n_words, "starts": starts, "sizes": sizes, "items": found}
+                    yield made({"key": keys, "seg": [seg] * len(keys), "place": list(range(len(keys))), "n_words": n_words, "starts": starts, "sizes": sizes, "items": found})
 
         return stream(index.segments, kind, rows)
 
-    for windows in _blocks(items, size):
-        parts.append(answered(_plan(index, windows)))
-    out = parts[0] if parts else answered({})
-    for part in parts[1:]:
+    blocks = [sent(_plan(index, windows)) for windows in _blocks(items, size)] or [sent({})]
+    if report and len(blocks) == 1:
+        return answered(blocks[0], *report)
+    out, *more = (answered(shared, kind, dict) for shared in blocks)
+    for part in more:
         out = out.unionByName(part)
-    if len(parts) > 1:
+    if more:
         flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "sizes")]
         out = out.groupBy("key", "seg", "place", "n_words").agg(*flat, F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out.drop("seg", "place")
-
-
-def _reported(found: DataFrame, key: str) -> DataFrame:
-    tail = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    kind = StructType([StructField(key, found.schema["key"].dataType), *StructType.fromDDL(tail).fields])
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            hits = []
-            for n, starts, sizes in zip(b["n_words"], b["starts"], b["sizes"], strict=True):
-                if not starts:
-                    hits.append(0)
-                    continue
-                edge = np.zeros(n + 1, np.int64)
-                s = np.array(starts)
-                np.add.at(edge, np.clip(s, 0, n), 1)
-                np.add.at(edge, np.clip(s + np.array(sizes), 0, n), -1)
-                hits.append(int((np.cumsum(edge) > 0).sum()))
-            yield {
-                key: b["key"],
-                "n_words": b["n_words"],
-                "n_hit": hits,
-                "n_items": [len(x) for x in b["items"]],
-                "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in b["items"]],
-                "contaminated": [h > 0 for h in hits],
-            }
-
-    return stream(found, kind, rows)
+    out = out.drop("seg", "place")
+    return stream(out, report[0], lambda batches: map(report[1], batches)) if report else out
+
+
+def _hits(key: str, b: dict) -> dict:
+    """The columns of ``contamination`` from a batch of ``search``."""
+    hits = []
+    for n, starts, sizes in zip(b["n_words"], b["starts"], b["sizes"], strict=True):
+        if not starts:
+            hits.append(0)
+            continue
+        edge = np.zeros(n + 1, np.int64)
+        s = np.array(starts)
+        np.add.at(edge, np.clip(s, 0, n), 1)
+        np.add.at(edge, np.clip(s + np.array(sizes), 0, n), -1)
+        hits.append(int((np.cumsum(edge) > 0).sum()))
+    return {
+        key: b["key"],
+        "n_words": b["n_words"],
+        "n_hit": hits,
+        "n_items": [len(x) for x in b["items"]],
+        "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in b["items"]],
+        "contaminated": [h > 0 for h in hits],
+    }
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, slop: int = 0, index: Index | None = None) -> DataFrame:
     """Per document: key, n_words, n_hit, n_items, items_sha256, contaminated; ``index``: of ``docs``, if there is one."""
     asked = items.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("t")).distinct()
-    return _reported(search(index or build_index(docs, key, text), asked, size, slop), key)
+    tail = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    kind = StructType([StructField(key, docs.schema[key].dataType), *StructType.fromDDL(tail).fields])
+    return search(index or build_index(docs, key, text), asked, size, slop, (kind, partial(_hits, key)))

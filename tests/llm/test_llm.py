@@ -308,6 +308,14 @@ def test_benchmark_by_brute_force(spark, monkeypatch, block, chars):
     assert {r.term for r in index.counts.collect()} == {x for t in texts for x in words(t)}
 
 
+def test_benchmark_windows_of_one_block_are_reported_by_the_worker_that_finds_them(spark):
+    said = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(1, said)], "item_id long, text string")
+    found = decontaminate.contamination(docs(spark, [f"x {said} y", "other words", None]), items)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found.collect()) == [(0, 0, 0, False), (2, 0, 0, False), (14, 12, 1, True)]
+
+
 def test_ppm_equals_the_trie(spark):
     texts = [*TEXTS[:6], *(f"the cat {i} sat on the mat" for i in range(20))]
     held = ppm.is_held_out()
