@@ -44,9 +44,18 @@ def conditional_entropy(symbols: DataFrame, by: list[str], order: str, symbol: s
 
 def uniformity(symbols: DataFrame, symbol: str = "s", kinds: int = 256) -> DataFrame:
     """(chi2, n) against the uniform distribution over ``kinds`` symbols, absent ones included."""
-    counts = symbols.groupBy(symbol).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return total.select((F.col("q") * kinds / F.col("n") - F.col("n")).alias("chi2"), "n")
+    total = _squares(symbols.groupBy(symbol).agg(F.count("*").alias("c")))
+    return total.select(_chi2(kinds).alias("chi2"), "n")
+
+
+def _squares(counts: DataFrame) -> DataFrame:
+    """(n, q): the sums of c and of its square; squares pass 64 bits from a few hundred megabytes of symbols on."""
+    wide = F.col("c").cast("decimal(19,0)")
+    return counts.agg(F.sum("c").alias("n"), F.sum(wide * wide).alias("q"))
+
+
+def _chi2(kinds: int) -> Column:
+    return (F.col("q") * kinds).cast("double") / F.col("n") - F.col("n")
 
 
 #: The rational approximation of the error function (Abramowitz and Stegun 7.1.26).
@@ -139,20 +148,19 @@ def byte_profile(df: DataFrame, key: str, data: str, with_p: bool = False) -> Da
 
 
 def byte_counts(df: DataFrame, data: str) -> DataFrame:
-    """(s, c): how often each byte stands in all rows; tasks send 256 rows a batch."""
+    """(s, c): how often each byte stands in all rows, absent ones left out; tasks send 256 rows a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = sum((np.bincount(np.frombuffer(x or b"", np.uint8), minlength=256) for x in batch.column(0).to_pylist()), np.zeros(256, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(counts)], names=["s", "c"])
 
-    return df.select(F.col(data).cast("binary")).mapInArrow(run, "s int, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    return df.select(F.col(data).cast("binary")).mapInArrow(run, "s int, c long").groupBy("s").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
 def counted_uniformity(counts: DataFrame, kinds: int = 256) -> DataFrame:
     """(chi2, n, p_value) of (s, c) against the uniform distribution; p is 0 for fewer than ``kinds`` symbols."""
-    total = counts.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    chi2 = F.col("q") * kinds / F.col("n") - F.col("n")
+    total, chi2 = _squares(counts), _chi2(kinds)
     return total.select(chi2.alias("chi2"), "n", F.when(F.col("n") < kinds, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p_value(chi2, kinds)))).alias("p_value"))
 
 

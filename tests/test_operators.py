@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import mining, paths, quantise, series, similarity, store, transforms
+from loomspan.operators import entropy, mining, paths, quantise, series, similarity, store, transforms
 from loomspan.operators.filters import compile_filter
 
 
@@ -191,3 +191,14 @@ def test_probed_search_finds_nearly_all(spark):
     exact = similarity.knn(v, q, 10, "euclidean")
     assert similarity.recall(similarity.knn_probed(v, q, 10, 12, 3), exact, 10).first().recall >= 0.9
     assert similarity.recall(exact, exact, 10).first().recall == 1.0
+
+
+def test_uniformity_of_counts_whose_squares_pass_64_bits(spark):
+    c = [4_000_000_000 if i == 32 else 60_000_000 + i for i in range(256)]
+    n, q = sum(c), sum(x * x for x in c)
+    got = entropy.counted_uniformity(spark.createDataFrame(list(enumerate(c)), "s int, c long")).first()
+    assert got.n == n and got.chi2 == pytest.approx(q * 256 / n - n, rel=1e-12) and got.p_value == 0.0
+    few = spark.createDataFrame([(s,) for s in (0, 0, 1)], "s int")
+    assert entropy.uniformity(few).first().chi2 == pytest.approx(5 * 256 / 3 - 3)
+    none = entropy.counted_uniformity(entropy.byte_counts(spark.createDataFrame([("",), (None,)], "text string"), "text")).first()
+    assert (none.chi2, none.n) == (None, None)
