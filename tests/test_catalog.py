@@ -85,3 +85,17 @@ def test_windows_of_a_hot_user_keep_ids_of_their_own(spark, tmp_path):
     _one(tmp_path, "e", "embeddings")
     got = same(spark, tmp_path, "window_features_search")
     assert len({(r[0], r[1]) for r in got}) == len(got) == 5 * (11 + 1)
+
+
+def test_8_bit_values_agree_to_the_last_digit(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start, values = datetime(2024, 1, 1), [(i * 7919 % 100_003) / 179 for i in range(16_000)]
+    rows = [(i, start + timedelta(seconds=i), i % 10, "view", x) for i, x in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/v")
+    _one(tmp_path, "v", "events")
+    with duckdb.connect() as db:
+        db.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+        want = db.sql(f"select user_id, win_id, v from ({catalog.ORACLES['quantized_8_values']})").fetchall()
+    got = catalog.QUERIES["quantized_8_values"](spark, str(tmp_path)).select("user_id", "win_id", "v").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
