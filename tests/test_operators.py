@@ -202,3 +202,43 @@ def test_uniformity_of_counts_whose_squares_pass_64_bits(spark):
     assert entropy.uniformity(few).first().chi2 == pytest.approx(5 * 256 / 3 - 3)
     none = entropy.counted_uniformity(entropy.byte_counts(spark.createDataFrame([("",), (None,)], "text string"), "text")).first()
     assert (none.chi2, none.n) == (None, None)
+
+
+@pytest.mark.parametrize("what", ["pairwise", "within", "knn"])
+def test_search_holds_a_bounded_number_of_pairs(spark, monkeypatch, what):
+    import tracemalloc
+
+    df = spark.range(10_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda j: F.sin(F.col("id") * j)).alias("v"))
+    asked, held = df.filter("id < 256"), []
+    kind = type(df)
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a: (held.append(f), own(self, f, *a))[1])
+    q = asked.select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    {"pairwise": lambda: similarity.pairwise(asked, df), "within": lambda: similarity.within(df, q, 100.0), "knn": lambda: similarity.knn(df, q, 5, "euclidean")}[what]()
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in held[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 256 * (5 if what == "knn" else 10_000) and peak < 60e6
+
+
+def test_search_far_from_the_origin(spark):
+    v = spark.createDataFrame([(i, [1e8 + 1.5 * i, -1e8]) for i in range(60)], "id long, v array<double>")
+    q = v.filter("id % 7 = 3").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    got = {(r.qid, r.rnk): (r.id, r.score) for r in similarity.knn(v, q, 3, "euclidean").collect()}
+    for i in range(3, 60, 7):
+        want = sorted((2.25 * (i - j) ** 2, j) for j in range(60))[:3]
+        assert [got[i, r + 1] for r in range(3)] == [(j, d) for d, j in want]
+
+
+def test_probed_search_is_exact_within_its_cells(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, [rnd.randint(-9, 9) + 0.0 for _ in range(3)]) for i in range(700)] + [(900, None)]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    q = v.filter("id % 30 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    rows_of = lambda df: sorted((r.qid, r.rnk, r.id, r.score) for r in df.collect())
+    assert rows_of(similarity.knn_probed(v, q, 5, 6, 6)) == rows_of(similarity.knn(v, q, 5, "euclidean"))
+    assert rows_of(similarity.knn_probed(v, q, 5, 6, 1)) != rows_of(similarity.knn(v, q, 5, "euclidean"))
