@@ -26,9 +26,13 @@ def ratio(raw: Column, small: Column) -> Column:
     return raw / F.greatest(small, F.lit(1))
 
 
-def compression_ratios(df: DataFrame, by: list[str], raw: Column, blob: str, model_bytes: int = 0) -> DataFrame:
-    """(by, raw_bytes, blob_bytes, ratio, system_ratio): the latter with a model's bytes counted too."""
-    out = df.groupBy(*by).agg(F.sum(raw).alias("raw_bytes"), F.sum(F.coalesce(F.octet_length(blob), F.lit(0))).alias("blob_bytes"))
+def compression_ratios(df: DataFrame, by: list[str], raw: Column, blob: str = "blob", model_bytes: int = 0, blob_bytes: Column | None = None) -> DataFrame:
+    """(by, raw_bytes, blob_bytes, ratio, system_ratio): the latter with a model's bytes counted too.
+
+    ``blob_bytes`` gives the bytes themselves, where there is no column of blobs.
+    """
+    size = F.octet_length(blob) if blob_bytes is None else blob_bytes
+    out = df.groupBy(*by).agg(F.sum(raw).alias("raw_bytes"), F.sum(F.coalesce(size, F.lit(0))).alias("blob_bytes"))
     return out.withColumns({"ratio": ratio(F.col("raw_bytes"), F.col("blob_bytes")), "system_ratio": ratio(F.col("raw_bytes"), F.col("blob_bytes") + model_bytes)})
 
 

@@ -140,3 +140,27 @@ def test_plain_ways_to_keep_a_table():
     sizes = codec.reference_sizes(a)
     assert sizes["raw"] == a.nbytes and sizes["csv"] > sizes["csv_gzip"] > 0 and sizes["csv_zstd"] < sizes["csv"]
     assert len(codec.encode(a, "optimal")) < sizes["raw"]
+
+
+def test_sizes_of_all_modes_in_one_pass(spark):
+    rows = [(i, [float((i * j * 37) % 101) for j in range(n)]) for i, n in enumerate((16, 16, 5, 1, 16))] + [(9, []), (10, None)]
+    df = spark.createDataFrame(rows, "id int, values array<float>")
+    got = {}
+    for r in codec.sizes(df).collect():
+        a, b = got.get(r.mode, (0, 0))
+        got[r.mode] = a + r.raw_bytes, b + r.blob_bytes
+    for mode in codec.MODES:
+        made = codec.compress(df, mode).collect()
+        assert got[mode] == (sum(r.raw_bytes for r in made), sum(len(r.blob) for r in made if r.blob))
+
+
+def test_a_competition_packs_no_candidate_that_cannot_win(monkeypatch):
+    a = np.random.default_rng(6).normal(50, 20, (1, 16, 1)).astype(np.float32)
+    want, calls = codec.encode(a, "optimal"), []
+    own = dict(codec.COMPRESSORS)
+    count = lambda c, f: lambda *x: (calls.append(c), f(*x))[1]
+    monkeypatch.setattr(codec, "COMPRESSORS", {c: (count(c, f), g) for c, (f, g) in own.items()})
+    assert codec.encode(a, "optimal") == want and calls.count(4) == 0 and len(calls) < 60
+    made = {(t, c): own[c][0](codec.TRANSFORMS[t][0](a.view(np.uint32))) for t in codec.RIVALS[4] for c in own}
+    t, c = min(made, key=lambda k: (len(made[k]), k))
+    assert want[codec.HEAD.size :] == bytes([t, c]) + made[t, c]
