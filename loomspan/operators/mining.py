@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +15,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from loomspan.functions import vectors as V
 from loomspan.operators.components import components
@@ -32,32 +37,111 @@ def kmeans(vectors: DataFrame, k: int, seeds: int = 10, seed: int = 42) -> tuple
     return out, float(model.summary.trainingCost)
 
 
-def neighbours(vectors: DataFrame, eps: float) -> DataFrame:
-    """(a, b) of all vectors within ``eps`` of each other, each with itself too.
+#: Pairs of points whose distances are in memory at once.
+TILE = 1 << 20
 
-    Cells of width eps on the first two dimensions, and those around them, are joined, so only near points meet.
+
+def _placed(vectors: DataFrame, eps: float) -> DataFrame:
+    """(id, v, n, cx, cy): vectors with their dimension and their cell of width eps on the first two dimensions."""
+    cell = lambda i: F.coalesce(F.floor(F.try_element_at("v", F.lit(i + 1)) / eps).cast("long"), F.lit(0))
+    return vectors.filter("v is not null").select("id", "v", F.size("v").alias("n"), cell(0).alias("cx"), cell(1).alias("cy"))
+
+
+def _around(placed: DataFrame, run: Callable, kind: StructType) -> DataFrame:
+    """``run`` on each cell: (ids, points, own, the further columns) of its points (``own``) and of those around it.
+
+    A point is sent to nine cells, so what is shuffled grows with the points, not with the pairs of near ones.
     """
-    cell = lambda i: F.floor(F.try_element_at("v", F.lit(i + 1)) / eps).cast("long")
-    placed = vectors.select("id", "v", F.coalesce(cell(0), F.lit(0)).alias("cx"), F.coalesce(cell(1), F.lit(0)).alias("cy"))
-    near = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("n")
-    around = placed.select(F.col("id").alias("b"), F.col("v").alias("w"), near).select("b", "w", "n.cx", "n.cy")
-    return placed.join(around, ["cx", "cy"]).filter(V.squared_distance(F.col("v"), F.col("w")) <= eps * eps).select(F.col("id").alias("a"), "b")
+    more = [c for c in placed.columns if c not in ("id", "v", "n", "cx", "cy")]
+    names = [f.name for f in kind]
+    arrow = to_arrow_schema(kind)
+    near = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), F.lit(i == j == 0).alias("own")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c")
+    rows = placed.select("id", "v", "n", *more, near).select("id", "v", "n", *more, "c.cx", "c.cy", "c.own")
+
+    def of_cell(table: pa.Table) -> pa.Table:
+        own = table["own"].to_numpy()
+        if not own.any():
+            return arrow.empty_table()
+        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        found = run(table["id"].combine_chunks(), flat.reshape(len(own), -1), own, *(table[c].combine_chunks() for c in more))
+        return pa.table(dict(zip(names, found, strict=True))).cast(arrow)
+
+    return rows.groupBy("n", "cx", "cy").applyInArrow(of_cell, kind)
+
+
+def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
+    """Matrix of whether points are within ``eps``, summed dimension by dimension."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        total += (a[:, j, None] - b[:, j]) ** 2
+    return total <= eps * eps
 
 
 def dbscan(vectors: DataFrame, eps: float, least: int) -> DataFrame:
     """(id, label): clusters of core points (``least`` points within ``eps``, itself counted), named by their smallest
     core id; -1 is noise. A border point goes to the cluster of least name among its core neighbours.
 
-    Neighbour pairs are written once; clusters are the connected components of the core points, however long.
+    Pairs of neighbours are never kept: each cell counts its points' neighbours up to ``least``, then links the core
+    points in and around it to one of each local cluster; clusters are the connected components of those links.
     """
-    pairs = materialize(neighbours(vectors, eps), "neighbours")
-    core = pairs.groupBy("a").count().filter(F.col("count") >= least).select("a")
-    of_core = materialize(pairs.join(core, "a"), "core")  # a is a core point
-    links = of_core.join(core.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
-    comp = components(links).select(F.col("node").alias("a"), "root")
-    own = core.join(comp, "a", "left").select("a", F.coalesce("root", "a").alias("label"))
-    # a core point has no core neighbour of another cluster, so the least name is its own
-    named = of_core.join(own, "a").groupBy(F.col("b").alias("id")).agg(F.min("label").alias("label"))
+    id_ = vectors.schema["id"]
+    kind = lambda *more: StructType([StructField("id", id_.dataType), *more])
+
+    def counted(ids, v, own, *_):
+        mine, n = np.flatnonzero(own), np.zeros(len(own), np.int64)
+        others, left = np.concatenate([mine, np.flatnonzero(~own)]), mine
+        for i in range(0, len(others), 1024):
+            part = others[i : i + 1024]
+            for j in range(0, len(left), TILE // 1024):
+                some = left[j : j + TILE // 1024]
+                n[some] += _near(v[some], v[part], eps).sum(axis=1)
+            left = left[n[left] < least]
+            if not len(left):
+                break
+        return ids.take(pa.array(mine)), n[mine] >= least
+
+    def linked(ids, v, own):
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        rest, nodes, roots = np.argsort(place), [], []
+        while len(rest):
+            found, todo, rest = [rest[0]], [rest[0]], rest[1:]
+            while todo and len(rest):
+                step = max(1, min(64, TILE // len(rest)))
+                some, todo = todo[:step], todo[step:]
+                hit = np.zeros(len(rest), bool)
+                for i in range(0, len(rest), TILE // 64):
+                    hit[i : i + TILE // 64] = _near(v[some], v[rest[i : i + TILE // 64]], eps).any(axis=0)
+                new, rest = rest[hit].tolist(), rest[~hit]
+                found += new
+                todo += new
+            nodes += found
+            roots += [found[0]] * len(found)
+        return ids.take(pa.array(nodes)), ids.take(pa.array(roots))
+
+    def bordered(ids, v, own, label):
+        known = label.is_valid().to_numpy(zero_copy_only=False)
+        core, mine = np.flatnonzero(known), np.flatnonzero(own & ~known)
+        core = core[pc.sort_indices(label.take(pa.array(core))).to_numpy()]  # the first that is near has the least name
+        first = np.full(len(own), -1)
+        for i in range(0, len(core), 1024):
+            part, left = core[i : i + 1024], mine[first[mine] < 0]
+            for j in range(0, len(left), TILE // 1024):
+                some = left[j : j + TILE // 1024]
+                hit = _near(v[some], v[part], eps)
+                first[some] = np.where(hit.any(axis=1), part[hit.argmax(axis=1)], -1)
+        mine = mine[first[mine] >= 0]
+        return ids.take(pa.array(mine)), label.take(pa.array(first[mine]))
+
+    placed = materialize(_placed(vectors, eps), "placed")
+    core = materialize(_around(placed, counted, kind(StructField("core", BooleanType()))).filter("core").select("id"), "core")
+    of_core = placed.join(core, "id", "left_semi")
+    links = _around(of_core, linked, StructType([StructField("a", id_.dataType), StructField("b", id_.dataType)]))
+    comp = components(links).select(F.col("node").alias("id"), "root")
+    own = materialize(core.join(comp, "id", "left").select("id", F.coalesce("root", "id").alias("label")), "own")
+    labelled = placed.join(own, "id", "left").select("id", "v", "n", "cx", "cy", "label")
+    border = _around(labelled, bordered, kind(StructField("label", id_.dataType)))
+    named = own.unionByName(border)
     return vectors.select("id").join(named, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 

@@ -242,3 +242,13 @@ def test_probed_search_is_exact_within_its_cells(spark):
     rows_of = lambda df: sorted((r.qid, r.rnk, r.id, r.score) for r in df.collect())
     assert rows_of(similarity.knn_probed(v, q, 5, 6, 6)) == rows_of(similarity.knn(v, q, 5, "euclidean"))
     assert rows_of(similarity.knn_probed(v, q, 5, 6, 1)) != rows_of(similarity.knn(v, q, 5, "euclidean"))
+
+
+def test_density_clusters_write_no_more_than_points(spark, monkeypatch):
+    sizes = []
+    own = mining.materialize
+    monkeypatch.setattr(mining, "materialize", lambda df, name: (sizes.append((name, own(df, name).count())), own(df, name))[1])
+    df = spark.createDataFrame([(i, [(i % 40) / 100, (i // 40) / 100]) for i in range(800)] + [(900, None), (901, [0.5, 0.5, 0.5])], "id long, v array<double>")
+    got = {r.id: r.label for r in mining.dbscan(df, 1.0, 5).collect()}
+    assert got == {**{i: 0 for i in range(800)}, 900: -1, 901: -1}
+    assert sizes and max(n for _, n in sizes) <= 802
