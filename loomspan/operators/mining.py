@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -177,13 +177,29 @@ class Projection:
     axes: tuple[tuple[float, ...], ...]
 
     def project(self, v: Column) -> Column:
-        mean = F.array(*map(F.lit, self.mean))
-        return F.transform(F.array(*(F.array(*map(F.lit, axis)) for axis in self.axes)), lambda axis: V.dot(V.subtract(v, mean), axis))
+        axes, mean = np.array(self.axes).reshape(len(self.axes), -1), np.array(self.mean)
+        return _by_matrix(lambda x: (x - mean) @ axes.T, len(mean))(v)
 
     def restore(self, z: Column) -> Column:
-        """Vectors from projections; give a column, as ``z`` is read once a dimension."""
-        parts = F.array(*(F.struct(F.lit(m).alias("m"), F.array(*map(F.lit, a)).alias("a")) for m, a in zip(self.mean, zip(*self.axes, strict=True), strict=True)))
-        return F.transform(parts, lambda p: p["m"] + V.dot(z, p["a"]))
+        """Vectors from projections."""
+        axes, mean = np.array(self.axes).reshape(len(self.axes), -1), np.array(self.mean)
+        return _by_matrix(lambda x: x @ axes + mean, len(axes))(z)
+
+
+def _by_matrix(f: Callable[[np.ndarray], np.ndarray], width: int):
+    """A column function of arrays: ``f`` on the rows of a batch as a matrix; null for null and for another length."""
+
+    @arrow_udf("array<double>")
+    def run(v: pa.Array) -> pa.Array:
+        good = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(v), width), False).to_numpy(zero_copy_only=False))
+        made = f(v.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), width))
+        ends = np.zeros(len(v) + 1, np.int32)
+        ends[good + 1] = made.shape[1]
+        missing = np.ones(len(v), bool)
+        missing[good] = False
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(made.ravel()), mask=pa.array(missing))
+
+    return run
 
 
 def fit_projection(vectors: DataFrame, share: float = 0.99, most: int | None = None) -> Projection:

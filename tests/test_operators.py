@@ -252,3 +252,13 @@ def test_density_clusters_write_no_more_than_points(spark, monkeypatch):
     got = {r.id: r.label for r in mining.dbscan(df, 1.0, 5).collect()}
     assert got == {**{i: 0 for i in range(800)}, 900: -1, 901: -1}
     assert sizes and max(n for _, n in sizes) <= 802
+
+
+def test_projections_are_matrices_and_keep_nulls(spark):
+    axes = mining.Projection((1.0, 2.0, 3.0), ((1.0, 0.0, 0.0), (0.0, 0.6, 0.8)))
+    df = spark.createDataFrame([(0, [2.0, 2.0, 3.0]), (1, None), (2, [1.0, 7.0, 3.0])], "id int, v array<double>")
+    z = df.select("id", "v", axes.project(F.col("v")).alias("z"))
+    got = {r.id: (r.z, r.w) for r in z.select("id", "z", axes.restore(F.col("z")).alias("w")).collect()}
+    assert got[0] == ([1.0, 0.0], [2.0, 2.0, 3.0]) and got[1] == (None, None)
+    assert got[2][0] == pytest.approx([0.0, 3.0]) and got[2][1] == pytest.approx([1.0, 3.8, 5.4])
+    assert "transform" not in z._jdf.queryExecution().executedPlan().toString()  # no element by element loop
